@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import near_duplicates
+from storyloom.llm import near_duplicates, packing, tokens
+from storyloom.session import written
 from storyloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +21,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_texts(spark, sf_dir))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf_dir, "documents"), tokens.vocabulary())
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary()), "sizes")
+    return packing.packed(sizes, "doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found,)}
+    return {f.__name__: f for f in (p2_found, p7_ids, p8_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
