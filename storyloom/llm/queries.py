@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import near_duplicates, packing, tokens
+from storyloom.llm import near_duplicates, packing, splitting, tokens
 from storyloom.session import written
 from storyloom.sources.tables import table
 
@@ -21,6 +21,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_texts(spark, sf_dir))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(splitting.split_pieces(table(spark, sf_dir, "chapter_list"), "chapter_id", "content"), "chapter_id")
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "chapter_list").select("chapter_id", "content").distinct()
+    return splitting.split_pieces(chapters, "chapter_id", "content")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -31,8 +40,8 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_pieces, p7_ids, p8_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": "SELECT DISTINCT chapter_id FROM chapter_list WHERE length(content) > 1500"}
