@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import near_duplicates, packing, splitting, tokens
+from storyloom.llm import lookalikes, near_duplicates, packing, splitting, tokens
 from storyloom.session import written
 from storyloom.sources.tables import table
 
@@ -30,6 +30,18 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_pieces(chapters, "chapter_id", "content")
 
 
+def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.unified_names(lookalikes.all_names(table(spark, sf_dir, "entities"), "id", "canonical_name", "aliases", "book_id"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.lookalike_pairs(written(_unified(spark, sf_dir), "forms"), "book_id")
+
+
+def p5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unified(spark, sf_dir)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -40,7 +52,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_pieces, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_pieces, p5_found, p5_names, p7_ids, p8_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
