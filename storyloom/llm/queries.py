@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storyloom.llm import lookalikes, near_duplicates, packing, splitting, tokens
+from storyloom.llm import canonical_values, lookalikes, near_duplicates, packing, splitting, tokens
 from storyloom.session import written
 from storyloom.sources.tables import table
 
@@ -42,6 +43,22 @@ def p5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _unified(spark, sf_dir)
 
 
+def _types(spark: SparkSession, sf_dir: str) -> tuple[dict[str, str], list[str]]:
+    reference = table(spark, sf_dir, "entity_types")
+    labels = [r["label"] for r in reference.select("label").where("label IS NOT NULL").collect()]
+    return canonical_values.terms_of(reference, "type_code", ("label", "label_en"), ("hints",)), labels
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = canonical_values.mapped_values(table(spark, sf_dir, "entities"), "id", "type", *_types(spark, sf_dir))
+    return mapped.select("id", "type_code").distinct()
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = canonical_values.mapped_values(table(spark, sf_dir, "entities"), "id", "type", *_types(spark, sf_dir))
+    return mapped.where(F.col("type_code") == canonical_values.UNMATCHED).groupBy("type").agg(F.countDistinct("id").alias("entities"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
@@ -52,7 +69,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_pieces, p5_found, p5_names, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
