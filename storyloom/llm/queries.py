@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import canonical_values, lookalikes, near_duplicates, packing, splitting, tokens
+from storyloom.llm import canonical_values, lookalikes, names, near_duplicates, packing, splitting, tokens
 from storyloom.session import written
 from storyloom.sources.tables import table
 
@@ -22,6 +22,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_texts(spark, sf_dir))
 
 
+def _name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = table(spark, sf_dir, "entities")
+    codes, labels = _types(spark, sf_dir)
+    exact = F.create_map(*(F.lit(x) for label in labels for x in (label, codes[canonical_values.plain(label).strip()])))
+    free = canonical_values.mapped_values(entities, "id", "type", codes, labels).select("id", F.col("type_code").alias("code"))
+    typed = entities.select("id", exact[F.col("type")].alias("code")).where(F.col("code").isNotNull()).union(free)
+    kind = F.create_map(*(F.lit(x) for pair in names.KINDS.items() for x in pair))[F.col("code")]
+    kinds = entities.select("id").distinct().join(typed.groupBy("id").agg(F.min("code").alias("code")), "id", "left")
+    kinds = kinds.select("id", F.when(F.col("code").isNull(), names.UNKNOWN).otherwise(F.coalesce(kind, F.lit(names.OTHER))).alias("kind"))
+    return names.name_groups(_unified(spark, sf_dir), kinds, "book_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.group_pairs(_name_groups(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_groups(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(splitting.split_pieces(table(spark, sf_dir, "chapter_list"), "chapter_id", "content"), "chapter_id")
 
@@ -69,7 +89,7 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
