@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import canonical_values, lookalikes, names, near_duplicates, packing, splitting, tokens
+from storyloom.llm import canonical_values, lookalikes, names, near_duplicates, packing, pii, splitting, tokens
 from storyloom.session import written
 from storyloom.sources.tables import table
 
@@ -88,8 +88,22 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(sizes, "doc_id", "n_tokens")
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+    figures = lookalikes.all_names(table(spark, sf_dir, "entities"), "id", "canonical_name", "aliases").select("name")
+    return pii.without_figures(found, figures)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir).select("doc_id", "kind", "start_pos", "end_pos").distinct()
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.masked(table(spark, sf_dir, "documents"), _spans(spark, sf_dir), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
