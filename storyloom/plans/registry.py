@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.plans import references
+from storyloom.plans import lookups, predicates, references
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (references,)
+_MODULES = (references, predicates, lookups)
 
 
 def queries() -> dict[str, Query]:
