@@ -186,6 +186,7 @@ _ZH_HOUSE = re.compile(rf"{_ZH_NUM}\s?号(?:\s?{_ZH_NUM}\s?(?:号楼|栋|幢|座
 _EN_STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Crescent|Cres|Row|Close|Terrace|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Sq|Hill|Gardens|Grove|Mews|Boulevard|Blvd|Walk|Parade)"
 _EN_UNIT = r"(?:Flat|Apt|Apartment|Unit|Suite|Room|Rm)\.?\s?#?\w{1,5}"
 _EN_HOUSE = re.compile(rf"(?i:(?:{_EN_UNIT},?\s)?\d{{1,5}}[A-Za-z]?\s(?:[\w'’\-]+\s){{1,4}}?{_EN_STREET}\b(?:,\s{_EN_UNIT})?)(?:,\s[A-Z][\w'’\-]+(?:\s[A-Z][\w'’\-]+){{0,2}})?")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ]")
 _LATIN_NAME = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _STICKY = re.compile(r"^[\s.,;:!?，。；：！？、·\"“”‘’'()（）<>\[\]\-—]+|[\s.,;:!?，。；：！？、·\"“”‘’'()（）<>\[\]\-—]+$")
 _FORMS = re.compile(r"(?:尊敬的|亲爱的|老师|编辑|主编|先生|女士|小姐|作者|读者|责编|收件人|抄送|您好|你好)+$|^(?:尊敬的|亲爱的|责编|收件人|抄送|编辑)+")
@@ -244,16 +245,18 @@ def _address(text, a, b):
 def _name(text, a, b):
     piece = text[a:b]
     if re.search(r"[㐀-鿿]", piece):
-        m = _STICKY.sub("", piece)
+        m = re.search(r"[㐀-鿿](?:[\s·]?[㐀-鿿])*", piece)[0]
         a += piece.index(m)
         while (f := _FORMS.sub("", m)) != m:
             a, m = a + m.index(f) if f else a, f
         surname = 2 if m[:2] in _COMPOUND else 1
         return (a, a + len(m)) if re.fullmatch(r"[㐀-鿿](?:[\s·]?[㐀-鿿]){1,3}", m) and len(m) > surname else None
-    while a > 0 and a < b and (text[a - 1].isalpha() or (text[a - 1] in "'’-" and a > 1 and text[a - 2].isalpha())):
+    while a > 0 and (_LATIN.match(text[a - 1]) or (text[a - 1] in "'’-" and a > 1 and _LATIN.match(text[a - 2]))) and _LATIN.match(text[a]):
         a -= 1
-    while b < len(text) and b > a and text[b - 1].isalpha() and (text[b].isalpha() or (text[b] in "'’-" and b + 1 < len(text) and text[b + 1].isalpha())):
+    while b < len(text) and _LATIN.match(text[b - 1]) and (_LATIN.match(text[b]) or (text[b] in "'’-" and b + 1 < len(text) and _LATIN.match(text[b + 1]))):
         b += 1
+    if letters := [i for i in range(a, b) if _LATIN.match(text[i])]:
+        b = min(b, next((i for i in range(letters[0], b) if text[i].isalpha() and not _LATIN.match(text[i])), b))
     m = _STICKY.sub("", text[a:b])
     if not m:
         return None
