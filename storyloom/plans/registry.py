@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.plans import lookups, predicates, references
+from storyloom.plans import lookups, predicates, references, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (references, predicates, lookups)
+_MODULES = (references, predicates, lookups, timeline)
 
 
 def queries() -> dict[str, Query]:
