@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.plans import functions, lookups, predicates, references, timeline
+from storyloom.plans import changes, context, functions, lookups, predicates, references, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (references, predicates, lookups, timeline, functions)
+_MODULES = (references, predicates, lookups, timeline, functions, context, changes)
 
 
 def queries() -> dict[str, Query]:

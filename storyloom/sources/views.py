@@ -82,7 +82,8 @@ def with_views(sql: str) -> str:
     body = plain(sql).strip()
     if not views:
         return body
-    return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
+    # RECURSIVE is allowed, and needed by some, for all of them
+    return f"WITH RECURSIVE {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
 
 
 def union(*frames: DataFrame) -> DataFrame:
