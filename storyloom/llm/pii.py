@@ -28,7 +28,7 @@ from storyloom.llm.names import _COMPOUND
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, OVERLAP, LANES = 128, 32, 1024
+WINDOW, OVERLAP, LANES = 384, 32, 512
 BUCKETS, POINTS = 4096, 0x20000
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 
@@ -82,59 +82,92 @@ def encoded(text: str) -> tuple[np.ndarray, np.ndarray]:
 # ---- network
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Model:
-    """Forward pass and decoding. The products of the embeddings with the input weights are tables, so a step costs one recurrent product."""
+    """Forward pass and decoding. The products of the embeddings with the input weights are one table, so a step costs a lookup and one recurrent product."""
 
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         w = {k: v.astype(np.float32) for k, v in weights.items()}
         self.w, self.hidden = w, w["fw_h"].shape[0]
-        self.inputs = {d: (w["chars"] @ w[f"{d}_c"], w["kinds"] @ w[f"{d}_k"] + w[f"{d}_b"]) for d in ("fw", "bw")}
+        n = self.hidden
+        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2: with the first three gates halved here, a step takes one tanh
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), n)
+        self.inputs, self.recurrent = {}, {}
+        for d in ("fw", "bw"):
+            table = (w["chars"] @ w[f"{d}_c"])[:, None] + (w["kinds"] @ w[f"{d}_k"] + w[f"{d}_b"])[None]
+            self.inputs[d] = np.ascontiguousarray((table * half).reshape(BUCKETS * CLASSES, 4 * n))
+            self.recurrent[d] = np.ascontiguousarray(w[f"{d}_h"] * half)
+        # A detour from O gains at most this by each transition it takes
+        self.detour = max(0.0, float(w["cross"].max() - w["cross"][0, 0]), float(w["start"].max() - w["start"][0]))
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
         with np.load(path) as f:
             return cls({k: f[k] for k in f.files})
 
-    def _run(self, direction: str, buckets: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """buckets, classes [time, lane] -> states [time, lane, hidden]."""
-        steps, lanes = buckets.shape
-        n, by_char, by_kind, recurrent = self.hidden, *self.inputs[direction], self.w[f"{direction}_h"]
-        out, h, c = np.empty((steps, lanes, n), np.float32), np.zeros((lanes, n), np.float32), np.zeros((lanes, n), np.float32)
+    def _run(self, direction: str, symbols: np.ndarray) -> np.ndarray:
+        """symbols [time, lane], 0 for padding -> states [time, lane, hidden]."""
+        steps, lanes = symbols.shape
+        n, table, recurrent = self.hidden, self.inputs[direction], self.recurrent[direction]
+        out = np.empty((steps, lanes, n), np.float32)
+        h, c = np.zeros((lanes, n), np.float32), np.zeros((lanes, n), np.float32)
+        z, r, t1 = np.empty((lanes, 4 * n), np.float32), np.empty((lanes, 4 * n), np.float32), np.empty((lanes, n), np.float32)
+        live = (symbols >= CLASSES).astype(np.float32)[:, :, None]
+        padded = not live.all()
         for t in range(steps) if direction == "fw" else range(steps - 1, -1, -1):
-            z = by_char[buckets[t]]
-            z += by_kind[classes[t]]
-            z += h @ recurrent
-            gates = _sigmoid(z[:, : 3 * n])
-            c = gates[:, n : 2 * n] * c + gates[:, :n] * np.tanh(z[:, 3 * n :])
-            c *= (buckets[t] > 0)[:, None]  # padding holds no memory
-            h = gates[:, 2 * n :] * np.tanh(c)
-            out[t] = h
+            np.take(table, symbols[t], axis=0, out=z, mode="clip")
+            np.dot(h, recurrent, out=r)
+            z += r
+            np.tanh(z, out=z)
+            gates = z[:, : 3 * n]
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(z[:, :n], z[:, 3 * n :], out=t1)
+            c *= z[:, n : 2 * n]
+            c += t1
+            if padded:
+                c *= live[t]  # padding holds no memory
+            np.tanh(c, out=t1)
+            h = np.multiply(t1, z[:, 2 * n : 3 * n], out=out[t])
         return out
 
-    def tags(self, buckets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    def tags(self, symbols: np.ndarray) -> np.ndarray:
         """The best tag sequence of each lane, [time, lane]."""
-        states = np.concatenate([self._run(d, buckets, classes) for d in ("fw", "bw")], 2)
-        scores = states @ self.w["out"] + self.w["out_b"]
-        steps, lanes, n = scores.shape
-        back, best = np.empty((steps, lanes, n), np.int8), scores[0] + self.w["start"]
+        n = self.hidden
+        scores = self._run("fw", symbols) @ self.w["out"][:n]
+        scores += self._run("bw", symbols) @ self.w["out"][n:]
+        scores += self.w["out_b"]
+        # where O leads everywhere by more than any detour could gain, the best path is O throughout
+        most = scores[:, :, 1].copy()
+        for k in range(2, len(TAGS)):
+            np.maximum(most, scores[:, :, k], out=most)
+        open_ = np.flatnonzero((scores[:, :, 0] - most <= 2 * self.detour + 1e-3).any(0))
+        out = np.zeros(symbols.shape, np.int8)
+        if len(open_):
+            out[:, open_] = self._viterbi(np.ascontiguousarray(scores[:, open_].transpose(0, 2, 1)))
+        return out
+
+    def _viterbi(self, scores: np.ndarray) -> np.ndarray:
+        """scores [time, tag, lane]."""
+        steps, n, lanes = scores.shape
+        cross = self.w["cross"]
+        back, best = np.zeros((steps, n, lanes), np.int8), scores[0] + self.w["start"][:, None]
         for t in range(1, steps):
-            ways = best[:, :, None] + self.w["cross"][None]
-            back[t] = ways.argmax(1)
-            best = np.take_along_axis(ways, back[t][:, None].astype(np.int64), 1)[:, 0] + scores[t]
+            most, by = best[0] + cross[0][:, None], back[t]
+            for k in range(1, n):
+                way = best[k] + cross[k][:, None]
+                np.copyto(by, k, where=way > most)
+                np.maximum(most, way, out=most)
+            best = most + scores[t]
         out = np.empty((steps, lanes), np.int8)
-        out[-1] = best.argmax(1)
+        out[-1] = best.argmax(0)
         lane = np.arange(lanes)
         for t in range(steps - 1, 0, -1):
-            out[t - 1] = back[t, lane, out[t]]
+            out[t - 1] = back[t, out[t], lane]
         return out
 
     def tag_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Of each text, a tag for every character, from overlapping windows."""
-        codes = [encoded(t) for t in texts]
+        codes = [b * CLASSES + c for b, c in map(encoded, texts)]
         out = [np.zeros(len(t), np.int8) for t in texts]
         windows = []
         for i, t in enumerate(texts):
@@ -148,10 +181,10 @@ class Model:
         for k in range(0, len(windows), LANES):
             part = windows[k : k + LANES]
             width = part[-1][0]
-            buckets, classes = np.zeros((width, len(part)), np.int32), np.zeros((width, len(part)), np.int32)
+            symbols = np.zeros((len(part), width), np.int32)
             for lane, (n, i, at) in enumerate(part):
-                buckets[:n, lane], classes[:n, lane] = codes[i][0][at : at + n], codes[i][1][at : at + n]
-            found = self.tags(buckets, classes)
+                symbols[lane, :n] = codes[i][at : at + n]
+            found = self.tags(np.ascontiguousarray(symbols.T))
             for lane, (n, i, at) in enumerate(part):
                 first = at + (OVERLAP // 2 if at else 0)
                 last = at + n if at + n == len(texts[i]) else at + n - OVERLAP // 2
