@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.plans import changes, context, functions, lookups, predicates, records, references, timeline, vectors
+from storyloom.plans import changes, context, functions, lookups, predicates, records, references, storage, timeline, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (references, predicates, lookups, timeline, functions, context, changes, vectors, records)
+_MODULES = (references, predicates, lookups, timeline, functions, context, changes, vectors, records, storage)
 
 
 def queries() -> dict[str, Query]:
