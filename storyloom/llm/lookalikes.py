@@ -118,8 +118,9 @@ def unified_names(names: DataFrame) -> DataFrame:
     """names (id, ..., name) with the column `form`: equal for names that look the same.
 
     Names that are blank, or of characters without width only, are left out. Repeated
-    rows give one row. An empty table gives none. Names of any length are taken whole.
+    rows give one row; a column already called form is replaced. An empty table gives none. Names of any length are taken whole.
     """
+    names = names.drop("form", "_s", "_plain", "_odd")
     seen = names.where(F.col("name").isNotNull()).distinct().withColumn("_s", _seen("name")).where(F.length("_s.form") > 0)
     seen = seen.select(*names.columns, F.col("_s.form").alias("form"), F.col("_s.plain").alias("_plain"), F.col("_s.odd").alias("_odd"))
     odd = seen.select(F.explode("_odd").alias("o")).select("o.token", "o.looks").distinct()

@@ -95,7 +95,7 @@ class Model:
         for d in ("fw", "bw"):
             table = (w["chars"] @ w[f"{d}_c"])[:, None] + (w["kinds"] @ w[f"{d}_k"] + w[f"{d}_b"])[None]
             self.inputs[d] = np.ascontiguousarray((table * half).reshape(BUCKETS * CLASSES, 4 * n))
-            self.recurrent[d] = np.ascontiguousarray(w[f"{d}_h"] * half)
+            self.recurrent[d] = np.ascontiguousarray(w[f"{d}_h"] * half * np.float32(0.5))
         # A detour from O gains at most this by each transition it takes
         self.detour = max(0.0, float(w["cross"].max() - w["cross"][0, 0]), float(w["start"].max() - w["start"][0]))
 
@@ -104,70 +104,72 @@ class Model:
         with np.load(path) as f:
             return cls({k: f[k] for k in f.files})
 
-    def _run(self, direction: str, symbols: np.ndarray) -> np.ndarray:
-        """symbols [time, lane], 0 for padding -> states [time, lane, hidden]."""
+    def _run(self, direction: str, table: np.ndarray, symbols: np.ndarray, scores: np.ndarray) -> None:
+        """Adds a direction's part to scores [time, tag, lane]; symbols [time, lane] are rows of table, 0 for padding."""
         steps, lanes = symbols.shape
-        n, table, recurrent = self.hidden, self.inputs[direction], self.recurrent[direction]
-        out = np.empty((steps, lanes, n), np.float32)
+        n, recurrent = self.hidden, self.recurrent[direction]
+        out = np.ascontiguousarray((self.w["out"][:n] if direction == "fw" else self.w["out"][n:]).T * np.float32(0.5))
         h, c = np.zeros((lanes, n), np.float32), np.zeros((lanes, n), np.float32)
-        z, r, t1 = np.empty((lanes, 4 * n), np.float32), np.empty((lanes, 4 * n), np.float32), np.empty((lanes, n), np.float32)
-        live = (symbols >= CLASSES).astype(np.float32)[:, :, None]
-        padded = not live.all()
+        z, r, t1, e = np.empty((lanes, 4 * n), np.float32), np.empty((lanes, 4 * n), np.float32), np.empty((lanes, n), np.float32), np.empty((len(TAGS), lanes), np.float32)
+        live = (symbols > 0).astype(np.float32)[:, :, None]
+        padded = ~live.all((1, 2))
+        gates, i, f, o, u = z[:, : 3 * n], z[:, :n], z[:, n : 2 * n], z[:, 2 * n : 3 * n], z[:, 3 * n :]
         for t in range(steps) if direction == "fw" else range(steps - 1, -1, -1):
             np.take(table, symbols[t], axis=0, out=z, mode="clip")
             np.dot(h, recurrent, out=r)
             z += r
             np.tanh(z, out=z)
-            gates = z[:, : 3 * n]
-            gates *= 0.5
-            gates += 0.5
-            np.multiply(z[:, :n], z[:, 3 * n :], out=t1)
-            c *= z[:, n : 2 * n]
+            gates += 1  # twice the sigmoids
+            np.multiply(i, u, out=t1)
+            c *= f
             c += t1
-            if padded:
+            c *= 0.5
+            if padded[t]:
                 c *= live[t]  # padding holds no memory
             np.tanh(c, out=t1)
-            h = np.multiply(t1, z[:, 2 * n : 3 * n], out=out[t])
-        return out
+            np.multiply(t1, o, out=h)  # twice the state: its weights are halved
+            np.dot(out, h.T, out=e)
+            scores[t] += e
 
-    def tags(self, symbols: np.ndarray) -> np.ndarray:
+    def tags(self, symbols: np.ndarray, tables: dict[str, np.ndarray]) -> np.ndarray:
         """The best tag sequence of each lane, [time, lane]."""
-        n = self.hidden
-        scores = self._run("fw", symbols) @ self.w["out"][:n]
-        scores += self._run("bw", symbols) @ self.w["out"][n:]
-        scores += self.w["out_b"]
+        scores = np.empty((symbols.shape[0], len(TAGS), symbols.shape[1]), np.float32)
+        scores[:] = self.w["out_b"][:, None]
+        for d, table in tables.items():
+            self._run(d, table, symbols, scores)
         # where O leads everywhere by more than any detour could gain, the best path is O throughout
-        most = scores[:, :, 1].copy()
-        for k in range(2, len(TAGS)):
-            np.maximum(most, scores[:, :, k], out=most)
-        open_ = np.flatnonzero((scores[:, :, 0] - most <= 2 * self.detour + 1e-3).any(0))
+        closest = (scores[:, 0] - scores[:, 1:].max(1)).min(0)
+        open_ = np.flatnonzero(closest <= 2 * self.detour + 1e-3)
         out = np.zeros(symbols.shape, np.int8)
         if len(open_):
-            out[:, open_] = self._viterbi(np.ascontiguousarray(scores[:, open_].transpose(0, 2, 1)))
+            out[:, open_] = self._viterbi(np.ascontiguousarray(scores[:, :, open_]))
         return out
 
     def _viterbi(self, scores: np.ndarray) -> np.ndarray:
-        """scores [time, tag, lane]."""
+        """scores [time, tag, lane], overwritten. Which tag came before is found again on the way back, for the best path only."""
         steps, n, lanes = scores.shape
-        cross = self.w["cross"]
-        back, best = np.zeros((steps, n, lanes), np.int8), scores[0] + self.w["start"][:, None]
+        cross, ways = self.w["cross"][:, :, None], np.empty((n, n, lanes), np.float32)
+        scores[0] += self.w["start"][:, None]
         for t in range(1, steps):
-            most, by = best[0] + cross[0][:, None], back[t]
-            for k in range(1, n):
-                way = best[k] + cross[k][:, None]
-                np.copyto(by, k, where=way > most)
-                np.maximum(most, way, out=most)
-            best = most + scores[t]
+            np.add(scores[t - 1][:, None], cross, out=ways)
+            scores[t] += ways.max(0)
         out = np.empty((steps, lanes), np.int8)
-        out[-1] = best.argmax(0)
-        lane = np.arange(lanes)
+        out[-1] = scores[-1].argmax(0)
         for t in range(steps - 1, 0, -1):
-            out[t - 1] = back[t, out[t], lane]
+            out[t - 1] = (scores[t - 1] + self.w["cross"][:, out[t]]).argmax(0)
         return out
 
     def tag_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Of each text, a tag for every character, from overlapping windows."""
         codes = [b * CLASSES + c for b, c in map(encoded, texts)]
+        # the symbols in use, numbered: their part of the tables stays near the processor
+        number = np.zeros(BUCKETS * CLASSES, np.int32)
+        for c in codes:
+            number[c] = 1
+        used = np.append(0, np.flatnonzero(number))
+        number[used] = np.arange(len(used))
+        codes = [number[c] for c in codes]
+        tables = {d: t[used] for d, t in self.inputs.items()}
         out = [np.zeros(len(t), np.int8) for t in texts]
         windows = []
         for i, t in enumerate(texts):
@@ -184,7 +186,7 @@ class Model:
             symbols = np.zeros((len(part), width), np.int32)
             for lane, (n, i, at) in enumerate(part):
                 symbols[lane, :n] = codes[i][at : at + n]
-            found = self.tags(np.ascontiguousarray(symbols.T))
+            found = self.tags(np.ascontiguousarray(symbols.T), tables)
             for lane, (n, i, at) in enumerate(part):
                 first = at + (OVERLAP // 2 if at else 0)
                 last = at + n if at + n == len(texts[i]) else at + n - OVERLAP // 2
@@ -332,16 +334,16 @@ def _model(path: str) -> Model:
 
 
 #: Characters tagged at a time.
-BATCH_CHARS = 1 << 18
+BATCH_CHARS = 1 << 20
 
 
 def personal_spans(docs: DataFrame, key: str, text: str, model: str = MODEL) -> DataFrame:
-    """(key, kind, start_pos, end_pos, found): one row per occurrence in every row of docs.
+    """(key, kind, start_pos, end_pos, found, text_hash): one row per occurrence in every row of docs.
 
     Positions count code points from 0, end exclusive. Null and empty texts have none; texts of any length
     are read whole; a repeated row is read again; other columns are dropped.
     """
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, kind string, start_pos bigint, end_pos bigint, found string"
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, kind string, start_pos bigint, end_pos bigint, found string, text_hash bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = _model(model)
@@ -358,10 +360,10 @@ def personal_spans(docs: DataFrame, key: str, text: str, model: str = MODEL) ->
                         rows += [(i, k, a, b, texts[i][a:b]) for a, b, k in reconciled(texts[i], tagged_spans(tags))]
                 if rows:
                     i, k, a, b, found = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(k), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.string())], [key, "kind", "start_pos", "end_pos", "found"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(k), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.string()), batch.column(2).take(pa.array(i))], [key, "kind", "start_pos", "end_pos", "found", "text_hash"])
                 at = end
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text), F.xxhash64(text)).mapInArrow(run, schema)
 
 
 def without_figures(spans: DataFrame, names: DataFrame) -> DataFrame:
@@ -373,10 +375,14 @@ def without_figures(spans: DataFrame, names: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text): every span replaced by its kind in angle brackets, all else as it was. One row per row of docs; null stays null.
 
-    key must be distinct in docs. A text's spans are gathered in one row; they are as many as the text holds.
+    spans are those of personal_spans over the same docs; they belong to a row by key and text, so neither need be
+    distinct or present. A text's spans are gathered in one row; they are as many as the text holds.
     """
-    marks = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "kind"))).alias("_marks"))
+    mark = F.struct("start_pos", "end_pos", "kind")
+    marks = spans.groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set(mark)).alias("_marks"))
+    own = docs.select(key, text)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
     step = lambda acc, m: F.struct(F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, m["start_pos"] - acc["at"]), F.lit("<"), m["kind"], F.lit(">")).alias("done"), m["end_pos"].alias("at"))
     close = lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    return docs.select(key, text).join(marks, key, "left").select(key, F.when(F.col("_marks").isNull(), F.col(text)).otherwise(F.aggregate("_marks", start, step, close)).alias(text))
+    joined = own.join(marks, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    return joined.select(key, F.when(F.col("_marks").isNull(), F.col(text)).otherwise(F.aggregate("_marks", start, step, close)).alias(text))

@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_texts(spark, sf_dir))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_texts(spark, sf_dir))
+
+
 def _name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = table(spark, sf_dir, "entities")
     codes, labels = _types(spark, sf_dir)
@@ -94,6 +98,10 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.without_figures(found, figures)
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_packed(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).select("doc_id", "kind", "start_pos", "end_pos").distinct()
 
@@ -103,7 +111,7 @@ def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed, p8_containers, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:

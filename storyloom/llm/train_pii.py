@@ -23,8 +23,8 @@ import numpy as np
 from storyloom.llm.names import _COMPOUND, _SURNAMES
 from storyloom.llm.pii import _EMAIL, _EN_HOUSE, _NUMBER, _ZH_HOUSE, BUCKETS, CLASSES, KINDS, MODEL, TAGS, Model, encoded, reconciled, tagged_spans, valid_id
 
-MOST_DOCS, STEPS, LANES, LENGTH = 9000, 5000, 128, 80
-CHARS, KIND_DIMS, HIDDEN = 24, 6, 24
+MOST_DOCS, STEPS, LANES, LENGTH = 9000, 6000, 128, 80
+CHARS, KIND_DIMS, HIDDEN = 24, 6, 16
 HAN = r"[㐀-鿿]"
 # Openings and closings that show both ends of a name (fixed values).
 _ZH_NAMED = [rf"此致\s*\n({HAN}{{2,4}})\s*(?:\n|$)", rf"责编：({HAN}{{2,4}})。", rf"收件人({HAN}{{2,4}})。", rf"抄送({HAN}{{2,4}})，"]
