@@ -46,15 +46,19 @@ def _packed(rows: DataFrame, block: int) -> DataFrame:
                 for i in range(0, len(at), block):
                     part = at[i : i + block]
                     data = flat[starts[part][:, None] + np.arange(d)]
-                    data = data / np.linalg.norm(data.astype(np.float64), axis=1, keepdims=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([data.astype(np.float32).tobytes()], pa.binary())], ["dims", "ids", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["dims", "ids", "data"])
 
     return rows.mapInArrow(pack, "dims int, ids binary, data binary")
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _best(q_ids, q, v_ids, v, k: int):
     """(query ids, ids, distances) of the k nearest of each query."""
-    distance = 1 - np.clip(q.astype(np.float64) @ v.astype(np.float64).T, -1, 1)
+    distance = 1 - np.clip(_unit(q) @ _unit(v).T, -1, 1)
     n = min(k, len(v_ids))
     near = np.argpartition(distance, n - 1, axis=1)[:, :n] if n < len(v_ids) else np.tile(np.arange(n), (len(q_ids), 1))
     # ties at the edge of the cut: everything as near as the furthest kept
@@ -107,17 +111,19 @@ def _cells(sample: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, probed: float = 0.5) -> DataFrame:
+def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, probed: float = 0.7) -> DataFrame:
     """As nearest(), approximately: every vector lies in the cell of its nearest centre, a query looks in the nearest `probed` share of the cells.
 
     Centres are fitted on at most FIT_ROWS vectors (those with the least hash of their id); all vectors are indexed. The vectors of
     a cell stream past the queries that look in it; a cell is cut into slices, so a crowded one is read by several tasks.
     """
     spark, width = vectors.sparkSession, shuffle_width(vectors.sparkSession)
-    known = vectors.where(valid(F.col("vector"))).select(F.col("id").cast("bigint"), "vector")
-    sample = known.orderBy(F.xxhash64("id")).limit(FIT_ROWS).collect()
-    if not sample:
+    sizes = vectors.where(valid(F.col("vector"))).groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(2).collect()
+    if not sizes:
         return nearest(queries, vectors, k)
+    usual = valid(F.col("vector")) & (F.size("vector") == sizes[0]["d"])
+    known = vectors.where(usual).select(F.col("id").cast("bigint"), "vector")
+    sample = known.orderBy(F.xxhash64("id")).limit(FIT_ROWS).collect()
     data = np.array([r["vector"] for r in sample], np.float64)
     data /= np.linalg.norm(data, axis=1, keepdims=True)
     cells = max(1, int(len(data) ** 0.5 / 2))
@@ -138,7 +144,7 @@ def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, probed: flo
     schema = "id bigint, vector array<float>, cell int"
     slices = F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")
     stored = known.mapInArrow(placed(1), schema).withColumn("slice", slices).withColumn("is_query", F.lit(False))
-    asked = queries.where(valid(F.col("vector"))).select(F.col("id").cast("bigint"), "vector").mapInArrow(placed(look), schema)
+    asked = queries.where(usual).select(F.col("id").cast("bigint"), "vector").mapInArrow(placed(look), schema)
     asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("is_query", F.lit(True))
     both = stored.union(asked).repartition(width, "cell", "slice").sortWithinPartitions("cell", "slice", F.desc("is_query"))
 
@@ -153,7 +159,6 @@ def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, probed: flo
                     now, q_ids, q = key[a], [], []
                 ids = batch.column("id").to_numpy()[a:b]
                 v = np.array(batch.column("vector").slice(a, b - a).to_pylist(), np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
                 if query[a]:
                     q_ids.append(ids)
                     q.append(v)
@@ -161,7 +166,11 @@ def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, probed: flo
                     x, y, dist = _best(np.concatenate(q_ids), np.concatenate(q), ids, v, k)
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(dist)], ["query_id", "vec_id", "distance"])
 
-    return _top(both.mapInArrow(search, "query_id bigint, vec_id bigint, distance double"), k)
+    found = _top(both.mapInArrow(search, "query_id bigint, vec_id bigint, distance double"), k)
+    if len(sizes) == 1:
+        return found
+    other = valid(F.col("vector")) & (F.size("vector") != sizes[0]["d"])  # rare: vectors of other dimensions are compared exactly
+    return found.unionByName(nearest(queries.where(other), vectors.where(other), k))
 
 
 def hash_embedding(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:

@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.schemas import TABLES, migrated, schema
 
-POINTER = "_current.json"
+POINTER = "current.json"
 
 
 class Snapshot:
@@ -56,11 +57,16 @@ class Snapshot:
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps({"version": version, "tables": tables}).encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temporary, final)
+        self._replace(temporary, final)
         return version
 
+    def _replace(self, temporary, final) -> None:
+        """One file put in another's place in one step, where the file system can."""
+        kind = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(temporary, final, how)
+
     def compact(self) -> int:
         """Removes versions that are not current; returns how many."""
         tables, removed = self._read()["tables"], 0
@@ -74,5 +80,5 @@ class Snapshot:
 
     def reset_book(self, book_id: str) -> int:
         """Removes a book from every table that has books."""
-        left = {n: self.table(n).where(~(self.table(n)["book_id"].eqNullSafe(book_id))) for n in self._read()["tables"] if "book_id" in schema(n).fieldNames()}
+        left = {n: self.table(n).where(~F.col("book_id").eqNullSafe(F.lit(book_id))) for n in self._read()["tables"] if "book_id" in schema(n).fieldNames()}
         return self.commit(left)
