@@ -34,6 +34,8 @@ PERSON, ORGANISATION, OTHER, UNKNOWN = "person", "organisation", "other", "unkno
 KINDS = {"CHR": PERSON, "ORG": ORGANISATION, "FAC": ORGANISATION, "SCT": ORGANISATION, "UNC": UNKNOWN, "UNMATCHED": UNKNOWN}
 #: Least Jaro-Winkler similarity of two full Latin names; records that must spell two characters alternately before these count as alike.
 LEAST_SIMILAR, LEAST_SUPPORT = 0.9, 3
+#: Names a character must begin before it counts as a surname that is not in the list.
+LEAST_FIRST = 30
 #: Most learnt pairs of alike characters that are sent to the executors.
 MOST_ALIKE = 50_000
 
@@ -153,8 +155,8 @@ def same_latin(a: str, b: str) -> bool:
 class Parser:
     """Names to (full: comparable form or '', keys, claims, offers)."""
 
-    def __init__(self, alike: dict[str, str]) -> None:
-        self.alike = alike
+    def __init__(self, alike: dict[str, str], surnames: set[str] = frozenset(_SURNAMES)) -> None:
+        self.alike, self.surnames = alike, surnames
 
     def code(self, text: str) -> str:
         return "".join(self.alike.get(c, c) for c in text)
@@ -163,7 +165,7 @@ class Parser:
         return self.ideographs(name, kind) if _HAN.search(name) else self.latin(name, kind)
 
     def latin(self, name: str, kind: str) -> dict:
-        bare = folded(_QUOTED.sub(" ", name))
+        bare = re.sub(r"\bo/t\b", "of the", folded(_QUOTED.sub(" ", name)))
         if (m := re.fullmatch(r"\s*([^,]+),\s*([^,]+?)\s*", bare)) and kind != ORGANISATION:
             bare = f"{m[2]} {m[1]}"
         short = {t.rstrip(".") for t in re.findall(r"[^\W\d_]{2,4}\.(?=\s|$)", bare)}
@@ -174,13 +176,15 @@ class Parser:
         if tokens and tokens[0] in _LATIN_TITLES:
             tokens = tokens[1:]
         short = {t for t in short if t not in _LATIN_TITLES}
-        if kind == ORGANISATION or "of" in tokens:
+        if kind == ORGANISATION or "of" in tokens or (kind == UNKNOWN and bare.split()[:1] == ["the"]):
             tokens = [t for t in tokens if t not in _LATIN_SMALL]
             if len(tokens) < 2:
                 return _out(tokens[0] if tokens else "", ["x:" + t for t in tokens], [], [])
+            if len(tokens) == 2 and not re.search(r"\bof\b|,", bare):  # what stands before the name is left out
+                return _out("", [], ["t:" + " ".join(tokens)], [])
             codes = sorted(map(phonetic, tokens))
             keys = ["o:" + " ".join(codes)] + (["o:" + " ".join(c) + f"|{len(codes)}" for c in combinations(codes, len(codes) - 1)] if len(codes) < 8 else [])
-            return _out(" ".join(sorted(tokens)), keys, [], ["ac:" + "".join(t[0] for t in tokens)])
+            return _out(" ".join(sorted(tokens)), keys, [], ["ac:" + "".join(t[0] for t in tokens), "t:" + " ".join(tokens[1:])])
         whole = [t for t in tokens if len(t) > 1 and t not in short]
         cut = [t for t in tokens if len(t) == 1 or t in short]
         nick = lambda t: next((t[: -len(e)] for e in _NICK_ENDS[:2] if t.endswith(e) and len(t) - len(e) == 3), t if len(t) <= 3 else "")
@@ -206,7 +210,12 @@ class Parser:
     def ideographs(self, name: str, kind: str) -> dict:
         joined = re.sub(r"\s+", "", _QUOTED.sub("", name))
         org = kind == ORGANISATION or (kind == UNKNOWN and re.search(f"[{_ORG_ENDS}][)）]?$", joined) and len(joined) > 3)
-        return self.organisation(joined) if org else self.person(joined)
+        if org:
+            return self.organisation(joined)
+        out = self.person(joined)
+        if kind == UNKNOWN and not out["full"] and len(joined) in (2, 3):  # may be short for an organisation too
+            out["claims"].append("a:" + self.code(joined))
+        return out
 
     def organisation(self, text: str) -> dict:
         text = re.sub(r"[()（）\[\]【】《》的]", "", _DOTS.sub("", text))
@@ -234,7 +243,7 @@ class Parser:
             return _out("", [], [], [])
         if len(parts) == 2:
             a, b = parts
-            if b in _COMPOUND or (b in _SURNAMES and len(b) == 1 and len(a) <= 2):
+            if b in _COMPOUND or (b in self.surnames and len(a) <= 2 and "." not in text):
                 return self.full(b + a)
             if len(b) == 1:
                 return _out("", [], [f"d:{self.code(a)}|{self.code(b)}"], [])
@@ -244,7 +253,7 @@ class Parser:
             return self.whole("".join(parts), offers)
         text = "".join(parts)
         code = self.code
-        surname = next((s for s in _COMPOUND if text.startswith(s)), text[0] if text[0] in _SURNAMES else "")
+        surname = next((s for s in _COMPOUND if text.startswith(s)), text[0] if text[0] in self.surnames else "")
         given = text[len(surname) :]
         if titled and surname and not given:
             return _out("", [], ["s:" + surname], [])
@@ -254,7 +263,7 @@ class Parser:
             return _out("", [], ["l:" + code(text[0])], [])
         if len(text) == 1:
             return _out("", [], ["l:" + code(text), "s:" + text], [])
-        if not surname or (len(text) == 2 and surname not in _SURNAMES):
+        if not surname or text in _COMPOUND:
             return self.whole(text, []) if len(text) > 3 else _out("", [], ["G:" + code(text), "P:" + code(text)], [])
         return self.full(text)
 
@@ -277,6 +286,15 @@ def _out(full: str, keys: list[str], claims: list[str], offers: list[str]) -> di
     return {"full": full, "keys": keys, "claims": claims, "offers": offers}
 
 
+def surnames_in_use(names: DataFrame) -> set[str]:
+    """Known surnames that begin names of three ideographs at least a fifth as often as they stand elsewhere in them, and other characters that almost always begin them."""
+    three = names.where(F.col("form").rlike(r"^[一-鿿]{3}$")).select("form").distinct()
+    places = three.select(F.explode(F.array(*(F.struct(F.substring("form", i, 1).alias("c"), F.lit(int(i == 1)).alias("first")) for i in (1, 2, 3)))).alias("p"))
+    counts = places.groupBy("p.c").agg(F.sum("p.first").alias("first"), F.sum(1 - F.col("p.first")).alias("later")).collect()  # one row for an ideograph of the basic block
+    seen = {r["c"]: (r["first"], r["later"]) for r in counts}
+    return {c for c in _SURNAMES if 5 * seen.get(c, (1, 0))[0] >= seen.get(c, (1, 0))[1]} | {c for c, (a, b) in seen.items() if a >= LEAST_FIRST and a > 9 * b}
+
+
 _LIST = ArrayType(StringType())
 _PARSED = StructType([StructField("full", StringType()), StructField("keys", _LIST), StructField("claims", _LIST), StructField("offers", _LIST)])
 
@@ -317,7 +335,7 @@ def name_groups(names: DataFrame, kinds: DataFrame, within: str) -> DataFrame:
     spark = names.sparkSession
     rows = names.where(F.col("id").isNotNull() & F.col(within).isNotNull()).select("id", F.col(within).alias("w"), "form").distinct().join(kinds.where(F.col("kind") != OTHER).distinct(), "id")
     rows = written(rows, "names")
-    parser = spark.sparkContext.broadcast(Parser(_classes(FIXED_ALIKE + alike_characters(rows))))
+    parser = spark.sparkContext.broadcast(Parser(_classes(FIXED_ALIKE + alike_characters(rows)), surnames_in_use(rows.where(F.col("kind") == PERSON))))
 
     @pandas_udf(_PARSED)
     def parsed(form: pd.Series, kind: pd.Series) -> pd.DataFrame:
@@ -337,9 +355,10 @@ def name_groups(names: DataFrame, kinds: DataFrame, within: str) -> DataFrame:
     known = full.select("w", "id").distinct()
     partial = rows.where("full = ''").join(known, ["w", "id"], "left_anti")
     claims = partial.select("w", "id", "form", F.explode("claims").alias("key")).join(offers, ["w", "key"], "left")
-    meant = claims.groupBy("w", "id", "form").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    given = F.min(F.when(F.col("key").startswith("G:"), F.col("key")))  # a given name without a full one is known by its sound, other short forms by their spelling
+    meant = claims.groupBy("w", "id", "form").agg(F.min("least").alias("least"), F.max("most").alias("most"), given.alias("given"))
     one = meant.where("least = most").select(record.alias("a"), F.col("least").alias("b"))
-    none = meant.where("least IS NULL").select(record.alias("a"), _node(F.lit("short"), "w", "form").alias("b"))
+    none = meant.where("least IS NULL").select(record.alias("a"), _node(F.lit("short"), "w", F.coalesce("given", "form")).alias("b"))
     rest = partial.where(F.size("claims") == 0).select(record.alias("a"), _node(F.lit("short"), "w", "form").alias("b"))
     linked = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(one).union(none).union(rest)
     groups = connected_components(linked.distinct(), "a", "b")
