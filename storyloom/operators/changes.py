@@ -128,3 +128,15 @@ def queue_state(log: DataFrame) -> DataFrame:
 def claimed(queue: DataFrame, n: int) -> DataFrame:
     """The n longest pending entries, marked as processing."""
     return queue.where("status = 'pending'").orderBy("enqueued", "key").limit(n).withColumn("status", F.lit("processing"))
+
+
+def aligned(results: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(chapter_id, result): results (place, chapter_idx, result) given to chapters (place, idx, chapter_id) of one batch.
+
+    By place if there are as many results as chapters, else by the index each result states.
+    """
+    counts = results.agg(F.count("*").alias("_r")).crossJoin(chapters.agg(F.count("*").alias("_c")))  # one row with one row
+    r, c = results.alias("r"), chapters.alias("c")
+    by_place = r.join(c, F.col("r.place") == F.col("c.place")).select("c.chapter_id", "r.result", F.lit(True).alias("_same"))
+    by_idx = r.join(c, F.col("r.chapter_idx") == F.col("c.idx")).select("c.chapter_id", "r.result", F.lit(False).alias("_same"))
+    return by_place.union(by_idx).join(F.broadcast(counts), F.col("_same") == (F.col("_r") == F.col("_c"))).select("chapter_id", "result")

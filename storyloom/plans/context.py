@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.text import chapter_label
 from storyloom.operators import context as op
+from storyloom.operators import passages
 from storyloom.plans.base import registry
 from storyloom.sources.views import view
 
@@ -185,3 +186,28 @@ def chapter_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = facts.join(count(v("kb_happenings"), "chapter_id", "events"), "chapter_id", "left").join(count(v("kb_foreshadowing"), "hint_chapter_id", "hints"), "chapter_id", "left").join(count(v("kb_alerts").where("status = 'open'"), "chapter_id", "alerts"), "chapter_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("chapter_id", "entities", "facts", zero("events"), zero("hints"), F.least(F.lit(8), F.coalesce("alerts", F.lit(0))).alias("alerts"))
+
+
+@query()
+def focus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every chapter the passages around the snippets of its facts. The lists hold one chapter's different snippets."""
+    snippets = view(spark, sf_dir, "kb_mentions").where("chapter_id IS NOT NULL AND trim(snippet) <> ''").groupBy("chapter_id").agg(F.array_sort(F.collect_set("snippet")).alias("wanted"))
+    texts = view(spark, sf_dir, "kb_texts").join(snippets, "chapter_id", "left")
+    return texts.select("chapter_id", passages.passages(F.col("content"), F.col("wanted"), 6000).alias("passages"))
+
+
+@query("""
+WITH hinted AS (SELECT DISTINCT hint_chapter_id AS id FROM {kb_foreshadowing} WHERE status = 'open'),
+b AS (SELECT c.book_id, c.id, 0 AS part, CASE WHEN h.id IS NOT NULL THEN 0 ELSE 1 END AS prio, c.idx, least(length(concat('## 第 ', CAST(c.idx + 1 AS VARCHAR), ' 章: ', coalesce(c.title, ''), chr(10), c.summary)), 180) AS size
+    FROM {kb_chapters} c LEFT JOIN hinted h ON h.id = c.id WHERE c.status = 'done' AND coalesce(c.summary, '') <> '' AND c.book_id IS NOT NULL AND c.idx IS NOT NULL
+  UNION ALL SELECT book_id, id, 1, 1, 0, length(concat('## ', canonical_name, ' (', coalesce(type, ''), ')')) FROM {kb_entities} WHERE book_id IS NOT NULL AND canonical_name IS NOT NULL),
+u AS (SELECT *, CAST(sum(size) OVER (PARTITION BY book_id ORDER BY part, prio, idx, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM b)
+SELECT book_id, id, part, least(upto, 2000) - least(upto - size, 2000) AS kept FROM u WHERE least(upto, 2000) > least(upto - size, 2000)""")
+def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter blocks, candidates first, then entity heads, cut to one budget a book"""
+    hinted = view(spark, sf_dir, "kb_foreshadowing").where("status = 'open'").select(F.col("hint_chapter_id").alias("id"), F.lit(0).alias("prio")).distinct()
+    chapters = _blocks(spark, sf_dir).where("idx IS NOT NULL").join(hinted, "id", "left").select("book_id", "id", F.lit(0).alias("part"), F.coalesce("prio", F.lit(1)).alias("prio"), "idx", F.least("size", F.lit(180)).alias("size"))
+    heads = view(spark, sf_dir, "kb_entities").where("book_id IS NOT NULL AND canonical_name IS NOT NULL")
+    heads = heads.select("book_id", "id", F.lit(1).alias("part"), F.lit(1).alias("prio"), F.lit(0).alias("idx"), F.length(F.concat(F.lit("## "), "canonical_name", F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"))).alias("size"))
+    cut = op.cut_blocks(chapters.union(heads), "book_id", [F.col("part"), F.col("prio"), F.col("idx"), F.col("id")], 2000, 1 << 30)
+    return cut.select("book_id", "id", "part", "kept")

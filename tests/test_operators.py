@@ -188,3 +188,20 @@ def test_names_in_texts(spark):
     names = spark.createDataFrame([("b", "e1", "Rose"), ("b", "e2", "玫瑰"), ("b", "e3", " "), ("c", "e4", "rose"), ("b", "e5", None)], "book_id string, entity_id string, name string")
     texts = spark.createDataFrame([("b", "t1", "the ROSE and 玫瑰"), ("b", "t2", None), ("b", "t3", ""), ("d", "t4", "rose")], "book_id string, text_id string, text string")
     assert {tuple(r) for r in lookups.names_in_texts(names, texts).collect()} == {("t1", "e1"), ("t1", "e2")}
+
+
+def test_passages():
+    from storyloom.operators.passages import focus_passages
+
+    body = "\n".join(f"line {i} " + "x" * 400 for i in range(20))
+    assert focus_passages(None, ["a"], 10) == "" and focus_passages("abcdef", None, 3) == "def" and focus_passages("abc", ["zz"], 8) == "zz\n\nabc"
+    two = focus_passages(body, ["line 3 ", "line 17 "], 10_000)
+    assert two.count("---") == 1 and "line 3 " in two and "line 17 " in two and "line 10 " not in two
+    assert "line 5" in focus_passages(body, ["line\n5"], 10_000)
+
+
+def test_aligned(spark):
+    chapters = spark.createDataFrame([(0, 4, "c4"), (1, 5, "c5")], "place int, idx int, chapter_id string")
+    r = lambda rows: {tuple(x) for x in changes.aligned(spark.createDataFrame(rows, "place int, chapter_idx int, result string"), chapters).collect()}
+    assert r([(0, 9, "a"), (1, 9, "b")]) == {("c4", "a"), ("c5", "b")}
+    assert r([(0, 5, "b")]) == {("c5", "b")}
