@@ -127,6 +127,11 @@ def highlighted(text: Column, word: str) -> Column:
 def ngram_features(text: Column) -> Column:
     """Single ideographs and words of a lower-cased text, then their runs of two and of three joined."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\u4e00-\\u9fff]|[a-z0-9_]+)"), 1)
+    # through an array of one, so that the tokens are found once and not for every run
+    return F.flatten(F.transform(F.array(tokens), _runs))
+
+
+def _runs(tokens: Column) -> Column:
     grams = [tokens]
     for n in (2, 3):
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))

@@ -151,7 +151,7 @@ WITH t AS (SELECT id, regexp_extract_all(lower(coalesce(fact, '')), '([一-鿿]|
 SELECT id, CAST(3 * len(w) - CASE WHEN len(w) >= 2 THEN 3 WHEN len(w) = 1 THEN 2 ELSE 0 END AS BIGINT) AS n, concat(array_to_string(w, ''), '|', coalesce(w[1], ''), coalesce(w[2], '')) AS seen FROM t""")
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """features of hash embeddings"""
-    grams = text.ngram_features(F.col("fact"))
     words = F.regexp_extract_all(F.lower(F.coalesce("fact", F.lit(""))), F.lit("([\\u4e00-\\u9fff]|[a-z0-9_]+)"), 1)
-    seen = F.concat(F.array_join(F.slice(grams, F.lit(1), F.size(words)), ""), F.lit("|"), F.when(F.size(words) >= 2, F.get(grams, F.size(words))).otherwise(F.coalesce(F.get(grams, F.lit(0)), F.lit(""))))
-    return view(spark, sf_dir, "kb_mentions").select("id", F.size(grams).cast("bigint").alias("n"), seen.alias("seen"))
+    rows = view(spark, sf_dir, "kb_mentions").select("id", text.ngram_features(F.col("fact")).alias("grams"), words.alias("words"))
+    first = F.when(F.size("words") >= 2, F.get("grams", F.size("words"))).otherwise(F.coalesce(F.get("grams", F.lit(0)), F.lit("")))
+    return rows.select("id", F.size("grams").cast("bigint").alias("n"), F.concat(F.array_join(F.slice("grams", F.lit(1), F.size("words")), ""), F.lit("|"), first).alias("seen"))
