@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from storyloom.session import written
+
 # Letters of the same shape, foreign form then the form it looks like.
 _TO_LATIN = dict(
     zip(
@@ -122,7 +124,7 @@ def unified_names(names: DataFrame) -> DataFrame:
     """
     names = names.drop("form", "_s", "_plain", "_odd")
     seen = names.where(F.col("name").isNotNull()).distinct().withColumn("_s", _seen("name")).where(F.length("_s.form") > 0)
-    seen = seen.select(*names.columns, F.col("_s.form").alias("form"), F.col("_s.plain").alias("_plain"), F.col("_s.odd").alias("_odd"))
+    seen = written(seen.select(*names.columns, F.col("_s.form").alias("form"), F.col("_s.plain").alias("_plain"), F.col("_s.odd").alias("_odd")), "seen")
     odd = seen.select(F.explode("_odd").alias("o")).select("o.token", "o.looks").distinct()
     attested = seen.select(F.explode("_plain").alias("looks")).join(odd.select("looks").distinct(), "looks", "left_semi").distinct()
     twice = odd.groupBy("looks").agg(F.count("*").alias("n")).where("n > 1").select("looks")
