@@ -37,8 +37,8 @@ def test_text_books(spark, tmp_path):
 
 def test_containers(spark, tmp_path):
     data = files.write_container({"b.json": b"{}", "../evil": b"x", "a.txt": b"hi"}, [{"b": 1, "a": 2}])
-    (tmp_path / "w.coo").write_bytes(data)
-    (tmp_path / "broken.coo").write_bytes(b"nothing")
+    (tmp_path / "w.zip").write_bytes(data)
+    (tmp_path / "broken.zip").write_bytes(b"nothing")
     got = {(r.path, bytes(r.content) if r.content is not None else None, r.skipped) for r in files.container_members(spark, f"file://{tmp_path}").collect()}
     assert got == {("a.txt", b"hi", None), ("b.json", b"{}", None), ("history.jsonl", b'{"a":2,"b":1}\n', None), (None, None, "not a container")}
 
