@@ -56,6 +56,7 @@ _LATIN_TITLES = set("dr mr mrs ms miss sir dame lady lord ye the prof professor
 _LATIN_SMALL = set("of the and ye for de du la le von van".split())
 #: A nickname is the first letters of a name and one of these.
 _NICK_ENDS = ("ky", "sie", "kin", "ie", "y")
+_PLACE_WORDS = set("far lower upper north south east west old new grey saint high great little".split())
 # End of the fixed values.
 
 _DOTS = re.compile(r"[·・•‧.\-—–_/]")
@@ -155,14 +156,26 @@ def same_latin(a: str, b: str) -> bool:
 class Parser:
     """Names to (full: comparable form or '', keys, claims, offers)."""
 
-    def __init__(self, alike: dict[str, str], surnames: set[str] = frozenset(_SURNAMES)) -> None:
-        self.alike, self.surnames = alike, surnames
+    def __init__(self, alike: dict[str, str], surnames: set[str] = frozenset(_SURNAMES), ends: set[str] = frozenset()) -> None:
+        self.alike, self.surnames, self.ends = alike, surnames, ends
 
     def code(self, text: str) -> str:
         return "".join(self.alike.get(c, c) for c in text)
 
     def parse(self, name: str, kind: str) -> dict:
-        return self.ideographs(name, kind) if _HAN.search(name) else self.latin(name, kind)
+        out = self.ideographs(name, kind) if _HAN.search(name) else self.latin(name, kind)
+        return out | {"shaped": bool(out["full"]) and self.shaped(name, out)}
+
+    def shaped(self, name: str, parsed: dict) -> bool:
+        """Whether a full name looks like that of a person or an organisation, for records of unknown kind."""
+        if re.search(r"\d", name):
+            return False
+        if not _HAN.search(name):
+            tokens = folded(name).split()
+            return "of" in tokens or (parsed["keys"][:1] != [] and parsed["keys"][0].startswith("p:") and len(parsed["full"].split()) == 2 and tokens[0] not in _PLACE_WORDS)
+        if parsed["keys"][0].startswith("O:"):
+            return True
+        return name[-1] not in self.ends and ("·" in name or name[:2] in _COMPOUND or name[0] in self.surnames)
 
     def latin(self, name: str, kind: str) -> dict:
         bare = re.sub(r"\bo/t\b", "of the", folded(_QUOTED.sub(" ", name)))
@@ -295,8 +308,14 @@ def surnames_in_use(names: DataFrame) -> set[str]:
     return {c for c in _SURNAMES if 5 * seen.get(c, (1, 0))[0] >= seen.get(c, (1, 0))[1]} | {c for c, (a, b) in seen.items() if a >= LEAST_FIRST and a > 9 * b}
 
 
+def other_ends(names: DataFrame, kinds: DataFrame) -> set[str]:
+    """Ideographs that end names of other kinds more often than names of persons."""
+    ends = names.where(F.col("form").rlike(r"[一-鿿]$")).join(kinds.where(F.col("kind").isin(PERSON, OTHER)), "id").groupBy(F.right("form", F.lit(1)).alias("c")).agg(F.sum(F.when(F.col("kind") == OTHER, 1).otherwise(-1)).alias("n"))
+    return {r["c"] for r in ends.where("n > 0").collect()}  # at most one row for an ideograph of the basic block
+
+
 _LIST = ArrayType(StringType())
-_PARSED = StructType([StructField("full", StringType()), StructField("keys", _LIST), StructField("claims", _LIST), StructField("offers", _LIST)])
+_PARSED = StructType([StructField("full", StringType()), StructField("keys", _LIST), StructField("claims", _LIST), StructField("offers", _LIST), StructField("shaped", BooleanType())])
 
 
 @pandas_udf(BooleanType())
@@ -329,17 +348,17 @@ def name_groups(names: DataFrame, kinds: DataFrame, within: str) -> DataFrame:
     """(id, within, group): records that stand for the same person or organisation have one group.
 
     names: (id, within, form), forms as from unified_names; kinds: (id, kind). Records of a kind OTHER, with a null id
-    or null `within` take no part. A group without a record known to be a person or an organisation is left out, as
+    or null `within` take no part. A group without a record that is a person or an organisation by its kind or the shape of a full name is left out, as
     is a record linked to no other. Repeated rows count once; empty tables give no rows.
     """
     spark = names.sparkSession
     rows = names.where(F.col("id").isNotNull() & F.col(within).isNotNull()).select("id", F.col(within).alias("w"), "form").distinct().join(kinds.where(F.col("kind") != OTHER).distinct(), "id")
-    rows = written(rows, "names")
-    parser = spark.sparkContext.broadcast(Parser(_classes(FIXED_ALIKE + alike_characters(rows)), surnames_in_use(rows.where(F.col("kind") == PERSON))))
+    rows, names, kinds = written(rows, "names"), names.select("id", "form").distinct(), kinds.distinct()
+    parser = spark.sparkContext.broadcast(Parser(_classes(FIXED_ALIKE + alike_characters(rows)), surnames_in_use(rows.where(F.col("kind") == PERSON)), other_ends(names.where(F.col("id").isNotNull()), kinds)))
 
     @pandas_udf(_PARSED)
     def parsed(form: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parser.value.parse(f, k) for f, k in zip(form, kind)], columns=["full", "keys", "claims", "offers"])
+        return pd.DataFrame([parser.value.parse(f, k) for f, k in zip(form, kind)], columns=["full", "keys", "claims", "offers", "shaped"])
 
     rows = written(rows.withColumn("p", parsed("form", "kind")).select("id", "w", "form", "kind", "p.*"), "parsed")
     record, name = _node(F.lit("record"), "w", "id"), _node(F.lit("name"), "w", "full")
@@ -362,8 +381,9 @@ def name_groups(names: DataFrame, kinds: DataFrame, within: str) -> DataFrame:
     rest = partial.where(F.size("claims") == 0).select(record.alias("a"), _node(F.lit("short"), "w", "form").alias("b"))
     linked = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(one).union(none).union(rest)
     groups = connected_components(linked.distinct(), "a", "b")
-    members = rows.select("id", "w", "kind").distinct().withColumn("node", record).join(groups, "node")
-    known = members.groupBy("component").agg(F.max(F.col("kind").isin(PERSON, ORGANISATION)).alias("known"), (F.min("id") != F.max("id")).alias("several")).where("known AND several")
+    seen = F.max(F.col("kind").isin(PERSON, ORGANISATION) | F.col("shaped")).alias("known")
+    members = rows.groupBy("id", "w").agg(seen).withColumn("node", record).join(groups, "node")
+    known = members.groupBy("component").agg(F.max("known").alias("known"), (F.min("id") != F.max("id")).alias("several")).where("known AND several")
     return members.join(known, "component", "left_semi").select("id", F.col("w").alias(within), F.hex("component").alias("group")).distinct()
 
 
