@@ -49,10 +49,10 @@ def events_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT f.id, CASE WHEN r.hint IS NOT NULL AND f.status = 'open' THEN 'resolved' ELSE f.status END AS status, CASE WHEN r.hint IS NOT NULL AND f.status = 'open' THEN r.chapter_id ELSE f.resolved_chapter_id END AS resolved_chapter_id
-FROM {kb_foreshadowing} f LEFT JOIN (SELECT book_id, what AS hint, min(chapter_id) AS chapter_id FROM {kb_happenings} WHERE created_at % 8 = 0 AND chapter_id IS NOT NULL GROUP BY ALL) r ON r.book_id = f.book_id AND r.hint = f.hint""")
+FROM {kb_foreshadowing} f LEFT JOIN (SELECT book_id, what AS hint, min(chapter_id) AS chapter_id FROM {kb_happenings} WHERE where_loc IS NULL AND chapter_id IS NOT NULL GROUP BY ALL) r ON r.book_id = f.book_id AND r.hint = f.hint""")
 def hints_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6"""
-    said = view(spark, sf_dir, "kb_happenings").where("created_at % 8 = 0 AND chapter_id IS NOT NULL").select("book_id", F.col("what").alias("hint"), "chapter_id", F.lit("r").alias("resolution"))
+    said = view(spark, sf_dir, "kb_happenings").where("where_loc IS NULL AND chapter_id IS NOT NULL").select("book_id", F.col("what").alias("hint"), "chapter_id", F.lit("r").alias("resolution"))
     return op.resolved(view(spark, sf_dir, "kb_foreshadowing"), said).select("id", "status", "resolved_chapter_id")
 
 
@@ -90,14 +90,14 @@ _NORM = r"lower(regexp_replace(trim(fact, ' '), '\s+', ' ', 'g'))"
 
 @query(f"""
 WITH a AS (SELECT entity_id, {_NORM} AS norm, max(confidence) AS old, max(pass_no) AS pass FROM {{kb_mentions}} WHERE fact IS NOT NULL AND entity_id IS NOT NULL AND pass_no = 1 GROUP BY ALL),
-b AS (SELECT DISTINCT entity_id, {_NORM} AS norm FROM {{kb_mentions}} WHERE fact IS NOT NULL AND entity_id IS NOT NULL AND created_at % 2 = 0)
+b AS (SELECT DISTINCT entity_id, {_NORM} AS norm FROM {{kb_mentions}} WHERE fact IS NOT NULL AND entity_id IS NOT NULL AND pass_no > 1)
 SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, coalesce(a.norm, b.norm) AS norm, CASE WHEN b.norm IS NULL THEN 'superseded' WHEN a.norm IS NULL THEN 'added' ELSE 'retained' END AS outcome,
   CASE WHEN b.norm IS NULL THEN a.old WHEN a.norm IS NULL THEN 0.7 ELSE least(0.95, a.old + 0.1) END AS confidence, CASE WHEN b.norm IS NULL THEN a.pass WHEN a.norm IS NULL THEN 2 ELSE a.pass + 1 END AS pass_no
 FROM a FULL OUTER JOIN b ON a.entity_id = b.entity_id AND a.norm = b.norm""")
 def fact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J15, M15, M16, M17, F23, D1, D2"""
     rows = view(spark, sf_dir, "kb_mentions").where("entity_id IS NOT NULL")
-    return op.fact_diff(rows.where("pass_no = 1"), rows.where("created_at % 2 = 0"), ["entity_id"])
+    return op.fact_diff(rows.where("pass_no = 1"), rows.where("pass_no > 1"), ["entity_id"])
 
 
 _MERGES = "(SELECT e.id AS from_id, t.into_id FROM {kb_entities} e JOIN (SELECT book_id, canonical_name, min(id) AS into_id FROM {kb_entities} GROUP BY ALL HAVING count(*) > 1) t ON t.book_id = e.book_id AND t.canonical_name = e.canonical_name WHERE e.id <> t.into_id)"

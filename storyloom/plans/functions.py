@@ -41,12 +41,12 @@ SELECT chapter_id, {_T.format(_N)} AS tokens, CASE WHEN {_CTX} <= 0 THEN 8192 EL
   {_CTX} - (2000 + {_T.format(_N)} + idx + greatest(2000, {_CTX} // 16) + {_CTX} // 20) < 4000 AS compress,
   CASE WHEN {_CTX} < 16000 THEN 1 ELSE greatest(2, (CAST(floor({_CTX} * 0.9::DOUBLE) AS BIGINT) - 4000) // 7500) END AS chapters,
   CASE WHEN {_CTX} <= 0 THEN 4000 ELSE greatest(2500, least(12000, {_CTX} // 20)) END AS before,
-  {_CTX} > 0 AND {_T.format(_N)} + {_T.format(_N)} + 1500 + 3 * 6000 + 2000 <= floor({_CTX} * 0.9::DOUBLE) AS fits FROM {{kb_texts}} WHERE idx > 0""")
+  {_CTX} > 0 AND {_T.format(_N)} + {_T.format(_N)} + 1500 + 3 * 6000 + 2000 <= floor({_CTX} * 0.9::DOUBLE) AS fits FROM {{kb_texts}} WHERE idx IS NOT NULL""")
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3, F4, F5, F6"""
     n, title, context = F.length(F.coalesce("content", F.lit(""))), F.length(F.coalesce("title", F.lit(""))), F.col("idx").cast("bigint") * 4000 - 4000
     smart = budget.context_budget(context, budget.tokens(n), F.col("idx"))
-    return view(spark, sf_dir, "kb_texts").where("idx > 0").select(
+    return view(spark, sf_dir, "kb_texts").where("idx IS NOT NULL").select(
         "chapter_id", budget.tokens(n).alias("tokens"), budget.output_budget(context, n, title).alias("output"), smart["budget"].alias("budget"), smart["compress"].alias("compress"),
         budget.most_chapters(context).alias("chapters"), budget.context_before(context).alias("before"), budget.batch_fits(context, n, n, F.lit(3)).alias("fits"),
     )

@@ -107,11 +107,11 @@ def chapter_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHUNK = "sha256(concat(coalesce(canonical_name, ''), '|', coalesce(type, '')))"
 
 
-@query(f"SELECT id FROM {{kb_entities}} WHERE NOT (updated_at % 3 = 0) OR {_CHUNK} <> CASE WHEN updated_at % 2 = 0 THEN {_CHUNK} ELSE 'stale' END")
+@query(f"SELECT id FROM {{kb_entities}} WHERE aliases IS NULL OR {_CHUNK} <> CASE WHEN updated_at % 2 = 0 THEN {_CHUNK} ELSE 'stale' END")
 def chunk_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P14"""
-    chunks = view(spark, sf_dir, "kb_entities").select("id", F.sha2(F.concat_ws("|", F.coalesce("canonical_name", F.lit("")), F.coalesce("type", F.lit(""))), 256).alias("content_hash"), F.lit("hash384").alias("backend_id"), "updated_at")
-    registry = chunks.where("updated_at % 3 = 0").withColumn("content_hash", F.when(F.col("updated_at") % 2 == 0, F.col("content_hash")).otherwise("stale")).drop("updated_at")
+    chunks = view(spark, sf_dir, "kb_entities").select("id", F.sha2(F.concat_ws("|", F.coalesce("canonical_name", F.lit("")), F.coalesce("type", F.lit(""))), 256).alias("content_hash"), F.lit("hash384").alias("backend_id"), "updated_at", "aliases")
+    registry = chunks.where("aliases IS NOT NULL").withColumn("content_hash", F.when(F.col("updated_at") % 2 == 0, F.col("content_hash")).otherwise("stale")).drop("updated_at", "aliases")
     return op.new_chunks(chunks, registry).select("id")
 
 

@@ -53,14 +53,14 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT DISTINCT idx % 50 AS work_id, id, book_id, idx FROM {kb_chapters} WHERE idx IS NOT NULL AND id IS NOT NULL),
-s AS (SELECT DISTINCT idx % 50 AS work_id, chapter_id, 1000 - idx AS place FROM {kb_texts} WHERE idx % 3 = 0 AND chapter_id IS NOT NULL),
+s AS (SELECT DISTINCT idx % 50 AS work_id, chapter_id, 1000 - idx AS place FROM {kb_texts} WHERE title IS NOT NULL AND idx IS NOT NULL AND chapter_id IS NOT NULL),
 f AS (SELECT c.work_id, c.id, c.book_id, c.idx, min(s.place) AS place FROM c LEFT JOIN s ON s.work_id = c.work_id AND s.chapter_id = c.id GROUP BY ALL)
 SELECT work_id, id AS chapter_id, row_number() OVER (PARTITION BY work_id ORDER BY place NULLS LAST, book_id NULLS FIRST, idx, id) - 1 AS pos FROM f""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4, J18, W7"""
     work = (F.col("idx") % 50).alias("work_id")
     chapters = view(spark, sf_dir, "kb_chapters").where("idx IS NOT NULL AND id IS NOT NULL").select(work, "id", "book_id", "idx")
-    stated = view(spark, sf_dir, "kb_texts").where("idx % 3 = 0 AND chapter_id IS NOT NULL").select(work, "chapter_id", (1000 - F.col("idx")).alias("place"))
+    stated = view(spark, sf_dir, "kb_texts").where("title IS NOT NULL AND idx IS NOT NULL AND chapter_id IS NOT NULL").select(work, "chapter_id", (1000 - F.col("idx")).alias("place"))
     return op.reading_order(stated, chapters)
 
 

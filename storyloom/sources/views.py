@@ -22,23 +22,23 @@ VIEWS: dict[str, str] = {
     "kb_happenings": "SELECT DISTINCT id, book_id, chapter_id, story_time, who, what, where_loc, why, consequence, created_at FROM {kb_events}",
     "kb_foreshadowing": """
         SELECT concat('f-', id) AS id, book_id, chapter_id AS hint_chapter_id, what AS hint,
-          CASE WHEN created_at % 2 = 0 THEN 'open' ELSE 'resolved' END AS status,
-          CASE WHEN created_at % 2 = 0 THEN NULL ELSE chapter_id END AS resolved_chapter_id,
-          CASE WHEN created_at % 2 = 0 THEN NULL ELSE consequence END AS resolution, created_at AS updated_at
-        FROM {kb_happenings} WHERE created_at % 4 < 2""",
-    "kb_rules": "SELECT id, book_id, canonical_name AS name, concat(coalesce(type, ''), '/', canonical_name) AS body, first_chapter_id, updated_at FROM {kb_entities} WHERE updated_at % 5 = 0",
+          CASE WHEN coalesce(why, '') = '' THEN 'open' ELSE 'resolved' END AS status,
+          CASE WHEN coalesce(why, '') = '' THEN NULL ELSE chapter_id END AS resolved_chapter_id,
+          CASE WHEN coalesce(why, '') = '' THEN NULL ELSE consequence END AS resolution, created_at AS updated_at
+        FROM {kb_happenings} WHERE coalesce(consequence, '') <> ''""",
+    "kb_rules": "SELECT id, book_id, canonical_name AS name, concat(coalesce(type, ''), '/', canonical_name) AS body, first_chapter_id, updated_at FROM {kb_entities} WHERE type IN ('规则', '设定', '法则', '概念', '功法', '境界', 'rule', 'law', 'setting')",
     "kb_rule_mentions": "SELECT m.id, m.entity_id AS rule_id, m.chapter_id, m.fact AS evidence, m.created_at FROM {kb_mentions} m JOIN {kb_rules} r ON m.entity_id = r.id",
     "kb_timeline_meta": """
         SELECT id AS event_id, book_id, CAST(created_at % 5000 AS INT) AS story_order, concat('seg', CAST(created_at % 7 AS VARCHAR(9))) AS segment_id,
           concat('Part ', CAST(created_at % 7 AS VARCHAR(9))) AS segment_title, CAST(created_at % 3 AS INT) AS lane, CAST(1 + created_at % 5 AS INT) AS importance,
           CAST(created_at % 3 AS INT) AS zoom_level, CAST(created_at % 100 AS DOUBLE) / 100 AS confidence,
           CASE WHEN created_at % 4 = 0 THEN 'user' WHEN created_at % 4 = 1 THEN 'fallback' ELSE 'ai' END AS status
-        FROM {kb_happenings} WHERE created_at % 3 <> 0""",
+        FROM {kb_happenings} WHERE coalesce(story_time, '') <> ''""",
     "kb_alerts": """
         SELECT concat('a-', id) AS id, chapter_id, CASE WHEN pass_no = 1 THEN 'character' ELSE 'timeline' END AS kind,
-          CASE WHEN confidence < 0.5 THEN 'high' ELSE 'medium' END AS severity, fact AS message, snippet AS evidence,
+          CASE WHEN confidence < 0.55 THEN 'high' ELSE 'medium' END AS severity, fact AS message, snippet AS evidence,
           CASE WHEN created_at % 3 = 0 THEN 'dismissed' ELSE 'open' END AS status, created_at
-        FROM {kb_mentions} WHERE created_at % 6 = 0""",
+        FROM {kb_mentions} WHERE confidence < 0.6""",
     "kb_aliases": "SELECT DISTINCT e.book_id, e.id AS entity_id, a.alias_raw FROM {kb_entities} e JOIN {kb_alias_rows} a ON e.id = a.id",
     # a change log: which field of an entity was set to what, in order of id
     "kb_edits": """
