@@ -39,8 +39,8 @@ _CTX = f"(CAST(idx AS BIGINT) * 4000 - 4000)"
 SELECT chapter_id, {_T.format(_N)} AS tokens, CASE WHEN {_CTX} <= 0 THEN 8192 ELSE greatest(4096, least({_CTX} - ({_T.format('length(coalesce(title, $$$$))')} + {_T.format(_N)} + 1500) - 2000, 131072)) END AS output,
   CAST(greatest(4000, {_CTX} - (2000 + {_T.format(_N)} + idx + greatest(2000, {_CTX} // 16) + {_CTX} // 20)) AS BIGINT) AS budget,
   {_CTX} - (2000 + {_T.format(_N)} + idx + greatest(2000, {_CTX} // 16) + {_CTX} // 20) < 4000 AS compress,
-  CASE WHEN {_CTX} < 16000 THEN 1 ELSE greatest(2, (CAST(floor({_CTX} * 0.9::DOUBLE) AS BIGINT) - 4000) // 7500) END AS chapters,
-  CASE WHEN {_CTX} <= 0 THEN 4000 ELSE greatest(2500, least(12000, {_CTX} // 20)) END AS before,
+  CAST(CASE WHEN {_CTX} < 16000 THEN 1 ELSE greatest(2, (CAST(floor({_CTX} * 0.9::DOUBLE) AS BIGINT) - 4000) // 7500) END AS INT) AS chapters,
+  CAST(CASE WHEN {_CTX} <= 0 THEN 4000 ELSE greatest(2500, least(12000, {_CTX} // 20)) END AS INT) AS before,
   {_CTX} > 0 AND {_T.format(_N)} + {_T.format(_N)} + 1500 + 3 * 6000 + 2000 <= floor({_CTX} * 0.9::DOUBLE) AS fits FROM {{kb_texts}} WHERE idx IS NOT NULL""")
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3, F4, F5, F6"""
@@ -52,7 +52,7 @@ def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT id, list_filter(list_distinct(list_transform(aliases, lambda x: trim(x, ' '))), lambda x: x <> '') IS NULL AS missing, coalesce(len(list_filter(list_distinct(list_transform(aliases, lambda x: trim(x, ' '))), lambda x: x <> '')), 0) AS n FROM {kb_entities}")
+@query("SELECT id, list_filter(list_distinct(list_transform(aliases, lambda x: trim(x, ' '))), lambda x: x <> '') IS NULL AS missing, CAST(coalesce(len(list_filter(list_distinct(list_transform(aliases, lambda x: trim(x, ' '))), lambda x: x <> '')), 0) AS INT) AS n FROM {kb_entities}")
 def alias_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases written as JSON and read again"""
     return view(spark, sf_dir, "kb_entities").select("id", F.col("aliases").isNull().alias("missing"), F.size(json.aliases(F.to_json("aliases"))).alias("n"))
@@ -95,7 +95,7 @@ def chapter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 SELECT doc_id, regexp_matches(text, '第\s*\d+\s*章|什么时候|时间线|顺序|经过') AS timeline, regexp_matches(text, '伏笔|悬念|线索|未解|铺垫') AS hints,
-  len(regexp_extract_all(text, '第\s*(\d+)\s*章', 1)) AS named, coalesce(list_sum(list_transform(regexp_extract_all(text, '第\s*(\d+)\s*章', 1), lambda n: CAST(n AS BIGINT) - 1)), 0) AS idx_sum FROM documents WHERE text IS NOT NULL""")
+  CAST(len(regexp_extract_all(text, '第\s*(\d+)\s*章', 1)) AS INT) AS named, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '第\s*(\d+)\s*章', 1), lambda n: CAST(n AS BIGINT) - 1)), 0) AS BIGINT) AS idx_sum FROM documents WHERE text IS NOT NULL""")
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16, F17"""
     asked = text.chapters_asked_for(F.col("text"))
@@ -124,7 +124,7 @@ _WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
 @query(rf"""
-SELECT chapter_id, CASE WHEN length(t) > 200 THEN concat(substr(t, 1, 200), '...') ELSE t END AS text, length(t) AS full_length, length(t) > 200 AS truncated
+SELECT chapter_id, CASE WHEN length(t) > 200 THEN concat(substr(t, 1, 200), '...') ELSE t END AS text, CAST(length(t) AS INT) AS full_length, length(t) > 200 AS truncated
 FROM (SELECT chapter_id, trim(regexp_replace(content, '[\s\x0b\x85\p{{Z}}]+', ' ', 'g'), ' ') AS t FROM {{kb_texts}})""".replace("{{", "{").replace("}}", "}").replace("\\p{Z}", "\\pZ"))
 def texts_squashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F25"""

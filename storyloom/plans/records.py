@@ -34,7 +34,7 @@ def history_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.chain_failures(rows.withColumn("event_hash", hashed))
 
 
-@query("SELECT concat('chapters/', chapter_id, '.txt') AS path, sha256(content) AS sha256, octet_length(encode(content)) AS size FROM {kb_texts} WHERE content IS NOT NULL AND chapter_id IS NOT NULL")
+@query("SELECT concat('chapters/', chapter_id, '.txt') AS path, sha256(content) AS sha256, CAST(octet_length(encode(content)) AS INT) AS size FROM {kb_texts} WHERE content IS NOT NULL AND chapter_id IS NOT NULL")
 def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3"""
     files = view(spark, sf_dir, "kb_texts").where("content IS NOT NULL AND chapter_id IS NOT NULL").select(F.concat(F.lit("chapters/"), "chapter_id", F.lit(".txt")).alias("path"), F.encode("content", "UTF-8").alias("content"))
@@ -55,7 +55,7 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH c AS (SELECT DISTINCT idx % 50 AS work_id, id, book_id, idx FROM {kb_chapters} WHERE idx IS NOT NULL AND id IS NOT NULL),
 s AS (SELECT DISTINCT idx % 50 AS work_id, chapter_id, 1000 - idx AS place FROM {kb_texts} WHERE title IS NOT NULL AND idx IS NOT NULL AND chapter_id IS NOT NULL),
 f AS (SELECT c.work_id, c.id, c.book_id, c.idx, min(s.place) AS place FROM c LEFT JOIN s ON s.work_id = c.work_id AND s.chapter_id = c.id GROUP BY ALL)
-SELECT work_id, id AS chapter_id, row_number() OVER (PARTITION BY work_id ORDER BY place NULLS LAST, book_id NULLS FIRST, idx, id) - 1 AS pos FROM f""")
+SELECT work_id, id AS chapter_id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY place NULLS LAST, book_id NULLS FIRST, idx, id) - 1 AS INT) AS pos FROM f""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4, J18, W7"""
     work = (F.col("idx") % 50).alias("work_id")

@@ -65,7 +65,7 @@ def timeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT id, (row_number() OVER (PARTITION BY book_id ORDER BY story_order, id)) * 10 AS story_order, CASE WHEN importance >= 3 THEN 3 ELSE 2 END AS importance, 0.45 AS confidence FROM {_LAID}""")
+SELECT id, (row_number() OVER (PARTITION BY book_id ORDER BY story_order, id)) * 10 AS story_order, CASE WHEN importance >= 3 THEN 3 ELSE 2 END AS importance, 0.45::DOUBLE AS confidence FROM {_LAID}""")
 def fallback_arrangement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4, W2"""
     from storyloom.functions.prefix import running

@@ -23,7 +23,7 @@ _DIST = f"round(1 - greatest(-1, least(1, {_DOT} / sqrt(list_sum(list_transform(
 
 
 @query(f"""
-SELECT query_id, vec_id, distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, v.vec_id) AS rank
+SELECT query_id, vec_id, distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_DIST} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, v.vec_id) AS INT) AS rank
 FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0) WHERE rank <= {K}""")
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries are the rows with ids divisible by 50, against all rows"""
@@ -32,7 +32,7 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT query_id, vec_id, distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, v.vec_id) AS rank
+SELECT query_id, vec_id, distance, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, {_DIST} AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, v.vec_id) AS INT) AS rank
 FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.label IN (1, 2, 3)) WHERE rank <= {K}""")
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2, P5: among vectors whose metadata match"""
@@ -58,7 +58,7 @@ def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT id, source_type, length(text) AS n FROM (
+SELECT id, source_type, CAST(length(text) AS INT) AS n FROM (
   SELECT concat('ent_', id) AS id, 'entity' AS source_type, concat_ws(' ', canonical_name, type, coalesce(array_to_string(aliases, ' '), '')) AS text FROM {kb_entities}
   UNION ALL SELECT concat('evt_', id), 'event', concat_ws(' ', story_time, who, what, where_loc, why, consequence) FROM {kb_happenings}
   UNION ALL SELECT concat('ch_', id), 'chapter_summary', concat_ws(' ', title, summary) FROM {kb_chapters} WHERE coalesce(summary, '') <> '')""")
