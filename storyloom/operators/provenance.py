@@ -49,9 +49,11 @@ def payload_hashes(files: DataFrame) -> DataFrame:
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change): added, removed or modified between two lists (path, sha256)."""
-    b, a = before.select("path", F.col("sha256").alias("_b")), after.select("path", F.col("sha256").alias("_a"))
-    change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("modified")
-    return b.join(a, "path", "full_outer").where(~F.col("_b").eqNullSafe(F.col("_a"))).select("path", change.alias("change"))
+    b = before.select("path", F.col("sha256").alias("_b"), F.lit(True).alias("_was"))
+    a = after.select("path", F.col("sha256").alias("_a"), F.lit(True).alias("_is"))
+    change = F.when(F.col("_was").isNull(), "added").when(F.col("_is").isNull(), "removed").otherwise("modified")
+    differs = F.col("_was").isNull() | F.col("_is").isNull() | ~F.col("_b").eqNullSafe(F.col("_a"))
+    return b.join(a, "path", "full_outer").where(differs).select("path", change.alias("change"))
 
 
 def reading_order(stated: DataFrame, chapters: DataFrame) -> DataFrame:

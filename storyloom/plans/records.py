@@ -43,7 +43,7 @@ def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT coalesce(b.id, a.id) AS path, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' ELSE 'modified' END AS change
-FROM (SELECT id, min(content_hash) AS h FROM {kb_chapters} GROUP BY id) b FULL OUTER JOIN (SELECT chapter_id AS id, min(sha256(content)) AS h FROM {kb_texts} GROUP BY chapter_id) a ON a.id = b.id WHERE a.h IS DISTINCT FROM b.h""")
+FROM (SELECT id, min(content_hash) AS h FROM {kb_chapters} GROUP BY id) b FULL OUTER JOIN (SELECT chapter_id AS id, min(sha256(content)) AS h FROM {kb_texts} GROUP BY chapter_id) a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.h IS DISTINCT FROM b.h""")
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1, U6"""
     before = view(spark, sf_dir, "kb_chapters").groupBy(F.col("id").alias("path")).agg(F.min("content_hash").alias("sha256"))

@@ -205,3 +205,9 @@ def test_aligned(spark):
     r = lambda rows: {tuple(x) for x in changes.aligned(spark.createDataFrame(rows, "place int, chapter_idx int, result string"), chapters).collect()}
     assert r([(0, 9, "a"), (1, 9, "b")]) == {("c4", "a"), ("c5", "b")}
     assert r([(0, 5, "b")]) == {("c5", "b")}
+
+
+def test_changed_files(spark):
+    before = spark.createDataFrame([("same", "1"), ("gone", "1"), ("null", "1"), ("other", "1")], "path string, sha256 string")
+    after = spark.createDataFrame([("same", "1"), ("new", None), ("null", None), ("other", "2")], "path string, sha256 string")
+    assert {tuple(r) for r in provenance.changed_files(before, after).collect()} == {("gone", "removed"), ("new", "added"), ("null", "modified"), ("other", "modified")}
