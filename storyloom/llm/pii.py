@@ -345,8 +345,11 @@ def personal_spans(docs: DataFrame, key: str, text: str, model: str = MODEL) ->
     """
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, kind string, start_pos bigint, end_pos bigint, found string, text_hash bigint"
 
+    with np.load(model) as f:
+        sent = docs.sparkSession.sparkContext.broadcast({k: f[k] for k in f.files})  # a quarter of a megabyte, whatever the corpus
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _model(model)
+        net = Model(sent.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
