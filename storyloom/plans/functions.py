@@ -62,9 +62,13 @@ _RAW = """CASE created_at % 5 WHEN 0 THEN concat('```json\n{"id": "', id, '"}\n`
   WHEN 3 THEN concat('x [1, "', id, '"] y') ELSE 'no json' END"""
 
 
+_OBJECT = "concat(chr(123), '\"id\": \"', id, '\"', chr(125))"
+_LIST_OF_ONE = "concat('[1, \"', id, '\"]')"
+
+
 @query(f"""
-SELECT id, CASE created_at % 5 WHEN 0 THEN concat('{{"id": "', id, '"}}') WHEN 1 THEN concat('{{"id": "', id, '"}}') WHEN 2 THEN concat('{{"id": "', id, '"}}') WHEN 3 THEN concat('[1, "', id, '"]') ELSE 'null' END AS found,
-  CASE created_at % 5 WHEN 2 THEN concat('[{{"id": "', id, '"}}]') WHEN 3 THEN concat('[1, "', id, '"]') END AS items FROM {{kb_happenings}}""".replace("{{", "<<").replace("}}", ">>").replace("<<kb_happenings>>", "{kb_happenings}").replace("<<", "{").replace(">>", "}").replace("concat('{\"id\": \"', id, '\"}')", "concat(chr(123), '\"id\": \"', id, '\"', chr(125))").replace("concat('[{\"id\": \"', id, '\"}]')", "concat('[', chr(123), '\"id\": \"', id, '\"', chr(125), ']')"))
+SELECT id, CASE WHEN created_at % 5 < 3 THEN {_OBJECT} WHEN created_at % 5 = 3 THEN {_LIST_OF_ONE} ELSE 'null' END AS found,
+  CASE created_at % 5 WHEN 2 THEN concat('[', {_OBJECT}, ']') WHEN 3 THEN {_LIST_OF_ONE} END AS items FROM {{kb_happenings}}""")
 def json_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fenced, in prose, broken off, a list, none"""
     raw = F.expr(_RAW)
@@ -120,12 +124,11 @@ def confidence_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "kb_mentions").select("id", buffer.alias("buffer"), F.least(F.lit(0.95), F.col("confidence") + 0.1).alias("raised"), (F.col("pass_no") + 1).alias("pass_no"))
 
 
-_WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
-@query(rf"""
+@query(r"""
 SELECT chapter_id, CASE WHEN length(t) > 200 THEN concat(substr(t, 1, 200), '...') ELSE t END AS text, CAST(length(t) AS INT) AS full_length, length(t) > 200 AS truncated
-FROM (SELECT chapter_id, trim(regexp_replace(content, '[\s\x0b\x85\p{{Z}}]+', ' ', 'g'), ' ') AS t FROM {{kb_texts}})""".replace("{{", "{").replace("}}", "}").replace("\\p{Z}", "\\pZ"))
+FROM (SELECT chapter_id, trim(regexp_replace(content, '[\s\x0b\x85\pZ]+', ' ', 'g'), ' ') AS t FROM {kb_texts})""")
 def texts_squashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F25"""
     s = text.squashed(F.col("content"), 200)

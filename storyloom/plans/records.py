@@ -70,7 +70,6 @@ def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "events").select("event_id", op.canonical_json_udf("props").alias("canonical"))
 
 
-_HTML = "concat('<html><style>p {', chr(123), '</style><h1>', coalesce(title, ''), '</h1>', '<a href=\"https://books.example/', chapter_id, '\">', coalesce(title, ''), '</a><a href=\"\">none</a><a href=\"/n\"> Next  page </a><p>', replace(coalesce(content, ''), chr(10), '</p><p>'), '</p></html>')"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
