@@ -10,12 +10,17 @@ the similarity bound is a Hamming bound.
    runs under another hash. It is cut into BLOCKS blocks; texts that differ in
    fewer than BLOCKS symbols must have a block in common (pigeonhole), and texts
    that differ in more of them share one with probability 1 - (1 - s**ROWS)**BLOCKS
-   at similarity s. Frequent runs (in more than STOP_SHARE of the different texts) are
-   left out of the fingerprint, as they make unrelated texts collide; texts made almost wholly of such
-   runs get a second fingerprint from all their runs.
+   at similarity s. All runs take part, so this holds however large a group of near
+   texts is. Frequent runs (in more than STOP_SHARE of the different texts) make
+   unrelated texts collide: a hash carries in its lowest bit whether its run is
+   frequent, and a block with WEAK_FROM or more frequent symbols is weak.
 3. Block keys travel as packed arrays (five bytes an entry), one array for each
    batch and key range, so the exchange carries no row overhead. Each range is
    sorted in numpy; equal keys give candidate pairs, emitted in bounded batches.
+   Entries of weak blocks carry SKETCH bits, one of each symbol, as well. A pair of
+   similarity s differs in a bit with probability (1 - s) / 2; weak pairs that
+   differ in more than MOST_DIFFERING bits (4.2 standard deviations over the mean
+   at similarity 0.6) are no candidates.
 4. Each distinct candidate pair is verified by the Hamming distance of the whole
    indicator vectors, on the whole texts.
 
@@ -44,11 +49,13 @@ LEAST_LENGTH = 20
 ROWS, BLOCKS = 5, 56
 #: A run is frequent if it is in more than this share of the different texts, and in more than so many.
 STOP_SHARE, STOP_TEXTS = 0.04, 200
-#: Texts of which less than this share of runs is left without the frequent ones are fingerprinted both ways.
-LEAST_KEPT = 0.1
+#: Frequent symbols that make a block weak; bits of its sketch, and in how many of them a pair may differ.
+WEAK_FROM, SKETCH, MOST_DIFFERING = 2, 192, 62
 BUCKET_BITS = 18
 #: Texts in a fingerprint matrix; candidate pairs in an emitted batch.
 LANES, EMIT = 512, 200_000
+#: Characters of the texts whose runs are compared at once.
+PIECE_CHARS = 2_000_000
 #: Entries of a key range, so that chance matches of the 24 key bits that travel stay few for each entry.
 RANGE_ENTRIES = 50_000
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -95,13 +102,17 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(20240607).integers(1 << 20, 1 << 32, ROWS * BLOCKS, dtype=np.uint32) | np.uint32(1)
 
 
-def block_keys(owner: np.ndarray, hashes: np.ndarray, count: int, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the texts that have any run, their block keys as uint64 [text, block])."""
+def block_keys(owner: np.ndarray, hashes: np.ndarray, count: int, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the texts that have any run, their block keys as uint64 [text, block], whether these are weak, sketches as uint32 [text, word]).
+
+    The lowest bit of a hash tells whether its run is frequent; the multipliers are odd, so it stays.
+    """
     sizes = np.bincount(owner, minlength=count)
     starts = np.cumsum(sizes) - sizes
     some = np.flatnonzero(sizes)
     order = some[np.argsort(sizes[some], kind="stable")]
-    keys = np.empty((len(order), BLOCKS), np.uint64)
+    keys, weak = np.empty((len(order), BLOCKS), np.uint64), np.empty((len(order), BLOCKS), bool)
+    sketches = np.empty((len(order), SKETCH // 32), np.uint32)
     least = np.empty((ROWS * BLOCKS, LANES), np.uint32)
     for at in range(0, len(order), LANES):
         docs = order[at : at + LANES]
@@ -118,7 +129,10 @@ def block_keys(owner: np.ndarray, hashes: np.ndarray, count: int, multipliers: n
             key *= np.uint64(0xFF51AFD7ED558CCD)
             key ^= key >> np.uint64(32)
         keys[at : at + width] = key.T
-    return order, keys
+        weak[at : at + width] = ((parts & np.uint64(1)).sum(1) >= WEAK_FROM).T
+        bits = (least[:SKETCH, :width] >> np.uint32(12)) & np.uint32(1)
+        sketches[at : at + width] = np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=0).T).view(np.uint32)
+    return order, keys, weak, sketches
 
 
 def _frequent(reps: DataFrame) -> np.ndarray:
@@ -157,21 +171,16 @@ def candidates(reps: DataFrame) -> DataFrame:
         sources = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         rids = batch.column(1).to_numpy(zero_copy_only=False)
         owner, hashes = runs(batch.column(2).to_pylist())
-        kept = ~frequent[hashes >> np.uint32(32 - BUCKET_BITS)]
-        every, left = np.bincount(owner, minlength=len(rids)), np.bincount(owner[kept], minlength=len(rids))
-        both = (left < LEAST_KEPT * every)[owner]
-        docs, keys = [], []
-        for tag, pick in ((0, kept), (1, both)):
-            d, k = block_keys(owner[pick], hashes[pick], len(rids), multipliers)
-            k ^= (sources[d] * np.uint64(2) + np.uint64(tag))[:, None] * np.uint64(0xC2B2AE3D27D4EB4F)
-            k *= np.uint64(0x9FB21C651E98DF25)
-            k ^= k >> np.uint64(31)
-            docs.append(np.repeat(d, BLOCKS))
-            keys.append(k.ravel())
-        doc, key = np.concatenate(docs), np.concatenate(keys)
+        hashes = (hashes & ~np.uint32(1)) | frequent[hashes >> np.uint32(32 - BUCKET_BITS)]
+        docs, key, weak, sketches = block_keys(owner, hashes, len(rids), multipliers)
+        key ^= (sources[docs] * np.uint64(2))[:, None] * np.uint64(0xC2B2AE3D27D4EB4F)
+        key *= np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(31)
+        at, key, weak = np.repeat(np.arange(len(docs)), BLOCKS), key.ravel(), weak.ravel()
         to = ((key >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        to, doc, key = to[order], doc[order].astype(np.uint16), key[order]
+        order = np.lexsort((weak, to))  # the weak entries of a range come last
+        to, at, key, weak = to[order], at[order], key[order], weak[order]
+        doc, before = docs[at].astype(np.uint16), np.concatenate([[0], np.cumsum(weak)])
         low, high = key.astype(np.uint16), (key >> np.uint64(16)).astype(np.uint8)
         cut = np.flatnonzero(np.diff(to, prepend=-1))
         # the rids of a batch are a few rising stretches: their starts stand for all of them
@@ -179,32 +188,42 @@ def candidates(reps: DataFrame) -> DataFrame:
         head = np.array([len(breaks)], np.int64).tobytes() + breaks.astype(np.int64).tobytes() + rids[breaks].astype(np.int64).tobytes()
         blobs = []
         for a, b in zip(cut, np.append(cut[1:], len(to))):
-            blobs.append(head + low[a:b].tobytes() + doc[a:b].tobytes() + high[a:b].tobytes())
+            w = before[b] - before[a]
+            blobs.append(np.int64(w).tobytes() + head + low[a:b].tobytes() + doc[a:b].tobytes() + high[a:b].tobytes() + sketches[at[b - w : b]].tobytes())
         if blobs:
             yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["key_range", "entries"])
 
-    def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        breaks, firsts = np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n)
-        at = 8 + 16 * n
-        m = (len(blob) - at) // 5
+    def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w, n = np.frombuffer(blob, np.int64, 2).tolist()
+        breaks, firsts = np.frombuffer(blob, np.int64, n, 16), np.frombuffer(blob, np.int64, n, 16 + 8 * n)
+        at = 16 + 16 * n
+        m = (len(blob) - at - w * SKETCH // 8) // 5
         low, doc, high = np.frombuffer(blob, np.uint16, m, at), np.frombuffer(blob, np.uint16, m, at + 2 * m).astype(np.int64), np.frombuffer(blob, np.uint8, m, at + 4 * m)
+        sketches = np.frombuffer(blob, np.uint32, w * SKETCH // 32, at + 5 * m).reshape(w, SKETCH // 32)
         key = low | (high.astype(np.uint32) << np.uint32(16))
         stretch = np.searchsorted(breaks, doc, "right") - 1
-        return key, firsts[stretch] + doc - breaks[stretch]
+        return key, firsts[stretch] + doc - breaks[stretch], sketches
 
     def match(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(b) for b in blobs]
-        key, rid = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        weak = [len(p[2]) for p in parts]
+        yield from matched(*(np.concatenate([p[f][: len(p[f]) - w] for p, w in zip(parts, weak)]) for f in (0, 1)))
+        yield from matched(*(np.concatenate([p[f][len(p[f]) - w :] for p, w in zip(parts, weak)]) for f in (0, 1)), np.concatenate([p[2] for p in parts]))
+
+    def matched(key: np.ndarray, rid: np.ndarray, sketches: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         key, rid = key[order], rid[order]
         at = np.flatnonzero(key[1:] == key[:-1])
         step = 1
         while len(at):  # all entries of a run against the entry `step` further on
             for i in range(0, len(at), EMIT):
-                a, b = rid[at[i : i + EMIT]], rid[at[i : i + EMIT] + step]
+                one = at[i : i + EMIT]
+                if sketches is not None:
+                    one = one[np.bitwise_count(sketches[order[one]] ^ sketches[order[one + step]]).sum(1, dtype=np.int64) <= MOST_DIFFERING]
+                a, b = rid[one], rid[one + step]
                 low, high = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(low[low != high]), pa.array(high[low != high])], ["rid_a", "rid_b"])
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(low[low != high]), pa.array(high[low != high])], ["rid_a", "rid_b"])
             step += 1
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
@@ -234,12 +253,25 @@ def hamming_within(a: str, b: str, threshold: float) -> bool:
     return both >= threshold * (len(x) + len(y) - both) - 1e-9
 
 
+def _perhaps_within(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """Whether pairs of texts are worth an exact comparison, by the hashes of their runs. These may collide, hence the slack."""
+    x, y = ((owner.astype(np.uint64) << np.uint64(32)) | hashes for owner, hashes in (runs(a), runs(b)))
+    both = np.sort(np.concatenate([x, y]))
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(a))
+    sizes = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(a))
+    return shared >= (threshold - 0.05) * (sizes - shared)
+
+
 def _verified(threshold: float):
     @pandas_udf(BooleanType())
     def verified(a, b):
         import pandas as pd
 
-        return pd.Series([hamming_within(x, y, threshold) for x, y in zip(a, b)], dtype=bool)
+        a, b = a.tolist(), b.tolist()
+        piece = np.cumsum([len(x) + len(y) for x, y in zip(a, b)]) // PIECE_CHARS
+        cuts = np.flatnonzero(np.diff(piece, prepend=-1, append=-1)).tolist()
+        perhaps = [p for i, j in zip(cuts, cuts[1:]) for p in _perhaps_within(a[i:j], b[i:j], threshold).tolist()]
+        return pd.Series([p and hamming_within(x, y, threshold) for x, y, p in zip(a, b, perhaps)], dtype=bool)
 
     return verified
 
@@ -254,6 +286,17 @@ def _sources(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     return rows
 
 
+def _written_once(df: DataFrame, name: str) -> DataFrame:
+    """As written, for a df that isn't used again: its shuffle files go as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def _hashed(rows: DataFrame) -> DataFrame:
     """With 128 bits that stand for the text of its table."""
     return rows.withColumns({"h1": F.xxhash64("src_no", "norm"), "h2": F.xxhash64(F.lit(71), "norm")})
@@ -263,12 +306,12 @@ def _near(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(one row per different text, pairs of the different texts that are near), by rid."""
     own = F.xxhash64("id")
     reps = rows.groupBy("src_no", "norm").agg((F.min(own) != F.max(own)).alias("copied"))
-    reps = written(_hashed(reps).withColumn("rid", F.monotonically_increasing_id()), "texts")
-    found = candidates(reps)
+    reps = _written_once(_hashed(reps).withColumn("rid", F.monotonically_increasing_id()), "texts")
+    found = _written_once(candidates(reps), "candidates")
     texts = reps.select("rid", "norm")
     a, b = (texts.select(F.col("rid").alias(f"rid_{x}"), F.col("norm").alias(f"norm_{x}")) for x in "ab")
     pairs = found.join(a, "rid_a").join(b, "rid_b").where(_verified(threshold)("norm_a", "norm_b")).select("rid_a", "rid_b")
-    return reps, written(pairs, "near_texts")
+    return reps, _written_once(pairs, "near_texts")
 
 
 def near_duplicate_pairs(tables: dict[str, tuple[DataFrame, str, str]], threshold: float = THRESHOLD) -> DataFrame:

@@ -78,3 +78,23 @@ def test_threshold_is_the_hamming_bound():
 
 def test_comparable():
     assert nd.comparable("Ａ-b c！ é２") == "abcé2" and nd.comparable(None) is None
+
+
+def test_group_of_edits_that_is_a_third_of_the_table(spark):
+    rng = random.Random(5)
+    text = lambda: [chr(rng.randrange(0x4E00, 0x9000)) for _ in range(60)]
+    base, rows = text(), []
+    for i in range(300):
+        out = list(base)
+        for at in rng.sample(range(60), rng.choice((2, 3))):
+            out[at] = chr(rng.randrange(0x4E00, 0x9000))
+        rows.append((f"e{i:03}", "".join(out), None, None))
+    rows += [(f"o{i:03}", "".join(text()), None, None) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.id_a, r.id_b) for r in nd.near_duplicate_pairs({"t": (df, "id", "fact")}).collect()}
+    want = brute(rows)
+    assert len(want) > 10_000
+    assert not got - want
+    assert len(want - got) <= 0.01 * len(want), f"{len(want - got)} of {len(want)} lost"
+    classes = {r.id: r.class_id for r in nd.near_duplicate_groups({"t": (df, "id", "fact")}).collect()}
+    assert {classes[f"e{i:03}"] for i in range(300)} == {"e000"}
