@@ -54,8 +54,26 @@ _ALIKE_GROUPS = (
 ).split()
 _LATIN_TITLES = set("dr mr mrs ms miss sir dame lady lord ye the prof professor captain master mistress father mother brother sister old young".split())
 _LATIN_SMALL = set("of the and ye for de du la le von van".split())
-#: A nickname is the first letters of a name and one of these.
+#: A nickname is in _NICKNAMES, or is the first three or four letters of a name and one of these.
 _NICK_ENDS = ("ky", "sie", "kin", "ie", "y")
+#: Given name: its nicknames.
+_GIVEN = """
+abigail abby gail; albert al bert bertie; alexander alex alec sandy xander; alexandra alex sandra sandy; alfred al alf fred alfie; andrew andy drew; ann annie nan nancy; anne annie nan nancy; anthony tony;
+antonia toni; arthur art artie; barbara barb babs; benjamin ben benny; bernard bernie; bridget biddy bridie; catherine cathy cate kate kitty katie; charles charlie chuck chas; charlotte lottie charlie;
+christina tina chris chrissie; christopher chris kit topher; cornelius neil con; daniel dan danny; david dave davy; deborah deb debbie; dorothea dot dolly; dorothy dot dottie dolly; edmund ed ned ted eddie;
+edward ed ned ted eddie teddy; eleanor nell nellie ellie nora; elizabeth liz lizzie beth betty bess bessie eliza betsy libby lisa; emily em emmy millie; florence flo flossie; frances fanny fran frankie;
+francis frank frankie; franklin frank; frederick fred freddie fritz; george geordie; geoffrey jeff geoff; gerald gerry jerry; gertrude gertie trudy; gilbert gil bert; gregory greg; harold hal harry; helen nell nellie;
+henry harry hank hal; herbert bert herb; hugh hughie; isabella bella izzy; isabel bell izzy; jacob jake; james jim jimmy jamie; jane jenny janie; janet jenny jan; jennifer jenny jen; jeremiah jerry; jessica jess jessie;
+john jack johnny; jonathan jon jonny; joseph joe joey; josephine jo josie; joshua josh; judith judy; katherine kate kathy katie kit kitty; kathleen kathy kate; lawrence larry; leonard len lenny; lewis lew; louis lou;
+louisa lou; louise lou; margaret peggy meg maggie madge daisy greta rita peg; martha patty mattie; mary molly polly mamie; matilda tilly mattie; matthew matt; michael mike mick mickey; nathaniel nat nathan;
+nicholas nick nicky; oliver ollie; patricia pat patty tricia; patrick pat paddy; penelope penny; peter pete; philip phil pip; rebecca becky; reginald reg reggie; richard dick rick rich ricky dickie; robert bob rob bobby robbie bert;
+roger hodge; ronald ron ronnie; rosamund ros rose; samuel sam sammy; sarah sally sadie; solomon sol; stephen steve; steven steve; susan sue susie; susanna sue susie; terence terry; theodora dora; theodore ted teddy theo;
+theresa tess terry; thomas tom tommy; timothy tim; victoria vicky tori; vincent vince; virginia ginny; walter walt wat; wilhelmina mina minnie billie; william bill will billy willie liam; winifred win winnie; zachary zach
+"""
+_NICKNAMES: dict[str, list[str]] = {}
+for _words in map(str.split, _GIVEN.split(";")):
+    for _word in _words[1:]:
+        _NICKNAMES.setdefault(_word, []).append(_words[0])
 _PLACE_WORDS = set("far lower upper north south east west old new grey saint high great little".split())
 # End of the fixed values.
 
@@ -200,9 +218,10 @@ class Parser:
             return _out(" ".join(sorted(tokens)), keys, [], ["ac:" + "".join(t[0] for t in tokens), "t:" + " ".join(tokens[1:])])
         whole = [t for t in tokens if len(t) > 1 and t not in short]
         cut = [t for t in tokens if len(t) == 1 or t in short]
+        nicknamed = lambda a, b: [f"N:{y}|{given}" for x, y in ((a, b), (b, a)) for given in _NICKNAMES.get(x, ())]
         nick = lambda t: next((t[: -len(e)] for e in _NICK_ENDS[:2] if t.endswith(e) and len(t) - len(e) == 3), t if len(t) <= 3 else "")
         if len(whole) == 2 and (nick(whole[0]) or nick(whole[1])):
-            return _out("", [], [f"i:{b}|{nick(a)}" for a, b in (whole, whole[::-1]) if nick(a)], [])
+            return _out("", [], [f"i:{b}|{nick(a)}" for a, b in (whole, whole[::-1]) if nick(a)] + nicknamed(whole[0], whole[1]), [])
         if len(whole) >= 2:
             first, last = phonetic(whole[0]), phonetic(whole[-1])
             keys = ["p:" + " ".join(sorted((first, last)))]
@@ -210,14 +229,14 @@ class Parser:
                 keys += [f"p:{b}|{a[0]}", f"p:{b}|-{a[-1]}"]
             offers = []
             for a, b in ((whole[0], whole[-1]), (whole[-1], whole[0])):
-                offers += ["g:" + a, "n:" + a[:3], f"i:{a}|{b[0]}"] + [f"i:{b}|{a[:n]}" for n in (2, 3, 4)]
-            return _out(" ".join(sorted(whole)), keys, [], offers)
+                offers += ["g:" + a, "n:" + a[:3], "n:" + a[:4], f"N:{b}|{a}", f"i:{a}|{b[0]}"] + [f"i:{b}|{a[:n]}" for n in (2, 3, 4)]
+            return _out(" ".join(sorted(whole)), keys, nicknamed(whole[0], whole[-1]), offers)
         if len(whole) == 1 and cut:
             return _out("", [], [f"i:{whole[0]}|{cut[0]}"], [])
         if len(tokens) == 1:
             t = tokens[0]
             nick = next((t[: -len(e)] for e in _NICK_ENDS if t.endswith(e) and len(t) - len(e) >= 3), t)
-            return _out("", [], ["g:" + t] + (["n:" + nick] if len(nick) == 3 else []), [])
+            return _out("", [], ["g:" + t] + (["n:" + nick] if len(nick) in (3, 4) else []) + ["g:" + given for given in _NICKNAMES.get(t, ())], [])
         return _out("", [], [], [])
 
     def ideographs(self, name: str, kind: str) -> dict:
@@ -368,7 +387,10 @@ def name_groups(names: DataFrame, kinds: DataFrame, within: str) -> DataFrame:
     x, y = (keyed.select("w", "key", F.col("full").alias(f"full_{s}")) for s in "xy")
     near = x.join(y, ["w", "key"]).where("full_x < full_y").select("w", "full_x", "full_y").distinct().where(_same_latin("full_x", "full_y"))
     near = near.select(_node(F.lit("name"), "w", "full_x").alias("a"), _node(F.lit("name"), "w", "full_y").alias("b"))
-    first = written(connected_components(own.union(near).distinct(), "a", "b"), "groups")
+    meant = full.select("w", name.alias("b"), F.explode("offers").alias("key")).where(F.col("key").startswith("N:"))
+    said = full.select("w", name.alias("a"), F.explode("claims").alias("key")).join(meant, ["w", "key"])  # a nickname beside a surname
+    said = said.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("most")).where("b = most").select("a", "b")
+    first = written(connected_components(own.union(near).union(said).distinct(), "a", "b"), "groups")
 
     offers = full.select("w", F.explode("offers").alias("key"), name.alias("node")).distinct().join(first, "node").groupBy("w", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     known = full.select("w", "id").distinct()

@@ -113,3 +113,12 @@ def test_measures():
     assert nm.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and nm.jaro_winkler("", "a") == 0
     assert nm.within_edits("ab", "ba", 1) and not nm.within_edits("abc", "xyz", 2)
     assert nm.phonetic("kellforrd") == nm.phonetic("kellford")
+
+
+def test_nicknames_from_the_table(spark):
+    p = nm.PERSON
+    rows = [
+        ("a", "b", "William Tarnlow", p), ("b", "b", "Bill", p), ("c", "b", "Bill Tarnlow", p), ("d", "b", "Margaret Kellford", p), ("e", "b", "Peggy", p), ("f", "b", "Jennifer Ashdale", p), ("g", "b", "Jenny", p),
+        ("h", "b", "Robert Belcroft", p), ("i", "b", "Gilbert Welford", p), ("j", "b", "Bert", p), ("k", "b", "Corvinna Maldane", p), ("l", "b", "Corvie", p), ("m", "b2", "Bill", p),
+    ]
+    assert groups(spark, rows) == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("f", "g"), ("k", "l")}
