@@ -72,20 +72,26 @@ def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _escaped(name: str):
+    return F.replace(F.replace(F.col(name), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")).alias(name)
+
+
+def _pages(spark: SparkSession, sf_dir: str, escaped: bool = False) -> DataFrame:
     blank = F.lit("")
+    texts = view(spark, sf_dir, "kb_texts").where("chapter_id IS NOT NULL")
+    if escaped:
+        texts = texts.select("chapter_id", _escaped("title"), _escaped("content"))
     html = F.concat(F.lit("<html><style>p {{</style><h1>"), F.coalesce("title", blank), F.lit('</h1><a href="https://books.example/'), "chapter_id", F.lit('">'), F.coalesce("title", blank), F.lit('</a><a href="">none</a><a href="/n"> Next  page </a><p>'), F.replace(F.coalesce("content", blank), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></html>"))
-    return view(spark, sf_dir, "kb_texts").where("chapter_id IS NOT NULL").select(F.col("chapter_id").alias("page_id"), "title", "content", html.alias("html"))
+    return texts.select(F.col("chapter_id").alias("page_id"), "title", "content", html.alias("html"))
 
 
 @query(r"""
 SELECT page_id, CASE WHEN length(t) > 300 THEN concat(substr(t, 1, 300), '...') ELSE t END AS text, length(t) > 300 AS truncated FROM (
   SELECT chapter_id AS page_id, trim(regexp_replace(concat_ws(' ', coalesce(title, ''), coalesce(title, ''), 'none Next page', coalesce(content, '')), '[\s\x0b\x85\pZ]+', ' ', 'g'), ' ') AS t FROM {kb_texts} WHERE chapter_id IS NOT NULL AND NOT contains(concat(coalesce(title, ''), coalesce(content, '')), '<') AND NOT contains(coalesce(content, ''), '&'))""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose text holds no markup itself"""
+    """B1, S19, F25; the SQL leaves out texts that hold markup themselves"""
     t = web.page_text(F.col("html"), 300)
-    rows = _pages(spark, sf_dir).where(~F.contains(F.concat(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), F.lit("<")) & ~F.contains(F.coalesce("content", F.lit("")), F.lit("&")))
-    return rows.select("page_id", t["text"].alias("text"), t["truncated"].alias("truncated"))
+    return _pages(spark, sf_dir, escaped=True).select("page_id", t["text"].alias("text"), t["truncated"].alias("truncated"))
 
 
 @query(r"""
@@ -104,8 +110,8 @@ def page_keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT chapter_id AS page_id, '/n' AS href FROM {kb_texts} WHERE chapter_id IS NOT NULL AND NOT contains(lower(coalesce(title, '')), 'page')")
 def page_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B5"""
-    return web.best_link(_pages(spark, sf_dir).where(~F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("page"))), "page")
+    """B5; the SQL leaves out titles that hold the word"""
+    return web.best_link(_pages(spark, sf_dir), "page")
 
 
 @query(r"""

@@ -38,9 +38,9 @@ def chapters_as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT chapter_id, 2 AS parts, 'part one' AS first_title FROM {kb_texts} WHERE chapter_id IS NOT NULL AND trim(replace(replace(coalesce(content, ''), chr(10), ' '), chr(13), ' ')) <> '' AND NOT regexp_matches(coalesce(content, ''), '(^|[\n\r])[ \t　]*(#|第|[Cc][Hh][Aa][Pp])')""")
 def text_split_at_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters written one after another, cut again at their headings"""
+    """Chapters written one after another, cut again at their headings; the SQL leaves out texts that hold headings"""
     content = F.coalesce("content", F.lit(""))
-    known = view(spark, sf_dir, "kb_texts").where("chapter_id IS NOT NULL").where((F.trim(F.translate(content, "\n\r", "  ")) != "") & ~content.rlike("(^|[\\n\\r])[ \\t　]*(#|第|[Cc][Hh][Aa][Pp])"))
+    known = view(spark, sf_dir, "kb_texts").where("chapter_id IS NOT NULL").where(F.trim(F.translate(content, "\n\r", "  ")) != "")
     book = F.concat(F.lit("# part one\n"), content, F.lit("\n## part two\n"), content)
     parts = files.split_chapters(book)
     return known.select("chapter_id", F.size(parts).alias("parts"), F.get(parts, F.lit(0))["title"].alias("first_title"))
