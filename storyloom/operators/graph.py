@@ -2,7 +2,7 @@
 
 Each step replaces edges by edges to the smallest neighbour; a component of any size
 ends as a star around its smallest node after a number of steps logarithmic in its
-width. No task holds a whole component, and every round is cut off by a written table.
+width. No task holds a whole component; every round is cut off by a written table, and the table of the round before it is removed.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.session import written
+from storyloom.session import forget, written
 
 MOST_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     mark = None
     for _ in range(MOST_ROUNDS):
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        forget(before)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")).first()
         if (seen["n"], seen["x"]) == mark:
             break

@@ -28,10 +28,16 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "storyloom")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests); a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    return _own_dir(spark.sparkContext.master)
+
+
+def _own_dir(master: str) -> str:
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _OWN_DIRS:
         _OWN_DIRS.append(tempfile.mkdtemp(prefix="storyloom-"))
         atexit.register(shutil.rmtree, _OWN_DIRS[0], ignore_errors=True)
@@ -47,7 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes what written() wrote for df, once nothing will read it again. Does nothing for other DataFrames."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
