@@ -29,6 +29,10 @@ def key_form(c: Column) -> Column:
 KEY_FORM_SQL = r"nullif(lower(regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')), '')"
 
 
+#: Without white space at both ends, for DuckDB; a format string.
+STRIPPED_SQL = r"regexp_replace({0}, '^[\s\x0b\x85\p{{Z}}]+|[\s\x0b\x85\p{{Z}}]+$', '', 'g')"
+
+
 # First GBK code (as a negative number) of every initial letter of the first-level characters, and the end of the last.
 GBK_INITIALS = (
     (-20319, "A"), (-20283, "B"), (-19775, "C"), (-19218, "D"), (-18710, "E"), (-18526, "F"), (-18239, "G"), (-17922, "H"), (-17417, "J"), (-16474, "K"), (-16212, "L"), (-15640, "M"),
@@ -42,10 +46,19 @@ def normal_name(name: str | None) -> str | None:
     if name is None:
         return None
     text = unicodedata.normalize("NFKC", name).strip()
-    text = re.sub(r"(?<=[《「『（(\[【])\s+|\s+(?=[》」』）)\]】])", "", text)
+    text = re.sub(r"(?<=[〈《（(\[【])\s+|\s+(?=[〉》）)\]】])", "", text)
     return re.sub(r"\s+", " ", re.sub(r"[A-Z]", lambda m: m[0].lower(), text))
 
 
+def normal_name_sql(name: str) -> str:
+    """normal_name for DuckDB, of an expression in a query that joins the one row of the view {nfkc} as nf."""
+    blank = r"[\s\x0b\x85\p{Z}]"
+    text = f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({name}, '(?s).'), lambda x: coalesce(nf.m[x], x)), ''))"
+    text = f"regexp_replace({text}, '^{blank}+|{blank}+$', '', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '([〈《（(\[【]){blank}+', '\1', 'g'), '{blank}+([〉》）)\]】])', '\1', 'g')"
+    return f"regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{blank}+', ' ', 'g')"
+
+
 @pandas_udf(StringType())
 def normal_name_udf(names: pd.Series) -> pd.Series:
     return names.map(normal_name, na_action="ignore")

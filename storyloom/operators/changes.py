@@ -54,23 +54,6 @@ def without_chapters(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     }
 
 
-def fact_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """(key, outcome, confidence, pass_no): facts of two readings matched on their text without blanks at the ends, case and repeats.
-
-    retained facts gain 0.1 up to 0.95 and a pass, added ones have 0.7 and pass 2, superseded ones keep theirs.
-    """
-    norm = F.lower(F.regexp_replace(F.trim("fact"), r"(?U)\s+", " "))
-    a = old.where("fact IS NOT NULL").groupBy(*key, norm.alias("norm")).agg(F.max("confidence").alias("old"), F.max("pass_no").alias("pass"))
-    b = new.where("fact IS NOT NULL").select(*key, norm.alias("norm"), F.lit(True).alias("new")).distinct()
-    both = a.join(b, [*key, "norm"], "full_outer")
-    outcome = F.when(F.col("new").isNull(), "superseded").when(F.col("old").isNull() & F.col("pass").isNull(), "added").otherwise("retained")
-    return both.withColumn("outcome", outcome).select(
-        *key, "norm", "outcome",
-        F.when(F.col("outcome") == "retained", F.least(F.lit(0.95), F.col("old") + 0.1)).when(F.col("outcome") == "added", 0.7).otherwise(F.col("old")).alias("confidence"),
-        F.when(F.col("outcome") == "retained", F.col("pass") + 1).when(F.col("outcome") == "added", 2).otherwise(F.col("pass")).alias("pass_no"),
-    )
-
-
 def merged_entities(entities: DataFrame, mentions: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, mentions) after merges (from_id, into_id): facts repointed, aliases joined with the old names, first chapter filled in, counts derived.
 
@@ -91,20 +74,6 @@ def merged_entities(entities: DataFrame, mentions: DataFrame, merges: DataFrame)
     return out.select("id", "book_id", "canonical_name", "type", F.coalesce("aliases", empty).alias("aliases"), "first_chapter_id", F.coalesce("mention_cnt", F.lit(0)).alias("mention_cnt")), moved
 
 
-def resolve_names(incoming: DataFrame, entities: DataFrame, aliases: DataFrame, compatible) -> DataFrame:
-    """incoming (book_id, name, type) -> with entity_id and how: exact, alias (of a compatible type) or new (null id). The least id of several."""
-    wanted = incoming.select("book_id", "name", "type").distinct()
-    exact = entities.groupBy("book_id", F.col("canonical_name").alias("name")).agg(F.min("id").alias("exact_id"))
-    known = aliases.join(entities.select(F.col("id").alias("entity_id"), F.col("type").alias("other")), "entity_id").select("book_id", F.lower(F.trim("alias_raw")).alias("norm"), "entity_id", "other").distinct()
-    step = wanted.join(exact, ["book_id", "name"], "left")
-    left = step.where("exact_id IS NULL").withColumn("norm", F.lower(F.trim("name")))
-    by_alias = left.join(known, ["book_id", "norm"]).where(compatible(F.col("type"), F.col("other"))).groupBy("book_id", "name", "type").agg(F.min("entity_id").alias("alias_id"))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("book_id", "name", "type")]
-    out = step.alias("l").join(by_alias.alias("r"), reduce(Column.__and__, same), "left")
-    how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("alias_id").isNotNull(), "alias").otherwise("new")
-    return out.select("l.book_id", "l.name", "l.type", F.coalesce("exact_id", "alias_id").alias("entity_id"), how.alias("how"))
-
-
 def folded_edits(log: DataFrame) -> DataFrame:
     """(record_id, field, value, edits): the value each field has after the edits (id, record_id, field, new_value, undone); undone edits don't count."""
     return log.where(~F.col("undone")).groupBy("record_id", "field").agg(F.max_by("new_value", "id").alias("value"), F.count("*").alias("edits"))

@@ -7,37 +7,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import stripped
-
-# Words for one kind of entity; kinds without a word here are wildcards.
-TYPE_CLASSES = (
-    ("人物", "角色", "主角", "配角", "反派"),
-    ("地点", "场所", "地理", "地名"),
-    ("组织", "势力", "宗门", "门派", "帮派"),
-    ("物品", "道具", "法宝", "武器"),
-    ("功法", "技能", "招式", "心法"),
-)
-#: Fields that may be edited by hand, by table.
+# Words for one kind of entity, words that go with any kind, and the fields that may be edited by hand, by table.
+TYPE_CLASSES = (("人物",), ("地点", "场所"), ("势力", "组织", "阵营"), ("物品", "道具"), ("事件",), ("规则", "设定"))
+ANY_TYPE = ("未分类", "未知")
 EDITABLE = {
-    "entities": ("canonical_name", "type", "aliases"),
-    "mentions": ("fact", "snippet"),
-    "events": ("story_time", "who", "what", "where_loc", "why", "consequence"),
-    "foreshadowing": ("hint", "status", "resolution"),
-    "rules": ("name", "body"),
-    "chapters": ("title", "summary"),
+    "entities": ("canonical_name", "type", "aliases", "first_chapter_id"),
+    "mentions": ("fact", "snippet", "chapter_id"),
+    "events": ("story_time", "who", "what", "where_loc", "why", "consequence", "chapter_id"),
+    "foreshadowing": ("hint", "status", "resolved_chapter_id", "resolution", "hint_chapter_id"),
+    "rules": ("name", "body", "first_chapter_id"),
 }
+# End of the fixed values.
 
 
 def metadata_matches(where: object, metadata: Column) -> Column:
     """A predicate tree over a map column as one column expression.
 
     {key: value} and {key: {$eq, $ne, $in, $nin: ...}}, all keys required; a missing key compares as null.
-    $and and $or take lists and hide the keys beside them. An empty tree is true, anything but a mapping false.
+    $and and $or take lists and hide the keys beside them. An empty tree is true, anything else but a mapping false, as is $and or $or without a list.
     """
+    if not where:
+        return F.lit(True)
     if not isinstance(where, dict):
         return F.lit(False)
     for word, join, neutral in (("$and", Column.__and__, True), ("$or", Column.__or__, False)):
         if word in where:
+            if not isinstance(where[word], list):
+                return F.lit(False)
             return reduce(join, (metadata_matches(w, metadata) for w in where[word]), F.lit(neutral))
     tests = []
     for key, wanted in where.items():
@@ -56,16 +52,15 @@ def _test(value: Column, op: str, wanted: object) -> Column:
         if None in wanted:
             among = among | value.isNull()
         return among if op == "$in" else ~among
-    raise ValueError(f"unknown operator {op}")
+    return F.lit(True)  # an operator that is not known asks for nothing
 
 
 def types_compatible(a: Column, b: Column) -> Column:
-    """Whether entities of two types may be one: a null, blank or unknown type goes with anything, others with their class."""
+    """Whether entities of two types may be one: equal types, words of one class, or one of them null, empty or a word for any kind. A type in no class goes with itself only."""
     known = {t: str(i) for i, words in enumerate(TYPE_CLASSES) for t in words}
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    a, b = stripped(a), stripped(b)
-    x, y = F.try_element_at(table, a), F.try_element_at(table, b)
-    return F.coalesce(a == b, F.lit(False)) | x.isNull() | y.isNull() | F.coalesce(x == y, F.lit(False))
+    a, b = (F.coalesce(F.nullif(c, F.lit("")), F.lit(ANY_TYPE[0])) for c in (a, b))
+    return (a == b) | a.isin(*ANY_TYPE) | b.isin(*ANY_TYPE) | F.coalesce(F.try_element_at(table, a) == F.try_element_at(table, b), F.lit(False))
 
 
 def all_of(**tests: object) -> Column:
@@ -84,6 +79,26 @@ def editable(changes: DataFrame) -> DataFrame:
     return changes.where(allowed)
 
 
+def existing(changes: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Changes (table_name, record_id) with `known`: whether the record is there. Only the tables of EDITABLE can be; a mention needs an entity too.
+
+    tables: those tables, each with id, mentions with entity_id.
+    """
+    ids = [tables[t].select(F.lit(t).alias("table_name"), F.col("id").alias("record_id")) for t in EDITABLE if t != "mentions"]
+    owned = tables["mentions"].join(tables["entities"].select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    every = reduce(DataFrame.union, [*ids, owned.select(F.lit("mentions"), F.col("id"))]).distinct().withColumn("_there", F.lit(True))
+    return changes.join(every, ["table_name", "record_id"], "left").withColumn("known", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def searched(rows: DataFrame, columns: list[str], parts: list[DataFrame], query: str) -> DataFrame:
+    """rows (id, columns) whose columns or parts (id, part) contain the query in any case; a blank query asks for all. A hit lies within one column or part."""
+    if not query.strip():
+        return rows
+    word = F.lit(query.lower())
+    hits = [rows.where(reduce(Column.__or__, (F.contains(F.lower(c), word) for c in columns))).select("id"), *(p.where(F.contains(F.lower("part"), word)).select("id") for p in parts)]
+    return rows.join(reduce(DataFrame.union, hits), "id", "left_semi")
+
+
 def hash_gate(known: DataFrame, texts: DataFrame) -> DataFrame:
     """(chapter_id, changed) of each text: unchanged if its chapter is done with the hash of this content. Empty content has the hash ''."""
     content = F.coalesce(F.col("content"), F.lit(""))

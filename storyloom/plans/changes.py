@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.prefix import running
 from storyloom.operators import changes as op
-from storyloom.operators.predicates import types_compatible
 from storyloom.plans.base import registry
-from storyloom.plans.predicates import _CLASS
 from storyloom.sources.views import view
 
 QUERIES, SQL, query = registry()
@@ -21,8 +19,8 @@ FROM (SELECT id, min(title) AS title, min(status) AS status, min(idx) AS idx, mi
 FULL OUTER JOIN (SELECT chapter_id, max(title) AS title, max(idx) AS idx FROM {kb_texts} WHERE chapter_id IS NOT NULL GROUP BY chapter_id) t ON t.chapter_id = c.id""")
 def chapters_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: chapters take title and index of their files; null keeps"""
-    old = view(spark, sf_dir, "kb_chapters").where("id IS NOT NULL").groupBy("id").agg(F.min("title").alias("title"), F.min("status").alias("status"), F.min("idx").alias("idx"), F.min("tokens_used").alias("tokens_used"))
-    new = view(spark, sf_dir, "kb_texts").where("chapter_id IS NOT NULL").groupBy(F.col("chapter_id").alias("id")).agg(F.max("title").alias("title"), F.max("idx").alias("idx"))
+    old = view(spark, sf_dir, "kb_chapters", "id IS NOT NULL").groupBy("id").agg(F.min("title").alias("title"), F.min("status").alias("status"), F.min("idx").alias("idx"), F.min("tokens_used").alias("tokens_used"))
+    new = view(spark, sf_dir, "kb_texts", "chapter_id IS NOT NULL").groupBy(F.col("chapter_id").alias("id")).agg(F.max("title").alias("title"), F.max("idx").alias("idx"))
     return op.upserted(old, new, ["id"], {"status": "pending", "tokens_used": 0})
 
 
@@ -34,8 +32,8 @@ ON n.book_id = r.book_id AND n.name = r.name""")
 def rules_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7, M8, M2: the body is replaced, the first chapter kept"""
     known = "name IS NOT NULL AND book_id IS NOT NULL"
-    old = view(spark, sf_dir, "kb_rules").where(known).groupBy("book_id", "name").agg(F.min("body").alias("body"), F.min("first_chapter_id").alias("first_chapter_id"))
-    new = view(spark, sf_dir, "kb_entities").where("type = '规则'").withColumnRenamed("canonical_name", "name").where(known).groupBy("book_id", "name").agg(F.concat(F.lit("new "), F.min("id")).alias("body"), F.max("first_chapter_id").alias("first_chapter_id"))
+    old = view(spark, sf_dir, "kb_rules", known).groupBy("book_id", "name").agg(F.min("body").alias("body"), F.min("first_chapter_id").alias("first_chapter_id"))
+    new = view(spark, sf_dir, "kb_entities", "type = '规则'").withColumnRenamed("canonical_name", "name").where(known).groupBy("book_id", "name").agg(F.concat(F.lit("new "), F.min("id")).alias("body"), F.max("first_chapter_id").alias("first_chapter_id"))
     return op.upserted(old, new, ["book_id", "name"], keep=("first_chapter_id",))
 
 
@@ -52,7 +50,7 @@ SELECT f.id, CASE WHEN r.hint IS NOT NULL AND f.status = 'open' THEN 'resolved'
 FROM {kb_foreshadowing} f LEFT JOIN (SELECT book_id, what AS hint, min(chapter_id) AS chapter_id FROM {kb_happenings} WHERE where_loc IS NULL AND chapter_id IS NOT NULL GROUP BY ALL) r ON r.book_id = f.book_id AND r.hint = f.hint""")
 def hints_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6"""
-    said = view(spark, sf_dir, "kb_happenings").where("where_loc IS NULL AND chapter_id IS NOT NULL").select("book_id", F.col("what").alias("hint"), "chapter_id", F.lit("r").alias("resolution"))
+    said = view(spark, sf_dir, "kb_happenings", "where_loc IS NULL AND chapter_id IS NOT NULL").select("book_id", F.col("what").alias("hint"), "chapter_id", F.lit("r").alias("resolution"))
     return op.resolved(view(spark, sf_dir, "kb_foreshadowing"), said).select("id", "status", "resolved_chapter_id")
 
 
@@ -60,7 +58,7 @@ def hints_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank ones left out, medium ones dismissed"""
     status = F.when((F.col("status") == "open") & (F.col("severity") == "medium"), "dismissed").otherwise(F.col("status"))
-    return view(spark, sf_dir, "kb_alerts").where(F.trim("message") != "").select("id", F.substring("kind", 1, 50).alias("kind"), "severity", status.alias("status"))
+    return view(spark, sf_dir, "kb_alerts", F.trim("message") != "").select("id", F.substring("kind", 1, 50).alias("kind"), "severity", status.alias("status"))
 
 
 _GONE = "(SELECT record_id FROM kb_deletions WHERE table_name = 'chapters' AND action = 'delete')"
@@ -75,8 +73,8 @@ UNION ALL SELECT 'rule_mentions', m.id FROM {{kb_rule_mentions}} m WHERE coalesc
 UNION ALL SELECT 'entities', id FROM {{kb_entities}} e WHERE NOT (coalesce(first_chapter_id IN {_GONE}, false) AND NOT EXISTS (SELECT 1 FROM {{kb_mentions}} m WHERE m.entity_id = e.id AND coalesce(m.chapter_id NOT IN {_GONE}, true)))""")
 def chapters_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays when the chapters in the deletion log go"""
-    v = lambda n: view(spark, sf_dir, n)
-    gone = v("kb_deletions").where("table_name = 'chapters' AND action = 'delete'").select(F.col("record_id").alias("chapter_id"))
+    v = lambda n, where=None: view(spark, sf_dir, n, where)
+    gone = v("kb_deletions", "table_name = 'chapters' AND action = 'delete'").select(F.col("record_id").alias("chapter_id"))
     left = op.without_chapters({"mentions": v("kb_mentions"), "events": v("kb_happenings"), "foreshadowing": v("kb_foreshadowing"), "rules": v("kb_rules"), "rule_mentions": v("kb_rule_mentions"), "entities": v("kb_entities")}, gone)
     out = None
     for name, rows in left.items():
@@ -85,21 +83,6 @@ def chapters_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_NORM = r"lower(regexp_replace(trim(fact, ' '), '\s+', ' ', 'g'))"
-
-
-@query(f"""
-WITH a AS (SELECT entity_id, {_NORM} AS norm, max(confidence) AS old, max(pass_no) AS pass FROM {{kb_mentions}} WHERE fact IS NOT NULL AND entity_id IS NOT NULL AND pass_no = 1 GROUP BY ALL),
-b AS (SELECT DISTINCT entity_id, {_NORM} AS norm FROM {{kb_mentions}} WHERE fact IS NOT NULL AND entity_id IS NOT NULL AND pass_no > 1)
-SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, coalesce(a.norm, b.norm) AS norm, CASE WHEN b.norm IS NULL THEN 'superseded' WHEN a.norm IS NULL THEN 'added' ELSE 'retained' END AS outcome,
-  CASE WHEN b.norm IS NULL THEN a.old WHEN a.norm IS NULL THEN 0.7 ELSE least(0.95, a.old + 0.1) END AS confidence, CASE WHEN b.norm IS NULL THEN a.pass WHEN a.norm IS NULL THEN 2 ELSE a.pass + 1 END AS pass_no
-FROM a FULL OUTER JOIN b ON a.entity_id = b.entity_id AND a.norm = b.norm""")
-def fact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J15, M15, M16, M17, F23, D1, D2"""
-    rows = view(spark, sf_dir, "kb_mentions").where("entity_id IS NOT NULL")
-    return op.fact_diff(rows.where("pass_no = 1"), rows.where("pass_no > 1"), ["entity_id"])
-
-
 _MERGES = "(SELECT e.id AS from_id, t.into_id FROM {kb_entities} e JOIN (SELECT book_id, canonical_name, min(id) AS into_id FROM {kb_entities} GROUP BY ALL HAVING count(*) > 1) t ON t.book_id = e.book_id AND t.canonical_name = e.canonical_name WHERE e.id <> t.into_id)"
 
 
@@ -119,30 +102,6 @@ def entities_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("id", "canonical_name", "aliases", "first_chapter_id", "mention_cnt")
 
 
-@query(f"""
-WITH inc AS (SELECT DISTINCT a.book_id, a.alias_raw AS name, e.type FROM {{kb_aliases}} a JOIN {{kb_entities}} e ON e.id = a.entity_id WHERE a.alias_raw IS NOT NULL AND a.book_id IS NOT NULL
-    UNION SELECT DISTINCT book_id, concat(canonical_name, '!'), type FROM {{kb_entities}} WHERE book_id IS NOT NULL AND canonical_name IS NOT NULL),
-exact AS (SELECT book_id, canonical_name AS name, min(id) AS exact_id FROM {{kb_entities}} GROUP BY ALL),
-step AS (SELECT i.*, x.exact_id FROM inc i LEFT JOIN exact x ON x.book_id = i.book_id AND x.name = i.name),
-ali AS (SELECT s.book_id, s.name, s.type, min(a.entity_id) AS alias_id FROM step s JOIN {{kb_aliases}} a ON a.book_id = s.book_id AND lower(trim(a.alias_raw, ' ')) = lower(trim(s.name, ' ')) JOIN {{kb_entities}} e ON e.id = a.entity_id
-  WHERE s.exact_id IS NULL AND (coalesce(trim(s.type) = trim(e.type), false) OR {_CLASS.format('trim(s.type)')} IS NULL OR {_CLASS.format('trim(e.type)')} IS NULL OR {_CLASS.format('trim(s.type)')} = {_CLASS.format('trim(e.type)')}) GROUP BY ALL)
-SELECT s.book_id, s.name, s.type, coalesce(s.exact_id, a.alias_id) AS entity_id, CASE WHEN s.exact_id IS NOT NULL THEN 'exact' WHEN a.alias_id IS NOT NULL THEN 'alias' ELSE 'new' END AS how
-FROM step s LEFT JOIN ali a ON a.book_id = s.book_id AND a.name = s.name AND a.type IS NOT DISTINCT FROM s.type""")
-def names_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1, R2 (exact and alias steps), P8, D10"""
-    entities, aliases = view(spark, sf_dir, "kb_entities"), view(spark, sf_dir, "kb_aliases")
-    known = aliases.where("alias_raw IS NOT NULL AND book_id IS NOT NULL").join(entities.select(F.col("id").alias("entity_id"), "type"), "entity_id").select("book_id", F.col("alias_raw").alias("name"), "type")
-    fresh = entities.where("book_id IS NOT NULL AND canonical_name IS NOT NULL").select("book_id", F.concat("canonical_name", F.lit("!")).alias("name"), "type")
-    return op.resolve_names(known.union(fresh), entities, aliases, types_compatible)
-
-
-@query("SELECT book_id, entity_id, alias_raw FROM {kb_aliases} UNION SELECT book_id, id, canonical_name FROM {kb_entities}")
-def alias_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each spelling of an entity once"""
-    own = view(spark, sf_dir, "kb_entities").select("book_id", F.col("id").alias("entity_id"), F.col("canonical_name").alias("alias_raw"))
-    return view(spark, sf_dir, "kb_aliases").union(own).distinct()
-
-
 @query("SELECT record_id, field, arg_max(new_value, id) AS value, count(*) AS edits FROM {kb_edits} WHERE NOT undone GROUP BY ALL")
 def edits_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3, G4, G6, G7"""
@@ -162,7 +121,7 @@ FROM kb_deletions d JOIN (SELECT id, min(title) AS title FROM {kb_chapters} GROU
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals for known records with the value they would replace"""
     now = view(spark, sf_dir, "kb_chapters").groupBy(F.col("id").alias("record_id")).agg(F.min("title").alias("old_value"))
-    log = view(spark, sf_dir, "kb_deletions").where("table_name = 'chapters'").join(now, "record_id")
+    log = view(spark, sf_dir, "kb_deletions", "table_name = 'chapters'").join(now, "record_id")
     return log.select("id", "table_name", "record_id", F.lit("title").alias("field"), "old_value", F.concat(F.lit("proposed "), F.col("id").cast("string")).alias("new_value"), F.when(F.col("action") == "delete", "rejected").otherwise("pending").alias("status"))
 
 

@@ -35,7 +35,7 @@ UNION ALL SELECT book_id, concat('foreshadowing.', status), count(*) FROM {kb_fo
 UNION ALL SELECT e.book_id, 'mentions.all', count(*) FROM {kb_mentions} m JOIN {kb_entities} e ON e.id = m.entity_id GROUP BY ALL""")
 def kb_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3, A4, J19"""
-    v = lambda n: view(spark, sf_dir, n)
+    v = lambda n, where=None: view(spark, sf_dir, n, where)
     mentions = v("kb_mentions").join(v("kb_entities").select(F.col("id").alias("entity_id"), "book_id"), "entity_id")
     every = F.lit("all")
     return op.overview({"chapters": (v("kb_chapters"), F.col("status")), "events": (v("kb_happenings"), every), "rules": (v("kb_rules"), every), "foreshadowing": (v("kb_foreshadowing"), F.col("status")), "mentions": (mentions, every)})
@@ -57,11 +57,11 @@ SELECT book_id, CAST(sum(n) AS BIGINT) AS characters FROM (
   UNION ALL SELECT book_id, length(coalesce(hint, '')) FROM {kb_foreshadowing} UNION ALL SELECT book_id, length(body) FROM {kb_rules}) GROUP BY book_id""")
 def kb_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each table is summed before the results meet"""
-    v = lambda n: view(spark, sf_dir, n)
+    v = lambda n, where=None: view(spark, sf_dir, n, where)
     size = lambda *c: F.sum(sum((F.length(F.coalesce(x, F.lit(""))) for x in c), F.lit(0))).alias("n")
     by_entity = v("kb_mentions").groupBy("entity_id").agg(size("fact", "snippet"))
     parts = [
-        v("kb_chapters").where("status = 'done' AND coalesce(summary, '') <> ''").groupBy("book_id").agg(size("title", "summary")),
+        v("kb_chapters", "status = 'done' AND coalesce(summary, '') <> ''").groupBy("book_id").agg(size("title", "summary")),
         by_entity.join(v("kb_entities").select(F.col("id").alias("entity_id"), "book_id"), "entity_id").groupBy("book_id").agg(F.sum("n").alias("n")),
         v("kb_happenings").groupBy("book_id").agg(size("what", "who")), v("kb_foreshadowing").groupBy("book_id").agg(size("hint")), v("kb_rules").groupBy("book_id").agg(size("body")),
     ]
@@ -77,12 +77,6 @@ def facts_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.facts_by_entity(view(spark, sf_dir, "kb_mentions"))
 
 
-@query("SELECT table_name, action, count(*) AS n, count(DISTINCT record_id) AS records FROM kb_deletions GROUP BY ALL")
-def removal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A12, A13"""
-    return view(spark, sf_dir, "kb_deletions").groupBy("table_name", "action").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("records"))
-
-
 @query("SELECT book_id, count(*) AS chapters, CAST(sum(length(content)) AS BIGINT) AS words FROM {kb_texts} GROUP BY book_id")
 def book_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14"""
@@ -94,7 +88,7 @@ _BLOCKS = "(SELECT id, book_id, idx, length(concat('## 第 ', CAST(idx + 1 AS VA
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.concat(F.lit("## "), chapter_label(F.col("idx")), F.lit(": "), F.coalesce("title", F.lit("")), F.lit("\n"), "summary")
-    return view(spark, sf_dir, "kb_chapters").where("status = 'done' AND coalesce(summary, '') <> '' AND book_id IS NOT NULL").select("id", "book_id", "idx", F.length(block).alias("size"))
+    return view(spark, sf_dir, "kb_chapters", "status = 'done' AND coalesce(summary, '') <> '' AND book_id IS NOT NULL").select("id", "book_id", "idx", F.length(block).alias("size"))
 
 
 @query(f"SELECT id, used FROM (SELECT id, CAST(sum(size) OVER (PARTITION BY book_id ORDER BY idx, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM {_BLOCKS}) WHERE used <= 1200")
@@ -123,14 +117,14 @@ def chapter_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11, W12"""
     n = lambda c: F.length(F.coalesce(c, F.lit("")))
     alone = F.coalesce(F.trim("content"), F.lit("")) == ""
-    rows = view(spark, sf_dir, "kb_texts").where("book_id IS NOT NULL AND idx IS NOT NULL").select("book_id", "idx", F.col("chapter_id").alias("id"), (n("title") + n("content") + 240).alias("cost"), alone.alias("alone"))
+    rows = view(spark, sf_dir, "kb_texts", "book_id IS NOT NULL AND idx IS NOT NULL").select("book_id", "idx", F.col("chapter_id").alias("id"), (n("title") + n("content") + 240).alias("cost"), alone.alias("alone"))
     return op.batches(rows, "book_id", ["idx", "id"], 4, 6000)
 
 
 @query("SELECT id, book_id, idx FROM (SELECT id, book_id, idx, row_number() OVER (PARTITION BY book_id ORDER BY idx DESC, id DESC) AS n FROM {kb_chapters} WHERE coalesce(summary, '') <> '' AND book_id IS NOT NULL AND idx IS NOT NULL) WHERE n <= 8")
 def recent_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W10, C8, C14"""
-    rows = view(spark, sf_dir, "kb_chapters").where("coalesce(summary, '') <> '' AND book_id IS NOT NULL AND idx IS NOT NULL")
+    rows = view(spark, sf_dir, "kb_chapters", "coalesce(summary, '') <> '' AND book_id IS NOT NULL AND idx IS NOT NULL")
     return op.latest(rows, "book_id", [F.desc("idx"), F.desc("id")], 8).select("id", "book_id", "idx")
 
 
@@ -155,8 +149,8 @@ WITH cand AS (SELECT c.id, c.book_id, CASE WHEN f.id IS NOT NULL THEN 0 ELSE 1 E
 SELECT id, prio FROM (SELECT id, prio, row_number() OVER (PARTITION BY book_id ORDER BY prio, idx, id) AS n FROM cand) WHERE n <= 12""")
 def chapters_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates (chapters with an open hint) first, each book's twelve"""
-    hinted = view(spark, sf_dir, "kb_foreshadowing").where("status = 'open'").select(F.col("hint_chapter_id").alias("id"), F.lit(0).alias("prio")).distinct()
-    rows = view(spark, sf_dir, "kb_chapters").where("book_id IS NOT NULL AND coalesce(summary, '') <> ''").join(hinted, "id", "left").withColumn("prio", F.coalesce("prio", F.lit(1)))
+    hinted = view(spark, sf_dir, "kb_foreshadowing", "status = 'open'").select(F.col("hint_chapter_id").alias("id"), F.lit(0).alias("prio")).distinct()
+    rows = view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL AND coalesce(summary, '') <> ''").join(hinted, "id", "left").withColumn("prio", F.coalesce("prio", F.lit(1)))
     return op.latest(rows, "book_id", [F.col("prio"), F.col("idx"), F.col("id")], 12).select("id", "prio")
 
 
@@ -166,10 +160,10 @@ top AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY n DESC, en
 SELECT t.chapter_id, right(t.content, 2200) AS tail, list(p.entity_id ORDER BY p.r) AS entities FROM {kb_texts} t JOIN top p ON p.chapter_id = t.chapter_id WHERE p.r <= 8 AND length(trim(t.content)) >= 80 GROUP BY t.chapter_id, t.content, t.title, t.idx""")
 def check_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of a chapter with its eight most mentioned entities"""
-    counts = view(spark, sf_dir, "kb_mentions").where("entity_id IS NOT NULL AND chapter_id IS NOT NULL").groupBy("chapter_id", "entity_id").agg(F.count("*").alias("n"))
+    counts = view(spark, sf_dir, "kb_mentions", "entity_id IS NOT NULL AND chapter_id IS NOT NULL").groupBy("chapter_id", "entity_id").agg(F.count("*").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("chapter_id").orderBy(F.desc("n"), "entity_id"))).where("r <= 8")
     lists = top.groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "entity_id"))), lambda x: x["entity_id"]).alias("entities"))
-    texts = view(spark, sf_dir, "kb_texts").where(F.length(F.trim("content")) >= 80)
+    texts = view(spark, sf_dir, "kb_texts", F.length(F.trim("content")) >= 80)
     return texts.join(lists, "chapter_id").select("chapter_id", F.right("content", F.lit(2200)).alias("tail"), "entities")
 
 
@@ -180,10 +174,10 @@ LEFT JOIN (SELECT hint_chapter_id AS chapter_id, count(*) AS n FROM {kb_foreshad
 LEFT JOIN (SELECT chapter_id, count(*) AS n FROM {kb_alerts} WHERE status = 'open' GROUP BY ALL) a ON a.chapter_id = m.chapter_id WHERE m.chapter_id IS NOT NULL GROUP BY m.chapter_id""")
 def chapter_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an outline holds of each chapter; its parts are chapter_mentions, facts_by_entity, facts_before, rules_of_chapters, hints_touching"""
-    v = lambda n: view(spark, sf_dir, n)
-    facts = v("kb_mentions").where("chapter_id IS NOT NULL").groupBy("chapter_id").agg(F.countDistinct("entity_id").alias("entities"), F.count("*").alias("facts"))
+    v = lambda n, where=None: view(spark, sf_dir, n, where)
+    facts = v("kb_mentions", "chapter_id IS NOT NULL").groupBy("chapter_id").agg(F.countDistinct("entity_id").alias("entities"), F.count("*").alias("facts"))
     count = lambda rows, key, name: rows.groupBy(F.col(key).alias("chapter_id")).agg(F.count("*").alias(name))
-    out = facts.join(count(v("kb_happenings"), "chapter_id", "events"), "chapter_id", "left").join(count(v("kb_foreshadowing"), "hint_chapter_id", "hints"), "chapter_id", "left").join(count(v("kb_alerts").where("status = 'open'"), "chapter_id", "alerts"), "chapter_id", "left")
+    out = facts.join(count(v("kb_happenings"), "chapter_id", "events"), "chapter_id", "left").join(count(v("kb_foreshadowing"), "hint_chapter_id", "hints"), "chapter_id", "left").join(count(v("kb_alerts", "status = 'open'"), "chapter_id", "alerts"), "chapter_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("chapter_id", "entities", "facts", zero("events"), zero("hints"), F.least(F.lit(8), F.coalesce("alerts", F.lit(0))).alias("alerts"))
 
@@ -191,7 +185,7 @@ def chapter_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def focus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every chapter the passages around the snippets of its facts. The lists hold one chapter's different snippets."""
-    snippets = view(spark, sf_dir, "kb_mentions").where("chapter_id IS NOT NULL AND trim(snippet) <> ''").groupBy("chapter_id").agg(F.array_sort(F.collect_set("snippet")).alias("wanted"))
+    snippets = view(spark, sf_dir, "kb_mentions", "chapter_id IS NOT NULL AND trim(snippet) <> ''").groupBy("chapter_id").agg(F.array_sort(F.collect_set("snippet")).alias("wanted"))
     texts = view(spark, sf_dir, "kb_texts").join(snippets, "chapter_id", "left")
     return texts.select("chapter_id", passages.passages(F.col("content"), F.col("wanted"), 6000).alias("passages"))
 
@@ -205,9 +199,9 @@ u AS (SELECT *, CAST(sum(size) OVER (PARTITION BY book_id ORDER BY part, prio, i
 SELECT book_id, id, part, least(upto, 2000) - least(upto - size, 2000) AS kept FROM u WHERE least(upto, 2000) > least(upto - size, 2000)""")
 def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapter blocks, candidates first, then entity heads, cut to one budget a book"""
-    hinted = view(spark, sf_dir, "kb_foreshadowing").where("status = 'open'").select(F.col("hint_chapter_id").alias("id"), F.lit(0).alias("prio")).distinct()
+    hinted = view(spark, sf_dir, "kb_foreshadowing", "status = 'open'").select(F.col("hint_chapter_id").alias("id"), F.lit(0).alias("prio")).distinct()
     chapters = _blocks(spark, sf_dir).where("idx IS NOT NULL").join(hinted, "id", "left").select("book_id", "id", F.lit(0).alias("part"), F.coalesce("prio", F.lit(1)).alias("prio"), "idx", F.least("size", F.lit(180)).alias("size"))
-    heads = view(spark, sf_dir, "kb_entities").where("book_id IS NOT NULL AND canonical_name IS NOT NULL")
+    heads = view(spark, sf_dir, "kb_entities", "book_id IS NOT NULL AND canonical_name IS NOT NULL")
     heads = heads.select("book_id", "id", F.lit(1).alias("part"), F.lit(1).alias("prio"), F.lit(0).alias("idx"), F.length(F.concat(F.lit("## "), "canonical_name", F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"))).alias("size"))
     cut = op.cut_blocks(chapters.union(heads), "book_id", [F.col("part"), F.col("prio"), F.col("idx"), F.col("id")], 2000, 1 << 30)
     return cut.select("book_id", "id", "part", "kept")

@@ -12,9 +12,9 @@ from storyloom.sources.views import view
 QUERIES, SQL, query = registry()
 
 
-@query()
+@query(f"SELECT id, {text.normal_name_sql('canonical_name')} AS normal FROM {{kb_entities}} CROSS JOIN {{nfkc}} nf")
 def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, D23; SQL here has no compatibility form"""
+    """F1, D23"""
     return view(spark, sf_dir, "kb_entities").select("id", text.normal_name_udf("canonical_name").alias("normal"))
 
 
@@ -46,7 +46,7 @@ def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3, F4, F5, F6"""
     n, title, context = F.length(F.coalesce("content", F.lit(""))), F.length(F.coalesce("title", F.lit(""))), F.col("idx").cast("bigint") * 4000 - 4000
     smart = budget.context_budget(context, budget.tokens(n), F.col("idx"))
-    return view(spark, sf_dir, "kb_texts").where("idx IS NOT NULL").select(
+    return view(spark, sf_dir, "kb_texts", "idx IS NOT NULL").select(
         "chapter_id", budget.tokens(n).alias("tokens"), budget.output_budget(context, n, title).alias("output"), smart["budget"].alias("budget"), smart["compress"].alias("compress"),
         budget.most_chapters(context).alias("chapters"), budget.context_before(context).alias("before"), budget.batch_fits(context, n, n, F.lit(3)).alias("fits"),
     )
@@ -94,7 +94,7 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chapter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F14, F30, D18"""
     prompt = F.format_string("新一卷《%s》开始了。故事延续自世界观「%s」。", F.coalesce("title", F.lit("")), "book_id")
-    return view(spark, sf_dir, "kb_chapters").where("book_id IS NOT NULL").select("id", text.chapter_label(F.col("idx")).alias("label"), prompt.alias("prompt"))
+    return view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL").select("id", text.chapter_label(F.col("idx")).alias("label"), prompt.alias("prompt"))
 
 
 @query(r"""
@@ -112,7 +112,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18"""
     name = F.col("canonical_name")
     said = F.concat(F.lit('before [QUERY_KB]{"entity": "'), name, F.lit('"}[/QUERY_KB] after'))
-    rows = view(spark, sf_dir, "kb_entities").where(name.isNotNull() & (name != "") & ~F.contains(name, F.lit('"')) & ~F.contains(name, F.lit("\\")))
+    rows = view(spark, sf_dir, "kb_entities", name.isNotNull() & (name != "") & ~F.contains(name, F.lit('"')) & ~F.contains(name, F.lit("\\")))
     calls = json.tool_calls(said)
     return rows.select("id", F.element_at(calls["entities"], 1).alias("entity"), calls["rest"].alias("rest"))
 

@@ -42,7 +42,7 @@ def rules_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c.id, c.title, c.status FROM {kb_chapters} c WHERE c.id IN (SELECT record_id FROM kb_deletions WHERE table_name = 'chapters')")
 def chapters_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8"""
-    wanted = view(spark, sf_dir, "kb_deletions").where("table_name = 'chapters'").select(F.col("record_id").alias("id"))
+    wanted = view(spark, sf_dir, "kb_deletions", "table_name = 'chapters'").select(F.col("record_id").alias("id"))
     return view(spark, sf_dir, "kb_chapters").join(wanted, "id", "left_semi").select("id", "title", "status")
 
 
@@ -90,7 +90,7 @@ def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT f.id, f.hint, f.status, c.idx FROM {kb_foreshadowing} f LEFT JOIN {kb_chapters} c ON c.id = f.hint_chapter_id WHERE f.status = 'open'")
 def open_foreshadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5, P2"""
-    hints = view(spark, sf_dir, "kb_foreshadowing").where("status = 'open'").withColumnRenamed("hint_chapter_id", "chapter_id")
+    hints = view(spark, sf_dir, "kb_foreshadowing", "status = 'open'").withColumnRenamed("hint_chapter_id", "chapter_id")
     return hints.join(_chapters(spark, sf_dir, "idx"), "chapter_id", "left").select("id", "hint", "status", "idx")
 
 
@@ -136,7 +136,7 @@ _FACTS = "(SELECT m.id, m.entity_id, m.chapter_id, c.idx FROM {kb_mentions} m JO
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "kb_mentions").where("entity_id IS NOT NULL").select("id", "entity_id", "chapter_id")
+    rows = view(spark, sf_dir, "kb_mentions", "entity_id IS NOT NULL").select("id", "entity_id", "chapter_id")
     return rows.join(_chapters(spark, sf_dir, "idx"), "chapter_id")
 
 

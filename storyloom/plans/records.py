@@ -26,7 +26,7 @@ f AS (SELECT book_id, pos, CASE WHEN event_hash <> sha256(concat(payload, '|', c
 SELECT book_id, min(pos) AS pos, CASE arg_min(r, pos) WHEN 0 THEN 'bad_event_hash' WHEN 1 THEN 'broken_link' ELSE 'no_author' END AS reason FROM f WHERE r IS NOT NULL GROUP BY book_id""")
 def history_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2, W8"""
-    rows = view(spark, sf_dir, "kb_chapters").where("book_id IS NOT NULL AND idx IS NOT NULL").select("book_id", "id", "idx", F.concat("id", F.coalesce("content_hash", F.lit(""))).alias("payload"))
+    rows = view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL AND idx IS NOT NULL").select("book_id", "id", "idx", F.concat("id", F.coalesce("content_hash", F.lit(""))).alias("payload"))
     rows = running(rows, ["book_id"], [F.col("idx"), F.col("id")], {}).withColumn("pos", F.col("rank") - 1)
     previous = F.when(F.col("idx") % 17 == 3, "lost")
     rows = rows.withColumn("previous_hash", previous).withColumn("author", F.when(F.col("idx") % 13 == 5, "").otherwise("editor"))
@@ -37,7 +37,7 @@ def history_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT concat('chapters/', chapter_id, '.txt') AS path, sha256(content) AS sha256, CAST(octet_length(encode(content)) AS INT) AS size FROM {kb_texts} WHERE content IS NOT NULL AND chapter_id IS NOT NULL")
 def payload_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3"""
-    files = view(spark, sf_dir, "kb_texts").where("content IS NOT NULL AND chapter_id IS NOT NULL").select(F.concat(F.lit("chapters/"), "chapter_id", F.lit(".txt")).alias("path"), F.encode("content", "UTF-8").alias("content"))
+    files = view(spark, sf_dir, "kb_texts", "content IS NOT NULL AND chapter_id IS NOT NULL").select(F.concat(F.lit("chapters/"), "chapter_id", F.lit(".txt")).alias("path"), F.encode("content", "UTF-8").alias("content"))
     return op.payload_hashes(files)
 
 
@@ -59,8 +59,8 @@ SELECT work_id, id AS chapter_id, CAST(row_number() OVER (PARTITION BY work_id O
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X4, J18, W7"""
     work = (F.col("idx") % 50).alias("work_id")
-    chapters = view(spark, sf_dir, "kb_chapters").where("idx IS NOT NULL AND id IS NOT NULL").select(work, "id", "book_id", "idx")
-    stated = view(spark, sf_dir, "kb_texts").where("title IS NOT NULL AND idx IS NOT NULL AND chapter_id IS NOT NULL").select(work, "chapter_id", (1000 - F.col("idx")).alias("place"))
+    chapters = view(spark, sf_dir, "kb_chapters", "idx IS NOT NULL AND id IS NOT NULL").select(work, "id", "book_id", "idx")
+    stated = view(spark, sf_dir, "kb_texts", "title IS NOT NULL AND idx IS NOT NULL AND chapter_id IS NOT NULL").select(work, "chapter_id", (1000 - F.col("idx")).alias("place"))
     return op.reading_order(stated, chapters)
 
 
@@ -78,7 +78,7 @@ def _escaped(name: str):
 
 def _pages(spark: SparkSession, sf_dir: str, escaped: bool = False) -> DataFrame:
     blank = F.lit("")
-    texts = view(spark, sf_dir, "kb_texts").where("chapter_id IS NOT NULL")
+    texts = view(spark, sf_dir, "kb_texts", "chapter_id IS NOT NULL")
     if escaped:
         texts = texts.select("chapter_id", _escaped("title"), _escaped("content"))
     html = F.concat(F.lit("<html><style>p {{</style><h1>"), F.coalesce("title", blank), F.lit('</h1><a href="https://books.example/'), "chapter_id", F.lit('">'), F.coalesce("title", blank), F.lit('</a><a href="">none</a><a href="/n"> Next  page </a><p>'), F.replace(F.coalesce("content", blank), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></html>"))

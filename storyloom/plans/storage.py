@@ -25,7 +25,7 @@ SELECT id AS entity_id, -1 AS idx, concat('# ', canonical_name, ' (', coalesce(t
 UNION ALL SELECT m.entity_id, coalesce(c.idx, 9999), concat('- ', m.fact) FROM {kb_mentions} m LEFT JOIN {kb_chapters} c ON c.id = m.chapter_id WHERE m.fact IS NOT NULL""")
 def entity_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S15"""
-    v = lambda n: view(spark, sf_dir, n)
+    v = lambda n, where=None: view(spark, sf_dir, n, where)
     return files.notes_lines(v("kb_entities"), v("kb_mentions"), v("kb_chapters"))
 
 
@@ -40,7 +40,7 @@ SELECT chapter_id, 2 AS parts, 'part one' AS first_title FROM {kb_texts} WHERE c
 def text_split_at_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters written one after another, cut again at their headings; the SQL leaves out texts that hold headings"""
     content = F.coalesce("content", F.lit(""))
-    known = view(spark, sf_dir, "kb_texts").where("chapter_id IS NOT NULL").where(F.trim(F.translate(content, "\n\r", "  ")) != "")
+    known = view(spark, sf_dir, "kb_texts", "chapter_id IS NOT NULL").where(F.trim(F.translate(content, "\n\r", "  ")) != "")
     book = F.concat(F.lit("# part one\n"), content, F.lit("\n## part two\n"), content)
     parts = files.split_chapters(book)
     return known.select("chapter_id", F.size(parts).alias("parts"), F.get(parts, F.lit(0))["title"].alias("first_title"))

@@ -119,5 +119,5 @@ WITH o AS (SELECT id, book_id, idx, row_number() OVER (ORDER BY idx NULLS FIRST,
 SELECT id, idx % 10 = 3 OR coalesce(lag(book_id) OVER (PARTITION BY idx % 50 ORDER BY pos) <> book_id, false) AS boundary FROM o""")
 def volume_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works made of every chapter index, read by index and id"""
-    rows = view(spark, sf_dir, "kb_chapters").where("book_id IS NOT NULL").select("id", "book_id", (F.col("idx") % 50).alias("work_id"), F.struct("idx", "id").alias("pos"), (F.col("idx") % 10 == 3).alias("explicit"))
+    rows = view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL").select("id", "book_id", (F.col("idx") % 50).alias("work_id"), F.struct("idx", "id").alias("pos"), (F.col("idx") % 10 == 3).alias("explicit"))
     return op.boundaries(rows).select("id", "boundary")

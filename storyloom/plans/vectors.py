@@ -64,14 +64,14 @@ SELECT id, source_type, CAST(length(text) AS INT) AS n FROM (
   UNION ALL SELECT concat('ch_', id), 'chapter_summary', concat_ws(' ', title, summary) FROM {kb_chapters} WHERE coalesce(summary, '') <> '')""")
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5, V6, D9"""
-    v = lambda n: view(spark, sf_dir, n)
+    v = lambda n, where=None: view(spark, sf_dir, n, where)
     return op.chunk_texts(v("kb_entities"), v("kb_happenings"), v("kb_chapters")).select("id", "source_type", F.length("text").alias("n"))
 
 
 @query()
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7, V9, R2's vector text: number of features and length of every event's vector"""
-    v = lambda n: view(spark, sf_dir, n)
+    v = lambda n, where=None: view(spark, sf_dir, n, where)
     chunks = op.chunk_texts(v("kb_entities"), v("kb_happenings"), v("kb_chapters"))
     norm = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4)
     return op.embedded(chunks).select("id", F.size("vector").alias("dimensions"), norm.alias("norm"))
@@ -81,7 +81,7 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of entities that the log deletes"""
     entities = view(spark, sf_dir, "kb_entities").select("id")
-    gone = view(spark, sf_dir, "kb_deletions").where("table_name = 'entities' AND action = 'delete'").select(F.col("record_id").alias("id"))
+    gone = view(spark, sf_dir, "kb_deletions", "table_name = 'entities' AND action = 'delete'").select(F.col("record_id").alias("id"))
     ent = F.concat(F.lit("ent_"), "id").alias("id")
     return op.pruned(entities.select(ent), entities.join(gone, "id", "left_anti").select(ent))
 
@@ -96,7 +96,7 @@ def hits_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def names_resolved_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with a mark added find their entity again among the three nearest of all name vectors, at a similarity of 0.86 or more; those asked are the entities whose hash is divisible by 50"""
-    entities = view(spark, sf_dir, "kb_entities").where("trim(canonical_name) <> ''").select(F.xxhash64("id").alias("id"), "canonical_name")
+    entities = view(spark, sf_dir, "kb_entities", "trim(canonical_name) <> ''").select(F.xxhash64("id").alias("id"), "canonical_name")
     named = lambda rows, text: op.embedded(rows.select(F.col("id").cast("string").alias("id"), text.alias("text"))).select(F.col("id").cast("bigint").alias("id"), "vector")
     stored, asked = named(entities, F.col("canonical_name")), named(entities.where("id % 50 = 0"), F.concat("canonical_name", F.lit("!")))
     return op.nearest(asked, stored, 3).where("distance <= 0.14").select("query_id", "vec_id", "rank")

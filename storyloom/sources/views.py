@@ -8,18 +8,18 @@ operator has whole tables to work on. {name} is a base table or another view.
 from __future__ import annotations
 
 import re
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+import unicodedata
+from functools import cache
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from storyloom.sources.tables import table
 
 VIEWS: dict[str, str] = {
-    "kb_chapters": "SELECT DISTINCT id, book_id, idx, title, content_hash, summary, status, error, tokens_used, updated_at FROM {chapters}",
+    "kb_chapters": "SELECT DISTINCT id, book_id, idx, title, content_hash, summary, status, error, tokens_used, updated_at FROM {chapters} WHERE id IS NOT NULL",
     "kb_texts": "SELECT DISTINCT book_id, chapter_id, title, content, idx FROM {chapter_list}",
-    "kb_entities": "SELECT DISTINCT id, book_id, canonical_name, type, aliases, first_chapter_id, updated_at, name_norm, mention_cnt FROM {entities}",
-    "kb_mentions": "SELECT DISTINCT id, entity_id, chapter_id, fact, snippet, created_at, confidence, pass_no FROM {mentions}",
-    "kb_happenings": "SELECT DISTINCT id, book_id, chapter_id, story_time, who, what, where_loc, why, consequence, created_at FROM {kb_events}",
+    "kb_entities": "SELECT DISTINCT id, book_id, canonical_name, type, aliases, first_chapter_id, updated_at, name_norm, mention_cnt FROM {entities} WHERE id IS NOT NULL",
+    "kb_mentions": "SELECT DISTINCT id, entity_id, chapter_id, fact, snippet, created_at, confidence, pass_no FROM {mentions} WHERE id IS NOT NULL",
+    "kb_happenings": "SELECT DISTINCT id, book_id, chapter_id, story_time, who, what, where_loc, why, consequence, created_at FROM {kb_events} WHERE id IS NOT NULL",
     "kb_foreshadowing": """
         SELECT concat('f-', id) AS id, book_id, chapter_id AS hint_chapter_id, what AS hint,
           CASE WHEN coalesce(why, '') = '' THEN 'open' ELSE 'resolved' END AS status,
@@ -53,23 +53,45 @@ _ALIAS_ROWS = {
 
 
 #: Tables whose redelivered rows repeat an id and its content. One row for each id is the same as distinct rows, and
-#: lets the optimizer leave out the columns a query doesn't ask for before the exchange.
+#: lets the optimizer leave out the columns a query doesn't ask for before the exchange. Rows without an id are no records.
 _ONCE = {"kb_chapters": "chapters", "kb_entities": "entities", "kb_mentions": "mentions", "kb_happenings": "kb_events"}
+#: What a derived view asks of the table it is made from: as copies are equal, it may be asked before they are removed, and so reaches the scan.
+_ASKED = {
+    "kb_foreshadowing": {"kb_happenings": "coalesce(consequence, '') <> ''"},
+    "kb_rules": {"kb_entities": "type IN ('规则', '设定', '法则', '概念', '功法', '境界', 'rule', 'law', 'setting')"},
+    "kb_timeline_meta": {"kb_happenings": "coalesce(story_time, '') <> ''"},
+    "kb_alerts": {"kb_mentions": "confidence < 0.6"},
+}
+
+
+@cache
+def _compatibility() -> str:
+    """For DuckDB, which has the canonical composition only: one row with a map from every character that has a compatibility decomposition to it."""
+    pairs = ((c, unicodedata.normalize("NFKD", c)) for c in map(chr, range(0x80, 0x110000)) if not "\ud800" <= c <= "\udfff")
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "SELECT MAP {" + ", ".join(f"{quoted(c)}: {quoted(k)}" for c, k in pairs if k != unicodedata.normalize("NFD", c)) + "} AS m"
 
 
 def _sql(name: str, engine: str) -> str | None:
+    if name == "nfkc" and engine == "duckdb":
+        return _compatibility()
     return _ALIAS_ROWS[engine] if name == "kb_alias_rows" else VIEWS.get(name)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view or base table of a folder."""
+def view(spark: SparkSession, sf_dir: str, name: str, where: Column | str | None = None) -> DataFrame:
+    """The rows of a view or base table of a folder for which `where` holds. It is asked before copies of a row are removed, so that it is pushed into the scan."""
     sql = _sql(name, "spark")
-    if sql is None:
-        return table(spark, sf_dir, name)
-    if name in _ONCE:
-        return table(spark, sf_dir, _ONCE[name]).drop("arrived_at").dropDuplicates(["id"])
+    if sql is None or name in _ONCE:
+        rows = table(spark, sf_dir, _ONCE.get(name, name))
+        if name in _ONCE:
+            rows = rows.drop("arrived_at").where("id IS NOT NULL")
+        if where is not None:
+            rows = rows.where(where)
+        return rows.dropDuplicates(["id"]) if name in _ONCE else rows
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING").replace("VARCHAR(30)", "STRING"), **{n: view(spark, sf_dir, n) for n in names})
+    asked = _ASKED.get(name, {})
+    rows = spark.sql(sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING").replace("VARCHAR(30)", "STRING"), **{n: view(spark, sf_dir, n, asked.get(n)) for n in names})
+    return rows if where is None else rows.where(where)
 
 
 def with_views(sql: str) -> str:
@@ -80,18 +102,15 @@ def with_views(sql: str) -> str:
         for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text)):
             own = _sql(n, "duckdb")
             if own is not None and n not in order:
-                need(own)
+                if n != "nfkc":
+                    need(own)
                 order.append(n)
 
     need(sql)
     plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
-    views = ", ".join(f"{n} AS MATERIALIZED ({plain(_sql(n, 'duckdb'))})" for n in order)
+    views = ", ".join(f"{n} AS MATERIALIZED ({_compatibility() if n == 'nfkc' else plain(_sql(n, 'duckdb'))})" for n in order)
     body = plain(sql).strip()
     if not views:
         return body
     # RECURSIVE is allowed, and needed by some, for all of them
     return f"WITH RECURSIVE {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
-
-
-def union(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
