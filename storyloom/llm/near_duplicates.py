@@ -19,10 +19,11 @@ the similarity bound is a Hamming bound.
    sorted in numpy; equal keys give candidate pairs, emitted in bounded batches.
    Entries of weak blocks carry SKETCH bits, one of each symbol, as well. A pair of
    similarity s differs in a bit with probability (1 - s) / 2; weak pairs that
-   differ in more than MOST_DIFFERING bits (4.2 standard deviations over the mean
-   at similarity 0.6) are no candidates.
-4. Each distinct candidate pair is verified by the Hamming distance of the whole
-   indicator vectors, on the whole texts.
+   differ in more of them than most_differing() permits are no candidates.
+4. Each distinct candidate pair is verified twice by Hamming distance: first that of the SIGN bits of the
+   two texts' own fingerprints (one bit of each of SIGN minimum hashes, kept as longs, so this is a bit count in
+   the JVM and most chance pairs never see a text), by the same bound; then that of the whole
+   indicator vectors, on the whole texts, which is exact.
 
 A 64-bit SimHash can't be used at similarity 0.6: such pairs differ in about 15 of
 64 bits, which leaves blocks of 2 to 4 bits.
@@ -40,17 +41,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
 
-from storyloom.session import shuffle_width, written
+from storyloom.session import forget, shuffle_width, written
 
 THRESHOLD = 0.6
 LEAST_LENGTH = 20
 ROWS, BLOCKS = 5, 56
 #: A run is frequent if it is in more than this share of the different texts, and in more than so many.
 STOP_SHARE, STOP_TEXTS = 0.04, 200
-#: Frequent symbols that make a block weak; bits of its sketch, and in how many of them a pair may differ.
-WEAK_FROM, SKETCH, MOST_DIFFERING = 2, 192, 62
+#: Frequent symbols that make a block weak; bits of its sketch.
+WEAK_FROM, SKETCH = 2, 192
+#: Bits of a text's own fingerprint.
+SIGN = 192
 BUCKET_BITS = 18
 #: Texts in a fingerprint matrix; candidate pairs in an emitted batch.
 LANES, EMIT = 512, 200_000
@@ -98,6 +101,12 @@ def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
 
 
+def most_differing(bits: int, threshold: float) -> int:
+    """In how many bits of minimum hashes a pair at the threshold may differ: each differs with probability (1 - threshold) / 2; 4.2 standard deviations over the mean."""
+    p = (1 - threshold) / 2
+    return int(bits * p + 4.2 * (bits * p * (1 - p)) ** 0.5)
+
+
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(20240607).integers(1 << 20, 1 << 32, ROWS * BLOCKS, dtype=np.uint32) | np.uint32(1)
 
@@ -135,6 +144,38 @@ def block_keys(owner: np.ndarray, hashes: np.ndarray, count: int, multipliers: n
     return order, keys, weak, sketches
 
 
+def signs(owner: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
+    """SIGN bits of every text as int64 [text, word], one of each of SIGN minimum hashes; 0 for a text without runs."""
+    multipliers = np.random.default_rng(20250311).integers(1 << 20, 1 << 32, SIGN, dtype=np.uint32) | np.uint32(1)
+    sizes = np.bincount(owner, minlength=count)
+    starts = np.cumsum(sizes) - sizes
+    some = np.flatnonzero(sizes)
+    order = some[np.argsort(sizes[some], kind="stable")]
+    out = np.zeros((count, SIGN // 64), np.int64)
+    bits = np.empty((SIGN, LANES), np.uint8)
+    for at in range(0, len(order), LANES):
+        docs = order[at : at + LANES]
+        depth = np.arange(sizes[docs].max())[:, None]
+        matrix = hashes[starts[docs][None, :] + np.minimum(depth, sizes[docs][None, :] - 1)]
+        scratch = np.empty_like(matrix)
+        for k, by in enumerate(multipliers):
+            np.multiply(matrix, by, out=scratch)
+            bits[k, : len(docs)] = (scratch.min(0) >> np.uint32(12)) & np.uint32(1)
+        out[docs] = np.ascontiguousarray(np.packbits(bits[:, : len(docs)], axis=0).T).view(np.int64)
+    return out
+
+
+@pandas_udf(ArrayType(LongType()))
+def signs_udf(texts):
+    import pandas as pd
+
+    out = []
+    for i in range(0, len(texts), 1 << 13):
+        part = texts.iloc[i : i + (1 << 13)].tolist()
+        out += list(signs(*runs(part), len(part)))
+    return pd.Series(out, dtype=object)
+
+
 def _frequent(reps: DataFrame) -> np.ndarray:
     """Buckets of runs found in more than STOP_SHARE of the texts. At most (mean runs a text) / STOP_SHARE buckets can be."""
 
@@ -153,11 +194,11 @@ def _frequent(reps: DataFrame) -> np.ndarray:
     return mask
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct pairs (rid_a, rid_b) of the rows of reps (src_no int, rid bigint, norm string) that share a block. rid must be durable."""
     spark = reps.sparkSession
     packed_stop = np.packbits(_frequent(reps)).tobytes()  # 32 KB, whatever the corpus
-    width = shuffle_width(spark)
+    width, most = shuffle_width(spark), most_differing(SKETCH, threshold)
     ranges = max(width, reps.count() * BLOCKS // RANGE_ENTRIES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +260,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             for i in range(0, len(at), EMIT):
                 one = at[i : i + EMIT]
                 if sketches is not None:
-                    one = one[np.bitwise_count(sketches[order[one]] ^ sketches[order[one + step]]).sum(1, dtype=np.int64) <= MOST_DIFFERING]
+                    one = one[np.bitwise_count(sketches[order[one]] ^ sketches[order[one + step]]).sum(1, dtype=np.int64) <= most]
                 a, b = rid[one], rid[one + step]
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 if len(one):
@@ -306,12 +347,15 @@ def _near(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(one row per different text, pairs of the different texts that are near), by rid."""
     own = F.xxhash64("id")
     reps = rows.groupBy("src_no", "norm").agg((F.min(own) != F.max(own)).alias("copied"))
-    reps = _written_once(_hashed(reps).withColumn("rid", F.monotonically_increasing_id()), "texts")
-    found = _written_once(candidates(reps), "candidates")
-    texts = reps.select("rid", "norm")
-    a, b = (texts.select(F.col("rid").alias(f"rid_{x}"), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-    pairs = found.join(a, "rid_a").join(b, "rid_b").where(_verified(threshold)("norm_a", "norm_b")).select("rid_a", "rid_b")
-    return reps, _written_once(pairs, "near_texts")
+    reps = _written_once(_hashed(reps).withColumns({"rid": F.monotonically_increasing_id(), "signs": signs_udf("norm")}), "texts")
+    of = lambda c, x: reps.select(F.col("rid").alias(f"rid_{x}"), F.col(c).alias(f"{c}_{x}"))
+    differing = sum((F.bit_count(F.get("signs_a", F.lit(i)).bitwiseXOR(F.get("signs_b", F.lit(i)))) for i in range(SIGN // 64)), F.lit(0))
+    found = candidates(reps, threshold).join(of("signs", "a"), "rid_a").join(of("signs", "b"), "rid_b").where(differing <= most_differing(SIGN, threshold)).select("rid_a", "rid_b")
+    found = _written_once(found, "candidates")
+    pairs = found.join(of("norm", "a"), "rid_a").join(of("norm", "b"), "rid_b").where(_verified(threshold)("norm_a", "norm_b")).select("rid_a", "rid_b")
+    near = _written_once(pairs, "near_texts")
+    forget(found)
+    return reps, near
 
 
 def near_duplicate_pairs(tables: dict[str, tuple[DataFrame, str, str]], threshold: float = THRESHOLD) -> DataFrame:
