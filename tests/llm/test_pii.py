@@ -97,3 +97,15 @@ def test_figures_are_left_out(spark):
     spans = spark.createDataFrame([(1, "NAME", "Ivo Tregarrow"), (1, "NAME", "Kes Kellford"), (1, "EMAIL", "kes kellford")], "doc_id int, kind string, found string")
     figures = spark.createDataFrame([("KES KELLFORD",), (None,)], "name string")
     assert {(r.kind, r.found) for r in pii.without_figures(spans, figures).collect()} == {("NAME", "Ivo Tregarrow"), ("EMAIL", "kes kellford")}
+
+
+def test_runtime_and_numpy_score_alike():
+    """Windows of unequal lengths, more than one batch of the runtime's, characters outside the tables."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab1@．张號 \n\U0001f600é") for _ in range(rng.randrange(0, 900))) for _ in range(90)]
+    fast = pii._model(pii.MODEL)
+    assert fast.session is not None
+    plain = pii.Model(fast.w, runtime=False)
+    assert all((a == b).all() for a, b in zip(fast.tag_texts(texts), plain.tag_texts(texts)))
+    symbols = np.array(rng.choices(range(1, pii.BUCKETS * pii.CLASSES), k=50 * 7), np.int32).reshape(50, 7)
+    assert np.abs(fast.scores(symbols, [50] * 7) - plain.scores(symbols, [50] * 7)).max() < 1e-3
