@@ -51,7 +51,7 @@ ROWS, BLOCKS = 5, 56
 #: A run is frequent if it is in more than this share of the different texts, and in more than so many.
 STOP_SHARE, STOP_TEXTS = 0.04, 200
 #: Frequent symbols that make a block weak; bits of its sketch.
-WEAK_FROM, SKETCH = 2, 192
+WEAK_FROM, SKETCH = 2, 128
 #: Bits of a text's own fingerprint.
 SIGN = 192
 BUCKET_BITS = 18
