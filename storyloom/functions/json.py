@@ -45,3 +45,11 @@ def aliases(text: Column) -> Column:
     """A JSON list of names, trimmed, once each; anything else is the empty list."""
     names = F.transform(F.from_json(text, "array<string>"), lambda x: F.trim(x))
     return F.coalesce(F.array_distinct(F.filter(names, lambda x: F.coalesce(x, F.lit("")) != "")), F.array().cast("array<string>"))
+
+
+def loose_text(value: Column) -> Column:
+    """A JSON value of any kind as text: a list's items that say something by commas, null and text that is no JSON as '', an object as JSON text."""
+    items = F.filter(F.from_json(value, "array<string>"), lambda x: F.coalesce(x, F.lit("")).isin("", "0", "0.0", "false", "[]", "{}") == F.lit(False))
+    kind = F.substring(F.ltrim(value), 1, 1)
+    text = F.when(kind == "[", F.array_join(items, ", ")).when(kind == '"', F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).when(F.trim(value) == "null", "").otherwise(F.trim(value))
+    return F.when(F.try_parse_json(value).isNull(), "").otherwise(F.coalesce(text, F.lit("")))

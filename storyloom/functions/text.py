@@ -75,6 +75,12 @@ def initial(text: str | None) -> str:
     return GBK_INITIALS[bisect_right([start for start, _ in GBK_INITIALS], code) - 1][1]
 
 
+def initial_sql(name: str) -> str:
+    """initial for DuckDB, of an expression in a query that joins the one row of the view {initials} as ini."""
+    first = f"substr({STRIPPED_SQL.format(f"coalesce({name}, '')")}, 1, 1)"
+    return f"(CASE WHEN {first} = '' THEN '#' WHEN regexp_matches({first}, '^[A-Za-z0-9]$') THEN upper({first}) WHEN regexp_matches({first}, '^[\\x00-\\x7f]$') THEN '#' ELSE coalesce(ini.m[{first}], '#') END)"
+
+
 @pandas_udf(StringType())
 def initial_udf(texts: pd.Series) -> pd.Series:
     places, unique = pd.factorize(texts.fillna(""))
@@ -106,12 +112,23 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, max(most - 3, 0)), F.lit("..."[:most]))).otherwise(text)
 
 
+# Words by which a question asks for the timeline or for hints, and what is said where a volume begins.
+TIMELINE_WORDS, HINT_WORDS = r"第\s*\d+\s*章|什么时候|时间线|顺序|经过", "伏笔|悬念|线索|未解|铺垫"
+VOLUME = "新一卷《{book_title}》开始了。故事延续自世界观「{work_title}」。"
+
+
 def asks_for_timeline(text: Column) -> Column:
-    return text.rlike(r"第\s*\d+\s*章|什么时候|时间线|顺序|经过")
+    return text.rlike(TIMELINE_WORDS)
 
 
 def asks_for_hints(text: Column) -> Column:
-    return text.rlike("伏笔|悬念|线索|未解|铺垫")
+    return text.rlike(HINT_WORDS)
+
+
+def volume_prompt(book: Column, work: Column, own: Column | None = None) -> Column:
+    """What is said where a volume begins; a prompt of its own, if not blank, takes its place."""
+    said = F.replace(F.replace(F.lit(VOLUME), F.lit("{book_title}"), F.coalesce(book, F.lit(""))), F.lit("{work_title}"), F.coalesce(work, F.lit("")))
+    return said if own is None else F.coalesce(F.nullif(own, F.lit("")), said)
 
 
 def chapters_asked_for(text: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 MARGIN, GAP, LOOSE = 300, 80, 80
+#: Fixed value: what stands between texts that were not found and the beginning of the content.
+FALLBACK = "\n\n--- 原章片段兜底 ---\n"
 
 
 def _place(content: str, wanted: str) -> tuple[int, int] | None:
@@ -25,7 +27,8 @@ def _place(content: str, wanted: str) -> tuple[int, int] | None:
 def focus_passages(content: str | None, wanted: list[str | None] | None, most: int) -> str:
     """The paragraphs that hold the wanted texts with MARGIN characters on both sides, those closer than GAP joined, cut to `most`.
 
-    Nothing wanted: the end of the content. Nothing found: the wanted texts themselves, then the beginning of the content. Null content: ''.
+    A paragraph ends at a blank line; where there is none before or after, at a line end. Nothing wanted: the end of the content. Nothing found: the wanted texts themselves, a line
+    that says so, then the beginning of the content. Null content: ''.
     """
     content = content or ""
     texts = [t.strip() for t in wanted if t and t.strip()] if wanted is not None else []
@@ -36,11 +39,11 @@ def focus_passages(content: str | None, wanted: list[str | None] | None, most: i
     spans = []
     for place in filter(None, (_place(content, t) for t in texts)):
         a, b = place
-        start = max(content.rfind("\n", 0, a) + 1, 0)
-        end = content.find("\n", b)
+        start = next((at + 1 for mark in ("\n\n", "\n") if (at := content.rfind(mark, 0, a)) >= 0), 0)
+        end = next((at for mark in ("\n\n", "\n") if (at := content.find(mark, b)) >= 0), -1)
         spans.append([max(0, start - MARGIN), min(len(content), (len(content) if end < 0 else end) + MARGIN)])
     if not spans:
-        return ("\n".join(texts) + "\n\n" + content)[:most]
+        return ("\n".join(texts) + FALLBACK + content[:most])[:most]
     merged: list[list[int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1] + GAP:

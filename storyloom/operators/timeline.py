@@ -5,22 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions.prefix import running
+from storyloom.operators.changes import upserted
+from storyloom.schemas import DEFAULTS
+
 UNPLACED = 9999
+# Titles of events without a segment, laid out or not.
+MAIN_TITLE, NARRATED_TITLE = "主线", "叙述顺序"
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """events (id, book_id, idx, created_at, story_order, lane) with `place`, from 1, in the whole book: by story order (else idx * 1000), lane (else 0), idx, time and id; nulls first."""
+    order = [F.coalesce("story_order", F.col("idx") * 1000), F.coalesce("lane", F.lit(0)), F.col("idx"), F.col("created_at"), F.col("id")]
+    return running(events, ["book_id"], order, {}, "place")
 
 
 def with_defaults(events: DataFrame) -> DataFrame:
-    """Layout values of events (consequence, idx, seq and nullable meta columns); seq is the event's place, from 0, in its chapter.
+    """Layout values of events (in_order(), with consequence and nullable meta columns).
 
-    Without meta: order idx * 1000 + 10 * seq (idx 9999 where it is null), importance 3 with a consequence else 2,
+    Without meta: order idx * 1000 + 10 * place (idx 9999 where it is null), importance 3 with a consequence else 2,
     zoom 1 from importance 4 on else 2, segment 'main', confidence 0.5, status 'fallback'.
     """
-    importance = F.coalesce("importance", F.when(F.coalesce(F.trim("consequence"), F.lit("")) != "", 3).otherwise(2))
-    status, confidence = F.coalesce("status", F.lit("fallback")), F.coalesce("confidence", F.lit(0.5))
+    importance = F.coalesce("importance", F.when(F.coalesce("consequence", F.lit("")) != "", 3).otherwise(2))
+    or_else = lambda c, d: F.coalesce(F.nullif(c, F.lit("")), F.lit(d))
+    status, confidence = or_else("status", "fallback"), F.coalesce("confidence", F.lit(0.5))
     return events.select(
         "id", "book_id", "chapter_id", "idx",
-        F.coalesce("story_order", F.coalesce("idx", F.lit(UNPLACED)) * 1000 + 10 * F.col("seq")).cast("bigint").alias("story_order"),
+        F.coalesce("story_order", F.coalesce("idx", F.lit(UNPLACED)) * 1000 + 10 * F.col("place")).cast("bigint").alias("story_order"),
         F.coalesce("lane", F.lit(0)).alias("lane"), importance.alias("importance"), F.coalesce("zoom_level", F.when(importance >= 4, 1).otherwise(2)).alias("zoom_level"),
-        F.coalesce("segment_id", F.lit("main")).alias("segment_id"), status.alias("status"), ((confidence < 0.7) | (status == "fallback")).alias("uncertain"),
+        or_else("segment_id", "main").alias("segment_id"), or_else("segment_title", MAIN_TITLE).alias("segment_title"), status.alias("status"), ((confidence < 0.7) | (status == "fallback")).alias("uncertain"),
+    )
+
+
+def fallback_arrangement(events: DataFrame) -> DataFrame:
+    """Meta rows for the events of in_order() that have no story order yet: ten times their place from 0, importance by consequence; events laid out before keep theirs and get no row."""
+    return events.where("story_order IS NULL").select(
+        F.col("id").alias("event_id"), "book_id", ((F.col("place") - 1) * 10).alias("story_order"), F.lit("main").alias("segment_id"), F.lit(NARRATED_TITLE).alias("segment_title"), F.lit(0).alias("lane"),
+        F.when(F.coalesce("consequence", F.lit("")) != "", 3).otherwise(2).alias("importance"), F.lit(2).alias("zoom_level"), F.lit(0.45).alias("confidence"), F.lit("fallback").alias("status"),
+    )
+
+
+def catalog(events: DataFrame, most: int = 180) -> DataFrame:
+    """What a layout is asked for: the first `most` events of every book (in_order(), with chapter_title and their columns) and where they were put before."""
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    before = lambda c: F.col(c).alias(f"previous_{c}")
+    return events.where(F.col("place") <= most).select(
+        "id", "book_id", "place", (F.col("idx") + 1).alias("chapter"), *map(blank, ("chapter_title", "story_time", "who", "what")), F.coalesce("where_loc", F.lit("")).alias("where"), *map(blank, ("why", "consequence")),
+        before("story_order"), F.coalesce("segment_id", F.lit("")).alias("previous_segment_id"), F.coalesce("segment_title", F.lit("")).alias("previous_segment_title"), before("lane"), before("importance"), before("zoom_level"), F.coalesce("status", F.lit("")).alias("previous_status"),
     )
 
 
@@ -56,18 +87,33 @@ def clamped(value: Column, low: int, high: int, default: int) -> Column:
 
 
 def placed(placements: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Placements (event_id, story_order, lane, importance, zoom_level as text) of known events, clamped; order and lane a user set stay."""
+    """Placements (event_id, story_order, lane, importance, zoom_level, confidence as text) of known events as meta rows, numbers clamped or set to their default.
+
+    An event placed by a user keeps its order and lane and is certain; unknown events are refused. catalog: (id, book_id, status, story_order, lane), the last two as stored.
+    """
     known = catalog.select(F.col("id").alias("event_id"), "book_id", F.col("status").alias("_status"), F.col("story_order").alias("_order"), F.col("lane").alias("_lane"))
     by_user = F.coalesce(F.col("_status") == "user", F.lit(False))
+    number = lambda c, d: F.coalesce(F.col(c).try_cast("int"), F.lit(d))
+    sure = F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.5))
     return placements.join(known, "event_id").select(
-        "event_id", "book_id",
-        F.when(by_user, F.col("_order")).otherwise(clamped(F.col("story_order"), 0, 10**9, 0)).alias("story_order"),
-        F.when(by_user, F.col("_lane")).otherwise(clamped(F.col("lane"), 0, 20, 0)).alias("lane"),
+        "event_id", "book_id", F.when(by_user, F.coalesce("_order", number("story_order", 0))).otherwise(number("story_order", 0)).alias("story_order"),
+        F.when(by_user, F.coalesce("_lane", number("lane", 0))).otherwise(number("lane", 0)).alias("lane"),
         clamped(F.col("importance"), 1, 5, 2).alias("importance"), clamped(F.col("zoom_level"), 0, 2, 2).alias("zoom_level"),
-        F.when(by_user, "user").otherwise("ai").alias("status"),
+        F.when(by_user, F.greatest(sure, F.lit(1.0))).otherwise(sure).alias("confidence"), F.when(by_user, "user").otherwise("ai").alias("status"),
     )
 
 
+def meta_upserted(meta: DataFrame, changes: DataFrame, events: DataFrame) -> DataFrame:
+    """Meta rows with changes put in by event_id: a null keeps the old value, a new row takes the defaults, a change without a status is one by 'ai', events that are not there are refused."""
+    known = changes.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi").withColumn("status", F.coalesce("status", F.lit("ai")))
+    return upserted(meta, known, ["event_id"], DEFAULTS["timeline_event_meta"])
+
+
+def without_ai_relations(relations: DataFrame) -> DataFrame:
+    """Relations that were not set by 'ai'."""
+    return relations.where("status IS DISTINCT FROM 'ai'")
+
+
 def relations_checked(relations: DataFrame, catalog: DataFrame) -> DataFrame:
     """Relations whose source is known; an unknown target becomes null."""
     ids = catalog.select(F.col("id").alias("source_event_id"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions.prefix import running
+from storyloom.functions.text import content_hash
 from storyloom.session import shuffle_width, written
 
 #: Vectors in a block that is multiplied at once, and queries in a block.
@@ -21,16 +24,15 @@ FIT_ROWS = 20_000
 _TOKENS = re.compile(r"[一-鿿]|[a-z0-9_]+")
 
 
-def valid(vector: Column) -> Column:
-    """Not empty, every value a finite number, and not all zero."""
+def storable(vector: Column) -> Column:
+    """Not empty, every value a finite number."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return (F.size(vector) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
+    return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 minus the cosine, in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))
+def valid(vector: Column) -> Column:
+    """Storable and not all zero, so that it has a direction."""
+    return storable(vector) & F.exists(vector, lambda x: x != 0)
 
 
 def _packed(rows: DataFrame, block: int) -> DataFrame:
@@ -173,16 +175,67 @@ def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, probed: flo
     return found.unionByName(nearest(queries.where(other), vectors.where(other), k))
 
 
+def hash_embeddings(texts: list[str], dimensions: int = DIMENSIONS) -> list[np.ndarray]:
+    """Words, ideographs and their runs of two and three, each adding 1 or -1 at a place given by its hash; unit length. A text without any is the zero vector. Each different feature is hashed once."""
+    known: dict[str, int] = {}
+
+    def place(feature: str) -> int:  # twice the place, and one more for -1
+        digest = hashlib.blake2b(feature.encode(), digest_size=8).digest()
+        return known.setdefault(feature, 2 * (int.from_bytes(digest[:4], "little") % dimensions) + digest[4] % 2)
+
+    out = []
+    for text in texts:
+        tokens = _TOKENS.findall((text or "").lower())
+        features = [*tokens, *map("".join, zip(tokens, tokens[1:])), *map("".join, zip(tokens, tokens[1:], tokens[2:]))]
+        at = np.array([known[f] if f in known else place(f) for f in features], np.int64)
+        vector = np.bincount(at >> 1, 1.0 - 2 * (at & 1), dimensions).astype(np.float32) if len(at) else np.zeros(dimensions, np.float32)
+        norm = np.linalg.norm(vector)
+        out.append(vector / norm if norm else vector)
+    return out
+
+
 def hash_embedding(text: str, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Words, ideographs and their runs of two and three, each adding 1 or -1 at a place given by its hash; unit length. '' is the zero vector."""
-    tokens = _TOKENS.findall((text or "").lower())
-    vector = np.zeros(dimensions, np.float32)
-    for n in (1, 2, 3):
-        for i in range(len(tokens) - n + 1):
-            digest = hashlib.blake2b("".join(tokens[i : i + n]).encode(), digest_size=8).digest()
-            vector[int.from_bytes(digest[:4], "little") % dimensions] += 1 - 2 * (digest[4] % 2)
-    norm = np.linalg.norm(vector)
-    return vector / norm if norm else vector
+    return hash_embeddings([text], dimensions)[0]
+
+
+#: The backend that is always there; others are given as functions of a list of texts.
+HASH_BACKEND = f"hash{DIMENSIONS}"
+
+
+def answered(results: list[dict]) -> list[list[float]]:
+    """Vectors of an embedding service's answer ({index, embedding}), in the order asked for, whatever order they came in; a gap or repeat raises."""
+    ordered = sorted(results, key=lambda r: r["index"])
+    if [r["index"] for r in ordered] != list(range(len(ordered))):
+        raise ValueError("an answer is missing or given twice")
+    return [r["embedding"] for r in ordered]
+
+
+class Backend:
+    """A model backend for `embedded`, made once in a worker by `make`; where that fails, or fails twice for a batch, the hash embedding stands in from then on."""
+
+    def __init__(self, make: Callable[[], Callable[[list[str]], list]], batch: int = 64) -> None:
+        self.make, self.batch, self.embed = make, batch, None
+
+    def __getstate__(self):
+        return self.make, self.batch
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def __call__(self, texts: list[str]) -> list:
+        out: list = []
+        for i in range(0, len(texts), self.batch):
+            part = texts[i : i + self.batch]
+            for last in (False, True):
+                try:
+                    self.embed = self.embed or self.make()
+                    out += self.embed(part)
+                    break
+                except Exception:  # noqa: BLE001  a backend may fail in any way
+                    if last:
+                        self.embed = hash_embeddings
+                        return hash_embeddings(texts)  # all of one kind
+        return out
 
 
 def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[np.ndarray]] | None = None) -> DataFrame:
@@ -191,7 +244,7 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[np.ndarray]] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            vectors = embed(texts) if embed else [hash_embedding(t) for t in texts]
+            vectors = embed(texts) if embed else hash_embeddings(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() if hasattr(v, "tolist") else v for v in vectors], pa.list_(pa.float32()))], ["id", "vector"])
 
     return chunks.select("id", "text").mapInArrow(run, "id string, vector array<float>")
@@ -202,12 +255,59 @@ def pruned(stored: DataFrame, expected: DataFrame) -> DataFrame:
     return stored.join(expected.select("id").distinct(), "id", "left_anti")
 
 
-def chunk_texts(entities: DataFrame, events: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(id, source_type, source_id, text) of what is embedded, by one builder for whole books and single chapters."""
-    blank = F.lit("")
-    parts = [
-        entities.select(F.concat(F.lit("ent_"), "id").alias("id"), F.lit("entity").alias("source_type"), F.col("id").alias("source_id"), F.concat_ws(" ", "canonical_name", "type", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " ")).alias("text")),
-        events.select(F.concat(F.lit("evt_"), "id").alias("id"), F.lit("event").alias("source_type"), F.col("id").alias("source_id"), F.concat_ws(" ", "story_time", "who", "what", "where_loc", "why", "consequence").alias("text")),
-        chapters.where(F.coalesce("summary", blank) != "").select(F.concat(F.lit("ch_"), "id").alias("id"), F.lit("chapter_summary").alias("source_type"), F.col("id").alias("source_id"), F.concat_ws(" ", "title", "summary").alias("text")),
-    ]
-    return parts[0].union(parts[1]).union(parts[2])
+#: Facts of an entity in one chunk; those of a hot entity make several.
+PART_FACTS = 200
+
+
+def chunk_texts(kb: dict[str, DataFrame], chapter: str | None = None) -> DataFrame:
+    """(id, book_id, source_type, source_id, text, content_hash) of what is embedded of kb (chapters, entities, mentions, events, foreshadowing, rules), by one builder for whole books and single chapters.
+
+    Done chapters with a summary; entities with their facts in order of chapter, without any they have no chunk; events; hints; rules. The facts of an entity are cut into chunks of
+    PART_FACTS, so that none outgrows a record: the first is called ent_<id>, the next ent_<id>_1 and so on. chapter: only what belongs to it - its summary, entities first seen there, its events, hints
+    planted and rules first seen there.
+    """
+    own = lambda name, column: kb[name] if chapter is None else kb[name].where(F.col(column) == chapter)
+    s = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = lambda label, c: F.when(s(c) != "", F.concat(F.lit(f" {label}: "), c)).otherwise("")
+    chunk = lambda rows, prefix, kind, text, *more: rows.select(F.concat(F.lit(prefix), "id", *more).alias("id"), "book_id", F.lit(kind).alias("source_type"), F.col("id").alias("source_id"), text.alias("text"))
+    at = kb["chapters"].select(F.col("id").alias("chapter_id"), "idx", F.col("title").alias("chapter_title"))
+    heads = own("entities", "first_chapter_id").select("id", "book_id", F.concat(F.lit("实体: "), s("canonical_name"), F.lit(" ("), s("type"), F.lit(")\n")).alias("head"))
+    facts = kb["mentions"].join(heads.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").join(at, "chapter_id", "left")
+    facts = facts.select("entity_id", "idx", "id", F.concat(F.lit("- ["), F.coalesce("chapter_title", F.lit("?")), F.lit("] "), s("fact"), F.lit("\n")).alias("line"))
+    facts = running(facts, ["entity_id"], [F.col("idx"), F.col("id")], {}).withColumn("part", F.floor((F.col("rank") - 1) / PART_FACTS).cast("int"))
+    parts = facts.groupBy(F.col("entity_id").alias("id"), "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "").alias("lines"))
+    entities = heads.join(parts, "id")
+    placed = kb["chapters"].select(F.col("id").alias("chapter_id"), "book_id", "idx")
+    events = own("events", "chapter_id").join(placed, ["chapter_id", "book_id"], "left")
+    event = F.concat(F.lit("事件: 第"), F.coalesce(F.col("idx").cast("string"), F.lit("?")), F.lit("章 "), s("who"), F.lit(" "), s("what"), said("地点", "where_loc"), said("原因", "why"), said("结果", "consequence"), said("时间", "story_time"))
+    hint = F.concat(F.when(F.col("status") == "open", "伏笔 [未解]: ").otherwise("伏笔 [已解]: "), s("hint"), F.when(s("resolution") != "", F.concat(F.lit(" → 回收: "), "resolution")).otherwise(""))
+    chunks = [
+        chunk(own("chapters", "id").where("status = 'done' AND coalesce(summary, '') <> ''"), "ch_summary_", "chapter_summary", F.concat(F.lit("章节: "), s("title"), F.lit("\n"), "summary")),
+        chunk(entities, "ent_", "entity", F.concat("head", "lines"), F.when(F.col("part") > 0, F.concat(F.lit("_"), F.col("part").cast("string"))).otherwise("")),
+        chunk(events, "ev_", "event", event), chunk(own("foreshadowing", "hint_chapter_id"), "fs_", "foreshadowing", hint),
+        chunk(own("rules", "first_chapter_id"), "rule_", "rule", F.concat(F.lit("规则: "), s("name"), F.lit(": "), s("body"))),
+    ]
+    return reduce(DataFrame.union, chunks).withColumn("content_hash", content_hash(F.col("text")))
+
+
+def refreshed(chunks: DataFrame, registry: DataFrame, vectors: DataFrame, backend_id: str = HASH_BACKEND, embed: Callable[[list[str]], list] | None = None, prune: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(vectors, registry) after the chunks (chunk_texts()) that changed were embedded.
+
+    registry: (id, content_hash, backend_id); vectors: (id, vector). A chunk registered with its hash by this backend is left alone, any other is embedded, put in the place of its old vector and
+    registered; vectors that can't be stored are refused and not registered. With prune, vectors of chunks that are no longer there go, and all of another
+    backend with them, as their chunks are embedded anew; without it (one chapter's chunks) they stay.
+    """
+    stamped = chunks.withColumn("backend_id", F.lit(backend_id))
+    fresh = stamped.join(registry, ["id", "content_hash", "backend_id"], "left_anti")
+    made = embedded(fresh, embed).where(storable(F.col("vector")))
+    kept = vectors.join(fresh.select("id"), "id", "left_anti")
+    known = registry.join(fresh.select("id"), "id", "left_anti")
+    if prune:
+        kept, known = (rows.join(chunks.select("id"), "id", "left_semi") for rows in (kept, known))
+    entries = fresh.join(made.select("id"), "id", "left_semi").select("id", "content_hash", "backend_id")
+    return kept.select("id", "vector").unionByName(made), known.select(entries.columns).unionByName(entries)
+
+
+def entity_of(chunk_id: Column) -> Column:
+    """The entity a chunk id stands for, null for other chunks."""
+    return F.nullif(F.regexp_extract(chunk_id, r"^ent_(.*?)(?:_\d{1,9})?$", 1), F.lit(""))

@@ -49,12 +49,15 @@ def stale_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("counted") != F.coalesce("stored", F.lit(-1)))
 
 
-@query("""
+SIZE_SQL = """
 SELECT book_id, CAST(sum(n) AS BIGINT) AS characters FROM (
   SELECT book_id, length(coalesce(title, '')) + length(summary) AS n FROM {kb_chapters} WHERE status = 'done' AND coalesce(summary, '') <> ''
   UNION ALL SELECT e.book_id, length(coalesce(m.fact, '')) + length(coalesce(m.snippet, '')) FROM {kb_mentions} m JOIN {kb_entities} e ON e.id = m.entity_id
   UNION ALL SELECT book_id, length(coalesce(what, '')) + length(coalesce(who, '')) FROM {kb_happenings}
-  UNION ALL SELECT book_id, length(coalesce(hint, '')) FROM {kb_foreshadowing} UNION ALL SELECT book_id, length(body) FROM {kb_rules}) GROUP BY book_id""")
+  UNION ALL SELECT book_id, length(coalesce(hint, '')) FROM {kb_foreshadowing} UNION ALL SELECT book_id, length(body) FROM {kb_rules}) GROUP BY book_id"""
+
+
+@query(SIZE_SQL)
 def kb_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each table is summed before the results meet"""
     v = lambda n, where=None: view(spark, sf_dir, n, where)
@@ -154,54 +157,9 @@ def chapters_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.latest(rows, "book_id", [F.col("prio"), F.col("idx"), F.col("id")], 12).select("id", "prio")
 
 
-@query("""
-WITH e AS (SELECT m.chapter_id, m.entity_id, count(*) AS n FROM {kb_mentions} m WHERE m.entity_id IS NOT NULL AND m.chapter_id IS NOT NULL GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY chapter_id ORDER BY n DESC, entity_id) AS r FROM e)
-SELECT t.chapter_id, right(t.content, 2200) AS tail, list(p.entity_id ORDER BY p.r) AS entities FROM {kb_texts} t JOIN top p ON p.chapter_id = t.chapter_id WHERE p.r <= 8 AND length(trim(t.content)) >= 80 GROUP BY t.chapter_id, t.content, t.title, t.idx""")
-def check_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The end of a chapter with its eight most mentioned entities"""
-    counts = view(spark, sf_dir, "kb_mentions", "entity_id IS NOT NULL AND chapter_id IS NOT NULL").groupBy("chapter_id", "entity_id").agg(F.count("*").alias("n"))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("chapter_id").orderBy(F.desc("n"), "entity_id"))).where("r <= 8")
-    lists = top.groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "entity_id"))), lambda x: x["entity_id"]).alias("entities"))
-    texts = view(spark, sf_dir, "kb_texts", F.length(F.trim("content")) >= 80)
-    return texts.join(lists, "chapter_id").select("chapter_id", F.right("content", F.lit(2200)).alias("tail"), "entities")
-
-
-@query("""
-SELECT m.chapter_id, count(DISTINCT m.entity_id) AS entities, count(*) AS facts, coalesce(max(h.n), 0) AS events, coalesce(max(f.n), 0) AS hints, least(8, coalesce(max(a.n), 0)) AS alerts FROM {kb_mentions} m
-LEFT JOIN (SELECT chapter_id, count(*) AS n FROM {kb_happenings} GROUP BY ALL) h ON h.chapter_id = m.chapter_id
-LEFT JOIN (SELECT hint_chapter_id AS chapter_id, count(*) AS n FROM {kb_foreshadowing} GROUP BY ALL) f ON f.chapter_id = m.chapter_id
-LEFT JOIN (SELECT chapter_id, count(*) AS n FROM {kb_alerts} WHERE status = 'open' GROUP BY ALL) a ON a.chapter_id = m.chapter_id WHERE m.chapter_id IS NOT NULL GROUP BY m.chapter_id""")
-def chapter_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an outline holds of each chapter; its parts are chapter_mentions, facts_by_entity, facts_before, rules_of_chapters, hints_touching"""
-    v = lambda n, where=None: view(spark, sf_dir, n, where)
-    facts = v("kb_mentions", "chapter_id IS NOT NULL").groupBy("chapter_id").agg(F.countDistinct("entity_id").alias("entities"), F.count("*").alias("facts"))
-    count = lambda rows, key, name: rows.groupBy(F.col(key).alias("chapter_id")).agg(F.count("*").alias(name))
-    out = facts.join(count(v("kb_happenings"), "chapter_id", "events"), "chapter_id", "left").join(count(v("kb_foreshadowing"), "hint_chapter_id", "hints"), "chapter_id", "left").join(count(v("kb_alerts", "status = 'open'"), "chapter_id", "alerts"), "chapter_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("chapter_id", "entities", "facts", zero("events"), zero("hints"), F.least(F.lit(8), F.coalesce("alerts", F.lit(0))).alias("alerts"))
-
-
 @query()
 def focus_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every chapter the passages around the snippets of its facts. The lists hold one chapter's different snippets."""
     snippets = view(spark, sf_dir, "kb_mentions", "chapter_id IS NOT NULL AND trim(snippet) <> ''").groupBy("chapter_id").agg(F.array_sort(F.collect_set("snippet")).alias("wanted"))
     texts = view(spark, sf_dir, "kb_texts").join(snippets, "chapter_id", "left")
     return texts.select("chapter_id", passages.passages(F.col("content"), F.col("wanted"), 6000).alias("passages"))
-
-
-@query("""
-WITH hinted AS (SELECT DISTINCT hint_chapter_id AS id FROM {kb_foreshadowing} WHERE status = 'open'),
-b AS (SELECT c.book_id, c.id, 0 AS part, CASE WHEN h.id IS NOT NULL THEN 0 ELSE 1 END AS prio, c.idx, least(length(concat('## 第 ', CAST(c.idx + 1 AS VARCHAR), ' 章: ', coalesce(c.title, ''), chr(10), c.summary)), 180) AS size
-    FROM {kb_chapters} c LEFT JOIN hinted h ON h.id = c.id WHERE c.status = 'done' AND coalesce(c.summary, '') <> '' AND c.book_id IS NOT NULL AND c.idx IS NOT NULL
-  UNION ALL SELECT book_id, id, 1, 1, 0, length(concat('## ', canonical_name, ' (', coalesce(type, ''), ')')) FROM {kb_entities} WHERE book_id IS NOT NULL AND canonical_name IS NOT NULL),
-u AS (SELECT *, CAST(sum(size) OVER (PARTITION BY book_id ORDER BY part, prio, idx, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM b)
-SELECT book_id, id, part, least(upto, 2000) - least(upto - size, 2000) AS kept FROM u WHERE least(upto, 2000) > least(upto - size, 2000)""")
-def question_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapter blocks, candidates first, then entity heads, cut to one budget a book"""
-    hinted = view(spark, sf_dir, "kb_foreshadowing", "status = 'open'").select(F.col("hint_chapter_id").alias("id"), F.lit(0).alias("prio")).distinct()
-    chapters = _blocks(spark, sf_dir).where("idx IS NOT NULL").join(hinted, "id", "left").select("book_id", "id", F.lit(0).alias("part"), F.coalesce("prio", F.lit(1)).alias("prio"), "idx", F.least("size", F.lit(180)).alias("size"))
-    heads = view(spark, sf_dir, "kb_entities", "book_id IS NOT NULL AND canonical_name IS NOT NULL")
-    heads = heads.select("book_id", "id", F.lit(1).alias("part"), F.lit(1).alias("prio"), F.lit(0).alias("idx"), F.length(F.concat(F.lit("## "), "canonical_name", F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")"))).alias("size"))
-    cut = op.cut_blocks(chapters.union(heads), "book_id", [F.col("part"), F.col("prio"), F.col("idx"), F.col("id")], 2000, 1 << 30)
-    return cut.select("book_id", "id", "part", "kept")

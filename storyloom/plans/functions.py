@@ -18,9 +18,9 @@ def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "kb_entities").select("id", text.normal_name_udf("canonical_name").alias("normal"))
 
 
-@query()
+@query(f"SELECT id, {text.initial_sql('canonical_name')} AS initial FROM {{kb_entities}} CROSS JOIN {{initials}} ini")
 def name_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F12, O6"""
+    """F12"""
     return view(spark, sf_dir, "kb_entities").select("id", text.initial_udf("canonical_name").alias("initial"))
 
 
@@ -82,6 +82,16 @@ def values_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "kb_happenings").select("id", text.joined_values(F.array("who", "where_loc", "why")).alias("joined"))
 
 
+@query("""
+SELECT id, CASE created_at % 6 WHEN 0 THEN concat_ws(', ', nullif(who, ''), '7') WHEN 1 THEN who WHEN 2 THEN '' WHEN 3 THEN '42' WHEN 4 THEN 'true' ELSE '{"a":1}' END AS said FROM {kb_happenings} WHERE who IS NOT NULL""")
+def loose_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of any kind as text"""
+    t, who = F.col("created_at") % 6, F.to_json(F.struct("who"))
+    quoted = F.regexp_extract(who, r'(?s)^\{"who":(.*)\}$', 1)
+    raw = F.when(t == 0, F.concat(F.lit("["), quoted, F.lit(', null, "", 0, 7]'))).when(t == 1, quoted).when(t == 2, "null").when(t == 3, "42").when(t == 4, "true").otherwise('{"a":1}')
+    return view(spark, sf_dir, "kb_happenings", "who IS NOT NULL").select("id", json.loose_text(raw).alias("said"))
+
+
 @query("""
 SELECT id, coalesce(nullif(substr(regexp_replace(canonical_name, '[\\\\/:*?"<>|]', '_', 'g'), 1, 100), ''), id) AS filename, CASE WHEN length(canonical_name) > 8 THEN concat(substr(canonical_name, 1, 5), '...') ELSE canonical_name END AS short FROM {kb_entities}""")
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,11 +100,11 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "kb_entities").select("id", text.safe_filename(name, F.col("id")).alias("filename"), text.shortened(name, 8).alias("short"))
 
 
-@query("SELECT id, CASE WHEN idx IS NULL THEN '?' ELSE concat('第 ', CAST(idx + 1 AS VARCHAR), ' 章') END AS label, concat('新一卷《', coalesce(title, ''), '》开始了。故事延续自世界观「', book_id, '」。') AS prompt FROM {kb_chapters} WHERE book_id IS NOT NULL")
+@query("SELECT id, CASE WHEN idx IS NULL THEN '?' ELSE concat('第 ', CAST(idx + 1 AS VARCHAR), ' 章') END AS label, CASE WHEN idx % 4 = 1 THEN concat('own: ', coalesce(title, '')) ELSE concat('新一卷《', coalesce(title, ''), '》开始了。故事延续自世界观「', book_id, '」。') END AS prompt FROM {kb_chapters} WHERE book_id IS NOT NULL")
 def chapter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F14, F30, D18"""
-    prompt = F.format_string("新一卷《%s》开始了。故事延续自世界观「%s」。", F.coalesce("title", F.lit("")), "book_id")
-    return view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL").select("id", text.chapter_label(F.col("idx")).alias("label"), prompt.alias("prompt"))
+    """A quarter with a prompt of their own"""
+    own = F.when(F.col("idx") % 4 == 1, F.concat(F.lit("own: "), F.coalesce("title", F.lit(""))))
+    return view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL").select("id", text.chapter_label(F.col("idx")).alias("label"), text.volume_prompt(F.col("title"), F.col("book_id"), own).alias("prompt"))
 
 
 @query(r"""

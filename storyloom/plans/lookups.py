@@ -95,18 +95,23 @@ def open_foreshadowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT m.chapter_id, r.id AS rule_id, r.name, m.evidence, c.idx AS first_idx FROM {kb_rule_mentions} m JOIN {kb_rules} r ON r.id = m.rule_id LEFT JOIN {kb_chapters} c ON c.id = r.first_chapter_id
+SELECT m.chapter_id, r.id AS rule_id, r.name, m.evidence, c.idx AS first_idx FROM {kb_rule_mentions} m JOIN {kb_rules} r ON r.id = m.rule_id LEFT JOIN {kb_chapters} c ON c.id = r.first_chapter_id WHERE m.chapter_id IS NOT NULL
 UNION ALL
 SELECT r.first_chapter_id, r.id, r.name, NULL, c.idx FROM {kb_rules} r LEFT JOIN {kb_chapters} c ON c.id = r.first_chapter_id
 WHERE r.first_chapter_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {kb_rule_mentions} m WHERE m.rule_id = r.id AND m.chapter_id = r.first_chapter_id)""")
 def rules_of_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With rules first seen in a chapter that have no mention there"""
+    return chapter_rules(spark, sf_dir).select("chapter_id", "rule_id", "name", "evidence", "first_idx")
+
+
+def chapter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chapter_id, rule_id, name, body, evidence, first_idx)"""
     firsts = _chapters(spark, sf_dir, F.col("idx").alias("first_idx")).withColumnRenamed("chapter_id", "first_chapter_id")
-    rules = view(spark, sf_dir, "kb_rules").select(F.col("id").alias("rule_id"), "name", "first_chapter_id").join(firsts, "first_chapter_id", "left")
+    rules = view(spark, sf_dir, "kb_rules").select(F.col("id").alias("rule_id"), "name", "body", "first_chapter_id").join(firsts, "first_chapter_id", "left")
     mentions = view(spark, sf_dir, "kb_rule_mentions").select("rule_id", "chapter_id", "evidence")
-    seen = mentions.join(rules, "rule_id").select("chapter_id", "rule_id", "name", "evidence", "first_idx")
+    seen = mentions.join(rules, "rule_id").where("chapter_id IS NOT NULL").select("chapter_id", "rule_id", "name", "body", "evidence", "first_idx")
     legacy = rules.where(F.col("first_chapter_id").isNotNull()).withColumnRenamed("first_chapter_id", "chapter_id").join(mentions, ["rule_id", "chapter_id"], "left_anti")
-    return seen.union(legacy.select("chapter_id", "rule_id", "name", F.lit(None).cast("string"), "first_idx"))
+    return seen.union(legacy.select("chapter_id", "rule_id", "name", "body", F.lit(None).cast("string"), "first_idx"))
 
 
 @query("""

@@ -91,7 +91,8 @@ def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 SELECT d.id, d.table_name, d.record_id, f.field FROM (SELECT id, {_LOGGED} AS table_name, record_id FROM kb_deletions) d CROSS JOIN (SELECT unnest({list(_FIELDS)}) AS field) f
 WHERE (d.table_name = 'entities' AND f.field IN ('canonical_name', 'type', 'aliases', 'first_chapter_id')) OR (d.table_name = 'mentions' AND f.field IN ('fact', 'snippet', 'chapter_id'))
-  OR (d.table_name = 'events' AND f.field IN ('story_time', 'who', 'what', 'where_loc', 'why', 'consequence', 'chapter_id'))""")
+  OR (d.table_name = 'events' AND f.field IN ('story_time', 'who', 'what', 'where_loc', 'why', 'consequence', 'chapter_id'))
+  OR (d.table_name = 'foreshadowing' AND f.field IN ('hint', 'status', 'resolved_chapter_id', 'resolution', 'hint_chapter_id')) OR (d.table_name = 'rules' AND f.field IN ('name', 'body', 'first_chapter_id'))""")
 def editable_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of fifteen fields of every logged record may be edited"""
     fields = F.explode(F.array(*map(F.lit, _FIELDS))).alias("field")

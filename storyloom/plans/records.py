@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.functions.prefix import running
 from storyloom.operators import pages as web
 from storyloom.operators import provenance as op
 from storyloom.plans.base import registry
@@ -13,25 +12,53 @@ from storyloom.sources.views import view
 
 QUERIES, SQL, query = registry()
 
-# a history of every book: one event for a chapter; some have a wrong hash, link or author
-_HISTORY = """
-(SELECT book_id, pos, payload, CASE WHEN idx % 13 = 5 THEN '' ELSE 'editor' END AS author, CASE WHEN idx % 17 = 3 THEN 'lost' ELSE prev END AS previous_hash,
-  CASE WHEN idx % 11 = 7 THEN 'wrong' ELSE sha256(concat(payload, '|', coalesce(CASE WHEN idx % 17 = 3 THEN 'lost' ELSE prev END, ''))) END AS event_hash
- FROM (SELECT book_id, idx, row_number() OVER (PARTITION BY book_id ORDER BY idx, id) - 1 AS pos, concat(id, coalesce(content_hash, '')) AS payload, CAST(NULL AS VARCHAR) AS prev FROM {kb_chapters} WHERE book_id IS NOT NULL AND idx IS NOT NULL))"""
-
-
-@query(f"""
-WITH h AS {_HISTORY}, c AS (SELECT h.*, lag(event_hash) OVER (PARTITION BY book_id ORDER BY pos) AS before FROM h),
-f AS (SELECT book_id, pos, CASE WHEN event_hash <> sha256(concat(payload, '|', coalesce(previous_hash, ''))) THEN 0 WHEN coalesce(previous_hash, '') <> coalesce(before, '') THEN 1 WHEN trim(author) = '' THEN 2 END AS r FROM c)
-SELECT book_id, min(pos) AS pos, CASE arg_min(r, pos) WHEN 0 THEN 'bad_event_hash' WHEN 1 THEN 'broken_link' ELSE 'no_author' END AS reason FROM f WHERE r IS NOT NULL GROUP BY book_id""")
-def history_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X2, W8"""
-    rows = view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL AND idx IS NOT NULL").select("book_id", "id", "idx", F.concat("id", F.coalesce("content_hash", F.lit(""))).alias("payload"))
-    rows = running(rows, ["book_id"], [F.col("idx"), F.col("id")], {}).withColumn("pos", F.col("rank") - 1)
-    previous = F.when(F.col("idx") % 17 == 3, "lost")
-    rows = rows.withColumn("previous_hash", previous).withColumn("author", F.when(F.col("idx") % 13 == 5, "").otherwise("editor"))
-    hashed = F.when(F.col("idx") % 11 == 7, "wrong").otherwise(F.sha2(F.concat("payload", F.lit("|"), F.coalesce("previous_hash", F.lit(""))), 256))
-    return op.chain_failures(rows.withColumn("event_hash", hashed))
+# A container of every book, with one event a chapter, chained; books are spoilt in one of eight ways, by their number of chapters.
+_SPOILT = ("bad_event_hash", "broken_link", "no_author", "files_differ", "no_manifest", "wrong_format", "unsupported_version", "no_history")
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(works, history, files) as provenance.verified() takes them. A history is chained from event to event, so one is made in one row; it is input, and as long as a book has chapters."""
+    rows = view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL AND idx IS NOT NULL").select(F.col("book_id").alias("work_id"), "id", "idx", F.coalesce("content_hash", F.lit("")).alias("hash"))
+    books = rows.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "hash"))).alias("cs")).withColumn("n", F.size("cs")).withColumn("fault", F.col("n") % 9)
+    at, one = F.floor(F.col("n") / 2).cast("int"), lambda c: F.concat(F.lit('{"path":"'), c["id"], F.lit('","sha256":"'), c["hash"], F.lit('","size":'), c["idx"].cast("string"), F.lit("}"))
+    every = F.array_join(F.transform(F.array_sort(F.transform("cs", lambda c: F.struct(c["id"].alias("id"), c["hash"].alias("hash"), c["idx"].alias("idx")))), one), ",")
+
+    def step(acc, pos):
+        spoilt = lambda k: (F.col("fault") == k) & (pos == at)
+        files = F.when(pos == F.col("n") - 1, every).otherwise(one(F.get("cs", pos)))
+        previous = F.when(spoilt(2), "lost").otherwise(acc["hash"])
+        body = F.concat(F.lit('{"author":"'), F.when(spoilt(3), " ").otherwise("editor"), F.lit('","changed_files":['), files, F.lit('],"previous_event_hash":"'), previous, F.lit('"'))
+        own = F.sha2(F.concat(body, F.lit("}")), 256)
+        line = F.concat(body, F.lit(',"event_hash":"'), F.when(spoilt(1), "wrong").otherwise(own), F.lit('"}'))
+        return F.struct(own.alias("hash"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+
+    start = F.struct(F.lit("").alias("hash"), F.array().cast("array<string>").alias("lines"))
+    chained = books.withColumn("lines", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), start, step)["lines"])
+    history = chained.where("fault <> 8").select("work_id", F.posexplode("lines").alias("pos", "line"))
+    manifest = F.when(F.col("fault") == 6, '{"format_name": "zip", "format_version": 2}').when(F.col("fault") == 7, '{"format_name": "coo", "format_version": 3}').when(F.col("fault") != 5, '{"format_name": "coo", "format_version": 2}')
+    files = books.select("work_id", "fault", F.explode("cs").alias("c")).select("work_id", F.col("c.id").alias("path"), F.when(F.col("fault") == 4, F.concat("c.hash", F.lit("?"))).otherwise(F.col("c.hash")).alias("sha256"), F.col("c.idx").alias("size"))
+    return books.select("work_id", manifest.alias("manifest")), history, files
+
+
+@query("""
+SELECT work_id, fault = 0 AS ok, CASE fault WHEN 1 THEN 'bad_event_hash' WHEN 2 THEN 'broken_link' WHEN 3 THEN 'no_author' WHEN 4 THEN 'files_differ' WHEN 5 THEN 'no_manifest' WHEN 6 THEN 'wrong_format' WHEN 7 THEN 'unsupported_version' WHEN 8 THEN 'no_history' END AS reason,
+  CASE WHEN fault IN (1, 2, 3) THEN n // 2 WHEN fault = 4 THEN n - 1 END AS pos
+FROM (SELECT book_id AS work_id, CAST(count(*) AS INT) AS n, count(*) % 9 AS fault FROM {kb_chapters} WHERE book_id IS NOT NULL AND idx IS NOT NULL GROUP BY book_id)""")
+def containers_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six conditions, each broken in some books at a place that is known"""
+    return op.verified(*_containers(spark, sf_dir))
+
+
+@query("""
+WITH was AS (SELECT book_id AS work_id, string_agg(concat('{"path":"', id, '","sha256":"', coalesce(content_hash, ''), '","size":', CAST(idx AS VARCHAR), '}'), ',' ORDER BY id) AS files, sha256(book_id) AS event_hash FROM {kb_chapters} WHERE book_id IS NOT NULL AND idx IS NOT NULL GROUP BY ALL),
+now AS (SELECT book_id AS work_id, string_agg(concat('{"path":"', id, '","sha256":"', coalesce(CASE WHEN idx % 7 = 6 THEN 'edited' ELSE content_hash END, ''), '","size":', CAST(idx AS VARCHAR), '}'), ',' ORDER BY id) AS files FROM {kb_chapters} WHERE book_id IS NOT NULL AND idx IS NOT NULL GROUP BY ALL)
+SELECT n.work_id, 5 AS pos, sha256(concat('{"author":"editor","changed_files":[', n.files, '],"previous_event_hash":"', w.event_hash, '"}')) AS event_hash FROM now n JOIN was w ON w.work_id = n.work_id WHERE n.files <> w.files""")
+def history_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event for every book of which a chapter changed, none for the others"""
+    rows = view(spark, sf_dir, "kb_chapters", "book_id IS NOT NULL AND idx IS NOT NULL").select(F.col("book_id").alias("work_id"), F.col("id").alias("path"), F.coalesce("content_hash", F.lit("")).alias("sha256"), F.col("idx").cast("bigint").alias("size"))
+    last = rows.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("path", "sha256", "size"))).alias("files")).withColumns({"pos": F.lit(4), "event_hash": F.sha2("work_id", 256)})
+    edited = rows.withColumn("sha256", F.when(F.col("size") % 7 == 6, "edited").otherwise(F.col("sha256")))
+    return op.appended(last, edited, "editor").select("work_id", "pos", F.get_json_object("line", "$.event_hash").alias("event_hash"))
 
 
 @query("SELECT concat('chapters/', chapter_id, '.txt') AS path, sha256(content) AS sha256, CAST(octet_length(encode(content)) AS INT) AS size FROM {kb_texts} WHERE content IS NOT NULL AND chapter_id IS NOT NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators import timeline as op
@@ -12,29 +12,41 @@ from storyloom.sources.views import view
 QUERIES, SQL, query = registry()
 
 _EVENTS = """
-(SELECT h.id, h.book_id, h.chapter_id, c.idx, h.consequence, m.lane, m.segment_id, m.status, m.confidence, m.story_order, m.importance, m.zoom_level,
-   row_number() OVER (PARTITION BY h.book_id, h.chapter_id ORDER BY h.created_at, h.id) - 1 AS seq
+(SELECT h.*, c.idx, c.title AS chapter_title, m.lane, m.segment_id, m.segment_title, m.status, m.confidence, m.story_order, m.importance, m.zoom_level,
+   row_number() OVER (PARTITION BY h.book_id ORDER BY coalesce(m.story_order, c.idx * 1000) NULLS FIRST, coalesce(m.lane, 0), c.idx NULLS FIRST, h.created_at NULLS FIRST, h.id) AS place
  FROM {kb_happenings} h LEFT JOIN {kb_chapters} c ON c.id = h.chapter_id AND c.book_id = h.book_id LEFT JOIN {kb_timeline_meta} m ON m.event_id = h.id)"""
-_IMPORTANCE = "coalesce(importance, CASE WHEN trim(coalesce(consequence, '')) <> '' THEN 3 ELSE 2 END)"
+_IMPORTANCE = "coalesce(importance, CASE WHEN coalesce(consequence, '') <> '' THEN 3 ELSE 2 END)"
 _LAID = f"""
-(SELECT id, book_id, chapter_id, idx, CAST(coalesce(story_order, coalesce(idx, 9999) * 1000 + 10 * seq) AS BIGINT) AS story_order, coalesce(lane, 0) AS lane, {_IMPORTANCE} AS importance,
-   coalesce(zoom_level, CASE WHEN {_IMPORTANCE} >= 4 THEN 1 ELSE 2 END) AS zoom_level, coalesce(segment_id, 'main') AS segment_id, coalesce(status, 'fallback') AS status,
+(SELECT id, book_id, chapter_id, idx, CAST(coalesce(story_order, coalesce(idx, 9999) * 1000 + 10 * place) AS BIGINT) AS story_order, coalesce(lane, 0) AS lane, {_IMPORTANCE} AS importance,
+   coalesce(zoom_level, CASE WHEN {_IMPORTANCE} >= 4 THEN 1 ELSE 2 END) AS zoom_level, coalesce(segment_id, 'main') AS segment_id, coalesce(segment_title, '主线') AS segment_title, coalesce(status, 'fallback') AS status,
    coalesce(confidence, 0.5) < 0.7 OR coalesce(status, 'fallback') = 'fallback' AS uncertain FROM {_EVENTS})"""
 
 
-def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = view(spark, sf_dir, "kb_chapters").select(F.col("id").alias("chapter_id"), "book_id", "idx")
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = view(spark, sf_dir, "kb_chapters").select(F.col("id").alias("chapter_id"), "book_id", "idx", F.col("title").alias("chapter_title"))
     meta = view(spark, sf_dir, "kb_timeline_meta").drop("book_id").withColumnRenamed("event_id", "id")
-    seq = F.row_number().over(Window.partitionBy("book_id", "chapter_id").orderBy("created_at", "id")) - 1
-    return op.with_defaults(view(spark, sf_dir, "kb_happenings").withColumn("seq", seq).join(chapters, ["chapter_id", "book_id"], "left").join(meta, "id", "left"))
+    return op.in_order(view(spark, sf_dir, "kb_happenings").join(chapters, ["chapter_id", "book_id"], "left").join(meta, "id", "left"))
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.with_defaults(_ordered(spark, sf_dir))
 
 
-@query(f"SELECT id, story_order, lane, importance, zoom_level, segment_id, status, uncertain FROM {_LAID}")
+@query(f"SELECT id, story_order, lane, importance, zoom_level, segment_id, segment_title, status, uncertain FROM {_LAID}")
 def timeline_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F20, W2, C3"""
+    """F20, W2"""
     return _laid(spark, sf_dir).drop("book_id", "chapter_id", "idx")
 
 
+@query(f"""
+SELECT id, book_id, place, idx + 1 AS chapter, coalesce(chapter_title, '') AS chapter_title, coalesce(story_time, '') AS story_time, coalesce(who, '') AS who, coalesce(what, '') AS what, coalesce(where_loc, '') AS "where", coalesce(why, '') AS why, coalesce(consequence, '') AS consequence,
+  story_order AS previous_story_order, coalesce(segment_id, '') AS previous_segment_id, coalesce(segment_title, '') AS previous_segment_title, lane AS previous_lane, importance AS previous_importance, zoom_level AS previous_zoom_level, coalesce(status, '') AS previous_status
+FROM {_EVENTS} WHERE place <= 180""")
+def timeline_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 180 events of every book, as a layout is asked for"""
+    return op.catalog(_ordered(spark, sf_dir))
+
+
 @query(f"""
 WITH laid AS (SELECT * FROM {_LAID}), marked AS (SELECT *, max(CASE WHEN importance >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id) AS any_shown,
   row_number() OVER (PARTITION BY book_id, segment_id ORDER BY story_order, id) AS n FROM laid)
@@ -65,41 +77,56 @@ def timeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT id, (row_number() OVER (PARTITION BY book_id ORDER BY story_order, id)) * 10 AS story_order, CASE WHEN importance >= 3 THEN 3 ELSE 2 END AS importance, 0.45::DOUBLE AS confidence FROM {_LAID}""")
+SELECT id AS event_id, book_id, (place - 1) * 10 AS story_order, 'main' AS segment_id, '叙述顺序' AS segment_title, 0 AS lane, CASE WHEN coalesce(consequence, '') <> '' THEN 3 ELSE 2 END AS importance, 2 AS zoom_level, 0.45::DOUBLE AS confidence, 'fallback' AS status
+FROM {_EVENTS} WHERE story_order IS NULL""")
 def fallback_arrangement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4, W2"""
-    from storyloom.functions.prefix import running
-
-    rows = running(_laid(spark, sf_dir).select("id", "book_id", "story_order", "importance"), ["book_id"], [F.col("story_order"), F.col("id")], {})
-    return rows.select("id", (F.col("rank") * 10).alias("story_order"), F.when(F.col("importance") >= 3, 3).otherwise(2).alias("importance"), F.lit(0.45).alias("confidence"))
+    return op.fallback_arrangement(_ordered(spark, sf_dir))
 
 
-_PLACEMENTS = "(SELECT concat(CASE WHEN created_at % 11 = 0 THEN 'x' ELSE '' END, id) AS event_id, CAST(created_at % 9000 - 500 AS VARCHAR) AS story_order, CASE WHEN created_at % 5 = 0 THEN 'left' ELSE CAST(created_at % 40 AS VARCHAR) END AS lane, CAST(created_at % 9 - 1 AS VARCHAR) AS importance, CAST(created_at % 5 AS VARCHAR) AS zoom_level FROM {kb_happenings})"
-_CLAMP = "greatest({1}, least({2}, coalesce(TRY_CAST({0} AS INT), {3})))"
+_PLACEMENTS = "(SELECT concat(CASE WHEN created_at % 11 = 0 THEN 'x' ELSE '' END, id) AS event_id, CASE WHEN created_at % 6 = 0 THEN NULL ELSE CAST(created_at % 9000 - 500 AS VARCHAR) END AS story_order, CASE WHEN created_at % 5 = 0 THEN 'left' ELSE CAST(created_at % 40 AS VARCHAR) END AS lane, CAST(created_at % 9 - 1 AS VARCHAR) AS importance, CAST(created_at % 5 AS VARCHAR) AS zoom_level, CASE WHEN created_at % 4 = 1 THEN 'sure' ELSE CAST((created_at % 8) / 8 AS VARCHAR) END AS confidence FROM {kb_happenings})"
+_INT = "coalesce(TRY_CAST({0} AS INT), {1})"
+_SURE = "coalesce(TRY_CAST(p.confidence AS DOUBLE), 0.5)"
+_PLACED = f"""(SELECT p.event_id, e.book_id, CASE WHEN e.status = 'user' THEN coalesce(e.story_order, {_INT.format('p.story_order', 0)}) ELSE {_INT.format('p.story_order', 0)} END AS story_order,
+  CASE WHEN e.status = 'user' THEN coalesce(e.lane, {_INT.format('p.lane', 0)}) ELSE {_INT.format('p.lane', 0)} END AS lane, greatest(1, least(5, {_INT.format('p.importance', 2)})) AS importance, greatest(0, least(2, {_INT.format('p.zoom_level', 2)})) AS zoom_level,
+  CASE WHEN e.status = 'user' THEN greatest({_SURE}, 1.0) ELSE {_SURE} END AS confidence, CASE WHEN e.status = 'user' THEN 'user' ELSE 'ai' END AS status FROM {_PLACEMENTS} p JOIN {_EVENTS} e ON e.id = p.event_id)"""
 
 
-@query(f"""
-SELECT p.event_id, l.book_id, CASE WHEN l.status = 'user' THEN l.story_order ELSE {_CLAMP.format('p.story_order', 0, 10**9, 0)} END AS story_order,
-  CASE WHEN l.status = 'user' THEN l.lane ELSE {_CLAMP.format('p.lane', 0, 20, 0)} END AS lane, {_CLAMP.format('p.importance', 1, 5, 2)} AS importance, {_CLAMP.format('p.zoom_level', 0, 2, 2)} AS zoom_level,
-  CASE WHEN l.status = 'user' THEN 'user' ELSE 'ai' END AS status FROM {_PLACEMENTS} p JOIN {_LAID} l ON l.id = p.event_id""")
-def placements_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C5, J17, F19, M9"""
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("created_at")
     rows = view(spark, sf_dir, "kb_happenings").select(
-        F.concat(F.when(t % 11 == 0, "x").otherwise(""), "id").alias("event_id"), (t % 9000 - 500).cast("string").alias("story_order"),
-        F.when(t % 5 == 0, "left").otherwise((t % 40).cast("string")).alias("lane"), (t % 9 - 1).cast("string").alias("importance"), (t % 5).cast("string").alias("zoom_level"),
+        F.concat(F.when(t % 11 == 0, "x").otherwise(""), "id").alias("event_id"), F.when(t % 6 != 0, (t % 9000 - 500).cast("string")).alias("story_order"), F.when(t % 5 == 0, "left").otherwise((t % 40).cast("string")).alias("lane"),
+        (t % 9 - 1).cast("string").alias("importance"), (t % 5).cast("string").alias("zoom_level"), F.when(t % 4 == 1, "sure").otherwise(((t % 8) / 8).cast("string")).alias("confidence"),
     )
-    return op.placed(rows, _laid(spark, sf_dir))
+    meta = view(spark, sf_dir, "kb_timeline_meta").select(F.col("event_id").alias("id"), "status", "story_order", "lane")
+    return op.placed(rows, view(spark, sf_dir, "kb_happenings").select("id", "book_id").join(meta, "id", "left"))
+
+
+@query(f"SELECT * FROM {_PLACED}")
+def placements_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5, J17, F19"""
+    return _placed(spark, sf_dir)
+
+
+@query(f"""
+SELECT coalesce(p.event_id, m.event_id) AS event_id, coalesce(p.story_order, m.story_order) AS story_order, m.segment_id, coalesce(p.lane, m.lane) AS lane, coalesce(p.importance, m.importance) AS importance, coalesce(p.zoom_level, m.zoom_level) AS zoom_level, coalesce(p.confidence, m.confidence) AS confidence, coalesce(p.status, m.status) AS status
+FROM {{kb_timeline_meta}} m FULL OUTER JOIN {_PLACED} p ON p.event_id = m.event_id""")
+def meta_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: the placements put into the stored layout"""
+    after = op.meta_upserted(view(spark, sf_dir, "kb_timeline_meta"), _placed(spark, sf_dir), view(spark, sf_dir, "kb_happenings"))
+    return after.select("event_id", "story_order", "segment_id", "lane", "importance", "zoom_level", "confidence", "status")
 
 
 @query("""
 SELECT h.id AS source_event_id, CASE WHEN t.id IS NOT NULL THEN t.id END AS target_event_id, CASE WHEN h.created_at % 2 = 0 THEN 'before' ELSE 'same_time' END AS relation
-FROM {kb_happenings} h LEFT JOIN {kb_happenings} t ON t.id = CASE WHEN h.created_at % 3 = 0 THEN h.id ELSE concat('gone-', h.id) END""")
+FROM {kb_happenings} h LEFT JOIN {kb_happenings} t ON t.id = CASE WHEN h.created_at % 3 = 0 THEN h.id ELSE concat('gone-', h.id) END
+UNION ALL SELECT id, NULL, 'uncertain' FROM {kb_happenings} WHERE created_at % 4 <> 1""")
 def relations_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J17, M10"""
+    """Relations set by 'ai' make way for the new ones, those of a user stay"""
     t, events = F.col("created_at"), view(spark, sf_dir, "kb_happenings")
     rows = events.select(F.col("id").alias("source_event_id"), F.when(t % 3 == 0, F.col("id")).otherwise(F.concat(F.lit("gone-"), "id")).alias("target_event_id"), F.when(t % 2 == 0, "before").otherwise("same_time").alias("relation"))
-    return op.relations_checked(rows, events)
+    old = events.select(F.col("id").alias("source_event_id"), F.lit(None).cast("string").alias("target_event_id"), F.lit("uncertain").alias("relation"), F.when(t % 4 == 1, "ai").when(t % 4 == 2, "user").alias("status"))
+    return op.relations_checked(rows, events).unionByName(op.without_ai_relations(old).drop("status"))
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.operators import predicates
 from storyloom.operators import vectors as op
 from storyloom.plans.base import registry
+from storyloom.session import written
 from storyloom.sources.views import view
 
 QUERIES, SQL, query = registry()
@@ -57,24 +58,70 @@ def valid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("vector", spoilt).where(op.valid(F.col("vector"))).select(F.col("id").alias("vec_id"))
 
 
-@query("""
-SELECT id, source_type, CAST(length(text) AS INT) AS n FROM (
-  SELECT concat('ent_', id) AS id, 'entity' AS source_type, concat_ws(' ', canonical_name, type, coalesce(array_to_string(aliases, ' '), '')) AS text FROM {kb_entities}
-  UNION ALL SELECT concat('evt_', id), 'event', concat_ws(' ', story_time, who, what, where_loc, why, consequence) FROM {kb_happenings}
-  UNION ALL SELECT concat('ch_', id), 'chapter_summary', concat_ws(' ', title, summary) FROM {kb_chapters} WHERE coalesce(summary, '') <> '')""")
+_C = "coalesce({0}, '')"
+_MORE = "CASE WHEN coalesce({1}, '') <> '' THEN concat(' {0}: ', {1}) ELSE '' END"
+_CHUNKS = f"""(
+  SELECT concat('ch_summary_', id) AS id, 'chapter_summary' AS source_type, id AS source_id, concat('章节: ', coalesce(title, ''), chr(10), summary) AS text FROM {{kb_chapters}} WHERE status = 'done' AND coalesce(summary, '') <> ''
+  UNION ALL SELECT concat('ent_', e.id, CASE WHEN f.part > 0 THEN concat('_', CAST(f.part AS VARCHAR)) ELSE '' END), 'entity', e.id, concat('实体: ', coalesce(e.canonical_name, ''), ' (', coalesce(e.type, ''), ')', chr(10), f.lines) FROM {{kb_entities}} e JOIN (
+    SELECT entity_id, part, string_agg(line, '' ORDER BY n) AS lines FROM (SELECT m.entity_id, concat('- [', coalesce(c.title, '?'), '] ', coalesce(m.fact, ''), chr(10)) AS line, n, n // 200 AS part FROM (
+      SELECT m.*, row_number() OVER (PARTITION BY m.entity_id ORDER BY c.idx NULLS FIRST, m.id) - 1 AS n FROM {{kb_mentions}} m LEFT JOIN {{kb_chapters}} c ON c.id = m.chapter_id) m LEFT JOIN {{kb_chapters}} c ON c.id = m.chapter_id) GROUP BY ALL) f ON f.entity_id = e.id
+  UNION ALL SELECT concat('ev_', h.id), 'event', h.id, concat('事件: 第', coalesce(CAST(c.idx AS VARCHAR), '?'), '章 ', {_C.format('h.who')}, ' ', {_C.format('h.what')}, {_MORE.format('地点', 'h.where_loc')}, {_MORE.format('原因', 'h.why')}, {_MORE.format('结果', 'h.consequence')}, {_MORE.format('时间', 'h.story_time')})
+    FROM {{kb_happenings}} h LEFT JOIN {{kb_chapters}} c ON c.id = h.chapter_id AND c.book_id = h.book_id
+  UNION ALL SELECT concat('fs_', id), 'foreshadowing', id, concat(CASE WHEN status = 'open' THEN '伏笔 [未解]: ' ELSE '伏笔 [已解]: ' END, coalesce(hint, ''), CASE WHEN coalesce(resolution, '') <> '' THEN concat(' → 回收: ', resolution) ELSE '' END) FROM {{kb_foreshadowing}}
+  UNION ALL SELECT concat('rule_', id), 'rule', id, concat('规则: ', coalesce(name, ''), ': ', coalesce(body, '')) FROM {{kb_rules}})"""
+
+
+def _kb(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    v = lambda n: view(spark, sf_dir, n)
+    return {"chapters": v("kb_chapters"), "entities": v("kb_entities"), "mentions": v("kb_mentions"), "events": v("kb_happenings"), "foreshadowing": v("kb_foreshadowing"), "rules": v("kb_rules")}
+
+
+@query(f"SELECT id, source_type, source_id, sha256(text) AS content_hash FROM {_CHUNKS}")
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5, V6, D9"""
-    v = lambda n, where=None: view(spark, sf_dir, n, where)
-    return op.chunk_texts(v("kb_entities"), v("kb_happenings"), v("kb_chapters")).select("id", "source_type", F.length("text").alias("n"))
+    """The texts of all five sources"""
+    return op.chunk_texts(_kb(spark, sf_dir)).select("id", "source_type", "source_id", "content_hash")
+
+
+# What was embedded before, by the first digit of a chunk's hash: 0-3 another text, 4-5 by another backend, 6 not at all, 7 now gone; all else is as it should be.
+_WAS = f"""(SELECT CASE WHEN substr(h, 1, 1) = '7' THEN concat('old_', id) ELSE id END AS id, CASE WHEN substr(h, 1, 1) < '4' THEN 'stale' ELSE h END AS content_hash, CASE WHEN substr(h, 1, 1) IN ('4', '5') THEN 'model' ELSE 'hash384' END AS backend_id
+  FROM (SELECT id, sha256(text) AS h FROM {_CHUNKS}) WHERE substr(h, 1, 1) <> '6')"""
+
+
+def _was(chunks: DataFrame) -> DataFrame:
+    digit, h = F.substring("content_hash", 1, 1), F.col("content_hash")
+    rows = chunks.where(digit != "6").select(F.when(digit == "7", F.concat(F.lit("old_"), "id")).otherwise(F.col("id")).alias("id"), F.when(digit < "4", "stale").otherwise(h).alias("content_hash"), F.when(digit.isin("4", "5"), "model").otherwise(op.HASH_BACKEND).alias("backend_id"))
+    return rows
+
+
+@query(f"""
+SELECT c.id, CAST(CASE WHEN w.content_hash = c.h AND w.backend_id = 'hash384' THEN 2 ELSE 384 END AS INT) AS dimensions, c.h AS content_hash, 'hash384' AS backend_id
+FROM (SELECT id, sha256(text) AS h FROM {_CHUNKS}) c LEFT JOIN {_WAS} w ON w.id = c.id""")
+def chunks_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors (those stored before are of two dimensions here) and registry after what changed was embedded"""
+    chunks = written(op.chunk_texts(_kb(spark, sf_dir)), "chunks")
+    registry = _was(chunks)
+    stored = registry.select("id", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vector"))
+    vectors, registered = op.refreshed(chunks, registry, stored)
+    return vectors.join(registered, "id").select("id", F.size("vector").alias("dimensions"), "content_hash", "backend_id")
+
+
+@query(f"""
+WITH pick AS (SELECT id FROM {{kb_chapters}} WHERE status = 'done' AND coalesce(summary, '') <> '' ORDER BY id LIMIT 1)
+SELECT id, source_type, sha256(text) AS content_hash FROM {_CHUNKS} k WHERE (source_type = 'chapter_summary' AND source_id IN (SELECT id FROM pick)) OR (source_type = 'entity' AND source_id IN (SELECT id FROM {{kb_entities}} WHERE first_chapter_id IN (SELECT id FROM pick)))
+  OR (source_type = 'event' AND source_id IN (SELECT id FROM {{kb_happenings}} WHERE chapter_id IN (SELECT id FROM pick))) OR (source_type = 'foreshadowing' AND source_id IN (SELECT id FROM {{kb_foreshadowing}} WHERE hint_chapter_id IN (SELECT id FROM pick)))
+  OR (source_type = 'rule' AND source_id IN (SELECT id FROM {{kb_rules}} WHERE first_chapter_id IN (SELECT id FROM pick)))""")
+def chapter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: what one chapter (a parameter, here the first that is done) has to be embedded; the same texts as for the whole book"""
+    kb = _kb(spark, sf_dir)
+    picked = kb["chapters"].where("status = 'done' AND coalesce(summary, '') <> ''").orderBy("id").limit(1).collect()
+    return op.chunk_texts(kb, picked[0]["id"] if picked else "").select("id", "source_type", "content_hash")
 
 
 @query()
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V7, V9, R2's vector text: number of features and length of every event's vector"""
-    v = lambda n, where=None: view(spark, sf_dir, n, where)
-    chunks = op.chunk_texts(v("kb_entities"), v("kb_happenings"), v("kb_chapters"))
+    """V7: number of features and length of every chunk's vector"""
     norm = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4)
-    return op.embedded(chunks).select("id", F.size("vector").alias("dimensions"), norm.alias("norm"))
+    return op.embedded(op.chunk_texts(_kb(spark, sf_dir))).select("id", F.size("vector").alias("dimensions"), norm.alias("norm"))
 
 
 @query("SELECT concat('ent_', id) AS id FROM {kb_entities} WHERE id IN (SELECT record_id FROM kb_deletions WHERE table_name = 'entities' AND action = 'delete')")

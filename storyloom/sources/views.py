@@ -12,6 +12,7 @@ import unicodedata
 from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from storyloom.functions.text import initial
 from storyloom.sources.tables import table
 
 VIEWS: dict[str, str] = {
@@ -72,9 +73,19 @@ def _compatibility() -> str:
     return "SELECT MAP {" + ", ".join(f"{quoted(c)}: {quoted(k)}" for c, k in pairs if k != unicodedata.normalize("NFD", c)) + "} AS m"
 
 
+@cache
+def _initials() -> str:
+    """For DuckDB: one row with a map from every first-level character to the letter its name is sorted under."""
+    chars = (bytes((hi, lo)).decode("gbk", "ignore") for hi in range(0xB0, 0xD8) for lo in range(0xA1, 0xFF))
+    return "SELECT MAP {" + ", ".join(f"'{c}': '{initial(c)}'" for c in chars if len(c) == 1 and initial(c) != "#") + "} AS m"
+
+
+_MADE = {"nfkc": _compatibility, "initials": _initials}
+
+
 def _sql(name: str, engine: str) -> str | None:
-    if name == "nfkc" and engine == "duckdb":
-        return _compatibility()
+    if name in _MADE and engine == "duckdb":
+        return _MADE[name]()
     return _ALIAS_ROWS[engine] if name == "kb_alias_rows" else VIEWS.get(name)
 
 
@@ -102,13 +113,13 @@ def with_views(sql: str) -> str:
         for n in dict.fromkeys(re.findall(r"\{(\w+)\}", text)):
             own = _sql(n, "duckdb")
             if own is not None and n not in order:
-                if n != "nfkc":
+                if n not in _MADE:
                     need(own)
                 order.append(n)
 
     need(sql)
     plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
-    views = ", ".join(f"{n} AS MATERIALIZED ({_compatibility() if n == 'nfkc' else plain(_sql(n, 'duckdb'))})" for n in order)
+    views = ", ".join(f"{n} AS MATERIALIZED ({_MADE[n]() if n in _MADE else plain(_sql(n, 'duckdb'))})" for n in order)
     body = plain(sql).strip()
     if not views:
         return body
