@@ -350,8 +350,10 @@ def _near(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     reps = _written_once(_hashed(reps).withColumns({"rid": F.monotonically_increasing_id(), "signs": signs_udf("norm")}), "texts")
     of = lambda c, x: reps.select(F.col("rid").alias(f"rid_{x}"), F.col(c).alias(f"{c}_{x}"))
     differing = sum((F.bit_count(F.get("signs_a", F.lit(i)).bitwiseXOR(F.get("signs_b", F.lit(i)))) for i in range(SIGN // 64)), F.lit(0))
-    found = candidates(reps, threshold).join(of("signs", "a"), "rid_a").join(of("signs", "b"), "rid_b").where(differing <= most_differing(SIGN, threshold)).select("rid_a", "rid_b")
+    blocked = _written_once(candidates(reps, threshold), "blocked")  # frees the blocks before anything is joined
+    found = blocked.join(of("signs", "a"), "rid_a").join(of("signs", "b"), "rid_b").where(differing <= most_differing(SIGN, threshold)).select("rid_a", "rid_b")
     found = _written_once(found, "candidates")
+    forget(blocked)
     pairs = found.join(of("norm", "a"), "rid_a").join(of("norm", "b"), "rid_b").where(_verified(threshold)("norm_a", "norm_b")).select("rid_a", "rid_b")
     near = _written_once(pairs, "near_texts")
     forget(found)
