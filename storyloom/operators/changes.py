@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.session import forget, written
+
+#: Rounds in which a chain of merges is followed; each doubles its length.
+MOST_ROUNDS = 40
+
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], defaults: dict[str, object] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """old with the rows of new put in: a null in new keeps the old value, a new row takes the defaults, columns in keep never change once set."""
@@ -54,11 +59,21 @@ def without_chapters(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str,
     }
 
 
-def merged_entities(entities: DataFrame, mentions: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, mentions) after merges (from_id, into_id): facts repointed, aliases joined with the old names, first chapter filled in, counts derived.
+def followed(merges: DataFrame) -> DataFrame:
+    """merges (from_id, into_id) with the last target of every chain; of several merges of one source the least target counts. A circle raises. Each round doubles how far a merge is followed."""
+    now = written(merges.where("from_id <> into_id").groupBy("from_id").agg(F.min("into_id").alias("into_id")), "merges")
+    for _ in range(MOST_ROUNDS):
+        further = now.select(F.col("from_id").alias("into_id"), F.col("into_id").alias("_next"))
+        if now.join(further, "into_id", "left_semi").isEmpty():
+            return now
+        before, now = now, written(now.join(further, "into_id", "left").select("from_id", F.coalesce("_next", "into_id").alias("into_id")), "merges")
+        forget(before)
+    raise ValueError("merges run in a circle")
 
-    A source is merged into one target; merges into a merged entity are not followed.
-    """
+
+def merged_entities(entities: DataFrame, mentions: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, mentions) after merges (from_id, into_id): facts repointed, aliases joined with the old names, first chapter filled in, counts derived. Chains are followed to their end."""
+    merges = followed(merges)
     to = merges.select(F.col("from_id").alias("id"), "into_id")
     moved = mentions.join(merges.select(F.col("from_id").alias("entity_id"), "into_id"), "entity_id", "left").withColumn("entity_id", F.coalesce("into_id", "entity_id")).drop("into_id")
     named = entities.join(to, "id", "left").withColumn("target", F.coalesce("into_id", "id"))
@@ -97,15 +112,3 @@ def queue_state(log: DataFrame) -> DataFrame:
 def claimed(queue: DataFrame, n: int) -> DataFrame:
     """The n longest pending entries, marked as processing."""
     return queue.where("status = 'pending'").orderBy("enqueued", "key").limit(n).withColumn("status", F.lit("processing"))
-
-
-def aligned(results: DataFrame, chapters: DataFrame) -> DataFrame:
-    """(chapter_id, result): results (place, chapter_idx, result) given to chapters (place, idx, chapter_id) of one batch.
-
-    By place if there are as many results as chapters, else by the index each result states.
-    """
-    counts = results.agg(F.count("*").alias("_r")).crossJoin(chapters.agg(F.count("*").alias("_c")))  # one row with one row
-    r, c = results.alias("r"), chapters.alias("c")
-    by_place = r.join(c, F.col("r.place") == F.col("c.place")).select("c.chapter_id", "r.result", F.lit(True).alias("_same"))
-    by_idx = r.join(c, F.col("r.chapter_idx") == F.col("c.idx")).select("c.chapter_id", "r.result", F.lit(False).alias("_same"))
-    return by_place.union(by_idx).join(F.broadcast(counts), F.col("_same") == (F.col("_r") == F.col("_c"))).select("chapter_id", "result")

@@ -71,6 +71,11 @@ def latest(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFram
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def first(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of every group with their place `pos` from 1."""
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("pos") <= n)
+
+
 def facts_by_entity(mentions: DataFrame) -> DataFrame:
     """(chapter_id, entity_id, facts): the facts of an entity in a chapter, in order. A list is as long as what one chapter says of one entity."""
     return mentions.where("fact IS NOT NULL").groupBy("chapter_id", "entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "fact"))), lambda x: x["fact"]).alias("facts"))

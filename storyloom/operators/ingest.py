@@ -9,6 +9,7 @@ Everything is joins on (book, name), (chapter, fact) or ids; lists are no longer
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -297,6 +298,38 @@ def without_records(kb: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str
     return left, counts
 
 
+PATCH = f"`delete` struct<mentions array<string>, events array<string>, rules array<string>, foreshadowing array<string>>, `add` struct<{re.sub(r'(?m)^([a-z_]+) (?=string|array)', r'\1: ', RESULT)}>, note string"
+
+
+def patched(kb: dict[str, DataFrame], patches: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, counts) after patches (book_id, chapter_id, idx, patch as JSON text {delete: ids by kind, add: a result, note}) to what was misread.
+
+    First all records named go, with entities left without a mention, then all results are added as partially_applied() does. counts: (book_id, kind, removed, added).
+    A patch that is no JSON object changes nothing. What is to be embedded again follows from the tables (vectors.refreshed).
+    """
+    rows = written(patches.withColumn("p", F.from_json("patch", PATCH)).where("p IS NOT NULL").select("book_id", "chapter_id", "idx", "p"), "patches")
+    kinds = ("mentions", "events", "rules", "foreshadowing")
+    gone = reduce(DataFrame.union, (rows.select("book_id", F.lit(k).alias("kind"), F.explode(F.col("p.delete")[k]).alias("record_id")) for k in kinds))
+    left, removed = without_records(kb, gone)
+    results = rows.select("book_id", "chapter_id", "idx", F.col("p.add").alias("result"))
+    after = partially_applied({**left, "rule_mentions": left["rule_mentions"]}, results)
+    added = added_counts(results).join(rows.select("chapter_id", "book_id").distinct(), "chapter_id").groupBy("book_id", "kind").agg(F.sum("n").alias("added"))
+    counts = removed.withColumnRenamed("n", "removed").join(added, ["book_id", "kind"], "full_outer")
+    return after, counts.select("book_id", "kind", F.coalesce("removed", F.lit(0)).alias("removed"), F.coalesce("added", F.lit(0)).alias("added"))
+
+
+def affected_sources(results: DataFrame) -> DataFrame:
+    """(chapter_id, source_type, source): what a result touches: the summary, names, and events, hints and rules by their first 80 characters, each once."""
+    x = F.col("x")
+    short = lambda field, c, kind: _each(results, field, F.left(x[c], F.lit(80)).alias("source")).select("chapter_id", F.lit(kind).alias("source_type"), "source")
+    parts = [
+        results.select("chapter_id", F.lit("chapter_summary").alias("source_type"), F.lit("summary").alias("source")),
+        _each(results, "entities", x["canonical_name"].alias("source")).select("chapter_id", F.lit("entity"), "source"),
+        short("events", "what", "event"), short("foreshadowing_new", "hint", "foreshadowing"), _each(results, "rules", x["name"].alias("source")).select("chapter_id", F.lit("rule"), "source"),
+    ]
+    return reduce(DataFrame.union, parts).distinct()
+
+
 def merges_recorded(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """(book_id, from_name, into_id, reason): the record of every merge (from_id, into_id) of two entities of one book; others are refused."""
     a = entities.select(F.col("id").alias("from_id"), "book_id", F.col("canonical_name").alias("from_name"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import squashed
@@ -42,15 +44,54 @@ def keyword_hits(pages: DataFrame, word: str, most: int = 5) -> DataFrame:
     return pages.select("page_id", F.posexplode(hits).alias("n", "text")).select("page_id", "n", F.left("text", F.lit(200)).alias("text"))
 
 
+# Addresses of a search engine's own pages, which are no results.
+OWN_PAGES = ("bing.com/ck/a", "bing.com/search", "microsoft.com/bing", "go.microsoft.com")
+
+
+def _results(pages: DataFrame, parts: Column, least: int) -> DataFrame:
+    """(page_id, n, url, title, snippet) of parts of a page: the first link to another site in each, if its text is long enough, with the first paragraph after it."""
+    rows = pages.select("page_id", F.posexplode(parts).alias("n", "p"))
+    anchor = F.regexp_extract("p", r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']https?://.*?</a\s*>", 0)
+    url = F.regexp_extract(anchor, r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']", 1)
+    text = lambda c: F.trim(F.regexp_replace(plain(c, ""), r"(?U)\s+", " "))
+    snippet = F.regexp_extract("p", r"(?is)</a\s*>.*?<p\b[^>]*>(.*?)</p\s*>", 1)
+    found = rows.select("page_id", "n", url.alias("url"), text(anchor).alias("title"), text(snippet).alias("snippet"))
+    own = reduce(Column.__or__, (F.contains("url", F.lit(a)) for a in OWN_PAGES))
+    return found.where((F.col("url") != "") & ~own & (F.length("title") >= least))
+
+
+def heading_results(pages: DataFrame) -> DataFrame:
+    """The results under second-level headings, in order."""
+    parts = F.slice(F.split("html", r"(?i)<h2\b"), 2, 1 << 30)
+    return _results(pages, F.transform(parts, lambda p: F.regexp_replace(p, r"(?is)</li\s*>.*", "")), 6)
+
+
 def search_results(pages: DataFrame, most: int = 10) -> DataFrame:
-    """(page_id, n, url, title): links to other sites, each target once, the first `most`, the title cut to 150 characters."""
-    found = links(pages, 10_000).where(F.col("href").rlike("^https?://"))
-    first = found.groupBy("page_id", "href").agg(F.min(F.struct("n", "text")).alias("f"))
-    lists = first.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("f.n").alias("n"), F.col("href").alias("url"), F.left("f.text", F.lit(150)).alias("title")))), 1, most).alias("r"))
-    return lists.select("page_id", F.posexplode("r").alias("n", "r")).select("page_id", "n", "r.url", "r.title")
+    """(page_id, n, url, title, snippet): links to other sites, each target once, the first `most`; the title cut to 150 characters, the snippet to 300.
+
+    Those under second-level headings; on a page without such those of its list of results (else of the whole page), which have no snippet.
+    """
+    headed = heading_results(pages)
+    rest = pages.join(headed.select("page_id").distinct(), "page_id", "left_anti")
+    inside = F.coalesce(F.nullif(F.regexp_extract("html", r"(?is)<ol\b.*?</ol\s*>", 0), F.lit("")), F.col("html"))
+    listed = _results(rest, F.regexp_extract_all(inside, F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), 1), 6).withColumn("snippet", F.lit(""))
+    first = headed.unionByName(listed).groupBy("page_id", "url").agg(F.min(F.struct("n", "title", "snippet")).alias("f"))
+    over = Window.partitionBy("page_id").orderBy("f.n")
+    rows = first.withColumn("r", F.row_number().over(over) - 1).where(F.col("r") < most)
+    return rows.select("page_id", F.col("r").alias("n"), "url", F.left("f.title", F.lit(150)).alias("title"), F.left("f.snippet", F.lit(300)).alias("snippet"))
+
+
+def nth_result(pages: DataFrame, n: int) -> DataFrame:
+    """(page_id, url, title): the n-th result, from 1, under second-level headings; pages with fewer give none. The text is cut to 120 characters."""
+    over = Window.partitionBy("page_id").orderBy("n")
+    rows = heading_results(pages).withColumn("r", F.row_number().over(over)).where(F.col("r") == n)
+    return rows.select("page_id", "url", F.left("title", F.lit(120)).alias("title"))
 
 
 def best_link(pages: DataFrame, word: str) -> DataFrame:
-    """(page_id, href): of the links whose text contains the word that with the longest text, the first of several."""
-    hits = links(pages).where(F.contains(F.lower("text"), F.lit(word.lower())))
-    return hits.groupBy("page_id").agg(F.max_by("href", F.struct(F.length("text"), -F.col("n"))).alias("href"))
+    """(page_id, url, title): of the links to other sites whose text or target contains the word that with the longest text, the first of several; its text cut to 120 characters."""
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), 1)
+    found = _results(pages, anchors, 0)
+    hits = found.where(F.contains(F.lower("title"), F.lit(word.lower())) | F.contains(F.lower("url"), F.lit("".join(word.lower().split()))))
+    best = hits.groupBy("page_id").agg(F.max_by(F.struct("url", "title"), F.struct(F.length("title"), -F.col("n"))).alias("b"))
+    return best.select("page_id", "b.url", F.left("b.title", F.lit(120)).alias("title"))

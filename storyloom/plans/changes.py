@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.prefix import running
 from storyloom.operators import changes as op
+from storyloom.operators.ingest import merges_recorded as merges_of
 from storyloom.plans.base import registry
 from storyloom.sources.views import view
 
@@ -94,14 +95,24 @@ counts AS (SELECT coalesce(g.into_id, m.entity_id) AS target, count(*) AS n FROM
 SELECT n.id, n.canonical_name, coalesce(l.aliases, []) AS aliases, coalesce(n.first_chapter_id, (SELECT min(first_chapter_id) FROM named x WHERE x.target = n.id)) AS first_chapter_id, coalesce(c.n, 0) AS mention_cnt
 FROM named n LEFT JOIN lists l ON l.target = n.id LEFT JOIN counts c ON c.target = n.id WHERE n.into_id IS NULL""")
 def entities_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of one name in one book become the one with the least id"""
+    """Entities of one name in one book, each merged into the one before it, become the one with the least id"""
     entities = view(spark, sf_dir, "kb_entities")
-    groups = entities.groupBy("book_id", "canonical_name").agg(F.min("id").alias("into_id"), F.count("*").alias("n")).where("n > 1")
-    merges = entities.join(groups, ["book_id", "canonical_name"]).where("id <> into_id").select(F.col("id").alias("from_id"), "into_id")
-    merged, _ = op.merged_entities(entities, view(spark, sf_dir, "kb_mentions"), merges)
+    merged, _ = op.merged_entities(entities, view(spark, sf_dir, "kb_mentions"), _chain(entities))
     return merged.select("id", "canonical_name", "aliases", "first_chapter_id", "mention_cnt")
 
 
+def _chain(entities: DataFrame) -> DataFrame:
+    before = F.lag("id").over(Window.partitionBy("book_id", "canonical_name").orderBy("id"))
+    return entities.where("book_id IS NOT NULL AND canonical_name IS NOT NULL").select(F.col("id").alias("from_id"), before.alias("into_id")).where("into_id IS NOT NULL")
+
+
+@query(f"SELECT e.book_id, e.canonical_name AS from_name, m.into_id, 'manual' AS reason FROM {_MERGES} m JOIN {{kb_entities}} e ON e.id = m.from_id")
+def merges_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of every merge"""
+    entities = view(spark, sf_dir, "kb_entities")
+    return merges_of(entities, op.followed(_chain(entities)))
+
+
 @query("SELECT record_id, field, arg_max(new_value, id) AS value, count(*) AS edits FROM {kb_edits} WHERE NOT undone GROUP BY ALL")
 def edits_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3, G4, G6, G7"""

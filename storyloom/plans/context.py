@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import chapter_label
+from storyloom.functions.text import chapter_label, chapters_asked_for
 from storyloom.operators import context as op
-from storyloom.operators import passages
+from storyloom.operators import passages, vectors
 from storyloom.plans.base import registry
 from storyloom.sources.views import view
 
@@ -32,13 +32,31 @@ SELECT book_id, concat('chapters.', coalesce(status, 'none')) AS measure, count(
 UNION ALL SELECT book_id, 'events.all', count(*) FROM {kb_happenings} GROUP BY ALL
 UNION ALL SELECT book_id, 'rules.all', count(*) FROM {kb_rules} GROUP BY ALL
 UNION ALL SELECT book_id, concat('foreshadowing.', status), count(*) FROM {kb_foreshadowing} GROUP BY ALL
-UNION ALL SELECT e.book_id, 'mentions.all', count(*) FROM {kb_mentions} m JOIN {kb_entities} e ON e.id = m.entity_id GROUP BY ALL""")
+UNION ALL SELECT e.book_id, 'mentions.all', count(*) FROM {kb_mentions} m JOIN {kb_entities} e ON e.id = m.entity_id GROUP BY ALL
+UNION ALL SELECT book_id, 'chunks.all', CAST(sum(n) AS BIGINT) FROM (SELECT book_id, count(*) AS n FROM {kb_chapters} WHERE status = 'done' AND coalesce(summary, '') <> '' GROUP BY ALL UNION ALL SELECT e.book_id, sum((m.n + 199) // 200) FROM {kb_entities} e JOIN (SELECT entity_id, count(*) AS n FROM {kb_mentions} GROUP BY ALL) m ON m.entity_id = e.id GROUP BY ALL
+  UNION ALL SELECT book_id, count(*) FROM {kb_happenings} GROUP BY ALL UNION ALL SELECT book_id, count(*) FROM {kb_foreshadowing} GROUP BY ALL UNION ALL SELECT book_id, count(*) FROM {kb_rules} GROUP BY ALL) GROUP BY ALL""")
 def kb_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3, A4, J19"""
+    """A3, A4, J19, V10"""
     v = lambda n, where=None: view(spark, sf_dir, n, where)
     mentions = v("kb_mentions").join(v("kb_entities").select(F.col("id").alias("entity_id"), "book_id"), "entity_id")
     every = F.lit("all")
-    return op.overview({"chapters": (v("kb_chapters"), F.col("status")), "events": (v("kb_happenings"), every), "rules": (v("kb_rules"), every), "foreshadowing": (v("kb_foreshadowing"), F.col("status")), "mentions": (mentions, every)})
+    return op.overview({"chapters": (v("kb_chapters"), F.col("status")), "events": (v("kb_happenings"), every), "rules": (v("kb_rules"), every), "foreshadowing": (v("kb_foreshadowing"), F.col("status")), "mentions": (mentions, every), "chunks": (vectors.chunk_texts({"chapters": v("kb_chapters"), "entities": v("kb_entities"), "mentions": v("kb_mentions"), "events": v("kb_happenings"), "foreshadowing": v("kb_foreshadowing"), "rules": v("kb_rules")}), every)})
+
+
+@query("""
+SELECT book_id, 'note' AS part, CAST(n AS INT) AS pos, id, title FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY idx DESC NULLS LAST, id DESC) AS n FROM {kb_chapters} WHERE status = 'done' AND coalesce(summary, '') <> '') WHERE n <= 5
+UNION ALL SELECT book_id, 'current', 1, id, title FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY id) AS n FROM {kb_chapters} WHERE idx = 3) WHERE n = 1""")
+def latest_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: the five latest notes of every book and its current chapter, here the one of index 3"""
+    notes = op.first(view(spark, sf_dir, "kb_chapters", "status = 'done' AND coalesce(summary, '') <> ''"), "book_id", [F.desc("idx"), F.desc("id")], 5).select("book_id", F.lit("note").alias("part"), "pos", "id", "title")
+    return notes.union(op.first(view(spark, sf_dir, "kb_chapters", "idx = 3"), "book_id", [F.col("id")], 1).select("book_id", F.lit("current"), "pos", "id", "title"))
+
+
+@query(r"SELECT CAST(doc_id AS VARCHAR) AS message_id, unnest(list_slice(list_transform(regexp_extract_all(text, '第\s*(\d+)\s*章', 1), lambda n: CAST(n AS INT) - 1), 1, 3)) AS idx FROM documents WHERE text IS NOT NULL")
+def requested_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three chapters a message asks for"""
+    asked = F.slice(chapters_asked_for(F.col("text")), 1, 3)
+    return view(spark, sf_dir, "documents", "text IS NOT NULL").select(F.col("doc_id").cast("string").alias("message_id"), F.explode(asked).alias("idx"))
 
 
 @query("SELECT e.id, e.mention_cnt AS stored, count(m.id) AS counted FROM {kb_entities} e LEFT JOIN {kb_mentions} m ON m.entity_id = e.id GROUP BY ALL HAVING count(m.id) <> coalesce(e.mention_cnt, -1)")

@@ -273,3 +273,32 @@ SELECT id, canonical_name FROM {{kb_entities}} WHERE coalesce(book_id NOT IN (SE
 def entities_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities after records were removed by id and those without a mention purged from the books concerned"""
     return op.without_records(_kb(spark, sf_dir), _gone(spark, sf_dir))[0]["entities"].select("id", "canonical_name")
+
+
+@query(f"""
+WITH {_CHAPTERS} SELECT DISTINCT chapter_id, source_type, source FROM (SELECT chapter_id, 'chapter_summary' AS source_type, 'summary' AS source FROM cs
+  UNION ALL SELECT m.chapter_id, 'entity', e.canonical_name FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1 AND e.canonical_name IS NOT NULL
+  UNION ALL SELECT chapter_id, 'event', substr(concat(' ', what), 1, 80) FROM {{kb_happenings}} WHERE created_at % 3 <> 0 UNION ALL SELECT hint_chapter_id, 'foreshadowing', substr(hint, 1, 80) FROM {{kb_foreshadowing}} WHERE updated_at % 2 = 0
+  UNION ALL SELECT m.chapter_id, 'rule', r.name FROM {{kb_rule_mentions}} m JOIN {{kb_rules}} r ON r.id = m.rule_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = r.book_id) WHERE chapter_id IN (SELECT chapter_id FROM cs) AND source IS NOT NULL""")
+def affected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every result touches"""
+    return op.affected_sources(_results(spark, sf_dir)).where("source IS NOT NULL")
+
+
+@query(f"""
+WITH {_CHAPTERS}, gone AS ({_COUNTS}), add_ AS (
+  SELECT c.book_id, 'mentions' AS kind, count(*) AS n FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1 AND {_S('e.canonical_name')} <> '' AND {_S('m.fact')} <> '' GROUP BY ALL
+  UNION ALL SELECT c.book_id, 'events', count(*) FROM {{kb_happenings}} h JOIN cs c ON c.chapter_id = h.chapter_id WHERE h.created_at % 3 <> 0 AND {_S('h.what')} <> '' GROUP BY ALL
+  UNION ALL SELECT c.book_id, 'foreshadowing', sum(CASE WHEN f.updated_at % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN f.updated_at % 5 = 0 THEN 1 ELSE 0 END) FROM {{kb_foreshadowing}} f JOIN cs c ON c.chapter_id = f.hint_chapter_id WHERE {_S('f.hint')} <> '' AND (f.updated_at % 2 = 0 OR f.updated_at % 5 = 0) GROUP BY ALL
+  UNION ALL SELECT c.book_id, 'rules', count(*) FROM {{kb_rule_mentions}} m JOIN {{kb_rules}} r ON r.id = m.rule_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = r.book_id WHERE {_S('r.name')} <> '' GROUP BY ALL),
+rem AS (SELECT book_id, kind, count(*) AS n FROM gone WHERE book_id IN (SELECT book_id FROM cs) GROUP BY ALL)
+SELECT coalesce(r.book_id, a.book_id) AS book_id, coalesce(r.kind, a.kind) AS kind, coalesce(r.n, 0) AS removed, CAST(coalesce(a.n, 0) AS BIGINT) AS added FROM rem r FULL OUTER JOIN add_ a ON a.book_id = r.book_id AND a.kind = r.kind""")
+def patches_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chapter read again in part: the logged deletions of its book go, its results are added"""
+    gone = _gone(spark, sf_dir).groupBy("book_id").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("record_id"))).alias(k) for k in ("mentions", "events", "rules", "foreshadowing")))
+    first = results(spark, sf_dir)
+    one = first.groupBy("book_id").agg(F.min("chapter_id").alias("chapter_id")).join(gone, "book_id")  # the deletions of a book are stated by its first chapter; as many as are logged
+    rows = first.join(one, ["book_id", "chapter_id"], "left")
+    delete = F.to_json(F.struct("mentions", "events", "rules", "foreshadowing"))
+    patch = F.concat(F.lit('{"delete":'), delete, F.lit(',"add":'), "result", F.lit(',"note":"as stated"}'))
+    return op.patched(_kb(spark, sf_dir), rows.select("book_id", "chapter_id", "idx", patch.alias("patch")))[1]

@@ -50,7 +50,10 @@ def chapters_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.table_name, d.record_id, c.title AS shown, c.idx FROM kb_deletions d JOIN {kb_chapters} c ON d.table_name = 'chapters' AND c.id = d.record_id
 UNION ALL SELECT d.table_name, d.record_id, e.canonical_name, NULL FROM kb_deletions d JOIN {kb_entities} e ON d.table_name = 'entities' AND e.id = d.record_id
 UNION ALL SELECT d.table_name, d.record_id, concat_ws(': ', e.canonical_name, m.fact), c.idx FROM kb_deletions d JOIN {kb_mentions} m ON d.table_name = 'mentions' AND m.id = d.record_id
-  LEFT JOIN {kb_entities} e ON e.id = m.entity_id LEFT JOIN {kb_chapters} c ON c.id = m.chapter_id""")
+  LEFT JOIN {kb_entities} e ON e.id = m.entity_id LEFT JOIN {kb_chapters} c ON c.id = m.chapter_id
+UNION ALL SELECT d.table_name, d.record_id, concat_ws(': ', h.who, h.what), c.idx FROM kb_deletions d JOIN {kb_happenings} h ON d.table_name = 'kb_events' AND h.id = d.record_id LEFT JOIN {kb_chapters} c ON c.id = h.chapter_id AND c.book_id = h.book_id
+UNION ALL SELECT 'foreshadowing', d.record_id, f.hint, NULL FROM kb_deletions d JOIN {kb_foreshadowing} f ON d.table_name = 'kb_events' AND f.id = concat('f-', d.record_id)
+UNION ALL SELECT 'rules', d.record_id, concat_ws(': ', r.name, r.body), NULL FROM kb_deletions d JOIN {kb_rules} r ON d.table_name = 'entities' AND r.id = d.record_id""")
 def records_by_table_and_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9, C15"""
     log = view(spark, sf_dir, "kb_deletions").select("table_name", "record_id")
@@ -61,7 +64,17 @@ def records_by_table_and_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("entities", view(spark, sf_dir, "kb_entities").select(F.col("id").alias("record_id"), F.col("canonical_name").alias("shown"), F.lit(None).cast("int").alias("idx"))),
         ("mentions", mentions.select(F.col("id").alias("record_id"), F.concat_ws(": ", "canonical_name", "fact").alias("shown"), "idx")),
     ]
-    return reduce(DataFrame.union, (log.where(F.col("table_name") == t).join(rows, "record_id").select("table_name", "record_id", "shown", "idx") for t, rows in shown))
+    at = _chapters(spark, sf_dir, "book_id", "idx")
+    events = view(spark, sf_dir, "kb_happenings").join(at, ["chapter_id", "book_id"], "left")
+    shown.append(("kb_events", events.select(F.col("id").alias("record_id"), F.concat_ws(": ", "who", "what").alias("shown"), "idx")))
+    none = F.lit(None).cast("int").alias("idx")
+    plain = F.substring("id", 3, 1 << 20).alias("record_id")
+    others = [
+        ("kb_events", "foreshadowing", view(spark, sf_dir, "kb_foreshadowing").select(plain, F.col("hint").alias("shown"), none)),
+        ("entities", "rules", view(spark, sf_dir, "kb_rules").select(F.col("id").alias("record_id"), F.concat_ws(": ", "name", "body").alias("shown"), none)),
+    ]
+    more = [log.where(F.col("table_name") == t).join(rows, "record_id").select(F.lit(name).alias("table_name"), "record_id", "shown", "idx") for t, name, rows in others]
+    return reduce(DataFrame.union, more + list(log.where(F.col("table_name") == t).join(rows, "record_id").select("table_name", "record_id", "shown", "idx") for t, rows in shown))
 
 
 @query("SELECT m.id, m.entity_id, c.idx, c.title FROM {kb_mentions} m LEFT JOIN {kb_chapters} c ON c.id = m.chapter_id")

@@ -129,21 +129,54 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.links(_pages(spark, sf_dir))
 
 
-@query()
+@query(r"""
+WITH pieces AS (SELECT page_id, k, p FROM (SELECT chapter_id AS page_id, unnest(range(5)) AS k, unnest([coalesce(title, ''), coalesce(title, ''), 'none', ' Next  page ', '']) AS p FROM {kb_texts} WHERE chapter_id IS NOT NULL)
+  UNION ALL SELECT chapter_id, 10 + unnest(range(len(l))), unnest(l) FROM (SELECT chapter_id, string_split(coalesce(content, ''), chr(10)) AS l FROM {kb_texts} WHERE chapter_id IS NOT NULL)),
+hits AS (SELECT page_id, k, trim(regexp_replace(p, '[\s\x0b\x85\pZ]+', ' ', 'g'), ' ') AS t FROM pieces)
+SELECT page_id, CAST(n - 1 AS INT) AS n, substr(t, 1, 200) AS text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS n FROM hits WHERE contains(lower(t), 'the')) WHERE n <= 5""")
 def page_keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3"""
     return web.keyword_hits(_pages(spark, sf_dir), "the")
 
 
-@query("SELECT chapter_id AS page_id, '/n' AS href FROM {kb_texts} WHERE chapter_id IS NOT NULL AND NOT contains(lower(coalesce(title, '')), 'page')")
-def page_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B5; the SQL leaves out titles that hold the word"""
-    return web.best_link(_pages(spark, sf_dir), "page")
+# A page of results for every chapter: two headed results by chapter, a list only, or bare links
+_SQUASHED = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x0b\x85\pZ]+', ' ', 'g'), ' ')"
+_PAGES = f"""(SELECT chapter_id AS page_id, coalesce(idx, 0) % 3 AS kind, concat('https://books.example/', chapter_id) AS url, {_SQUASHED.format("replace(replace(title, '&', ' '), '<', ' ')")} AS title, {_SQUASHED.format("replace(replace(content, '&', ' '), '<', ' ')")} AS body FROM {{kb_texts}} WHERE chapter_id IS NOT NULL)"""
 
 
-@query(r"""
-SELECT chapter_id AS page_id, 0 AS n, concat('https://books.example/', chapter_id) AS url, substr(trim(regexp_replace(title, '[\s\x0b\x85\pZ]+', ' ', 'g'), ' '), 1, 100) AS title FROM {kb_texts}
-WHERE chapter_id IS NOT NULL AND trim(regexp_replace(coalesce(title, ''), '[\s\x0b\x85\pZ]+', ' ', 'g'), ' ') <> ''""")
+def _result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lambda c: F.coalesce(F.translate(c, "&<", "  "), F.lit(""))
+    texts = view(spark, sf_dir, "kb_texts", "chapter_id IS NOT NULL")
+    kind, title, url = F.coalesce("idx", F.lit(0)) % 3, clean("title"), F.concat(F.lit("https://books.example/"), "chapter_id")
+    link = lambda u, t: F.concat(F.lit('<a class="r" href="'), u, F.lit('">'), t, F.lit("</a>"))
+    own = F.lit('<a href="https://www.bing.com/search?q=x">More results of this kind</a>')
+    second = link(F.concat(url, F.lit("/2")), F.lit("A second result"))
+    headed = F.concat(F.lit("<h2>"), own, F.lit("</h2><li><h2>"), link(url, title), F.lit("</h2><div></div><p>"), clean("content"), F.lit("</p></li><li><h2>"), second, F.lit("</h2></li><li><h2>"), link(url, F.lit("The same once more")), F.lit("</h2></li>"))
+    listed = F.concat(own, F.lit("<ol><li>"), link(url, title), F.lit("</li><li>"), second, F.lit("</li></ol>"), link(F.lit("https://other.example/"), F.lit("Outside of the list")))
+    html = F.concat(F.lit("<html><body>"), F.when(kind == 0, headed).when(kind == 1, listed).otherwise(F.concat(link(url, title), own)), F.lit("</body></html>"))
+    return texts.select(F.col("chapter_id").alias("page_id"), html.alias("html"))
+
+
+@query(f"""
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INT) AS n, url, substr(title, 1, 150) AS title, substr(snippet, 1, 300) AS snippet FROM (
+  SELECT page_id, 1 AS o, url, title, CASE WHEN kind = 0 THEN body ELSE '' END AS snippet FROM {_PAGES} WHERE length(title) >= 6
+  UNION ALL SELECT page_id, 2, concat(url, '/2'), 'A second result', '' FROM {_PAGES} WHERE kind < 2
+  UNION ALL SELECT page_id, 3, url, 'The same once more', '' FROM {_PAGES} WHERE kind = 0 AND length(title) < 6)""")
 def page_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B4"""
-    return web.search_results(_pages(spark, sf_dir))
+    """By headings with snippets, by a list, or by all links of a page"""
+    return web.search_results(_result_pages(spark, sf_dir))
+
+
+@query(f"""
+SELECT page_id, CASE WHEN length(title) >= 6 THEN concat(url, '/2') ELSE url END AS url, CASE WHEN length(title) >= 6 THEN 'A second result' ELSE 'The same once more' END AS title FROM {_PAGES} WHERE kind = 0""")
+def page_second_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second result of every page that has one"""
+    return web.nth_result(_result_pages(spark, sf_dir), 2)
+
+
+@query(f"""
+SELECT page_id, CASE WHEN length(title) > 15 OR kind = 2 THEN url ELSE concat(url, '/2') END AS url, CASE WHEN length(title) > 15 OR kind = 2 THEN substr(title, 1, 120) ELSE 'A second result' END AS title FROM {_PAGES} WHERE kind > 0
+UNION ALL SELECT page_id, url, CASE WHEN length(title) >= 18 THEN substr(title, 1, 120) ELSE 'The same once more' END FROM {_PAGES} WHERE kind = 0""")
+def page_best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the links whose target names books the one with the longest text"""
+    return web.best_link(_result_pages(spark, sf_dir), "books .example")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.plans import changes, context, functions, ingest, lookups, predicates, records, references, retrieval, storage, timeline, vectors
+from storyloom.plans import changes, context, functions, governance, ingest, lookups, predicates, records, references, retrieval, storage, timeline, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (references, predicates, lookups, timeline, functions, context, retrieval, changes, ingest, vectors, records, storage)
+_MODULES = (references, predicates, lookups, timeline, functions, context, retrieval, changes, ingest, governance, vectors, records, storage)
 
 
 def queries() -> dict[str, Query]:

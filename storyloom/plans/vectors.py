@@ -43,6 +43,15 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.nearest(rows.drop("label").where("id % 50 = 0"), allowed, K).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""
+SELECT h.query_id, h.rank, v.vec_id, v.label FROM (SELECT q.vec_id AS query_id, v.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, v.vec_id) AS INT) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0) h JOIN embeddings v ON v.vec_id = h.vec_id WHERE h.rank <= {K}""")
+def hits_with_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of hits, with the rank of the hit"""
+    rows = _vectors(spark, sf_dir)
+    hits = op.nearest(rows.drop("label").where("id % 50 = 0"), rows.drop("label"), K)
+    return hits.join(rows.select(F.col("id").alias("vec_id"), "label"), "vec_id").select("query_id", "rank", "vec_id", "label")
+
+
 @query()
 def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: approximate; its recall against knn_exact is tested"""
@@ -105,6 +114,12 @@ def chunks_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(registered, "id").select("id", F.size("vector").alias("dimensions"), "content_hash", "backend_id")
 
 
+@query(f"SELECT backend_id, count(*) AS n, min(id) AS first_id FROM {_WAS} GROUP BY backend_id")
+def backends_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backends vectors were made with; more than one means that those of the others are made anew"""
+    return _was(op.chunk_texts(_kb(spark, sf_dir))).groupBy("backend_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 @query(f"""
 WITH pick AS (SELECT id FROM {{kb_chapters}} WHERE status = 'done' AND coalesce(summary, '') <> '' ORDER BY id LIMIT 1)
 SELECT id, source_type, sha256(text) AS content_hash FROM {_CHUNKS} k WHERE (source_type = 'chapter_summary' AND source_id IN (SELECT id FROM pick)) OR (source_type = 'entity' AND source_id IN (SELECT id FROM {{kb_entities}} WHERE first_chapter_id IN (SELECT id FROM pick)))

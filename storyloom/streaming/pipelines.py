@@ -18,7 +18,7 @@ def chapter_stream(spark: SparkSession, path: str, files_at_once: int = 100) ->
 
 
 def ingest(chapters: DataFrame, snapshot: Snapshot, checkpoint: str) -> DataStreamWriter:
-    """Merges arriving chapters into the snapshot and queues the changed ones, each batch in one commit.
+    """Merges arriving chapters into the snapshot and queues the changed ones, each batch in one commit that rewrites only the buckets it touches.
 
     A batch that is delivered again finds every hash unchanged and commits nothing. Of several
     files for one chapter in a batch the latest counts.
@@ -27,25 +27,21 @@ def ingest(chapters: DataFrame, snapshot: Snapshot, checkpoint: str) -> DataStre
     def merge(batch: DataFrame, _: int) -> None:
         rows = last_written(batch.where("id IS NOT NULL"), ["book_id", "id"], [F.desc("updated"), F.desc("content")])
         rows = rows.withColumn("content_hash", content_hash(F.col("content"))).select("id", "book_id", "title", "content_hash", F.col("updated").cast("bigint").alias("updated_at"))
-        version, old, queue = snapshot.version, snapshot.table("chapters"), snapshot.table("kb_dirty_queue")
+        version, old = snapshot.version, snapshot.table("chapters")
         changed = rows.join(old.select("id", "book_id", "content_hash"), ["id", "book_id", "content_hash"], "left_anti").persist()
         try:
             if changed.isEmpty():
                 return
             pending = changed.withColumn("status", F.lit("pending"))
             entries = pending.select(F.sha2(F.concat_ws("|", "book_id", "id"), 256).alias("id"), F.col("book_id").alias("work_id"), "book_id", F.col("id").alias("chapter_id"), F.lit("changed").alias("reason"), F.col("updated_at").alias("enqueued_at"), "status", F.lit(0).alias("attempts"))
-            snapshot.commit({"chapters": upserted(old, pending, ["id", "book_id"], {"tokens_used": 0}), "kb_dirty_queue": upserted(queue, entries, ["id"])}, version)
+            put = {"chapters": lambda old, new: upserted(old, new, ["id", "book_id"], {"tokens_used": 0}), "kb_dirty_queue": lambda old, new: upserted(old, new, ["id"])}
+            snapshot.merge({"chapters": pending, "kb_dirty_queue": entries}, lambda name, old, new: put[name](old, new), version)
         finally:
             changed.unpersist()
 
     return chapters.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def enqueued_once(changes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """A stream of changes (ts, book_id, chapter_id) with each chapter at most once within the delay."""
-    return changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["book_id", "chapter_id"])
-
-
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) of events (ts, event_type, value) in tumbling windows; rows later than `late` are left out of a stream."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))

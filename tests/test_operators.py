@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from storyloom.functions import json, text
 from storyloom.functions.prefix import running
-from storyloom.operators import changes, context, lookups, pages, provenance, timeline, vectors
+from storyloom.operators import changes, context, governance, ingest, lookups, pages, provenance, timeline, vectors
 from storyloom.operators.graph import connected_components
 from storyloom.operators.predicates import metadata_matches, types_compatible
 
@@ -30,7 +30,10 @@ def test_initial(name, initial):
 
 
 def test_types(spark):
-    pairs = [("地点", "场所", True), ("人物", "地点", False), (None, "人物", True), ("宗门", "宗门", True), ("宗门", "人物", False), ("", "人物", True), ("x", "人物", True)]
+    pairs = [
+        ("地点", "场所", True), ("人物", "地点", False), (None, "人物", True), ("宗门", "宗门", True), ("宗门", "人物", False), ("", "人物", True), ("x", "人物", False), ("x", "未知", True), (None, None, True), ("势力", "阵营", True),
+        ("人物", "事件", False), ("人物", "规则", False), ("功法", "境界", False), ("人物", "主角", False), ("物品", "道具", True), ("规则", "设定", True), ("x", "x", True), ("未分类", "事件", True),
+    ]
     rows = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert rows.where(types_compatible(F.col("a"), F.col("b")) != F.col("want")).count() == 0
 
@@ -41,8 +44,7 @@ def test_metadata_trees(spark):
     assert holds({}) and holds({"a": 1}) and holds({"b": {"$ne": 1}}) and holds({"b": None}) and holds({"a": {"$in": [1, 2]}, "b": {"$nin": [3]}})
     assert holds({"$or": [{"a": 1}], "b": 2}) and holds({"$and": []})
     assert not holds("text") and not holds({"a": 2}) and not holds({"$or": []}) and not holds({"b": {"$in": [1]}})
-    with pytest.raises(ValueError):
-        holds({"a": {"$gt": 1}})
+    assert holds({"a": {"$gt": 1}}) and holds("") and holds(None) and not holds({"$and": {"a": 1}})  # an unknown operator asks for nothing
 
 
 def test_json(spark):
@@ -99,30 +101,57 @@ def test_facts_around(spark):
             assert {(r.entity_id, r.chapter_id, r.mention_id) for r in got.collect()} == {(*k, m) for k, ids in want.items() for m in ids}
 
 
-def test_history(spark):
-    import hashlib
-
-    def chain(book, n, spoil):
-        out, last = [], None
-        for pos in range(n):
-            event = hashlib.sha256(f"p{pos}|{last or ''}".encode()).hexdigest()
-            out.append([book, pos, "me", f"p{pos}", last, event])
-            last = event
-        spoil(out)
-        return out
-
-    def broken(rows):
-        rows[3][4] = "elsewhere"
-        rows[3][5] = hashlib.sha256(b"p3|elsewhere").hexdigest()
-
-    rows = chain("good", 5, lambda r: None) + chain("flip", 5, lambda r: r[2].__setitem__(3, "changed")) + chain("link", 5, broken) + chain("nobody", 5, lambda r: r[4].__setitem__(2, " "))
-    got = {r.book_id: (r.pos, r.reason) for r in provenance.chain_failures(spark.createDataFrame([tuple(r) for r in rows], "book_id string, pos int, author string, payload string, previous_hash string, event_hash string")).collect()}
-    assert got == {"flip": (2, "bad_event_hash"), "link": (3, "broken_link"), "nobody": (4, "no_author")}
+def _container(n, spoil=lambda events: None, manifest='{"format_name": "coo", "format_version": "2"}'):
+    """(manifest, history lines, files) of n events, spoilt before the lines are written."""
+    import json
+
+    files = [("a.txt", "h1", 3), ("b.txt", "h2", 4)]
+    events, last = [], ""
+    for i in range(n):
+        e = {"author": "me", "changed_files": [{"path": p, "sha256": s, "size": z} for p, s, z in files], "previous_event_hash": last, "n": i}
+        last = provenance.event_hash(e)
+        events.append(e | {"event_hash": last})
+    spoil(events)
+    return manifest, [json.dumps(e, ensure_ascii=False) for e in events], files
+
+
+def test_verified(spark):
+    def relinked(events):
+        events[3]["previous_event_hash"] = "elsewhere"
+        events[3]["event_hash"] = provenance.event_hash(events[3])
+
+    def nobody(events):
+        events[4]["author"] = " "
+        events[4]["event_hash"] = provenance.event_hash(events[4])
+
+    def other_files(events):
+        events[4]["changed_files"].pop()
+        events[4]["event_hash"] = provenance.event_hash(events[4])
+
+    cases = {
+        "good": (_container(5), (True, None, None)), "flip": (_container(5, lambda e: e[2].__setitem__("n", 9)), (False, "bad_event_hash", 2)), "link": (_container(5, relinked), (False, "broken_link", 3)),
+        "nobody": (_container(5, nobody), (False, "no_author", 4)), "files": (_container(5, other_files), (False, "files_differ", 4)), "none": (_container(0), (False, "no_history", None)),
+        "blank": (_container(2, manifest=None), (False, "no_manifest", None)), "text": (_container(2, manifest="{"), (False, "no_manifest", None)), "format": (_container(2, manifest='{"format_version": 2}'), (False, "wrong_format", None)),
+        "old": (_container(2, manifest='{"format_name": "coo", "format_version": 1}'), (False, "unsupported_version", None)),
+    }
+    works = spark.createDataFrame([(k, c[0][0]) for k, c in cases.items()], "work_id string, manifest string")
+    history = spark.createDataFrame([(k, i, line) for k, c in cases.items() for i, line in enumerate(c[0][1])] + [("broken", 0, "no json")], "work_id string, pos int, line string")
+    files = spark.createDataFrame([(k, *f) for k, c in cases.items() for f in c[0][2]], "work_id string, path string, sha256 string, size int")
+    got = {r.work_id: (r.ok, r.reason, r.pos) for r in provenance.verified(works.union(spark.createDataFrame([("broken", cases["good"][0][0])], works.schema)), history, files).collect()}
+    assert got == {k: c[1] for k, c in cases.items()} | {"broken": (False, "bad_event_hash", 0)}
     assert provenance.canonical_json('{"b": 1.50, "a": "é"}') == '{"a":"é","b":1.5}'
     assert provenance.canonical_json("x") is None
     assert not provenance.safe_member("../x") and not provenance.safe_member("/x") and provenance.safe_member("a/../b")
 
 
+def test_identity(tmp_path):
+    path = str(tmp_path / "me.json")
+    made = provenance.identity(path, "Ann")
+    assert made["user_name"] == "Ann" and provenance.identity(path) == made and provenance.identity(path, "Bo")["client_id"] == made["client_id"]
+    (tmp_path / "me.json").write_text("broken")
+    assert provenance.identity(path)["user_name"]
+
+
 def test_upsert_keeps_on_null(spark):
     old = spark.createDataFrame([("a", "t", "done"), ("b", None, "done")], "id string, title string, status string")
     new = spark.createDataFrame([("a", None), ("c", "")], "id string, title string")
@@ -191,20 +220,112 @@ def test_names_in_texts(spark):
 
 
 def test_passages():
-    from storyloom.operators.passages import focus_passages
+    from storyloom.operators.passages import FALLBACK, focus_passages
 
     body = "\n".join(f"line {i} " + "x" * 400 for i in range(20))
-    assert focus_passages(None, ["a"], 10) == "" and focus_passages("abcdef", None, 3) == "def" and focus_passages("abc", ["zz"], 8) == "zz\n\nabc"
+    assert focus_passages(None, ["a"], 10) == "" and focus_passages("abcdef", None, 3) == "def" and focus_passages("abc", ["zz"], 80) == "zz" + FALLBACK + "abc"
+    blank = "a" * 400 + "\n\n" + "b" * 200 + "\nmark\n" + "c" * 200 + "\n\n" + "d" * 400
+    assert focus_passages(blank, ["mark"], 10_000) == blank[401 - 300 : 402 + 200 + 6 + 200 + 300].strip()  # from blank line to blank line
     two = focus_passages(body, ["line 3 ", "line 17 "], 10_000)
     assert two.count("---") == 1 and "line 3 " in two and "line 17 " in two and "line 10 " not in two
     assert "line 5" in focus_passages(body, ["line\n5"], 10_000)
 
 
 def test_aligned(spark):
-    chapters = spark.createDataFrame([(0, 4, "c4"), (1, 5, "c5")], "place int, idx int, chapter_id string")
-    r = lambda rows: {tuple(x) for x in changes.aligned(spark.createDataFrame(rows, "place int, chapter_idx int, result string"), chapters).collect()}
-    assert r([(0, 9, "a"), (1, 9, "b")]) == {("c4", "a"), ("c5", "b")}
-    assert r([(0, 5, "b")]) == {("c5", "b")}
+    chapters = spark.createDataFrame([("x", 0, 4, "c4"), ("x", 1, 5, "c5"), ("y", 0, 4, "d4"), ("y", 1, 5, "d5")], "batch string, place int, idx int, chapter_id string")
+    results = spark.createDataFrame([("x", 0, 9, "a"), ("x", 1, 9, "b"), ("y", 0, 5, "b"), ("z", 0, 0, "lost")], "batch string, place int, chapter_idx int, result string")
+    assert {tuple(r) for r in governance.aligned(results, chapters).collect()} == {("x", "c4", "a"), ("x", "c5", "b"), ("y", "d5", "b")}
+
+
+def test_merges_are_followed(spark):
+    m = lambda rows: spark.createDataFrame(rows, "from_id string, into_id string")
+    got = {tuple(r) for r in changes.followed(m([(f"e{i}", f"e{i - 1}") for i in range(1, 20)] + [("x", "y"), ("x", "a"), ("z", "z")])).collect()}
+    assert got == {(f"e{i}", "e0") for i in range(1, 20)} | {("x", "a")}
+    assert changes.followed(m([])).count() == 0
+    with pytest.raises(ValueError):
+        changes.followed(m([("a", "b"), ("b", "a")]))
+
+
+def test_shared_folder_and_clean_up(spark, tmp_path):
+    from storyloom import session
+
+    with pytest.raises(RuntimeError):
+        session._own_dir("spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session._own_dir("local-cluster[2,1,1024]")
+    kept = session.written(spark.range(3), "kept")
+    import os
+
+    folder = session.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a int, b int")
+    done = connected_components(edges, "a", "b")
+    assert done.count() == 31 and len(set(os.listdir(folder)) - before) == 1  # its result only
+    session.forget(kept)
+    assert len(set(os.listdir(folder)) - before) == 1 and len(before - set(os.listdir(folder))) == 1
+    session.forget(spark.range(1))
+
+
+def test_resolution(spark):
+    """Steps in order, types, aliases in order, names new in one batch that are one."""
+    entities = spark.createDataFrame(
+        [("e1", "b", "Ann", "人物", ["Annie"], None, ""), ("e2", "b", "Annie", "地点", [], "c0", "kept"), ("e3", "b", "Bo", "势力", ["B"], "c0", None), ("e4", "b2", "Ann", "人物", None, None, None)],
+        "id string, book_id string, canonical_name string, type string, aliases array<string>, first_chapter_id string, name_norm string",
+    )
+    said = [
+        ("c1", 1, "Ann", "地点", ["Nan"]), ("c1", 1, "ＡＮＮ", "人物", []), ("c1", 1, "annie", "人物", ["x"]), ("c1", 1, "b", "物品", []), ("c1", 1, "Cy", "人物", ["Cyrus", "Cy", " "]), ("c2", 2, "cy", "未知", []), ("c2", 2, "CY", "地点", []), ("c2", 2, " ", "人物", []), ("c2", 2, "Ann", "人物", ["Nan", "Anna"]),
+    ]
+    rows = [("b", c, i, {"entities": [{"canonical_name": n, "type": t, "aliases_in_chapter": a, "facts": []} for x, y, n, t, a in said if x == c]}) for c, i in (("c1", 1), ("c2", 2))]
+    import json as j
+
+    results = ingest.parsed(spark.createDataFrame([(b, c, i, j.dumps(r)) for b, c, i, r in rows] + [("b", "c3", 3, "no json"), ("b", "c4", 4, None)], "book_id string, chapter_id string, idx int, result string"))
+    found = ingest.resolved(ingest.names_of(results), entities, ingest.alias_rows(entities))
+    got = {r.name: (r.how, r.entity_id if r.how != "new" else r.called) for r in found.collect()}
+    assert got == {"Ann": ("exact", "e1"), "ＡＮＮ": ("alias", "e1"), "annie": ("alias", "e1"), "b": ("new", "b"), "Cy": ("new", "Cy"), "cy": ("new", "Cy"), "CY": ("new", "CY")}
+    after = {r.canonical_name: (r.aliases, r.first_chapter_id, r.name_norm) for r in ingest.entities_after(entities, found).where("book_id = 'b'").collect()}
+    assert after["Ann"] == (["Annie", "Nan", "Anna", "x"], "c1", "ann") and after["Annie"] == ([], "c0", "kept") and after["Cy"][0] == ["Cyrus", "cy"] and after["CY"] == ([], "c2", "cy")
+
+
+def test_snippets_of_loose_json(spark):
+    of = lambda t: value(spark, json.loose_text(F.lit(t)))
+    assert [of(t) for t in ('["a", null, "", 0, "b"]', "null", '"x"', "7", '{"a": 1}', "", "bad", None)] == ["a, b", "", "x", "7", '{"a": 1}', "", "", ""]
+
+
+def test_failing_backends(spark):
+    calls = []
+
+    def make():
+        def embed(texts):
+            calls.append(len(texts))
+            if "bad" in texts:
+                raise RuntimeError
+            return [[1.0, 2.0]] * len(texts)
+
+        return embed
+
+    backend = vectors.Backend(make, 2)
+    assert backend(["a", "b", "c"]) == [[1.0, 2.0]] * 3 and calls == [2, 1]
+    assert len(backend(["a", "bad"])[0]) == 384 and len(backend(["a"])[0]) == 384  # from then on
+    assert vectors.answered([{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]) == [[1], [2]]
+    with pytest.raises(ValueError):
+        vectors.answered([{"index": 1, "embedding": [2]}])
+
+
+def test_chunks_of_a_hot_entity(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PART_FACTS", 10)
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    kb = {
+        "chapters": spark.createDataFrame([("c", "b", 1, "T", "s", "done"), ("d", "b", 2, None, "s", "pending")], "id string, book_id string, idx int, title string, summary string, status string"),
+        "entities": spark.createDataFrame([("e", "b", "N", None, "c"), ("f", "b", "M", "t", "c")], "id string, book_id string, canonical_name string, type string, first_chapter_id string"),
+        "mentions": spark.createDataFrame([(f"m{i:02}", "e", "c" if i % 2 else "gone", f"f{i}") for i in range(25)], "id string, entity_id string, chapter_id string, fact string"),
+        "events": empty("id string, book_id string, chapter_id string, story_time string, who string, what string, where_loc string, why string, consequence string"),
+        "foreshadowing": empty("id string, book_id string, hint_chapter_id string, hint string, status string, resolution string"), "rules": empty("id string, book_id string, first_chapter_id string, name string, body string"),
+    }
+    got = {r.id: r.text for r in vectors.chunk_texts(kb).collect()}
+    assert set(got) == {"ch_summary_c", "ent_e", "ent_e_1", "ent_e_2"} and got["ch_summary_c"] == "章节: T\ns" and got["ent_e"].startswith("实体: N ()\n- [?] f0\n- [?] f2\n") and got["ent_e_2"].count("\n") == 6
+    ids = spark.createDataFrame([(i,) for i in got], "id string")
+    assert {r.e for r in ids.select(vectors.entity_of(F.col("id")).alias("e")).collect()} == {None, "e"}
+    assert {r.id for r in vectors.chunk_texts(kb, "d").collect()} == set()
 
 
 def test_changed_files(spark):

@@ -8,5 +8,4 @@ def test_markup_headings_and_the_word_sought(spark, tmp_path):
     spark.createDataFrame(rows, "book_id string, chapter_id string, title string, content string, idx int").write.parquet(f"{tmp_path}/chapter_list.parquet")
     texts = {r.page_id: r.text for r in records.page_texts(spark, str(tmp_path)).collect()}
     assert texts["c1"] == "The long page of a<b The long page of a<b none Next page x < y &amp; z"
-    assert {r.page_id: r.href for r in records.page_best_links(spark, str(tmp_path)).collect()} == {"c1": "https://books.example/c1", "c2": "/n"}
     assert {r.chapter_id: r.parts for r in storage.text_split_at_headings(spark, str(tmp_path)).collect()} == {"c1": 2, "c2": 4}
