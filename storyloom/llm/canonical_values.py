@@ -2,10 +2,11 @@
 
 The terms of the list (labels, translations, hints) make a symmetric-delete dictionary:
 every string left of a term after deleting up to its number of permitted edits points to the
-term. A value is looked up by its own deletions, so no term is compared that isn't near.
-Those found are ranked by weighted Damerau-Levenshtein distance, then by how
+term. The value and the parts of it that may be the term are looked up by their own deletions, none at all included, so
+no term is compared that isn't near and the list is never walked. Those found are ranked by weighted Damerau-Levenshtein distance; equal
+terms by length, then by how late they stand (what comes before a term qualifies it); then by how
 often the term is used as it stands in the corpus, then by their order in the list.
-The dictionary goes to the executors; its size depends on the list alone and is checked.
+A dictionary of a checked size goes to the executors; a larger one is partitioned by deletion and joined.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from storyloom.llm.lookalikes import form, repairs
 
@@ -54,7 +55,7 @@ _CJK = re.compile(r"[㐀-鿿]")
 def plain(value: str) -> str:
     """Compatibility form, small letters, simplified characters, without look-alikes, accents kept."""
     shown = form(value)
-    table = dict(repairs(shown)[1])
+    table = dict(reversed(repairs(shown)[1]))  # the likeliest of several
     shown = re.sub(r"\w+", lambda m: table.get(m[0], m[0]), shown)
     return "".join(_TRADITIONAL.get(c, c) for c in unicodedata.normalize("NFKC", shown).casefold())
 
@@ -81,6 +82,39 @@ def distance(a: str, b: str) -> float:
     return row[-1]
 
 
+def candidates(value: str, longest: int, words: int) -> list[tuple[int, str]]:
+    """(place, text) of the value in plain form, of its parts, of runs of up to `words` of them, and of stretches of parts written without blanks (up to `longest` characters)."""
+    shown = plain(value)
+    parts = _PARTS.findall(shown)
+    if not parts:
+        return []
+    last = len(shown) + 1
+    found = [(last, shown.strip()), (last, "".join(parts))]
+    at = 0
+    places = [(at := shown.index(p, at)) + len(p) for p in parts]
+    for i, p in enumerate(parts):
+        found += [(places[j], " ".join(parts[i : j + 1])) for j in range(i, min(i + words, len(parts)))]
+        if _CJK.search(p):  # what was added may touch the term
+            start = places[i] - len(p)
+            found += [(start + a + n, p[a : a + n]) for n in range(2, min(longest, len(p) - 1) + 1) for a in range(len(p) - n + 1)]
+    return list(dict.fromkeys(f for f in found if len(f[1]) <= longest + 2))
+
+
+def lookups(text: str) -> set[str]:
+    return deletions(text, 2 if len(text) >= TWO_EDITS - 2 else 1)
+
+
+def rank(cost: float, place: int, term: str, uses: int, order: int) -> tuple:
+    """What the best match has least of."""
+    return (cost, -len(term) if cost == 0 else 0, -place if cost == 0 else 0, -uses, order)
+
+
+def permitted(text: str, term: str) -> float | None:
+    """The distance, if the term may differ so much."""
+    cost = distance(text, term)
+    return cost if cost <= min(SHARE * len(term), edits(term)) else None
+
+
 @dataclass
 class Terms:
     """Reference terms with their codes; uses: how often each is used as it stands."""
@@ -90,48 +124,27 @@ class Terms:
 
     def __post_init__(self) -> None:
         self.order = {t: i for i, t in enumerate(self.codes)}
-        self.near: dict[str, list[str]] = {}
+        self.longest, self.words = max(map(len, self.codes), default=0), max((t.count(" ") + 1 for t in self.codes), default=1)
+        self.near: dict[str, list[str]] | None = {}
         for term in self.codes:
             for d in deletions(term, edits(term)):
                 self.near.setdefault(d, []).append(term)
-        if len(self.near) > MOST_ENTRIES:
-            raise ValueError(f"{len(self.near)} deletion entries; the list is too long to be sent to every executor")
-        self.longest = max(map(len, self.codes), default=0)
+            if len(self.near) > MOST_ENTRIES:
+                self.near = None  # too many for every executor: joined instead
+                break
 
     def closest(self, text: str) -> tuple[float, str] | None:
         """(cost, term) of the best term within its permitted distance of the whole text."""
-        if len(text) > self.longest + 2:
-            return None
-        found = {t for d in deletions(text, 2 if len(text) >= TWO_EDITS - 2 else 1) for t in self.near.get(d, ())}
-        ranked = [(c, -self.uses.get(t, 0), self.order[t], t) for t in found if (c := distance(text, t)) <= min(SHARE * len(t), edits(t))]
-        return min(ranked)[::3] if ranked else None
+        best = self._best([(0, text)])
+        return best and (best[0][0], best[1])
 
     def code(self, value: str) -> str:
-        """The code meant: by the whole value, else by a term inside it, else by the closest part of it."""
-        shown = plain(value)
-        parts = _PARTS.findall(shown)
-        whole = "".join(parts)
-        if not whole:
-            return UNMATCHED
-        for text in (shown.strip(), whole):
-            if text in self.codes:
-                return self.codes[text]
-        inside = [(len(p), i, p) for i, p in enumerate(parts) if p in self.codes]
-        for i, p in enumerate(parts):
-            if _CJK.search(p):
-                inside += [(n, i, p[a : a + n]) for n in range(2, min(self.longest, len(p)) + 1) for a in range(len(p) - n + 1) if p[a : a + n] in self.codes]
-        for i, term in enumerate(t for t in self.codes if " " in t):
-            if f" {term} " in f" {' '.join(parts)} ":
-                inside.append((len(term), i, term))
-        if inside:
-            return self.codes[max(inside)[2]]
-        near = [c for p in dict.fromkeys([whole, *parts]) for text in self._stretches(p) if (c := self.closest(text))]
-        return self.codes[min(near, key=lambda c: (c[0], -self.uses.get(c[1], 0), self.order[c[1]]))[1]] if near else UNMATCHED
-
-    def _stretches(self, part: str):
-        yield part
-        if _CJK.search(part):  # written without blanks: what was added may touch the term
-            yield from (part[a : a + n] for n in range(2, min(self.longest, len(part) - 1) + 1) for a in range(len(part) - n + 1))
+        best = self._best(candidates(value, self.longest, self.words))
+        return self.codes[best[1]] if best else UNMATCHED
+
+    def _best(self, texts: list[tuple[int, str]]) -> tuple[tuple, str] | None:
+        ranked = [(rank(c, place, t, self.uses.get(t, 0), self.order[t]), t) for place, text in texts if len(text) <= self.longest + 2 for t in {t for d in lookups(text) for t in self.near.get(d, ())} if (c := permitted(text, t)) is not None]
+        return min(ranked, default=None)
 
 
 def terms_of(reference: DataFrame, code: str, columns: tuple[str, ...], word_lists: tuple[str, ...]) -> dict[str, str]:
@@ -158,16 +171,50 @@ def mapped_values(rows: DataFrame, key: str, value: str, codes: dict[str, str],
     spark = rows.sparkSession
     typed = rows.select(F.col(key), F.col(value).cast("string").alias(value)).where(F.col(value).isNotNull())
     used = typed.where(F.lower(value).isin(*codes)).groupBy(F.lower(value).alias("t")).agg(F.count("*").alias("n")).collect() if codes else []
-    sent = spark.sparkContext.broadcast(Terms(codes, {r["t"]: r["n"] for r in used}))
-    known = _cached(sent)
+    terms = Terms(codes, {r["t"]: r["n"] for r in used})
+    typed = (typed.where(~F.col(value).isin(*labels)) if labels else typed).distinct()
+    if terms.near is None:
+        return _joined(typed, value, terms)
+    known = _cached(spark.sparkContext.broadcast(terms))
 
     @pandas_udf(StringType())
     def code(values: pd.Series) -> pd.Series:
         places, unique = pd.factorize(values)
         return pd.Series([known(v) if v.strip() else None for v in unique], dtype=object).take(places).reset_index(drop=True)
 
-    typed = typed.where(~F.col(value).isin(*labels)) if labels else typed
-    return typed.distinct().withColumn("type_code", code(value)).where(F.col("type_code").isNotNull())
+    return typed.withColumn("type_code", code(value)).where(F.col("type_code").isNotNull())
+
+
+def _joined(typed: DataFrame, value: str, terms: Terms) -> DataFrame:
+    """mapped_values() by a join on deletions, for a dictionary of any size: the same matches and ranks."""
+    spark, longest, words = typed.sparkSession, terms.longest, terms.words
+    place_text = ArrayType(StructType([StructField("place", IntegerType()), StructField("text", StringType())]))
+    listed = spark.createDataFrame([(t, c, terms.uses.get(t, 0), terms.order[t]) for t, c in terms.codes.items()], "term string, code string, uses bigint, ord int")
+
+    @pandas_udf(place_text)
+    def parts(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [{"place": p, "text": t} for p, t in candidates(v, longest, words)])
+
+    @pandas_udf(ArrayType(StringType()))
+    def of_text(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(lookups(t)))
+
+    @pandas_udf(ArrayType(StringType()))
+    def of_term(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(deletions(t, edits(t))))
+
+    @pandas_udf(DoubleType())
+    def cost(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([permitted(a, b) for a, b in zip(texts, found)], dtype="float64")
+
+    values = typed.select(value).distinct().where(F.col(value).rlike(r"(?U)\S"))
+    asked = values.select(value, F.explode(parts(value)).alias("p")).select(value, "p.place", "p.text")
+    near = asked.select("text").distinct().select("text", F.explode(of_text("text")).alias("d")).join(listed.select("term", F.explode(of_term("term")).alias("d")), "d").select("text", "term").distinct()
+    near = near.withColumn("cost", cost("text", "term")).where("cost IS NOT NULL AND NOT isnan(cost)").join(listed, "term")
+    exact = lambda c: F.when(F.col("cost") == 0, -c).otherwise(0)
+    best = asked.join(near, "text").groupBy(value).agg(F.min(F.struct("cost", exact(F.length("term")).alias("a"), exact(F.col("place")).alias("b"), (-F.col("uses")).alias("u"), "ord", "code")).alias("m"))
+    codes = values.join(best, value, "left").select(value, F.coalesce("m.code", F.lit(UNMATCHED)).alias("type_code"))
+    return typed.join(codes, value).select(*typed.columns, "type_code")
 
 
 class _cached:

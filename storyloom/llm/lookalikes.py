@@ -4,8 +4,8 @@
    accents, compatibility ideographs and radicals are unified; characters without width
    are removed; every blank is a space; blanks at the ends are cut.
 2. Script-aware repair: a token whose letters are of more than one script, or of another script than the
-   rest of its name, gets the look-alikes of its dominant script put in, but only when the
-   result is in the corpus vocabulary: it occurs as a token of one script, or at least two
+   rest of its name, gets the look-alikes of its dominant script put in, whichever script that is, but only when the
+   result is in the corpus vocabulary: it occurs as a token that needs no repair, or at least two
    different spellings repair to it. A word that is rightly in another script stays.
 
 Tokens in need of repair meet the vocabulary in a join, so neither is sent anywhere whole.
@@ -15,33 +15,37 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from storyloom.session import written
 
-# Letters of the same shape, foreign form then the form it looks like.
+# Letters of the same shape, other form then the form it looks like.
 _TO_LATIN = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХԚԜаеѕіјорсухһԁԛԝ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοινρυκχα" "օոսհցԼՏՕ" "ɑɡ",
-        "ABESIJKMHOPCTYXQWaesijopcyxhdqw" "ABEZHIKMNOPTYXoivpukxa" "onuhgLSO" "ag",
+        "АВЕЅІЈКМНОРСТУХԚԜҮԌѴӀаеѕіјорсухһԁԛԝүѵӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿοινρυκχαϲϳσω" "օոսհցԼՏՕՍզյ" "ɑɡ" "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ"
+        "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᏔᏃᎡ" "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ" "ⲀⲂⲤⲈⲎⲒⲔⲘⲚⲞⲢⲦⲨⲬ",
+        "ABESIJKMHOPCTYXQWYGVIaesijopcyxhdqwyvl" "ABEZHIKMNOPTYXCJoivpukxacjow" "onuhgLSOUqj" "ag" "IVXLCDMivxlcdm"
+        "ABCDEGHJKLMPSTVWZR" "ABCDEFGHIJKLMNOPRSTUVWXYZ" "ABCEHIKMNOPTYX",
     )
 )
 _TO_HAN = dict(
     zip(
-        "ロカニタエハトムノヨㄚㄇㄈㄏㄩㄠㅡㅣㅁー㇐㇑〡〢〣" "⺀⺁⺄⺅⺇⺊⺌⺎⺘⺠⺩⺮⺼⻁⻄⻅⻉⻋⻓⻔⻘⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰",
-        "口力二夕工八卜厶丿彐丫冂匚厂凵幺一丨口一一丨丨二三" "冫厂乙亻几卜小兀扌民王竹月虎西见贝车长门青页风飞食马骨鬼鱼鸟麦黄齐齿龙",
+        "ロカニタエハトムノヨヒメオヌチㄚㄇㄈㄏㄩㄠㅡㅣㅁー㇐㇑〡〢〣" "⺀⺁⺄⺅⺇⺊⺌⺎⺘⺠⺩⺮⺼⻁⻄⻅⻉⻋⻓⻔⻘⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰",
+        "口力二夕工八卜厶丿彐匕乂才又千丫冂匚厂凵幺一丨口一一丨丨二三" "冫厂乙亻几卜小兀扌民王竹月虎西见贝车长门青页风飞食马骨鬼鱼鸟麦黄齐齿龙",
     )
 )
+# End of the fixed values.
 _KEPT_TAGS = ("<wide>", "<narrow>", "<noBreak>")
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
 _WORD = re.compile(r"\w+")
 LATIN, HAN = "LATIN", "CJK"
-_TABLES = {LATIN: _TO_LATIN, HAN: _TO_HAN}
+_BASE = _TO_LATIN | _TO_HAN
 
 
 def _unit(c: str) -> str:
@@ -67,28 +71,41 @@ def script(c: str) -> str | None:
     return HAN if unicodedata.name(c, "?").startswith("CJK") else unicodedata.name(c, "?").split(" ")[0]
 
 
+@cache
+def _table(main: str) -> dict[str, str]:
+    """character of another script: the letter of script `main` that has its shape."""
+    own = {base: c for c, base in reversed(_BASE.items()) if script(c) == main} | {base: base for base in _BASE.values() if script(base) == main}
+    alike = {c: own[base] for c, base in _BASE.items() if base in own} | own
+    return {c: to for c, to in alike.items() if script(c) != main}
+
+
 def repairs(name: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """(tokens as they are, [(token, what it looks like)] for tokens that may be repaired) of a name in form()."""
+    """(tokens as they are, [(token, what it looks like), ...], likelier ones first) of a name in form().
+
+    The dominant script of a token is that of most of its letters, at a tie that of most letters of the name, then Latin or ideographs. A token with letters of several scripts, or wholly in one
+    script in a name of which at least half is in others, may be meant in the dominant script (of the token, of the name), or with every letter in its basic form, as where most letters of a
+    word were exchanged or a letter stands beside ideographs.
+    """
     if name.isascii():
         return _WORD.findall(name), []
-    scripts = [s for c in name if (s := script(c))]
-    whole = max(_TABLES, key=scripts.count)
+    whole = [s for c in name if (s := script(c))]
     plain, odd = [], []
     for token in _WORD.findall(name):
-        own = [script(c) for c in token]
-        main = max(_TABLES, key=own.count)
-        if not own.count(main):
-            main = whole
-        table = _TABLES[main]
-        changed = "".join(table.get(c, c) for c in token)
-        if changed != token and scripts.count(main):
-            odd.append((token, changed))
+        own = [s for c in token if (s := script(c))]
+        changed = []
+        if len(set(own)) > 1 or (own and 2 * len(own) <= len(whole) and len(set(whole)) > 1):
+            among = own if len(set(own)) > 1 else whole
+            main = max(dict.fromkeys(among), key=lambda s: (own.count(s) if among is own else 0, whole.count(s), s in (LATIN, HAN)))
+            changed = ["".join(_table(main).get(c, c) for c in token), "".join(_BASE.get(c, c) for c in token)]
+        found = [c for c in dict.fromkeys(changed) if c != token]
+        if found:
+            odd += [(token, c) for c in found]
         else:
             plain.append(token)
     return plain, odd
 
 
-_PAIR = StructType([StructField("token", StringType()), StructField("looks", StringType())])
+_PAIR = StructType([StructField("token", StringType()), StructField("rank", IntegerType()), StructField("looks", StringType())])
 _SEEN = StructType([StructField("form", StringType()), StructField("plain", ArrayType(StringType())), StructField("odd", ArrayType(_PAIR))])
 
 
@@ -96,7 +113,7 @@ _SEEN = StructType([StructField("form", StringType()), StructField("plain", Arra
 def _seen(names: pd.Series) -> pd.DataFrame:
     forms = [form(n) for n in names]
     found = [repairs(f) for f in forms]
-    return pd.DataFrame({"form": forms, "plain": [p for p, _ in found], "odd": [[{"token": a, "looks": b} for a, b in o] for _, o in found]})
+    return pd.DataFrame({"form": forms, "plain": [p for p, _ in found], "odd": [[{"token": a, "rank": i, "looks": b} for i, (a, b) in enumerate(o)] for _, o in found]})
 
 
 @pandas_udf(StringType())
@@ -125,14 +142,15 @@ def unified_names(names: DataFrame) -> DataFrame:
     names = names.drop("form", "_s", "_plain", "_odd")
     seen = names.where(F.col("name").isNotNull()).distinct().withColumn("_s", _seen("name")).where(F.length("_s.form") > 0)
     seen = written(seen.select(*names.columns, F.col("_s.form").alias("form"), F.col("_s.plain").alias("_plain"), F.col("_s.odd").alias("_odd")), "seen")
-    odd = seen.select(F.explode("_odd").alias("o")).select("o.token", "o.looks").distinct()
+    odd = seen.select(F.explode("_odd").alias("o")).groupBy("o.token", "o.looks").agg(F.min("o.rank").alias("rank"))
     attested = seen.select(F.explode("_plain").alias("looks")).join(odd.select("looks").distinct(), "looks", "left_semi").distinct()
-    twice = odd.groupBy("looks").agg(F.count("*").alias("n")).where("n > 1").select("looks")
-    accepted = odd.join(attested.union(twice).distinct(), "looks", "left_semi")
+    twice = odd.groupBy("looks").agg(F.countDistinct("token").alias("n")).where("n > 1").select("looks")
+    known = attested.select("looks", F.lit(0).alias("found")).union(twice.select("looks", F.lit(1))).groupBy("looks").agg(F.min("found").alias("found"))
+    accepted = odd.join(known, "looks").groupBy("token").agg(F.min(F.struct("found", "rank", "looks")).alias("a")).select("token", F.col("a.rank").alias("rank"), F.col("a.looks").alias("looks"))
     whole = seen.where(F.size("_odd") == 0).select(*names.columns, "form")
     suspect = seen.where(F.size("_odd") > 0)
     forms = suspect.select("form", F.explode("_odd.token").alias("token")).distinct()
-    fixed = forms.join(accepted, "token").groupBy("form").agg(F.collect_list(F.struct("token", "looks")).alias("pairs"))  # as many as the name has tokens
+    fixed = forms.join(accepted, "token").groupBy("form").agg(F.collect_list(F.struct("token", "rank", "looks")).alias("pairs"))  # as many as the name has tokens
     mended = suspect.join(fixed, "form", "left").withColumn("form", F.when(F.col("pairs").isNull(), F.col("form")).otherwise(_repaired("form", F.coalesce("pairs", F.array().cast(ArrayType(_PAIR))))))
     return whole.unionByName(mended.select(*names.columns, "form"))
 

@@ -2,11 +2,12 @@
 
 Every different name of a book is parsed once:
 
-- A full name gets block keys from the phonetic codes of its sorted tokens (for ideographs, of
-  its sorted characters: the code is a class of characters of one sound, from a fixed
-  table and from what the corpus itself spells both ways within one record). Latin names
-  that share a key are compared by Jaro-Winkler and edit distance, token by token;
-  ideographic names with one key are the same name up to sound and order.
+- A full name gets block keys from the phonetic codes of its sorted tokens. Of a Latin token the code is made of its
+  consonant classes; of an ideograph it is its reading without tone (ICU's transliteration, which comes with Spark), beside
+  a class of characters that are taken for one another, from a fixed
+  table and from what the corpus itself spells both ways within one record. Names
+  that share a key are compared by Jaro-Winkler: Latin ones token by token, with an edit distance;
+  ideographic ones character by character, characters of one class being equal.
 - A short form (given name, initials, nickname, title with surname, acronym) names no one by itself. It claims
   the full names that could be meant, through the nickname table among others, and is linked
   if all of those in the book are one group.
@@ -17,12 +18,12 @@ the groups. Groups never cross books.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
@@ -32,12 +33,12 @@ from storyloom.session import written
 
 PERSON, ORGANISATION, OTHER, UNKNOWN = "person", "organisation", "other", "unknown"
 KINDS = {"CHR": PERSON, "ORG": ORGANISATION, "FAC": ORGANISATION, "SCT": ORGANISATION, "UNC": UNKNOWN, "UNMATCHED": UNKNOWN}
-#: Least Jaro-Winkler similarity of two full Latin names; records that must spell two characters alternately before these count as alike.
-LEAST_SIMILAR, LEAST_SUPPORT = 0.9, 3
-#: Names a character must begin before it counts as a surname that is not in the list.
-LEAST_FIRST = 30
-#: Most learnt pairs of alike characters that are sent to the executors.
-MOST_ALIKE = 50_000
+#: Least Jaro-Winkler similarity of two full names: Latin, ideographic ones that sound alike, organisations of which one lacks a character.
+LEAST_SIMILAR, LEAST_SOUND, LEAST_SHORTER = 0.9, 0.69, 0.9
+#: Two ideographs that don't sound alike count as alike if this share of the records that have the rarer one in a name spells it both ways.
+ALIKE_SHARE = 0.1
+#: A character that is not in the list counts as a surname if it begins this share of the names of three ideographs, and nine times as many as it stands elsewhere in.
+FIRST_SHARE = 0.002
 
 # Surnames, titles, nickname forms, characters of one sound or shape.
 _COMPOUND = "司徒 端木 慕容 上官 欧阳 南宫 东方 独孤 诸葛 公孙 司马 夏侯 皇甫 尉迟 令狐 宇文 长孙 轩辕 闻人 百里 东郭 西门 公冶 钟离 澹台 拓跋".split()
@@ -171,11 +172,33 @@ def same_latin(a: str, b: str) -> bool:
     return any(len(w) <= 2 and all(min(len(p), len(q)) >= 3 and within_edits(p, q, 1) for p, q in w) for w in ways)
 
 
+def same_ideographs(a: str, b: str) -> bool:
+    """Whether two full ideographic names (class codes in order) are one: they sound alike and most characters are alike, or an organisation's name lacks one character of the other."""
+    if len(a) == len(b):
+        return jaro_winkler(a, b) >= LEAST_SOUND
+    return abs(len(a) - len(b)) == 1 and min(len(a), len(b)) >= 4 and jaro_winkler(a, b) >= LEAST_SHORTER
+
+
+def _mixed(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def leave_one_out(codes: list[str]) -> list[str]:
+    """The keys of a list of codes, in any order, and of the list without each of them: sums of their hashes, so their number and size grow with the list and no more."""
+    hashes = [_mixed(c) for c in codes]
+    total = sum(hashes) & (1 << 64) - 1
+    return [f"{total:x}", *dict.fromkeys(f"{(total - h) & (1 << 64) - 1:x}|{len(codes)}" for h in hashes)]
+
+
 class Parser:
-    """Names to (full: comparable form or '', keys, claims, offers)."""
+    """Names to (full: comparable form or '', spelt: what is compared, keys, claims, offers). sounds: reading of an ideograph."""
+
+    def __init__(self, alike: dict[str, str], surnames: set[str] = frozenset(_SURNAMES), ends: set[str] = frozenset(), sounds: dict[str, str] | None = None) -> None:
+        self.alike, self.surnames, self.ends, self.sounds = alike, surnames, ends, sounds or {}
 
-    def __init__(self, alike: dict[str, str], surnames: set[str] = frozenset(_SURNAMES), ends: set[str] = frozenset()) -> None:
-        self.alike, self.surnames, self.ends = alike, surnames, ends
+    def heard(self, text: str) -> str:
+        """The key of names that sound like this one, in any order."""
+        return "y:" + " ".join(sorted(self.sounds.get(c, c) for c in text))
 
     def code(self, text: str) -> str:
         return "".join(self.alike.get(c, c) for c in text)
@@ -213,16 +236,16 @@ class Parser:
                 return _out(tokens[0] if tokens else "", ["x:" + t for t in tokens], [], [])
             if len(tokens) == 2 and not re.search(r"\bof\b|,", bare):  # what stands before the name is left out
                 return _out("", [], ["t:" + " ".join(tokens)], [])
-            codes = sorted(map(phonetic, tokens))
-            keys = ["o:" + " ".join(codes)] + (["o:" + " ".join(c) + f"|{len(codes)}" for c in combinations(codes, len(codes) - 1)] if len(codes) < 8 else [])
+            keys = ["o:" + k for k in leave_one_out(list(map(phonetic, tokens)))]
             return _out(" ".join(sorted(tokens)), keys, [], ["ac:" + "".join(t[0] for t in tokens), "t:" + " ".join(tokens[1:])])
         whole = [t for t in tokens if len(t) > 1 and t not in short]
         cut = [t for t in tokens if len(t) == 1 or t in short]
         nicknamed = lambda a, b: [f"N:{y}|{given}" for x, y in ((a, b), (b, a)) for given in _NICKNAMES.get(x, ())]
         nick = lambda t: next((t[: -len(e)] for e in _NICK_ENDS[:2] if t.endswith(e) and len(t) - len(e) == 3), t if len(t) <= 3 else "")
-        if len(whole) == 2 and (nick(whole[0]) or nick(whole[1])):
+        if len(whole) == 2 and any(nick(t) not in ("", t) for t in whole):  # a stem of three letters and an ending
             return _out("", [], [f"i:{b}|{nick(a)}" for a, b in (whole, whole[::-1]) if nick(a)] + nicknamed(whole[0], whole[1]), [])
         if len(whole) >= 2:
+            cut_short = [f"i:{b}|{a}" for a, b in (whole, whole[::-1]) if len(a) <= 3] if len(whole) == 2 else []  # may be short for a longer name, and a name of its own
             first, last = phonetic(whole[0]), phonetic(whole[-1])
             keys = ["p:" + " ".join(sorted((first, last)))]
             for a, b in ((whole[0], last), (whole[-1], first)):
@@ -230,7 +253,7 @@ class Parser:
             offers = []
             for a, b in ((whole[0], whole[-1]), (whole[-1], whole[0])):
                 offers += ["g:" + a, "n:" + a[:3], "n:" + a[:4], f"N:{b}|{a}", f"i:{a}|{b[0]}"] + [f"i:{b}|{a[:n]}" for n in (2, 3, 4)]
-            return _out(" ".join(sorted(whole)), keys, nicknamed(whole[0], whole[-1]), offers)
+            return _out(" ".join(sorted(whole)), keys, nicknamed(whole[0], whole[-1]) + cut_short, offers)
         if len(whole) == 1 and cut:
             return _out("", [], [f"i:{whole[0]}|{cut[0]}"], [])
         if len(tokens) == 1:
@@ -260,7 +283,8 @@ class Parser:
         code = self.code(text)
         if len(text) < 4:  # the first part of a name, or it without what stands before its last character
             return _out("", [], ["a:" + code], [])
-        return _out("".join(sorted(code)), ["O:" + "".join(sorted(code))], [], ["a:" + code[:2], "a:" + code[:2] + code[-1]])
+        shorter = ["q:" + code] + ["q:" + code[:i] + code[i + 1 :] for i in range(len(code))]
+        return _out("".join(sorted(code)), ["O:" + "".join(sorted(code)), self.heard(text), *dict.fromkeys(shorter)], [], ["a:" + code[:2], "a:" + code[:2] + code[-1]], code)
 
     def person(self, text: str) -> dict:
         titled = False
@@ -311,11 +335,11 @@ class Parser:
 
     def whole(self, text: str, offers: list[str]) -> dict:
         key = "".join(sorted(self.code(text)))
-        return _out(key, ["h:" + key], [], offers)
+        return _out(key, ["h:" + key, self.heard(text)], [], offers, self.code(text))
 
 
-def _out(full: str, keys: list[str], claims: list[str], offers: list[str]) -> dict:
-    return {"full": full, "keys": keys, "claims": claims, "offers": offers}
+def _out(full: str, keys: list[str], claims: list[str], offers: list[str], spelt: str = "") -> dict:
+    return {"full": full, "spelt": spelt or full, "keys": keys, "claims": claims, "offers": offers}
 
 
 def surnames_in_use(names: DataFrame) -> set[str]:
@@ -324,7 +348,16 @@ def surnames_in_use(names: DataFrame) -> set[str]:
     places = three.select(F.explode(F.array(*(F.struct(F.substring("form", i, 1).alias("c"), F.lit(int(i == 1)).alias("first")) for i in (1, 2, 3)))).alias("p"))
     counts = places.groupBy("p.c").agg(F.sum("p.first").alias("first"), F.sum(1 - F.col("p.first")).alias("later")).collect()  # one row for an ideograph of the basic block
     seen = {r["c"]: (r["first"], r["later"]) for r in counts}
-    return {c for c in _SURNAMES if 5 * seen.get(c, (1, 0))[0] >= seen.get(c, (1, 0))[1]} | {c for c, (a, b) in seen.items() if a >= LEAST_FIRST and a > 9 * b}
+    least = FIRST_SHARE * sum(a for a, _ in seen.values())
+    return {c for c in _SURNAMES if 5 * seen.get(c, (1, 0))[0] >= seen.get(c, (1, 0))[1]} | {c for c, (a, b) in seen.items() if a >= least and a > 9 * b}
+
+
+def readings(spark: SparkSession) -> dict[str, str]:
+    """ideograph: its reading in Latin letters without tone, for those that have one (some 27,000, whatever the corpus)."""
+    to_latin = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Han-Latin; NFD; [:Nonspacing Mark:] Remove; NFC")
+    chars = [chr(i) for a, b in ((0x3400, 0x4DC0), (0x4E00, 0xA000)) for i in range(a, b)]
+    read = to_latin.transliterate(" ".join(chars)).split(" ")
+    return {c: r for c, r in zip(chars, read) if r.isascii() and r} if len(read) == len(chars) else {}
 
 
 def other_ends(names: DataFrame, kinds: DataFrame) -> set[str]:
@@ -334,29 +367,28 @@ def other_ends(names: DataFrame, kinds: DataFrame) -> set[str]:
 
 
 _LIST = ArrayType(StringType())
-_PARSED = StructType([StructField("full", StringType()), StructField("keys", _LIST), StructField("claims", _LIST), StructField("offers", _LIST), StructField("shaped", BooleanType())])
+_PARSED = StructType([StructField("full", StringType()), StructField("spelt", StringType()), StructField("keys", _LIST), StructField("claims", _LIST), StructField("offers", _LIST), StructField("shaped", BooleanType())])
 
 
 @pandas_udf(BooleanType())
-def _same_latin(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_latin(x, y) for x, y in zip(a, b)], dtype=bool)
+def _same(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_ideographs(x, y) if _HAN.search(x) else same_latin(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def alike_characters(names: DataFrame) -> list[tuple[str, str]]:
-    """Pairs of ideographs that LEAST_SUPPORT records at least spell alternately in names that are otherwise equal.
+def alike_characters(names: DataFrame, sounds: dict[str, str]) -> list[tuple[str, str]]:
+    """Pairs of ideographs that records spell alternately in names that are otherwise equal: those that sound alike, and those of which ALIKE_SHARE of the records with the rarer one do.
 
-    Names (id, form). Of each name the wildcards with one character left out are compared, so no two names are paired blindly.
+    Names (id, form). Of each name the wildcards with one character left out are compared, so no two names are paired blindly. The pairs are read to the driver; there are as many as ideographs have readings in common.
     """
     short = names.where(F.length("form").between(2, 12) & F.col("form").rlike(r"^[一-鿿·]+$")).select("id", "form").distinct()
     at = F.explode(F.sequence(F.lit(1), F.length("form")))
     holes = short.select("id", "form", at.alias("at")).select("id", F.substring("form", F.col("at"), F.lit(1)).alias("c"), F.concat(F.expr("substring(form, 1, at - 1)"), F.lit("?"), F.expr("substring(form, at + 1)")).alias("hole"))
-    spelt = holes.where(F.col("c").rlike(r"[一-鿿]") & ~F.col("c").isin(*"阿小老")).groupBy("id", "hole").agg(F.collect_set("c").alias("cs")).where(F.size("cs") > 1)
+    seen = holes.where(F.col("c").rlike(r"[一-鿿]") & ~F.col("c").isin(*"阿小老"))
+    uses = {r["c"]: r["n"] for r in seen.groupBy("c").agg(F.countDistinct("id").alias("n")).collect()}  # one row for an ideograph of the basic block
+    spelt = seen.groupBy("id", "hole").agg(F.collect_set("c").alias("cs")).where(F.size("cs") > 1)
     pairs = spelt.select("id", F.explode("cs").alias("a"), "cs").select("id", "a", F.explode("cs").alias("b")).where("a < b")
-    kept = pairs.groupBy("a", "b").agg(F.countDistinct("id").alias("n")).where(F.col("n") >= LEAST_SUPPORT)
-    found = [(r["a"], r["b"]) for r in kept.select("a", "b").limit(MOST_ALIKE + 1).collect()]
-    if len(found) > MOST_ALIKE:
-        raise ValueError("more pairs of alike characters than can be sent to every executor")
-    return found
+    counts = pairs.groupBy("a", "b").agg(F.countDistinct("id").alias("n")).collect()
+    return [(r["a"], r["b"]) for r in counts if sounds.get(r["a"], "?") == sounds.get(r["b"], "!") or r["n"] >= ALIKE_SHARE * min(uses[r["a"]], uses[r["b"]])]
 
 
 def _node(*parts: Column) -> Column:
@@ -373,22 +405,25 @@ def name_groups(names: DataFrame, kinds: DataFrame, within: str) -> DataFrame:
     spark = names.sparkSession
     rows = names.where(F.col("id").isNotNull() & F.col(within).isNotNull()).select("id", F.col(within).alias("w"), "form").distinct().join(kinds.where(F.col("kind") != OTHER).distinct(), "id")
     rows, names, kinds = written(rows, "names"), names.select("id", "form").distinct(), kinds.distinct()
-    parser = spark.sparkContext.broadcast(Parser(_classes(FIXED_ALIKE + alike_characters(rows)), surnames_in_use(rows.where(F.col("kind") == PERSON)), other_ends(names.where(F.col("id").isNotNull()), kinds)))
+    sounds = readings(spark)
+    parser = spark.sparkContext.broadcast(Parser(_classes(FIXED_ALIKE + alike_characters(rows, sounds)), surnames_in_use(rows.where(F.col("kind") == PERSON)), other_ends(names.where(F.col("id").isNotNull()), kinds), sounds))
 
     @pandas_udf(_PARSED)
     def parsed(form: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parser.value.parse(f, k) for f, k in zip(form, kind)], columns=["full", "keys", "claims", "offers", "shaped"])
+        return pd.DataFrame([parser.value.parse(f, k) for f, k in zip(form, kind)], columns=["full", "spelt", "keys", "claims", "offers", "shaped"])
 
     rows = written(rows.withColumn("p", parsed("form", "kind")).select("id", "w", "form", "kind", "p.*"), "parsed")
     record, name = _node(F.lit("record"), "w", "id"), _node(F.lit("name"), "w", "full")
     full = rows.where("full <> ''")
     own = full.select(record.alias("a"), name.alias("b"))
-    keyed = full.where(~F.col("form").rlike(r"[㐀-鿿]")).select("w", "full", F.explode("keys").alias("key")).distinct()
-    x, y = (keyed.select("w", "key", F.col("full").alias(f"full_{s}")) for s in "xy")
-    near = x.join(y, ["w", "key"]).where("full_x < full_y").select("w", "full_x", "full_y").distinct().where(_same_latin("full_x", "full_y"))
+    keyed = full.select("w", "full", "spelt", F.explode("keys").alias("key")).distinct()
+    x, y = (keyed.select("w", "key", F.col("full").alias(f"full_{s}"), F.col("spelt").alias(f"spelt_{s}")) for s in "xy")
+    shorter = ~F.col("key").startswith("q:") | (F.length("spelt_x") != F.length("spelt_y"))  # a key with a character left out joins a name with its shorter form only
+    near = x.join(y, ["w", "key"]).where((F.col("full_x") < F.col("full_y")) & shorter).select("w", "full_x", "full_y", "spelt_x", "spelt_y").distinct().where(_same("spelt_x", "spelt_y"))
     near = near.select(_node(F.lit("name"), "w", "full_x").alias("a"), _node(F.lit("name"), "w", "full_y").alias("b"))
-    meant = full.select("w", name.alias("b"), F.explode("offers").alias("key")).where(F.col("key").startswith("N:"))
-    said = full.select("w", name.alias("a"), F.explode("claims").alias("key")).join(meant, ["w", "key"])  # a nickname beside a surname
+    stands = F.substring("key", 1, 2).isin("N:", "i:")
+    meant = full.select("w", name.alias("b"), F.explode("offers").alias("key")).where(stands)
+    said = full.select("w", name.alias("a"), F.explode("claims").alias("key")).where(stands).join(meant, ["w", "key"]).where("a <> b")  # a nickname or short given name beside a surname
     said = said.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("most")).where("b = most").select("a", "b")
     first = written(connected_components(own.union(near).union(said).distinct(), "a", "b"), "groups")
 
@@ -401,8 +436,10 @@ def name_groups(names: DataFrame, kinds: DataFrame, within: str) -> DataFrame:
     one = meant.where("least = most").select(record.alias("a"), F.col("least").alias("b"))
     none = meant.where("least IS NULL").select(record.alias("a"), _node(F.lit("short"), "w", F.coalesce("given", "form")).alias("b"))
     rest = partial.where(F.size("claims") == 0).select(record.alias("a"), _node(F.lit("short"), "w", "form").alias("b"))
-    linked = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(one).union(none).union(rest)
-    groups = connected_components(linked.distinct(), "a", "b")
+    # short forms join groups; only they and the groups they join are gone through again
+    joined = connected_components(one.union(none).union(rest).distinct(), "a", "b")
+    groups = first.select("node", F.col("component").alias("_c")).join(joined.select(F.col("node").alias("_c"), F.col("component").alias("_j")), "_c", "left").select("node", F.coalesce("_j", "_c").alias("component"))
+    groups = groups.unionByName(joined)
     seen = F.max(F.col("kind").isin(PERSON, ORGANISATION) | F.col("shaped")).alias("known")
     members = rows.groupBy("id", "w").agg(seen).withColumn("node", record).join(groups, "node")
     known = members.groupBy("component").agg(F.max("known").alias("known"), (F.min("id") != F.max("id")).alias("several")).where("known AND several")

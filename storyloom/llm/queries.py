@@ -35,7 +35,7 @@ def _name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*(F.lit(x) for pair in names.KINDS.items() for x in pair))[F.col("code")]
     kinds = entities.select("id").distinct().join(typed.groupBy("id").agg(F.min("code").alias("code")), "id", "left")
     kinds = kinds.select("id", F.when(F.col("code").isNull(), names.UNKNOWN).otherwise(F.coalesce(kind, F.lit(names.OTHER))).alias("kind"))
-    return names.name_groups(_unified(spark, sf_dir), kinds, "book_id")
+    return names.name_groups(written(_unified(spark, sf_dir), "forms"), written(kinds, "kinds"), "book_id")  # both are read several times
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

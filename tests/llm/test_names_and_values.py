@@ -77,10 +77,22 @@ def test_mapped_table(spark, terms):
     assert {r.type_code for r in cv.mapped_values(df, "id", "type", {}, []).collect()} == {"UNMATCHED"}
 
 
-def test_dictionary_size_is_checked(monkeypatch):
+def test_a_dictionary_too_large_to_send_is_joined(spark, terms, monkeypatch):
+    """The same codes by the join as by the dictionary that is sent."""
+    values = ["人物", " 人 物。", "重要人物", "人勿", "配图", "“地點”", "靈寶", "perosn", "villan?", "the place(main)", "tem", "——", "人物/待核", "pеrson", "item place", "x" * 300, None, " ", "old person of place"]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "id string, type string")
+    rows = lambda: {(r.id, r.type_code) for r in cv.mapped_values(df, "id", "type", terms.codes, ["地点"]).collect()}
+    sent = rows()
     monkeypatch.setattr(cv, "MOST_ENTRIES", 3)
-    with pytest.raises(ValueError):
-        cv.Terms({"person": "CHR"})
+    assert cv.Terms(terms.codes).near is None
+    assert rows() == sent and len(sent) == len(values) - 2
+
+
+def test_other_scripts(spark):
+    """The dominant script decides, whichever it is: Cyrillic, Greek, ideographs with a letter, most letters of a word exchanged."""
+    e = lambda i, n: (i, "b", n, None, None, None)
+    rows = [e("a", "Москва"), e("b", "Москвa"), e("c", "Αθήνα"), e("d", "Αθήνa"), e("e", "Yarcrest"), e("f", "Үarcrest"), e("g", "生月步法A7"), e("h", "生月步法А7"), e("i", "House"), e("j", "Hоuѕе"), e("k", "Mockba"), e("l", "Anna"), e("m", "Аnna")]
+    assert lookalikes(spark, rows)[1] == {("a", "b"), ("c", "d"), ("e", "f"), ("g", "h"), ("i", "j"), ("l", "m")}
 
 
 def groups(spark, rows):
@@ -122,3 +134,29 @@ def test_nicknames_from_the_table(spark):
         ("h", "b", "Robert Belcroft", p), ("i", "b", "Gilbert Welford", p), ("j", "b", "Bert", p), ("k", "b", "Corvinna Maldane", p), ("l", "b", "Corvie", p), ("m", "b2", "Bill", p),
     ]
     assert groups(spark, rows) == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("f", "g"), ("k", "l")}
+
+
+def test_plain_pairs(spark):
+    """A given name of three letters may be spelt wrongly too; ideographs that sound alike; long organisations; an organisation that lacks a character."""
+    p, o = nm.PERSON, nm.ORGANISATION
+    words = "Brotherhood of Silent Lantern Keepers Beneath Western Harbour Walls Near Old Mill"
+    rows = [
+        ("a", "b", "Jon Harkar", p), ("b", "b", "Jon Harker", p), ("c", "b", "张无忌", p), ("d", "b", "张无记", p), ("e", "b", "张无双", p), ("f", "b", words, o), ("g", "b", words.replace("Lantern", "Lanterm"), o),
+        ("h", "b", "桃铁丹商会", o), ("i", "b", "桃铁商会", o), ("j", "b", "桃铁丹商行", o), ("k", "b", "Jon Kellford", p), ("l", "b", "Jonathan Kellford", p), ("m", "b", "李明", p), ("n", "b", "黎鸣", p),
+    ]
+    assert groups(spark, rows) == {("a", "b"), ("c", "d"), ("f", "g"), ("h", "i"), ("k", "l")}
+
+
+def test_keys_of_long_lists():
+    codes = [f"k{i}" for i in range(500)]
+    keys = nm.leave_one_out(codes)
+    assert len(keys) == 501 and nm.leave_one_out(codes[::-1])[0] == keys[0]
+    assert set(keys) & set(nm.leave_one_out(["other", *codes[1:]])) and not set(keys) & set(nm.leave_one_out(["x", "y", *codes[2:]]))
+
+
+def test_linking_does_not_depend_on_the_size_of_the_table(spark):
+    """The same pairs alone and among a thousand other names."""
+    p = nm.PERSON
+    rows = [("a", "b", "宁峰川", p), ("b", "b", "宁枫川", p), ("c", "b", "Umaric Tarnlow", p), ("d", "b", "Umarric Tarnlow", p)]
+    rest = [(f"x{i}", f"o{i}", f"赵{chr(0x5000 + i)}{chr(0x6000 + i)}", p) for i in range(1000)]
+    assert groups(spark, rows) == groups(spark, rows + rest) == {("a", "b"), ("c", "d")}
