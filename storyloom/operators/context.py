@@ -77,8 +77,8 @@ def first(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame
 
 
 def facts_by_entity(mentions: DataFrame) -> DataFrame:
-    """(chapter_id, entity_id, facts): the facts of an entity in a chapter, in order. A list is as long as what one chapter says of one entity."""
-    return mentions.where("fact IS NOT NULL").groupBy("chapter_id", "entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "fact"))), lambda x: x["fact"]).alias("facts"))
+    """(chapter_id, entity_id, facts): the facts of an entity in a chapter, in order. A list is as long as what one chapter says of one entity; facts without a chapter or an entity are in none."""
+    return mentions.where("fact IS NOT NULL AND chapter_id IS NOT NULL AND entity_id IS NOT NULL").groupBy("chapter_id", "entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "fact"))), lambda x: x["fact"]).alias("facts"))
 
 
 def event_line(idx: Column) -> Column:

@@ -19,8 +19,6 @@ from storyloom.session import shuffle_width, written
 #: Vectors in a block that is multiplied at once, and queries in a block.
 BLOCK, QUERY_BLOCK = 8192, 512
 DIMENSIONS = 384
-#: Rows on which the cells of the approximate index are fitted at most.
-FIT_ROWS = 20_000
 _TOKENS = re.compile(r"[一-鿿]|[a-z0-9_]+")
 
 
@@ -35,8 +33,8 @@ def valid(vector: Column) -> Column:
     return storable(vector) & F.exists(vector, lambda x: x != 0)
 
 
-def _packed(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (id bigint, dims, vector) in blocks (dims int, ids binary, data binary) of at most `block` rows of one dimension."""
+def _packed(rows: DataFrame, block: int, code: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows (id bigint, dims, vector) in blocks (dims int, ids binary, data binary) of at most `block` rows of one dimension, as floats or as `code` makes of them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +46,7 @@ def _packed(rows: DataFrame, block: int) -> DataFrame:
                 for i in range(0, len(at), block):
                     part = at[i : i + block]
                     data = flat[starts[part][:, None] + np.arange(d)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["dims", "ids", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(d)], pa.int32()), pa.array([ids[part].astype(np.int64).tobytes()], pa.binary()), pa.array([(code(data) if code else data).tobytes()], pa.binary())], ["dims", "ids", "data"])
 
     return rows.mapInArrow(pack, "dims int, ids binary, data binary")
 
@@ -69,6 +67,16 @@ def _best(q_ids, q, v_ids, v, k: int):
     return q_ids[rows], v_ids[cols], distance[rows, cols]
 
 
+def _query_blocks(queries: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(blocks (q, q_dims, q_ids, q_data) numbered from 0, one number a block); they are fixed in a written table, so that their copies agree."""
+    q = written(_packed(queries, QUERY_BLOCK).withColumn("q", F.monotonically_increasing_id()), "queries")
+    numbers = [r["q"] for r in q.select("q").collect()]  # one number for QUERY_BLOCK queries
+    if not numbers:
+        return q, numbers
+    numbered = q.withColumn("q", F.array_position(F.array(*map(F.lit, numbers)), F.col("q")).cast("int") - 1)
+    return numbered.select("q", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), numbers
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest by cosine of every query, among all vectors of its dimension; ties by id.
 
@@ -77,14 +85,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """
     width = shuffle_width(vectors.sparkSession)
     prep = lambda df: df.where(valid(F.col("vector"))).select(F.col("id").cast("bigint"), F.size("vector").alias("dims"), "vector")
-    # a query block is numbered by its own content's order in a written table, so that its copies agree
-    q = written(_packed(prep(queries), QUERY_BLOCK).withColumn("q", F.monotonically_increasing_id()), "queries")
-    numbers = [r["q"] for r in q.select("q").collect()]  # one number for QUERY_BLOCK queries
+    q, numbers = _query_blocks(prep(queries))
     if not numbers:
-        return q.select(F.lit(0).cast("bigint").alias("query_id"), F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).where("false")
+        empty = "query_id bigint, vec_id bigint, distance double, rank int"
+        return vectors.sparkSession.createDataFrame([], empty)
     v = _packed(prep(vectors), BLOCK).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(len(numbers) - 1))))
-    numbered = q.withColumn("q", F.array_position(F.array(*map(F.lit, numbers)), F.col("q")).cast("int") - 1)
-    pairs = v.join(numbered.select("q", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "q").where("dims = q_dims").select("dims", "q_ids", "q_data", "ids", "data")
+    pairs = v.join(q, "q").where("dims = q_dims").select("dims", "q_ids", "q_data", "ids", "data")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,78 +107,52 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
 
-def _cells(sample: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
-    rng = np.random.default_rng(3)
-    centres = sample[rng.choice(len(sample), cells, replace=False)]
-    for _ in range(rounds):
-        own = (sample @ centres.T).argmax(1)
-        for c in range(cells):
-            if (own == c).any():
-                m = sample[own == c].mean(0)
-                centres[c] = m / (np.linalg.norm(m) + 1e-12)
-    return centres
+def _codes(rows: np.ndarray) -> np.ndarray:
+    """Unit rows as 4-bit codes, two to a byte: every component in 15 steps over 2.5 times the size that the components of a unit row have on average. Nothing is fitted."""
+    d = rows.shape[1]
+    steps = (np.clip(np.rint(_unit(rows) * (d**0.5 * 7 / 2.5)), -7, 7) + 8).astype(np.uint8)
+    if d % 2:
+        steps = np.concatenate([steps, np.full((len(steps), 1), 8, np.uint8)], 1)
+    return steps[:, ::2] << 4 | steps[:, 1::2]
+
 
+def _steps(codes: np.ndarray, d: int) -> np.ndarray:
+    out = np.empty((len(codes), 2 * codes.shape[1]), np.float32)
+    out[:, ::2], out[:, 1::2] = codes >> 4, codes & 15
+    return out[:, :d] - 8
 
-def nearest_in_cells(queries: DataFrame, vectors: DataFrame, k: int, probed: float = 0.7) -> DataFrame:
-    """As nearest(), approximately: every vector lies in the cell of its nearest centre, a query looks in the nearest `probed` share of the cells.
 
-    Centres are fitted on at most FIT_ROWS vectors (those with the least hash of their id); all vectors are indexed. The vectors of
-    a cell stream past the queries that look in it; a cell is cut into slices, so a crowded one is read by several tasks.
+def nearest_by_codes(queries: DataFrame, vectors: DataFrame, k: int, keep: int = 5) -> DataFrame:
+    """As nearest(), approximately: an index of 4-bit codes of all vectors, an eighth of their size, is searched whole, and the keep * k best of each query are ranked anew by their exact distance.
+
+    Cells are no help where vectors lie in all directions alike: to reach nine of ten neighbours there most cells have to be read. Codes keep the order of distances well in any
+    data, need no sample and no fit, and the search is one matrix product a block.
     """
-    spark, width = vectors.sparkSession, shuffle_width(vectors.sparkSession)
-    sizes = vectors.where(valid(F.col("vector"))).groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(2).collect()
-    if not sizes:
+    width = shuffle_width(vectors.sparkSession)
+    prep = lambda df: df.where(valid(F.col("vector"))).select(F.col("id").cast("bigint"), F.size("vector").alias("dims"), "vector")
+    q, numbers = _query_blocks(prep(queries))
+    if not numbers:
         return nearest(queries, vectors, k)
-    usual = valid(F.col("vector")) & (F.size("vector") == sizes[0]["d"])
-    known = vectors.where(usual).select(F.col("id").cast("bigint"), "vector")
-    sample = known.orderBy(F.xxhash64("id")).limit(FIT_ROWS).collect()
-    data = np.array([r["vector"] for r in sample], np.float64)
-    data /= np.linalg.norm(data, axis=1, keepdims=True)
-    cells = max(1, int(len(data) ** 0.5 / 2))
-    sent = spark.sparkContext.broadcast(_cells(data, cells))  # at most sqrt(FIT_ROWS) / 2 centres
-    look = max(1, int(np.ceil(cells * probed)))
-
-    def placed(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres = sent.value
-            for batch in batches:
-                v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                near = np.argsort(-(v / np.linalg.norm(v, axis=1, keepdims=True)) @ centres.T, axis=1)[:, :n] if batch.num_rows else np.zeros((0, n), int)
-                at = np.repeat(np.arange(batch.num_rows), n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], ["id", "vector", "cell"])
-
-        return run
-
-    schema = "id bigint, vector array<float>, cell int"
-    slices = F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")
-    stored = known.mapInArrow(placed(1), schema).withColumn("slice", slices).withColumn("is_query", F.lit(False))
-    asked = queries.where(usual).select(F.col("id").cast("bigint"), "vector").mapInArrow(placed(look), schema)
-    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("is_query", F.lit(True))
-    both = stored.union(asked).repartition(width, "cell", "slice").sortWithinPartitions("cell", "slice", F.desc("is_query"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, q_ids, q = None, [], []
+    v = _packed(prep(vectors), BLOCK, _codes).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(len(numbers) - 1))))
+    pairs = v.join(q, "q").where("dims = q_dims").select("dims", "q_ids", "q_data", "ids", "data")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("cell").to_numpy().astype(np.int64) * 4 + batch.column("slice").to_numpy()
-            query = batch.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-            cuts = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(query.astype(int), prepend=-1) != 0))
-            for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
-                if key[a] != now:
-                    now, q_ids, q = key[a], [], []
-                ids = batch.column("id").to_numpy()[a:b]
-                v = np.array(batch.column("vector").slice(a, b - a).to_pylist(), np.float64)
-                if query[a]:
-                    q_ids.append(ids)
-                    q.append(v)
-                elif q:
-                    x, y, dist = _best(np.concatenate(q_ids), np.concatenate(q), ids, v, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(dist)], ["query_id", "vec_id", "distance"])
-
-    found = _top(both.mapInArrow(search, "query_id bigint, vec_id bigint, distance double"), k)
-    if len(sizes) == 1:
-        return found
-    other = valid(F.col("vector")) & (F.size("vector") != sizes[0]["d"])  # rare: vectors of other dimensions are compared exactly
-    return found.unionByName(nearest(queries.where(other), vectors.where(other), k))
+            for i in range(batch.num_rows):
+                d, q_ids, q_data, ids, data = (batch.column(c)[i].as_py() for c in range(5))
+                asked, known = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                steps = _steps(np.frombuffer(data, np.uint8).reshape(len(known), -1), d)
+                near = _unit(np.frombuffer(q_data, np.float32).reshape(-1, d)).astype(np.float32) @ (steps / np.maximum(np.linalg.norm(steps, axis=1, keepdims=True), 1e-9)).T
+                n = min(keep * k, len(known))
+                best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(known[best].ravel()), pa.array(-np.take_along_axis(near, best, 1).ravel().astype(np.float64))], ["query_id", "vec_id", "distance"])
+
+    found = _top(pairs.repartition(width).mapInArrow(match, "query_id bigint, vec_id bigint, distance double"), keep * k).select("query_id", "vec_id")
+    of = lambda df, key, name: df.where(valid(F.col("vector"))).select(F.col("id").cast("bigint").alias(key), F.col("vector").alias(name))
+    both = found.join(of(vectors, "vec_id", "_v"), "vec_id").join(of(queries, "query_id", "_q"), "query_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    cosine = dot("_q", "_v") / F.sqrt(dot("_q", "_q") * dot("_v", "_v"))
+    return _top(both.select("query_id", "vec_id", (1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))).alias("distance")), k)
 
 
 def hash_embeddings(texts: list[str], dimensions: int = DIMENSIONS) -> list[np.ndarray]:

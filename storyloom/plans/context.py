@@ -92,7 +92,7 @@ def kb_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("book_id").agg(F.sum("n").alias("characters"))
 
 
-@query("SELECT chapter_id, entity_id, list(fact ORDER BY created_at, id) AS facts FROM {kb_mentions} WHERE fact IS NOT NULL GROUP BY ALL")
+@query("SELECT chapter_id, entity_id, list(fact ORDER BY created_at, id) AS facts FROM {kb_mentions} WHERE fact IS NOT NULL AND chapter_id IS NOT NULL AND entity_id IS NOT NULL GROUP BY ALL")
 def facts_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8"""
     return op.facts_by_entity(view(spark, sf_dir, "kb_mentions"))

@@ -154,7 +154,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHAPTERS = f"allc AS MATERIALIZED (SELECT id AS chapter_id, book_id, idx, status FROM {{kb_chapters}} WHERE book_id IS NOT NULL AND idx IS NOT NULL), cs AS MATERIALIZED (SELECT * FROM allc WHERE chapter_id IN (SELECT chapter_id FROM {{kb_texts}} WHERE {_S('content')} <> '')), fresh AS (SELECT chapter_id FROM cs WHERE coalesce(status, '') <> 'done'), done AS (SELECT chapter_id FROM cs WHERE status = 'done')"
 _LEFT = f"""{_CHAPTERS}, kept AS MATERIALIZED (SELECT * FROM {{kb_mentions}} WHERE coalesce(chapter_id NOT IN (SELECT chapter_id FROM fresh), true)),
 ents AS MATERIALIZED (SELECT * FROM {{kb_entities}} e WHERE NOT (coalesce(e.first_chapter_id IN (SELECT chapter_id FROM fresh), false) AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.entity_id = e.id))),
-told AS MATERIALIZED (SELECT c.book_id, c.idx, c.chapter_id, e.canonical_name AS given, {_S('e.canonical_name')} AS name, m.id, {_S("CASE WHEN m.created_at % 4 = 2 THEN concat(m.fact, '（新）') ELSE concat(' ', m.fact, ' ') END")} AS fact
+told AS MATERIALIZED (SELECT c.book_id, c.idx, c.chapter_id, e.canonical_name AS given, {_S('e.canonical_name')} AS name, m.id, {_S("CASE WHEN m.created_at % 4 = 2 THEN m.fact || '（新）' ELSE ' ' || m.fact || ' ' END")} AS fact
   FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1),
 names AS MATERIALIZED (SELECT DISTINCT book_id, idx, chapter_id AS ch, dense_rank() OVER (PARTITION BY chapter_id ORDER BY given) - 1 AS place, name, '未分类' AS type, CAST([] AS VARCHAR[]) AS al FROM told)"""
 _TOLD = f"""{_LEFT}, {resolution("(SELECT * FROM names WHERE name <> '')", 'ents')},

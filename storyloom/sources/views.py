@@ -75,9 +75,9 @@ def _compatibility() -> str:
 
 @cache
 def _initials() -> str:
-    """For DuckDB: one row with a map from every first-level character to the letter its name is sorted under."""
-    chars = (bytes((hi, lo)).decode("gbk", "ignore") for hi in range(0xB0, 0xD8) for lo in range(0xA1, 0xFF))
-    return "SELECT MAP {" + ", ".join(f"'{c}': '{initial(c)}'" for c in chars if len(c) == 1 and initial(c) != "#") + "} AS m"
+    """For DuckDB: one row with a map from every character of two GBK bytes that has an initial to it."""
+    chars = dict.fromkeys(bytes((hi, lo)).decode("gbk", "ignore") for hi in range(0x81, 0xFF) for lo in range(0x40, 0xFF))
+    return "SELECT MAP {" + ", ".join(f"'{c}': '{initial(c)}'" for c in chars if len(c) == 1 and not c.isascii() and initial(c) != "#") + "} AS m"
 
 
 _MADE = {"nfkc": _compatibility, "initials": _initials}

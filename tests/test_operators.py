@@ -192,19 +192,27 @@ def test_neighbours(spark, monkeypatch):
     want = _brute(data[::50], data, 10)
     got = {(r.query_id, r["rank"]): r.vec_id for r in vectors.nearest(queries, df, 10).collect()}
     assert got == {(50 * i, j + 1): int(want[i, j]) for i in range(12) for j in range(10)}
-    near = vectors.nearest_in_cells(queries, df, 10).collect()
+    near = vectors.nearest_by_codes(queries, df, 10).collect()
     hits = sum(r.vec_id in want[r.query_id // 50] for r in near)
     assert hits / 120 >= 0.9
     assert vectors.nearest(df.where("id < 0"), df, 3).count() == 0
 
 
-def test_recall_of_cells_on_test_data(spark):
-    from storyloom.plans.vectors import knn_cells, knn_exact
+def test_recall_of_codes_on_test_data(spark):
+    from storyloom.plans.vectors import _vectors
 
-    folder = "/root/testdata/sf0.01"
-    key = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
-    want = key(knn_exact(spark, folder))
-    assert len(want & key(knn_cells(spark, folder))) / len(want) >= 0.9
+    rows = _vectors(spark, "/root/testdata/sf0.01").drop("label")
+    key = lambda f: {(r.query_id, r.vec_id) for r in f(rows.where("id % 50 = 0"), rows, 10).collect()}
+    want = key(vectors.nearest)
+    assert len(want & key(vectors.nearest_by_codes)) / len(want) >= 0.97
+
+
+def test_codes():
+    rows = np.random.default_rng(1).normal(size=(5, 7)).astype(np.float32)
+    steps = vectors._steps(vectors._codes(rows), 7)
+    assert steps.shape == (5, 7) and np.abs(steps).max() <= 7
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    assert np.abs(np.clip(unit * (7**0.5 * 7 / 2.5), -7, 7) - steps).max() <= 0.5 + 1e-5
 
 
 def test_hash_embedding():
