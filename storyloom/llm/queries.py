@@ -55,6 +55,10 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_pieces(chapters, "chapter_id", "content")
 
 
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.rejoined(p4_pieces(spark, sf_dir).where("chapter_id IS NOT NULL"), "chapter_id")
+
+
 def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.unified_names(lookalikes.all_names(table(spark, sf_dir, "entities"), "id", "canonical_name", "aliases", "book_id"))
 
@@ -87,6 +91,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = tokens.decoded(p7_ids(spark, sf_dir), tokens.vocabulary())
+    return text.select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = written(tokens.token_counts(table(spark, sf_dir, "documents"), tokens.vocabulary()), "sizes")
     return packing.packed(sizes, "doc_id", "n_tokens")
@@ -102,6 +111,16 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p8_packed(spark, sf_dir))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers, as one row: every text with tokens is packed whole and once, in order, within the capacity, in at most 1 % and one container more than the tokens need."""
+    rows = written(p8_packed(spark, sf_dir), "packed")
+    own = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("piece_no").alias("last"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("length").alias("tokens"), F.array_sort(F.collect_list(F.struct("piece_no", "container"))).alias("cs"))
+    rising = F.forall(F.sequence(F.lit(0), F.size("cs") - 1), lambda i: (i == 0) | (F.get("cs", i)["container"] >= F.coalesce(F.get("cs", i - 1)["container"], F.lit(0))))
+    documents = own.agg(F.count("*").alias("documents"), F.bool_and((F.col("n") == F.col("last") + 1) & (F.col("end") == F.col("tokens"))).alias("whole"), F.bool_and(rising).alias("in_order"))
+    filled = packing.fill(rows).agg(F.bool_and(F.col("used") <= packing.CAPACITY).alias("within"), (F.count("*") <= F.ceil(F.sum("used") / packing.CAPACITY) * 1.01 + 1).alias("tight"))
+    return documents.crossJoin(filled)  # one row with one row
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(spark, sf_dir).select("doc_id", "kind", "start_pos", "end_pos").distinct()
 
@@ -111,8 +130,13 @@ def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p8_packed, p8_containers, p9_found, p9_masked)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_groups, p4_found, p4_pieces, p4_rejoined, p5_found, p5_names, p6_found, p6_unmatched, p7_ids, p7_decoded, p8_packed, p8_containers, p8_invariants, p9_found, p9_masked)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": "SELECT DISTINCT chapter_id FROM chapter_list WHERE length(content) > 1500"}
+    return {
+        "p4_found": "SELECT DISTINCT chapter_id FROM chapter_list WHERE length(content) > 1500",
+        "p4_rejoined": "SELECT DISTINCT chapter_id, sha256(content) AS hash, true AS fits FROM chapter_list WHERE coalesce(content, '') <> '' AND chapter_id IS NOT NULL",
+        "p7_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents",
+        "p8_invariants": "SELECT count(*) AS documents, true AS whole, true AS in_order, true AS within, true AS tight FROM documents WHERE coalesce(text, '') <> ''",
+    }

@@ -52,33 +52,34 @@ def strengths(text: str) -> np.ndarray:
     return out
 
 
-def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, advance: int = 1) -> list[tuple[int, int]]:
     """[(start, end)] of the pieces: at most `limit` long, each but the first starting `overlap` before the end of the one before.
 
-    A piece may end anywhere from overlap + 1 to limit characters after its start; the strongest
-    boundary there is taken, the rightmost of equals. A text within the limit is one piece, an empty one none.
+    A piece may end anywhere from overlap + advance to limit characters after its start; the strongest
+    boundary there is taken, the rightmost of equals. With an advance of 1 a natural boundary is never passed over, but a piece may bring little that is new;
+    a greater one bounds the number of pieces to the text's length over advance. A text within the limit is one piece, an empty one none.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be at least 0 and below limit")
+    if not 0 <= overlap < limit or not 1 <= advance <= limit - overlap:
+        raise ValueError("overlap must be at least 0 and below limit, advance at least 1 and at most what is left")
     n = len(text)
     if n <= limit:
         return [(0, n)] if n else []
     best = strengths(text).astype(np.int64) * (n + 1) + np.arange(n + 1)
     span = 1
-    while span * 2 <= limit - overlap:
+    while span * 2 <= limit - overlap - advance + 1:
         best = np.maximum(best[:-span], best[span:])
         span *= 2
     pieces, start = [], 0
     while n - start > limit:
-        low, high = start + overlap + 1, start + limit
+        low, high = start + overlap + advance, start + limit
         end = int(max(best[low], best[high - span + 1]) % (n + 1))
         pieces.append((start, end))
         start = end - overlap
     return [*pieces, (start, n)]
 
 
-def split_pieces(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, piece_no, start_pos, end_pos, piece) of every row of docs; positions count code points.
+def split_pieces(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, advance: int = 1) -> DataFrame:
+    """(key, piece_no, start_pos, end_pos, piece) of every row of docs, as cuts() cuts them; positions count code points.
 
     Null and empty texts give no piece, a text within the limit one. Whitespace is kept as stored, so
     the pieces without their overlaps join to the text. A repeated row is cut again, a null key
@@ -92,7 +93,7 @@ def split_pieces(docs: DataFrame, key: str, text: str, limit: int = LIMIT, overl
             rows, held = [], 0
             for i, t in enumerate(batch.column(1)):
                 t = t.as_py()
-                for k, (a, b) in enumerate(cuts(t, limit, overlap) if t else ()):
+                for k, (a, b) in enumerate(cuts(t, limit, overlap, advance) if t else ()):
                     rows.append((i, k, a, b, t[a:b]))
                     held += b - a
                 if held > 1 << 21:
@@ -113,3 +114,12 @@ def _out(keys: pa.Array, rows: list[tuple], key: str) -> pa.RecordBatch:
 def oversized(pieces: DataFrame, key: str) -> DataFrame:
     """Keys of the texts that came out in more than one piece."""
     return pieces.where("piece_no = 1").select(key).distinct()
+
+
+def rejoined(pieces: DataFrame, key: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, hash, fits): SHA-256 of what the pieces of every text (distinct keys) join to without their overlaps, and whether all are within the limit and begin `overlap` before the end of the one before. A text's pieces are gathered in one row, which its text fits too."""
+    new = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substring("piece", overlap + 1, limit))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", new.alias("new"))))
+    rows = pieces.groupBy(key).agg(parts.alias("ps"))
+    stepped = F.forall(F.sequence(F.lit(0), F.size("ps") - 1), lambda i: (F.get("ps", i)["end_pos"] - F.get("ps", i)["start_pos"] <= limit) & ((i == 0) | (F.get("ps", i)["start_pos"] == F.coalesce(F.get("ps", i - 1)["end_pos"], F.lit(0)) - overlap)))
+    return rows.select(key, F.sha2(F.array_join(F.transform("ps", lambda p: p["new"]), ""), 256).alias("hash"), stepped.alias("fits"))

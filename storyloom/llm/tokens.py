@@ -53,6 +53,15 @@ class Vocabulary:
         order = np.argsort(np.array(pairs, np.int64))
         return cls(byte_ids, np.array(pairs, np.int64)[order], np.array(merged, np.int32)[order])
 
+    def bytes_of(self) -> dict[int, bytes]:
+        """The bytes every id stands for, put together from the merges."""
+        out = {int(t): bytes([i]) for i, t in enumerate(self.byte_ids)}
+        for m in np.argsort(self.merged, kind="stable"):
+            a, b = int(self.pairs[m]) >> 32, int(self.pairs[m]) & 0xFFFFFFFF
+            if a in out and b in out:
+                out.setdefault(int(self.merged[m]), out[a] + out[b])
+        return out
+
     def __getstate__(self):
         return self.byte_ids, self.pairs, self.merged
 
@@ -248,3 +257,17 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", t
     """(key, n_tokens): as token_ids, with the number of ids only."""
     kind = docs.schema[key].dataType.simpleString()
     return _mapped(docs, key, text, vocabulary, f"{key} {kind}, n_tokens bigint", lambda keys, ids, counts: pa.RecordBatch.from_arrays([keys, pa.array(counts)], [key, "n_tokens"]))
+
+
+def decoded(ids: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
+    """(key, text): rows of (key, ids) turned back to text; ids that make no whole characters give replacement characters, a null list null."""
+    kind = ids.schema[key].dataType.simpleString()
+    sent = ids.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value.bytes_of()
+        for batch in batches:
+            texts = [None if row is None else b"".join(map(known.__getitem__, row)).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    return ids.select(key, "ids").mapInArrow(run, f"{key} {kind}, text string")

@@ -44,3 +44,13 @@ def test_table(spark):
     assert sum(r.chapter_id == "a" for r in pieces) == 4 and sum(r.chapter_id == "d" for r in pieces) == 1
     assert {r.chapter_id for r in sp.oversized(sp.split_pieces(df, "chapter_id", "content"), "chapter_id").collect()} == {"a", None, "e"}
     assert sp.split_pieces(df.where("piece = 2"), "chapter_id", "content").count() == 0
+
+
+def test_least_advance():
+    """A boundary early in the window is taken with an advance of 1; a greater one lets no piece bring less."""
+    text = "a" * 153 + "\n\n" + "b" * 4000
+    assert sp.cuts(text)[:2] == [(0, 155), (5, 1505)]
+    pieces = sp.cuts(text, advance=500)
+    assert all(b - a <= 1500 for a, b in pieces) and pieces[0][1] >= 650 and all(b - a >= 650 for a, b in pieces[:-1]) and len(pieces) <= len(text) / 500 + 1
+    with pytest.raises(ValueError):
+        sp.cuts(text, 100, 50, 51)
