@@ -151,10 +151,11 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.parsed(written(results(spark, sf_dir), "results"))
 
 
+_SAID = "CASE WHEN m.created_at % 4 = 2 THEN m.fact || '（新）' ELSE ' ' || m.fact || ' ' END"
 _CHAPTERS = f"allc AS MATERIALIZED (SELECT id AS chapter_id, book_id, idx, status FROM {{kb_chapters}} WHERE book_id IS NOT NULL AND idx IS NOT NULL), cs AS MATERIALIZED (SELECT * FROM allc WHERE chapter_id IN (SELECT chapter_id FROM {{kb_texts}} WHERE {_S('content')} <> '')), fresh AS (SELECT chapter_id FROM cs WHERE coalesce(status, '') <> 'done'), done AS (SELECT chapter_id FROM cs WHERE status = 'done')"
 _LEFT = f"""{_CHAPTERS}, kept AS MATERIALIZED (SELECT * FROM {{kb_mentions}} WHERE coalesce(chapter_id NOT IN (SELECT chapter_id FROM fresh), true)),
 ents AS MATERIALIZED (SELECT * FROM {{kb_entities}} e WHERE NOT (coalesce(e.first_chapter_id IN (SELECT chapter_id FROM fresh), false) AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.entity_id = e.id))),
-told AS MATERIALIZED (SELECT c.book_id, c.idx, c.chapter_id, e.canonical_name AS given, {_S('e.canonical_name')} AS name, m.id, {_S("CASE WHEN m.created_at % 4 = 2 THEN m.fact || '（新）' ELSE ' ' || m.fact || ' ' END")} AS fact
+told AS MATERIALIZED (SELECT c.book_id, c.idx, c.chapter_id, e.canonical_name AS given, {_S('e.canonical_name')} AS name, m.id, {_S(_SAID)} AS fact
   FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1),
 names AS MATERIALIZED (SELECT DISTINCT book_id, idx, chapter_id AS ch, dense_rank() OVER (PARTITION BY chapter_id ORDER BY given) - 1 AS place, name, '未分类' AS type, CAST([] AS VARCHAR[]) AS al FROM told)"""
 _TOLD = f"""{_LEFT}, {resolution("(SELECT * FROM names WHERE name <> '')", 'ents')},
@@ -230,7 +231,7 @@ def rule_mentions_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_CHAPTERS} SELECT chapter_id, kind, count(*) AS n FROM (
-  SELECT m.chapter_id, 'mentions' AS kind FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1 AND {_S('e.canonical_name')} <> '' AND {_S('m.fact')} <> ''
+  SELECT m.chapter_id, 'mentions' AS kind FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1 AND {_S('e.canonical_name')} <> '' AND {_S(_SAID)} <> ''
   UNION ALL SELECT chapter_id, 'events' FROM {{kb_happenings}} WHERE created_at % 3 <> 0 AND {_S('what')} <> '' UNION ALL SELECT hint_chapter_id, 'foreshadowing' FROM {{kb_foreshadowing}} WHERE updated_at % 2 = 0 AND {_S('hint')} <> ''
   UNION ALL SELECT hint_chapter_id, 'foreshadowing' FROM {{kb_foreshadowing}} WHERE updated_at % 5 = 0 AND {_S('hint')} <> ''
   UNION ALL SELECT m.chapter_id, 'rules' FROM {{kb_rule_mentions}} m JOIN {{kb_rules}} r ON r.id = m.rule_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = r.book_id WHERE {_S('r.name')} <> '') WHERE chapter_id IN (SELECT chapter_id FROM cs) GROUP BY ALL""")
@@ -278,7 +279,7 @@ def entities_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_CHAPTERS} SELECT DISTINCT chapter_id, source_type, source FROM (SELECT chapter_id, 'chapter_summary' AS source_type, 'summary' AS source FROM cs
   UNION ALL SELECT m.chapter_id, 'entity', e.canonical_name FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1 AND e.canonical_name IS NOT NULL
-  UNION ALL SELECT chapter_id, 'event', substr(concat(' ', what), 1, 80) FROM {{kb_happenings}} WHERE created_at % 3 <> 0 UNION ALL SELECT hint_chapter_id, 'foreshadowing', substr(hint, 1, 80) FROM {{kb_foreshadowing}} WHERE updated_at % 2 = 0
+  UNION ALL SELECT chapter_id, 'event', substr(' ' || what, 1, 80) FROM {{kb_happenings}} WHERE created_at % 3 <> 0 UNION ALL SELECT hint_chapter_id, 'foreshadowing', substr(hint, 1, 80) FROM {{kb_foreshadowing}} WHERE updated_at % 2 = 0
   UNION ALL SELECT m.chapter_id, 'rule', r.name FROM {{kb_rule_mentions}} m JOIN {{kb_rules}} r ON r.id = m.rule_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = r.book_id) WHERE chapter_id IN (SELECT chapter_id FROM cs) AND source IS NOT NULL""")
 def affected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every result touches"""
@@ -287,7 +288,7 @@ def affected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {_CHAPTERS}, gone AS ({_COUNTS}), add_ AS (
-  SELECT c.book_id, 'mentions' AS kind, count(*) AS n FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1 AND {_S('e.canonical_name')} <> '' AND {_S('m.fact')} <> '' GROUP BY ALL
+  SELECT c.book_id, 'mentions' AS kind, count(*) AS n FROM {{kb_mentions}} m JOIN {{kb_entities}} e ON e.id = m.entity_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = e.book_id WHERE m.created_at % 4 <> 1 AND {_S('e.canonical_name')} <> '' AND {_S(_SAID)} <> '' GROUP BY ALL
   UNION ALL SELECT c.book_id, 'events', count(*) FROM {{kb_happenings}} h JOIN cs c ON c.chapter_id = h.chapter_id WHERE h.created_at % 3 <> 0 AND {_S('h.what')} <> '' GROUP BY ALL
   UNION ALL SELECT c.book_id, 'foreshadowing', sum(CASE WHEN f.updated_at % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN f.updated_at % 5 = 0 THEN 1 ELSE 0 END) FROM {{kb_foreshadowing}} f JOIN cs c ON c.chapter_id = f.hint_chapter_id WHERE {_S('f.hint')} <> '' AND (f.updated_at % 2 = 0 OR f.updated_at % 5 = 0) GROUP BY ALL
   UNION ALL SELECT c.book_id, 'rules', count(*) FROM {{kb_rule_mentions}} m JOIN {{kb_rules}} r ON r.id = m.rule_id JOIN cs c ON c.chapter_id = m.chapter_id AND c.book_id = r.book_id WHERE {_S('r.name')} <> '' GROUP BY ALL),
