@@ -148,22 +148,24 @@ def question_contexts(kb: dict[str, DataFrame], questions: DataFrame, named: Dat
     chapters = kb["chapters"].where("status = 'done' AND coalesce(summary, '') <> '' AND book_id IS NOT NULL").select("book_id", "id", F.struct(F.coalesce("idx", F.lit(-1)).cast("string").alias("a"), "id").alias("o"), F.coalesce("idx", F.lit(-1)).alias("i"), chapter_block().alias("text"))
     blocks = chapters.select("book_id", "id", F.lit(2).alias("part"), F.lit("").alias("name"), "i", "text").unionByName(kb["blocks"].where("book_id IS NOT NULL").select("book_id", "id", F.lit(3).alias("part"), F.col("canonical_name").alias("name"), F.lit(0).alias("i"), "text"))
     least = F.least(F.length("text"), F.lit(400)).cast("bigint")  # a block takes at least so much, whatever it is cut to
-    sized = running(blocks, ["book_id", "part"], [F.col("name"), F.col("i"), F.col("id")], {"upto": least})
+    texts = running(blocks, ["book_id", "part"], [F.col("name"), F.col("i"), F.col("id")], {"upto": least})
+    sized = texts.select("book_id", "part", "rank", "id", "upto", F.length("text").alias("size"))  # texts are put in when it is known which are shown
+    least = F.least("size", F.lit(400)).cast("bigint")
     found = hits.union(named.select("question_id", F.lit("entity"), F.col("entity_id"))).distinct()
     found = found.select("question_id", F.when(F.col("kind") == "chapter", 2).otherwise(3).alias("part"), F.col("ref_id").alias("id"))
     spare = found.groupBy("question_id", "part").agg((F.count("*") * 400).alias("spare"))
     cut = F.when(F.col("part") == 2, F.col("chapter_cap")).otherwise(F.col("entity_cap"))
     some = left.where("left > 0")
     reach = some.join(spare.groupBy("question_id").agg(F.sum("spare").alias("spare")), "question_id", "left").withColumn("reach", F.col("left") + F.coalesce("spare", F.lit(0)))
-    near = reach.join(sized, "book_id").where(F.col("upto") - least < F.col("reach")).select("question_id", "part", "rank", "id", "text", "left", cut.alias("cap"))
+    near = reach.join(sized, "book_id").where(F.col("upto") - least < F.col("reach")).select("question_id", "part", "rank", "id", "size", "left", cut.alias("cap"))
     near = near.join(found.withColumn("hit", F.lit(True)), ["question_id", "part", "id"], "left")
-    far = some.join(found, "question_id").join(sized.withColumnRenamed("book_id", "_b"), ["part", "id"]).where("_b = book_id").select("question_id", "part", "rank", "id", "text", "left", cut.alias("cap"), F.lit(True).alias("hit"))
+    far = some.join(found, "question_id").join(sized.withColumnRenamed("book_id", "_b"), ["part", "id"]).where("_b = book_id").select("question_id", "part", "rank", "id", "size", "left", cut.alias("cap"), F.lit(True).alias("hit"))
     both = near.unionByName(far).dropDuplicates(["question_id", "part", "id"])
-    capped = F.least(F.length("text"), F.col("cap")).cast("bigint")
+    capped = F.least("size", "cap").cast("bigint")
     over = Window.partitionBy("question_id").orderBy("part", F.when(F.col("hit"), 0).otherwise(1), "rank")
     upto = F.sum(capped).over(over.rowsBetween(Window.unboundedPreceding, 0))
     rows = both.withColumns({"upto": upto, "_o": F.row_number().over(over), "capped": capped}).withColumn("kept", F.least("upto", "left") - F.least(F.col("upto") - F.col("capped"), "left")).where("kept > 0")
-    shown = rows.select("question_id", "part", F.col("_o").alias("o"), F.when(F.col("part") == 2, "chapter").otherwise("entity").alias("kind"), F.col("id").alias("ref_id"), _cut(F.col("text"), F.col("kept")).alias("text"))
+    shown = rows.select("question_id", "part", "_o", "id", "kept").join(texts.select("part", "id", "text"), ["part", "id"]).select("question_id", "part", F.col("_o").alias("o"), F.when(F.col("part") == 2, "chapter").otherwise("entity").alias("kind"), F.col("id").alias("ref_id"), _cut(F.col("text"), F.col("kept")).alias("text"))
     kind = F.when(F.col("part") == 0, "timeline").otherwise("hints")
     none = F.lit(None).cast("string")
     heads = head.join(q.select("question_id"), "question_id").select("question_id", "part", F.lit(0).alias("o"), kind.alias("kind"), none.alias("ref_id"), "text")
