@@ -19,8 +19,8 @@ from storyloom.functions.text import stripped
 CONTROL_FILE = "history.jsonl"
 #: Why a container is refused, in the order in which it is looked for.
 FAILURES = ("no_manifest", "wrong_format", "unsupported_version", "no_history", "bad_event_hash", "broken_link", "no_author", "files_differ")
-# What a manifest has to say.
-FORMAT, VERSION = "coo", 2
+#: What a manifest has to say, unless told otherwise.
+FORMAT, VERSION = "work", 2
 
 
 def canonical_json(text: str | None) -> str | None:
@@ -57,7 +57,7 @@ def _event(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["own", "event_hash", "previous_hash", "author", "files"])
 
 
-def verified(works: DataFrame, history: DataFrame, files: DataFrame) -> DataFrame:
+def verified(works: DataFrame, history: DataFrame, files: DataFrame, format_name: str = FORMAT, version: int = VERSION) -> DataFrame:
     """(work_id, ok, reason, pos): whether each work's container can be trusted, else the first of FAILURES, with the event it is found in.
 
     works: (work_id, manifest as JSON text); history: (work_id, pos from 0 without gaps, line as JSON text); files: (work_id, path, sha256, size) of what the container holds now. An event's hash is
@@ -65,7 +65,7 @@ def verified(works: DataFrame, history: DataFrame, files: DataFrame) -> DataFram
     is no JSON has no right hash. The event before is found by its place, so no history is read in one task; only the last event's file list is compared whole.
     """
     manifest = lambda k: F.get_json_object("manifest", k)
-    stated = F.when(F.try_parse_json("manifest").isNull(), 0).when(~manifest("$.format_name").eqNullSafe(F.lit(FORMAT)), 1).when(~manifest("$.format_version").try_cast("int").eqNullSafe(F.lit(VERSION)), 2)
+    stated = F.when(F.try_parse_json("manifest").isNull(), 0).when(~manifest("$.format_name").eqNullSafe(F.lit(format_name)), 1).when(~manifest("$.format_version").try_cast("int").eqNullSafe(F.lit(version)), 2)
     events = history.select("work_id", "pos", _event("line").alias("e"))
     before = events.select("work_id", (F.col("pos") + 1).alias("pos"), F.col("e.own").alias("_before"))
     rows = events.join(before, ["work_id", "pos"], "left")

@@ -35,7 +35,7 @@ def _containers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     start = F.struct(F.lit("").alias("hash"), F.array().cast("array<string>").alias("lines"))
     chained = books.withColumn("lines", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), start, step)["lines"])
     history = chained.where("fault <> 8").select("work_id", F.posexplode("lines").alias("pos", "line"))
-    manifest = F.when(F.col("fault") == 6, '{"format_name": "zip", "format_version": 2}').when(F.col("fault") == 7, '{"format_name": "coo", "format_version": 3}').when(F.col("fault") != 5, '{"format_name": "coo", "format_version": 2}')
+    manifest = F.when(F.col("fault") == 6, '{"format_name": "zip", "format_version": 2}').when(F.col("fault") == 7, '{"format_name": "work", "format_version": 3}').when(F.col("fault") != 5, '{"format_name": "work", "format_version": 2}')
     files = books.select("work_id", "fault", F.explode("cs").alias("c")).select("work_id", F.col("c.id").alias("path"), F.when(F.col("fault") == 4, F.concat("c.hash", F.lit("?"))).otherwise(F.col("c.hash")).alias("sha256"), F.col("c.idx").alias("size"))
     return books.select("work_id", manifest.alias("manifest")), history, files
 

@@ -101,7 +101,7 @@ def test_facts_around(spark):
             assert {(r.entity_id, r.chapter_id, r.mention_id) for r in got.collect()} == {(*k, m) for k, ids in want.items() for m in ids}
 
 
-def _container(n, spoil=lambda events: None, manifest='{"format_name": "coo", "format_version": "2"}'):
+def _container(n, spoil=lambda events: None, manifest='{"format_name": "work", "format_version": "2"}'):
     """(manifest, history lines, files) of n events, spoilt before the lines are written."""
     import json
 
@@ -132,7 +132,7 @@ def test_verified(spark):
         "good": (_container(5), (True, None, None)), "flip": (_container(5, lambda e: e[2].__setitem__("n", 9)), (False, "bad_event_hash", 2)), "link": (_container(5, relinked), (False, "broken_link", 3)),
         "nobody": (_container(5, nobody), (False, "no_author", 4)), "files": (_container(5, other_files), (False, "files_differ", 4)), "none": (_container(0), (False, "no_history", None)),
         "blank": (_container(2, manifest=None), (False, "no_manifest", None)), "text": (_container(2, manifest="{"), (False, "no_manifest", None)), "format": (_container(2, manifest='{"format_version": 2}'), (False, "wrong_format", None)),
-        "old": (_container(2, manifest='{"format_name": "coo", "format_version": 1}'), (False, "unsupported_version", None)),
+        "old": (_container(2, manifest='{"format_name": "work", "format_version": 1}'), (False, "unsupported_version", None)),
     }
     works = spark.createDataFrame([(k, c[0][0]) for k, c in cases.items()], "work_id string, manifest string")
     history = spark.createDataFrame([(k, i, line) for k, c in cases.items() for i, line in enumerate(c[0][1])] + [("broken", 0, "no json")], "work_id string, pos int, line string")
