@@ -11,19 +11,14 @@ the similarity bound is a Hamming bound.
    fewer than BLOCKS symbols must have a block in common (pigeonhole), and texts
    that differ in more of them share one with probability 1 - (1 - s**ROWS)**BLOCKS
    at similarity s. All runs take part, so this holds however large a group of near
-   texts is. Frequent runs (in more than STOP_SHARE of the different texts) make
-   unrelated texts collide: a hash carries in its lowest bit whether its run is
-   frequent, and a block with WEAK_FROM or more frequent symbols is weak.
-3. Block keys travel as packed arrays (five bytes an entry), one array for each
-   batch and key range, so the exchange carries no row overhead. Each range is
-   sorted in numpy; equal keys give candidate pairs, emitted in bounded batches.
-   Entries of weak blocks carry SKETCH bits, one of each symbol, as well. A pair of
-   similarity s differs in a bit with probability (1 - s) / 2; weak pairs that
-   differ in more of them than most_differing() permits are no candidates.
-4. Each distinct candidate pair is verified twice by Hamming distance: first that of the SIGN bits of the
-   two texts' own fingerprints (one bit of each of SIGN minimum hashes, kept as longs, so this is a bit count in
-   the JVM and most chance pairs never see a text), by the same bound; then that of the whole
-   indicator vectors, on the whole texts, which is exact.
+   texts is or however many texts share a run.
+3. The blocks are taken PASS at a time, so that only the keys of so many lie on disk at once. Keys travel as
+   packed arrays, one array for each batch and key range, so the exchange carries no row overhead. Each range is
+   sorted in numpy; equal keys give candidate pairs, in bounded batches.
+   Every entry carries the SIGN bits of its text's own fingerprint (one bit of each of SIGN other minimum hashes). A pair of
+   similarity s differs in a bit with probability (1 - s) / 2; pairs that differ in more of them than most_differing()
+   permits never leave the task. Texts of one kind share blocks by chance, so such pairs grow with the square of the texts.
+4. Each distinct candidate pair is verified by the Hamming distance of the whole indicator vectors, on the whole texts, which is exact.
 
 A 64-bit SimHash can't be used at similarity 0.6: such pairs differ in about 15 of
 64 bits, which leaves blocks of 2 to 4 bits.
@@ -48,13 +43,11 @@ from storyloom.session import forget, shuffle_width, written
 THRESHOLD = 0.6
 LEAST_LENGTH = 20
 ROWS, BLOCKS = 5, 56
-#: A run is frequent if it is in more than this share of the different texts, and in more than so many.
-STOP_SHARE, STOP_TEXTS = 0.04, 200
-#: Frequent symbols that make a block weak; bits of its sketch.
-WEAK_FROM, SKETCH = 2, 128
-#: Bits of a text's own fingerprint.
-SIGN = 192
-BUCKET_BITS = 18
+#: Blocks whose keys are exchanged at once.
+PASS = 8
+#: Bits of a text's own fingerprint, and its bytes.
+SIGN = 256
+SIGN_BYTES = SIGN // 8
 #: Texts in a fingerprint matrix; candidate pairs in an emitted batch.
 LANES, EMIT = 512, 200_000
 #: Characters of the texts whose runs are compared at once.
@@ -111,18 +104,15 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(20240607).integers(1 << 20, 1 << 32, ROWS * BLOCKS, dtype=np.uint32) | np.uint32(1)
 
 
-def block_keys(owner: np.ndarray, hashes: np.ndarray, count: int, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of the texts that have any run, their block keys as uint64 [text, block], whether these are weak, sketches as uint32 [text, word]).
-
-    The lowest bit of a hash tells whether its run is frequent; the multipliers are odd, so it stays.
-    """
+def block_keys(owner: np.ndarray, hashes: np.ndarray, count: int, multipliers: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the texts that have any run, their keys as uint64 [text, block]) of the blocks from number `first` on that the multipliers, ROWS for each block, make."""
     sizes = np.bincount(owner, minlength=count)
     starts = np.cumsum(sizes) - sizes
     some = np.flatnonzero(sizes)
     order = some[np.argsort(sizes[some], kind="stable")]
-    keys, weak = np.empty((len(order), BLOCKS), np.uint64), np.empty((len(order), BLOCKS), bool)
-    sketches = np.empty((len(order), SKETCH // 32), np.uint32)
-    least = np.empty((ROWS * BLOCKS, LANES), np.uint32)
+    blocks = len(multipliers) // ROWS
+    keys = np.empty((len(order), blocks), np.uint64)
+    least = np.empty((ROWS * blocks, LANES), np.uint32)
     for at in range(0, len(order), LANES):
         docs = order[at : at + LANES]
         depth = np.arange(sizes[docs].max())[:, None]
@@ -131,17 +121,14 @@ def block_keys(owner: np.ndarray, hashes: np.ndarray, count: int, multipliers: n
         for k, by in enumerate(multipliers):
             np.multiply(matrix, by, out=scratch)
             np.min(scratch, axis=0, out=least[k, :width])
-        parts = least[:, :width].reshape(BLOCKS, ROWS, width).astype(np.uint64)
-        key = np.repeat(np.arange(1, BLOCKS + 1, dtype=np.uint64)[:, None], width, 1)
+        parts = least[:, :width].reshape(blocks, ROWS, width).astype(np.uint64)
+        key = np.repeat(np.arange(first + 1, first + blocks + 1, dtype=np.uint64)[:, None], width, 1)
         for r in range(ROWS):
             key ^= parts[:, r]
             key *= np.uint64(0xFF51AFD7ED558CCD)
             key ^= key >> np.uint64(32)
         keys[at : at + width] = key.T
-        weak[at : at + width] = ((parts & np.uint64(1)).sum(1) >= WEAK_FROM).T
-        bits = (least[:SKETCH, :width] >> np.uint32(12)) & np.uint32(1)
-        sketches[at : at + width] = np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=0).T).view(np.uint32)
-    return order, keys, weak, sketches
+    return order, keys
 
 
 def signs(owner: np.ndarray, hashes: np.ndarray, count: int) -> np.ndarray:
@@ -176,91 +163,71 @@ def signs_udf(texts):
     return pd.Series(out, dtype=object)
 
 
-def _frequent(reps: DataFrame) -> np.ndarray:
-    """Buckets of runs found in more than STOP_SHARE of the texts. At most (mean runs a text) / STOP_SHARE buckets can be."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            _, hashes = runs(batch.column(0).to_pylist())
-            totals += np.bincount(hashes >> np.uint32(32 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
-        some = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], ["bucket", "n"])
-
-    total = reps.count()  # from the Parquet footers
-    counts = reps.select("norm").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    mask = np.zeros(1 << BUCKET_BITS, bool)
-    mask[[r[0] for r in counts.where(F.col("n") > max(STOP_TEXTS, STOP_SHARE * total)).select("bucket").collect()]] = True
-    return mask
+def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs (rid_a, rid_b) of the rows of reps (src_no int, rid bigint, norm string, signs array<bigint>) that share a block and whose signs are near enough for the threshold. rid must be durable."""
+    passes = [_written_once(_sharing(reps, first, min(first + PASS, BLOCKS), threshold).distinct(), "blocked") for first in range(0, BLOCKS, PASS)]
+    found = _written_once(reduce(DataFrame.unionAll, passes).distinct(), "candidates")
+    for one in passes:
+        forget(one)
+    return found
 
 
-def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (rid_a, rid_b) of the rows of reps (src_no int, rid bigint, norm string) that share a block. rid must be durable."""
+def _sharing(reps: DataFrame, first: int, end: int, threshold: float) -> DataFrame:
+    """Pairs (rid_a, rid_b), with repeats, that share one of the blocks from `first` to before `end`, as candidates() gives them."""
     spark = reps.sparkSession
-    packed_stop = np.packbits(_frequent(reps)).tobytes()  # 32 KB, whatever the corpus
-    width, most = shuffle_width(spark), most_differing(SKETCH, threshold)
-    ranges = max(width, reps.count() * BLOCKS // RANGE_ENTRIES)
+    width, most = shuffle_width(spark), most_differing(SIGN, threshold)
+    blocks = end - first
+    ranges = max(width, reps.count() * blocks // RANGE_ENTRIES)  # counted in the Parquet footers
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.unpackbits(np.frombuffer(packed_stop, np.uint8)).astype(bool)
-        multipliers = _multipliers()
+        multipliers = _multipliers()[first * ROWS : end * ROWS]
         for batch in batches:
             for piece in (batch.slice(i, 1 << 15) for i in range(0, batch.num_rows, 1 << 15)):
-                yield from pack_piece(piece, frequent, multipliers)
+                yield from pack_piece(piece, multipliers)
 
-    def pack_piece(batch, frequent, multipliers) -> Iterator[pa.RecordBatch]:
+    def pack_piece(batch, multipliers) -> Iterator[pa.RecordBatch]:
         sources = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         rids = batch.column(1).to_numpy(zero_copy_only=False)
-        owner, hashes = runs(batch.column(2).to_pylist())
-        hashes = (hashes & ~np.uint32(1)) | frequent[hashes >> np.uint32(32 - BUCKET_BITS)]
-        docs, key, weak, sketches = block_keys(owner, hashes, len(rids), multipliers)
+        own = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, SIGN // 64)
+        docs, key = block_keys(*runs(batch.column(2).to_pylist()), len(rids), multipliers, first)
         key ^= (sources[docs] * np.uint64(2))[:, None] * np.uint64(0xC2B2AE3D27D4EB4F)
         key *= np.uint64(0x9FB21C651E98DF25)
         key ^= key >> np.uint64(31)
-        at, key, weak = np.repeat(np.arange(len(docs)), BLOCKS), key.ravel(), weak.ravel()
+        at, key = np.repeat(docs, blocks), key.ravel()
         to = ((key >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((weak, to))  # the weak entries of a range come last
-        to, at, key, weak = to[order], at[order], key[order], weak[order]
-        doc, before = docs[at].astype(np.uint16), np.concatenate([[0], np.cumsum(weak)])
-        low, high = key.astype(np.uint16), (key >> np.uint64(16)).astype(np.uint8)
+        order = np.argsort(to, kind="stable")
+        to, at, key = to[order], at[order], key[order]
+        doc, low, high = at.astype(np.uint16), key.astype(np.uint16), (key >> np.uint64(16)).astype(np.uint8)
         cut = np.flatnonzero(np.diff(to, prepend=-1))
         # the rids of a batch are a few rising stretches: their starts stand for all of them
         breaks = np.flatnonzero(np.diff(rids, prepend=rids[:1] - 2) != 1)
         head = np.array([len(breaks)], np.int64).tobytes() + breaks.astype(np.int64).tobytes() + rids[breaks].astype(np.int64).tobytes()
-        blobs = []
-        for a, b in zip(cut, np.append(cut[1:], len(to))):
-            w = before[b] - before[a]
-            blobs.append(np.int64(w).tobytes() + head + low[a:b].tobytes() + doc[a:b].tobytes() + high[a:b].tobytes() + sketches[at[b - w : b]].tobytes())
+        blobs = [head + own[at[a:b]].tobytes() + low[a:b].tobytes() + doc[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(to)))]
         if blobs:
             yield pa.RecordBatch.from_arrays([pa.array(to[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["key_range", "entries"])
 
     def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        w, n = np.frombuffer(blob, np.int64, 2).tolist()
-        breaks, firsts = np.frombuffer(blob, np.int64, n, 16), np.frombuffer(blob, np.int64, n, 16 + 8 * n)
-        at = 16 + 16 * n
-        m = (len(blob) - at - w * SKETCH // 8) // 5
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        breaks, firsts = np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n)
+        at = 8 + 16 * n
+        m = (len(blob) - at) // (SIGN_BYTES + 5)
+        own = np.frombuffer(blob, np.uint64, m * SIGN // 64, at).reshape(m, SIGN // 64)
+        at += m * SIGN_BYTES
         low, doc, high = np.frombuffer(blob, np.uint16, m, at), np.frombuffer(blob, np.uint16, m, at + 2 * m).astype(np.int64), np.frombuffer(blob, np.uint8, m, at + 4 * m)
-        sketches = np.frombuffer(blob, np.uint32, w * SKETCH // 32, at + 5 * m).reshape(w, SKETCH // 32)
         key = low | (high.astype(np.uint32) << np.uint32(16))
         stretch = np.searchsorted(breaks, doc, "right") - 1
-        return key, firsts[stretch] + doc - breaks[stretch], sketches
+        return key, firsts[stretch] + doc - breaks[stretch], own
 
     def match(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(b) for b in blobs]
-        weak = [len(p[2]) for p in parts]
-        yield from matched(*(np.concatenate([p[f][: len(p[f]) - w] for p, w in zip(parts, weak)]) for f in (0, 1)))
-        yield from matched(*(np.concatenate([p[f][len(p[f]) - w :] for p, w in zip(parts, weak)]) for f in (0, 1)), np.concatenate([p[2] for p in parts]))
-
-    def matched(key: np.ndarray, rid: np.ndarray, sketches: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        key, rid, own = (np.concatenate(p) for p in zip(*map(unpack, blobs)))
         order = np.argsort(key, kind="stable")
-        key, rid = key[order], rid[order]
+        key, rid, own = key[order], rid[order], own[order]
         at = np.flatnonzero(key[1:] == key[:-1])
         step = 1
         while len(at):  # all entries of a run against the entry `step` further on
             for i in range(0, len(at), EMIT):
                 one = at[i : i + EMIT]
-                if sketches is not None:
-                    one = one[np.bitwise_count(sketches[order[one]] ^ sketches[order[one + step]]).sum(1, dtype=np.int64) <= most]
+                one = one[np.bitwise_count(own[one] ^ own[one + step]).sum(1, dtype=np.int64) <= most]
                 a, b = rid[one], rid[one + step]
                 low, high = np.minimum(a, b), np.maximum(a, b)
                 if len(one):
@@ -281,8 +248,8 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if held:
             yield from match(held)
 
-    packed = reps.select("src_no", "rid", "norm").mapInArrow(pack, "key_range int, entries binary")
-    return packed.repartition(width, "key_range").sortWithinPartitions("key_range").mapInArrow(join, "rid_a bigint, rid_b bigint").distinct()
+    packed = reps.select("src_no", "rid", "norm", "signs").mapInArrow(pack, "key_range int, entries binary")
+    return packed.repartition(width, "key_range").sortWithinPartitions("key_range").mapInArrow(join, "rid_a bigint, rid_b bigint")
 
 
 def hamming_within(a: str, b: str, threshold: float) -> bool:
@@ -349,11 +316,7 @@ def _near(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     reps = rows.groupBy("src_no", "norm").agg((F.min(own) != F.max(own)).alias("copied"))
     reps = _written_once(_hashed(reps).withColumns({"rid": F.monotonically_increasing_id(), "signs": signs_udf("norm")}), "texts")
     of = lambda c, x: reps.select(F.col("rid").alias(f"rid_{x}"), F.col(c).alias(f"{c}_{x}"))
-    differing = sum((F.bit_count(F.get("signs_a", F.lit(i)).bitwiseXOR(F.get("signs_b", F.lit(i)))) for i in range(SIGN // 64)), F.lit(0))
-    blocked = _written_once(candidates(reps, threshold), "blocked")  # frees the blocks before anything is joined
-    found = blocked.join(of("signs", "a"), "rid_a").join(of("signs", "b"), "rid_b").where(differing <= most_differing(SIGN, threshold)).select("rid_a", "rid_b")
-    found = _written_once(found, "candidates")
-    forget(blocked)
+    found = candidates(reps, threshold)
     pairs = found.join(of("norm", "a"), "rid_a").join(of("norm", "b"), "rid_b").where(_verified(threshold)("norm_a", "norm_b")).select("rid_a", "rid_b")
     near = _written_once(pairs, "near_texts")
     forget(found)
@@ -375,13 +338,17 @@ def near_duplicate_pairs(tables: dict[str, tuple[DataFrame, str, str]], threshol
     pairs = near.join(a, "rid_a").join(b, "rid_b")
     copied = reps.where("copied").select(*keys)
     wanted = reduce(DataFrame.unionAll, [pairs.select(*(F.col(f"{k}_{x}").alias(k) for k in keys)) for x in "ab"] + [copied]).distinct()
-    members = written(_hashed(rows).select("id", *keys).join(wanted, list(keys), "left_semi").distinct(), "members")
-    left, right = (members.select(F.col("id").alias(f"id_{x}"), *(F.col(k).alias(f"{k}_{x}") for k in keys)) for x in "ab")
-    across = pairs.join(left, [f"{k}_a" for k in keys]).join(right, [f"{k}_b" for k in keys]).select(F.col("src_no_a").alias("src_no"), "id_a", "id_b")
-    within = left.join(right, reduce(Column.__and__, [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys])).where("id_a < id_b").select(F.col("src_no_a").alias("src_no"), "id_a", "id_b")
+    kept = written(_hashed(rows).select("id", *keys).join(wanted, list(keys), "left_semi").distinct(), "members")
+    again = kept.groupBy("src_no", "id").agg(F.count("*").alias("n")).where("n > 1").select("src_no", "id", F.lit(True).alias("again"))
+    members = kept.join(again, ["src_no", "id"], "left").withColumn("again", F.coalesce("again", F.lit(False)))  # an id given to several texts
+    left, right = (members.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "again", *keys))) for x in "ab")
+    across = pairs.join(left, [f"{k}_a" for k in keys]).join(right, [f"{k}_b" for k in keys]).select("src_no_a", "id_a", "id_b", "again_a", "again_b")
+    within = left.join(right, reduce(Column.__and__, [F.col(f"{k}_a") == F.col(f"{k}_b") for k in keys])).where("id_a < id_b").select("src_no_a", "id_a", "id_b", "again_a", "again_b")
+    name = F.element_at(F.array(*map(F.lit, tables)), F.col("src_no_a") + 1)
     both = across.unionAll(within)
-    name = F.element_at(F.array(*map(F.lit, tables)), F.col("src_no") + 1)
-    return both.select(name.alias("src_table"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a <> id_b").distinct()
+    named = lambda rows: rows.select(name.alias("src_table"), F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    # a pair comes twice only by an id that has several texts; the rest, which grows with the square of a group, needs no exchange
+    return named(both.where("NOT (again_a OR again_b)")).unionAll(named(both.where("again_a OR again_b")).where("id_a <> id_b").distinct())
 
 
 def near_duplicate_groups(tables: dict[str, tuple[DataFrame, str, str]], threshold: float = THRESHOLD) -> DataFrame:

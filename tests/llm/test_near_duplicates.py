@@ -98,3 +98,23 @@ def test_group_of_edits_that_is_a_third_of_the_table(spark):
     assert len(want - got) <= 0.01 * len(want), f"{len(want - got)} of {len(want)} lost"
     classes = {r.id: r.class_id for r in nd.near_duplicate_groups({"t": (df, "id", "fact")}).collect()}
     assert {classes[f"e{i:03}"] for i in range(300)} == {"e000"}
+
+
+def test_chance_pairs_of_one_kind_do_not_leave_their_blocks(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    stock = [text(14) for _ in range(12)]  # any two texts share about a quarter of their runs
+    texts = ["".join(rng.sample(stock, 3)) + text(24) for _ in range(400)]
+    texts += [t[:-2] + text(2) for t in texts[:40]]
+    rows = [(0, i, t, nd.signs(*nd.runs([t]), 1)[0].tolist()) for i, t in enumerate(texts)]
+    got = [(r.rid_a, r.rid_b) for r in nd.candidates(spark.createDataFrame(rows, "src_no int, rid bigint, norm string, signs array<bigint>")).collect()]
+    assert len(got) == len(set(got)) and {(i, 400 + i) for i in range(40)} <= set(got)
+    assert all(nd.hamming_within(texts[a], texts[b], 0.2) for a, b in got)
+
+
+def test_an_id_of_several_texts_gives_a_pair_once(spark):
+    rows = data(1)[:1]
+    text = rows[0][1]
+    rows = [(i, t, None, None) for i, t in (("a", text), ("a", text + "尾"), ("b", text), ("b", text + "尾"), ("c", text))]
+    got = sorted((r.id_a, r.id_b) for r in nd.near_duplicate_pairs({"t": (spark.createDataFrame(rows, SCHEMA), "id", "fact")}).collect())
+    assert got == [("a", "b"), ("a", "c"), ("b", "c")]
