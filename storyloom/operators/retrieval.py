@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.prefix import running
 from storyloom.functions.text import chapter_label, shortened
+from storyloom.session import written
 
 # Headings and joints of the contexts, and what they are bounded by.
 JOINT = "\n\n---\n\n"
@@ -58,12 +59,14 @@ def entity_blocks(entities: DataFrame, mentions: DataFrame, chapters: DataFrame,
     """(id, book_id, canonical_name, text): every entity with its facts in order of chapter, as many as fit `most` characters one after another; line ends between lines count. A head that does not fit gives no text."""
     heads = entity_heads(entities).where(F.length("head") <= most)
     at = chapters.select(F.col("id").alias("chapter_id"), "idx", F.col("title").alias("chapter_title"))
-    snippet = F.when(_or("snippet") != "", F.concat(F.lit("\n  > "), "snippet")).otherwise("")
-    block = F.concat(F.lit("### "), chapter_label(F.col("idx")), F.lit(": "), _or("chapter_title"), F.lit("\n- "), _or("fact"), snippet, F.lit("\n"))
-    facts = mentions.join(heads.select(F.col("id").alias("entity_id"), F.length("head").alias("before")), "entity_id").join(at, "chapter_id", "left")
-    facts = facts.select("entity_id", "idx", F.col("id").alias("mention_id"), "before", block.alias("line"))
-    sized = running(facts, ["entity_id"], [F.col("idx"), F.col("mention_id")], {"upto": (F.length("line") + 1).cast("bigint")})
-    kept = joined(sized.where(F.col("upto") + F.col("before") <= most), ["entity_id"], ["rank"], "line", "\n").withColumnRenamed("entity_id", "id")
+    label = F.concat(F.lit("### "), chapter_label(F.col("idx")), F.lit(": "), _or("chapter_title"), F.lit("\n- ")).alias("label")
+    said = F.concat(_or("fact"), F.when(_or("snippet") != "", F.concat(F.lit("\n  > "), "snippet")).otherwise(""), F.lit("\n"))
+    facts = mentions.select("id", "entity_id", "chapter_id", F.length(said).alias("n")).join(heads.select(F.col("id").alias("entity_id"), F.length("head").alias("before")), "entity_id").join(at, "chapter_id", "left")
+    facts = facts.select("entity_id", "idx", F.col("id").alias("mention_id"), "before", "n", label)
+    sized = running(facts, ["entity_id"], [F.col("idx"), F.col("mention_id")], {"upto": (F.length("label") + F.col("n") + 1).cast("bigint")})
+    fit = sized.where(F.col("upto") + F.col("before") <= most).select(F.col("mention_id").alias("id"), F.col("entity_id").alias("_e"), "rank", "label")
+    lines = mentions.select("id", said.alias("said")).join(fit, "id").select(F.col("_e").alias("entity_id"), "rank", F.concat("label", "said").alias("line"))  # texts are put in when it is known which fit
+    kept = joined(lines, ["entity_id"], ["rank"], "line", "\n").withColumnRenamed("entity_id", "id")
     return heads.join(kept, "id", "left").select("id", "book_id", "canonical_name", F.concat_ws("\n", "head", "line").alias("text"))
 
 
@@ -127,50 +130,56 @@ def question_contexts(kb: dict[str, DataFrame], questions: DataFrame, named: Dat
     A question meets only the first blocks of its book that could fit its budget beside those hit.
     """
     q = questions.select("question_id", "book_id", F.col("budget").cast("bigint").alias("budget"), "timeline", "hints", caps.alias("entity_cap"), chapter_cap.alias("chapter_cap"))
-    # timeline and hints
-    line = event_line()
-    events = running(kb["events"].select("book_id", "id", "idx", "created_at", line.alias("line")), ["book_id"], [F.col("idx"), F.col("created_at"), F.col("id")], {}, "place")
-    asking = q.where("timeline")
+    # timeline and hints: places and sizes first
+    places = running(kb["events"].select("book_id", "id", "idx", "created_at", F.length(event_line()).alias("n")), ["book_id"], [F.col("idx"), F.col("created_at"), F.col("id")], {}, "place").select("book_id", "id", "place", "n")
     few = named.groupBy("question_id").agg(F.lit(True).alias("_named"))
-    asked = asking.join(few, "question_id", "left")
-    every = asked.where("_named IS NULL").join(events.where("place <= 50"), "book_id").select("question_id", "id", "place", "line")
-    own = asked.where("_named").select("question_id", "book_id").join(named.select("question_id", "canonical_name").distinct(), "question_id").join(kb["names_in_events"], ["book_id", "canonical_name"]).select("question_id", "id").distinct()
-    told = first_rows(every.unionByName(own.join(events.select("id", "place", "line"), "id")), ["question_id"], [F.col("place")], 50)
-    told = joined(told, ["question_id"], ["pos"], "line", "\n")
-    timeline = asking.join(told, "question_id", "left").select("question_id", F.lit(0).alias("part"), F.when(F.col("line").isNull(), NO_TIMELINE).otherwise(F.concat(F.lit(TIMELINE + "\n"), "line")).alias("text"))
-    room = running(kb["hints"].where("status = 'open'").select("book_id", "id", "idx", hint_line().alias("line")), ["book_id"], [F.col("idx"), F.col("id")], {"upto": (F.length("line") + 1).cast("bigint")})
-    wanted = q.where("hints").join(room, "book_id", "left").where("upto IS NULL OR upto <= budget")  # hints past the budget are cut anyway
-    planted = joined(wanted.where("line IS NOT NULL"), ["question_id"], ["rank"], "line", "\n")
-    hinted = q.where("hints").join(planted, "question_id", "left").select("question_id", F.lit(1).alias("part"), F.when(F.col("line").isNull(), NO_HINTS).otherwise(F.concat(F.lit(OPEN_HINTS + "\n"), "line")).alias("text"))
-    head = timeline.union(hinted)
-    left = q.join(head.groupBy("question_id").agg(F.sum(F.length("text")).alias("_used")), "question_id", "left").withColumn("left", F.col("budget") - F.coalesce("_used", F.lit(0)))
-    # blocks: those hit, and of the rest as many from the beginning as could fit
-    chapters = kb["chapters"].where("status = 'done' AND coalesce(summary, '') <> '' AND book_id IS NOT NULL").select("book_id", "id", F.struct(F.coalesce("idx", F.lit(-1)).cast("string").alias("a"), "id").alias("o"), F.coalesce("idx", F.lit(-1)).alias("i"), chapter_block().alias("text"))
-    blocks = chapters.select("book_id", "id", F.lit(2).alias("part"), F.lit("").alias("name"), "i", "text").unionByName(kb["blocks"].where("book_id IS NOT NULL").select("book_id", "id", F.lit(3).alias("part"), F.col("canonical_name").alias("name"), F.lit(0).alias("i"), "text"))
-    least = F.least(F.length("text"), F.lit(400)).cast("bigint")  # a block takes at least so much, whatever it is cut to
-    texts = running(blocks, ["book_id", "part"], [F.col("name"), F.col("i"), F.col("id")], {"upto": least})
-    sized = texts.select("book_id", "part", "rank", "id", "upto", F.length("text").alias("size"))  # texts are put in when it is known which are shown
-    least = F.least("size", F.lit(400)).cast("bigint")
+    asked = q.where("timeline").select("question_id", "book_id").join(few, "question_id", "left")
+    every = asked.where("_named IS NULL").join(places.where("place <= 50"), "book_id").select("question_id", "book_id", "place", "n")
+    firsts = first_rows(kb["names_in_events"].join(places.select("id", "place", "n"), "id"), ["book_id", "canonical_name"], [F.col("place")], 50).drop("pos", "id")  # the first 50 of several names are among the first 50 of each
+    own = asked.where("_named").select("question_id", "book_id").join(named.select("question_id", "canonical_name").distinct(), "question_id").join(firsts, ["book_id", "canonical_name"]).select("question_id", "book_id", "place", "n").distinct()
+    told = written(first_rows(every.unionByName(own), ["question_id"], [F.col("place")], 50), "told")
+    told_size = told.groupBy("question_id").agg((F.sum("n") + F.count("*") - 1).alias("_told"))
+    open_ = running(kb["hints"].where("status = 'open'").select("book_id", "id", "idx", hint_line().alias("line")), ["book_id"], [F.col("idx"), F.col("id")], {"upto": (F.length("line") + 1).cast("bigint")})
+    most = q.where("hints").groupBy("book_id").agg(F.max("budget").alias("_most"))
+    listed = open_.join(most, "book_id").where("upto <= _most").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rank", "upto", "line"))).alias("_hints"))  # hints past the budget are cut anyway
+    listed = written(listed, "hints")
+    planted = F.filter("_hints", lambda x: x["upto"] <= F.col("budget"))
+    hinted = q.where("hints").join(listed, "book_id", "left").select("question_id", F.when(F.coalesce(F.size(planted), F.lit(0)) < 1, NO_HINTS).otherwise(F.concat(F.lit(OPEN_HINTS + "\n"), F.array_join(F.transform(planted, lambda x: x["line"]), "\n"))).alias("text"))
+    # hits of a question
     found = hits.union(named.select("question_id", F.lit("entity"), F.col("entity_id"))).distinct()
     found = found.select("question_id", F.when(F.col("kind") == "chapter", 2).otherwise(3).alias("part"), F.col("ref_id").alias("id"))
-    spare = found.groupBy("question_id", "part").agg((F.count("*") * 400).alias("spare"))
-    cut = F.when(F.col("part") == 2, F.col("chapter_cap")).otherwise(F.col("entity_cap"))
-    some = left.where("left > 0")
-    reach = some.join(spare.groupBy("question_id").agg(F.sum("spare").alias("spare")), "question_id", "left").withColumn("reach", F.col("left") + F.coalesce("spare", F.lit(0)))
-    near = reach.join(sized, "book_id").where(F.col("upto") - least < F.col("reach")).select("question_id", "part", "rank", "id", "size", "left", cut.alias("cap"))
-    near = near.join(found.withColumn("hit", F.lit(True)), ["question_id", "part", "id"], "left")
-    far = some.join(found, "question_id").join(sized.withColumnRenamed("book_id", "_b"), ["part", "id"]).where("_b = book_id").select("question_id", "part", "rank", "id", "size", "left", cut.alias("cap"), F.lit(True).alias("hit"))
-    both = near.unionByName(far).dropDuplicates(["question_id", "part", "id"])
+    own_hits = found.groupBy("question_id").agg(F.collect_list(F.struct("part", "id")).alias("hits"))
+    used = F.when(F.col("timeline"), F.when(F.col("_told").isNull(), len(NO_TIMELINE)).otherwise(F.col("_told") + len(TIMELINE) + 1)).otherwise(0) + F.coalesce("_hinted", F.lit(0))
+    left = q.join(told_size, "question_id", "left").join(hinted.select("question_id", F.length("text").alias("_hinted")), "question_id", "left").withColumn("left", F.col("budget") - used).where("left > 0").join(own_hits, "question_id", "left")
+    heads_before = F.col("timeline").cast("int") + F.col("hints").cast("int")
+    some = left.select("question_id", "book_id", "left", "entity_cap", "chapter_cap", "hits", heads_before.alias("heads"), (F.col("left") + F.coalesce(F.size("hits"), F.lit(0)) * 400).alias("reach"))
+    some = written(some, "asking")
+    # blocks: those hit, and of the rest as many from the beginning as could fit
+    chapters = kb["chapters"].where("status = 'done' AND coalesce(summary, '') <> '' AND book_id IS NOT NULL").select("book_id", "id", F.coalesce("idx", F.lit(-1)).alias("i"), chapter_block().alias("text"))
+    blocks = chapters.select("book_id", "id", F.lit(2).alias("part"), F.lit("").alias("name"), "i", "text").unionByName(kb["blocks"].where("book_id IS NOT NULL").select("book_id", "id", F.lit(3).alias("part"), F.col("canonical_name").alias("name"), F.lit(0).alias("i"), "text"))
+    blocks = written(blocks, "blocks")  # texts are put in when it is known which are shown
+    least = F.least("size", F.lit(400)).cast("bigint")  # a block takes at least so much, whatever it is cut to
+    sized = running(blocks.select("book_id", "id", "part", "name", "i", F.length("text").alias("size")), ["book_id", "part"], [F.col("name"), F.col("i"), F.col("id")], {"upto": least}).select("book_id", "part", "rank", "id", "size", (F.col("upto") - least).alias("before"))
+    cut = F.when(F.col("part") == 2, F.col("chapter_cap")).otherwise(F.col("entity_cap")).alias("cap")
+    columns = ["question_id", "part", "rank", "id", "size", "left", cut, "heads"]
+    furthest = some.groupBy("book_id").agg(F.max("reach").alias("_reach"))
+    near = some.join(sized.join(furthest, "book_id").where("before < _reach").drop("_reach"), "book_id").where("before < reach")
+    near = near.select(*columns, F.coalesce(F.array_contains("hits", F.struct("part", "id")), F.lit(False)).alias("hit"))
+    far = some.select("*", F.explode("hits").alias("h")).select("*", F.col("h.part").alias("part"), F.col("h.id").alias("id")).join(sized, ["book_id", "part", "id"]).where("before >= reach").select(*columns, F.lit(True).alias("hit"))
     capped = F.least("size", "cap").cast("bigint")
     over = Window.partitionBy("question_id").orderBy("part", F.when(F.col("hit"), 0).otherwise(1), "rank")
     upto = F.sum(capped).over(over.rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumns({"upto": upto, "_o": F.row_number().over(over), "capped": capped}).withColumn("kept", F.least("upto", "left") - F.least(F.col("upto") - F.col("capped"), "left")).where("kept > 0")
-    shown = rows.select("question_id", "part", "_o", "id", "kept").join(texts.select("part", "id", "text"), ["part", "id"]).select("question_id", "part", F.col("_o").alias("o"), F.when(F.col("part") == 2, "chapter").otherwise("entity").alias("kind"), F.col("id").alias("ref_id"), _cut(F.col("text"), F.col("kept")).alias("text"))
-    kind = F.when(F.col("part") == 0, "timeline").otherwise("hints")
-    none = F.lit(None).cast("string")
-    heads = head.join(q.select("question_id"), "question_id").select("question_id", "part", F.lit(0).alias("o"), kind.alias("kind"), none.alias("ref_id"), "text")
-    out = heads.unionByName(shown)
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy("question_id").orderBy("part", "o"))).select("question_id", "pos", "kind", "ref_id", "text")
+    rows = near.unionByName(far).withColumns({"upto": upto, "_o": F.row_number().over(over), "capped": capped}).withColumn("kept", F.least("upto", "left") - F.least(F.col("upto") - F.col("capped"), "left")).where("kept > 0")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("_o")) + F.col("heads")
+    rows = written(rows.select("question_id", place.alias("pos"), "part", "id", "kept"), "shown")
+    # texts, each where its row is put out
+    shown = rows.join(blocks.select("part", "id", "text"), ["part", "id"]).select("question_id", "pos", F.when(F.col("part") == 2, "chapter").otherwise("entity").alias("kind"), F.col("id").alias("ref_id"), _cut(F.col("text"), F.col("kept")).alias("text"))
+    lines = told.join(kb["events"].select("id", event_line().alias("line")).join(places.select("book_id", "id", "place"), "id"), ["book_id", "place"])
+    timeline = q.where("timeline").select("question_id").join(joined(lines.select("question_id", "pos", "line"), ["question_id"], ["pos"], "line", "\n"), "question_id", "left")
+    none = F.lit(None).cast("string").alias("ref_id")
+    timeline = timeline.select("question_id", F.lit(1).alias("pos"), F.lit("timeline").alias("kind"), none, F.when(F.col("line").isNull(), NO_TIMELINE).otherwise(F.concat(F.lit(TIMELINE + "\n"), "line")).alias("text"))
+    hinted = hinted.join(q.select("question_id", "timeline"), "question_id").select("question_id", (F.col("timeline").cast("int") + 1).alias("pos"), F.lit("hints").alias("kind"), none, "text")
+    return timeline.unionByName(hinted).unionByName(shown)
 
 
 def _cut(text: Column, most: Column) -> Column:

@@ -48,11 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back.
 
     Cuts the lineage, gives rows that depend on the physical layout (such as
-    monotonically_increasing_id) one fixed value, and outlives a lost executor.
+    monotonically_increasing_id) one fixed value, and outlives a lost executor. Its shuffle
+    files go as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
