@@ -18,6 +18,10 @@ from storyloom.session import shuffle_width, written
 
 #: Vectors in a block that is multiplied at once, and queries in a block.
 BLOCK, QUERY_BLOCK = 8192, 512
+#: Vectors in a block of the exact search, blocks sent to Python at once, pairs whose exact distances are reckoned at once, what float products may be off by.
+NEAR_BLOCK, BLOCKS_SENT, PAIRS, ALLOWANCE = 2048, 4, 4096, 1e-5
+#: Places of features that are remembered at once.
+KNOWN = 200_000
 DIMENSIONS = 384
 _TOKENS = re.compile(r"[一-鿿]|[a-z0-9_]+")
 
@@ -56,15 +60,30 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _best(q_ids, q, v_ids, v, k: int):
-    """(query ids, ids, distances) of the k nearest of each query."""
-    distance = 1 - np.clip(_unit(q) @ _unit(v).T, -1, 1)
-    n = min(k, len(v_ids))
-    near = np.argpartition(distance, n - 1, axis=1)[:, :n] if n < len(v_ids) else np.tile(np.arange(n), (len(q_ids), 1))
-    # ties at the edge of the cut: everything as near as the furthest kept
-    edge = np.take_along_axis(distance, near, 1).max(1)
-    rows, cols = np.nonzero(distance <= edge[:, None])
-    return q_ids[rows], v_ids[cols], distance[rows, cols]
+def _better(best: tuple, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple:
+    """best: (query numbers, distances, ids) of the k nearest so far of each of the unit rows q, by query, distance and id; with those of the unit rows v, called ids, among them.
+
+    What may be among the k nearest is told by float products, less an allowance for their error; its distances are exact.
+    """
+    near = q.astype(np.float32) @ v.astype(np.float32).T
+    held = np.bincount(best[0], minlength=len(q))
+    ends = np.cumsum(held)
+    full = held >= k
+    least = np.full(len(q), -np.inf)
+    least[full] = 1 - best[1][ends[full] - 1] - ALLOWANCE
+    if len(ids) > k and not full.all():
+        least[~full] = np.partition(near[~full], len(ids) - k, axis=1)[:, len(ids) - k] - ALLOWANCE
+    rows, cols = np.nonzero(near >= least[:, None])
+    exact = np.empty(len(rows))
+    for i in range(0, len(rows), PAIRS):
+        at = slice(i, i + PAIRS)
+        exact[at] = 1 - np.clip(np.einsum("ij,ij->i", q[rows[at]], v[cols[at]]), -1, 1)
+    rows, exact, found = (np.concatenate(x) for x in zip(best, (rows, exact, ids[cols])))
+    order = np.lexsort((found, exact, rows))
+    rows, exact, found = rows[order], exact[order], found[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    keep = np.arange(len(rows)) - np.repeat(first, np.diff(first, append=len(rows))) < k
+    return rows[keep], exact[keep], found[keep]
 
 
 def _query_blocks(queries: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -80,26 +99,40 @@ def _query_blocks(queries: DataFrame) -> tuple[DataFrame, list[int]]:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, distance, rank): the k nearest by cosine of every query, among all vectors of its dimension; ties by id.
 
-    queries and vectors: (id bigint, vector array<float>). Invalid vectors take no part. Both sides are packed in blocks,
-    each block of vectors meets each block of queries once, and only the best k of a block pair leave it.
+    queries and vectors: (id bigint, vector array<float>). Invalid vectors take no part. Both sides are packed in blocks and written; each task reads some of either
+    (a Cartesian product, so nothing is copied into an exchange), and only the best k of a block of queries among its vectors leave it. A few blocks at a time are sent to Python.
     """
-    width = shuffle_width(vectors.sparkSession)
+    spark = vectors.sparkSession
     prep = lambda df: df.where(valid(F.col("vector"))).select(F.col("id").cast("bigint"), F.size("vector").alias("dims"), "vector")
-    q, numbers = _query_blocks(prep(queries))
-    if not numbers:
-        empty = "query_id bigint, vec_id bigint, distance double, rank int"
-        return vectors.sparkSession.createDataFrame([], empty)
-    v = _packed(prep(vectors), BLOCK).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(len(numbers) - 1))))
-    pairs = v.join(q, "q").where("dims = q_dims").select("dims", "q_ids", "q_data", "ids", "data")
+    q = written(_packed(prep(queries), QUERY_BLOCK).withColumn("q", F.monotonically_increasing_id()), "queries").select("q", F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    v = written(_packed(prep(vectors), NEAR_BLOCK), "vectors")
+    pairs = q.join(v.hint("shuffle_replicate_nl"), F.col("dims") == F.col("q_dims")).select("q", "dims", "q_ids", "q_data", "ids", "data")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q_ids, asked, best = None, None, None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(q_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "vec_id", "distance"])
         for batch in batches:
             for i in range(batch.num_rows):
-                d, q_ids, q_data, ids, data = (batch.column(c)[i].as_py() for c in range(5))
-                a, b, dist = _best(np.frombuffer(q_ids, np.int64), np.frombuffer(q_data, np.float32).reshape(-1, d), np.frombuffer(ids, np.int64), np.frombuffer(data, np.float32).reshape(-1, d), k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(dist)], ["query_id", "vec_id", "distance"])
-
-    return _top(pairs.repartition(width).mapInArrow(match, "query_id bigint, vec_id bigint, distance double"), k)
+                number, d = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if number != now:
+                    if now is not None:
+                        yield out()
+                    now, q_ids = number, np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+                    asked = _unit(np.frombuffer(batch.column(3)[i].as_py(), np.float32).reshape(-1, d))
+                    best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+                ids, data = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((4, np.int64), (5, np.float32)))
+                best = _better(best, asked, ids, _unit(data.reshape(-1, d)), k)
+        if now is not None:
+            yield out()
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BLOCKS_SENT))
+    try:
+        hits = written(pairs.mapInArrow(match, "query_id bigint, vec_id bigint, distance double"), "near")
+    finally:
+        spark.conf.set(key, before)
+    return _top(hits, k)
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
@@ -156,7 +189,7 @@ def nearest_by_codes(queries: DataFrame, vectors: DataFrame, k: int, keep: int =
 
 
 def hash_embeddings(texts: list[str], dimensions: int = DIMENSIONS) -> list[np.ndarray]:
-    """Words, ideographs and their runs of two and three, each adding 1 or -1 at a place given by its hash; unit length. A text without any is the zero vector. Each different feature is hashed once."""
+    """Words, ideographs and their runs of two and three, each adding 1 or -1 at a place given by its hash; unit length. A text without any is the zero vector. The places of up to KNOWN features, and a text's, are remembered, so that a frequent one is hashed once."""
     known: dict[str, int] = {}
 
     def place(feature: str) -> int:  # twice the place, and one more for -1
@@ -165,6 +198,8 @@ def hash_embeddings(texts: list[str], dimensions: int = DIMENSIONS) -> list[np.n
 
     out = []
     for text in texts:
+        if len(known) > KNOWN:
+            known.clear()
         tokens = _TOKENS.findall((text or "").lower())
         features = [*tokens, *map("".join, zip(tokens, tokens[1:])), *map("".join, zip(tokens, tokens[1:], tokens[2:]))]
         at = np.array([known[f] if f in known else place(f) for f in features], np.int64)
@@ -224,7 +259,13 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[np.ndarray]] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            vectors = embed(texts) if embed else hash_embeddings(texts)
+            if not embed:
+                for i in range(0, len(texts), 1024):
+                    flat = np.concatenate(hash_embeddings(texts[i : i + 1024]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIMENSIONS), pa.int32()), pa.array(flat, pa.float32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1024), lists], ["id", "vector"])
+                continue
+            vectors = embed(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() if hasattr(v, "tolist") else v for v in vectors], pa.list_(pa.float32()))], ["id", "vector"])
 
     return chunks.select("id", "text").mapInArrow(run, "id string, vector array<float>")
